@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tagweave.llm.decontaminate import op10_decontaminate
 from tagweave.llm.exact_dedup import op9_exact_dedup
+from tagweave.llm.line_dedup import op3_line_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
@@ -15,6 +17,18 @@ def queries() -> dict:
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP3 = """
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS arr FROM documents),
+l AS (SELECT doc_id, i, arr[i] AS line FROM (SELECT doc_id, arr, unnest(range(1, len(arr) + 1)) AS i FROM a)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.doc_id, k.i, k.line, r.key IS NOT NULL AND k.doc_id <> r.least AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 OP9 = f"""
 WITH t AS (SELECT doc_id, {LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -40,4 +54,4 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9, "op10_decontaminate": OP10}
+    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10}
