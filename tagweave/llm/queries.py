@@ -7,10 +7,12 @@ from tagweave.llm.exact_dedup import op9_exact_dedup
 from tagweave.llm.line_dedup import op3_line_dedup
 from tagweave.llm.packing import op8_packing
 from tagweave.llm.token_files import op4_token_files
+from tagweave.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_files": op4_token_files,
         "op8_packing": op8_packing,
