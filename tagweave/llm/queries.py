@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tagweave.llm.decontaminate import op10_decontaminate
 from tagweave.llm.exact_dedup import op9_exact_dedup
+from tagweave.llm.hmm import op2_hmm_score
 from tagweave.llm.line_dedup import op3_line_dedup
 from tagweave.llm.packing import op8_packing
 from tagweave.llm.token_files import op4_token_files
@@ -13,6 +14,7 @@ from tagweave.llm.toxicity import op1_toxicity
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_hmm_score": op2_hmm_score,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_files": op4_token_files,
         "op8_packing": op8_packing,
