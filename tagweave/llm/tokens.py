@@ -12,12 +12,10 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+import numpy as np
 
-#: Chunks that a Python worker keeps.
-KEEP = 400_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def public_path(name: str) -> str:
@@ -26,6 +24,10 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Chunks that a Python worker keeps.
+KEEP = 1_200_000
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -38,38 +40,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
-        kind = str(self.tokenizer.pre_tokenizer.__class__.__name__)
-        self.words = kind != "ByteLevel"
+        self.words = str(self.tokenizer.pre_tokenizer.__class__.__name__) != "ByteLevel"
+        #: Between chunks in a run of them, one id of its own whatever stands beside it.
+        self.between = " \x01 " if self.words else "\n"
+        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.plain: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}
 
-    def _learn(self, cache: dict[str, bytes], chunks: Iterable[str], before: str) -> None:
-        new = [c for c in set(chunks) if c not in cache]
+    def _one(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _run(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, encoded as one text and cut at the marks, or one by one if that doesn't add up."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == self.mark[0])
+        if len(self.mark) != 1 or len(at) != len(chunks) - 1:
+            return [self._one(c) for c in chunks]
+        data, begins, ends = ids.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
+        return [data[b:e] for b, e in zip(begins, ends, strict=True)]
+
+    def _learn(self, cache: dict[str, bytes], new: set[str], before: str) -> None:
         if len(cache) + len(new) > self.keep:
             cache.clear()
             if not before:
                 cache[""] = b""
-            new = list(set(chunks))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([before + c for c in part], add_special_tokens=False)
-            cache.update(zip(part, (_bytes(e.ids) for e in got), strict=True))
+        odd = {c for c in new if not c or c.strip() != c or "\n" in c or "\x01" in c or "<|" in c}
+        cache.update((c, self._one(before + c)) for c in odd)
+        plain = list(new - odd)
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            cache.update(zip(part, self._run([before + c for c in part]), strict=True))
+
+    def _look_up(self, cache: dict[str, bytes], split: list[list[str]], before: str) -> list[bytes]:
+        found = [list(map(cache.get, s)) for s in split]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        if gaps:
+            new = {c for i in gaps for c, x in zip(split[i], found[i], strict=True) if x is None}
+            own: dict[str, bytes] = cache
+            self._learn(own, new, before)
+            for i in gaps:
+                found[i] = [own[c] if x is None else x for c, x in zip(split[i], found[i], strict=True)]
+        return [b"".join(f) for f in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.words:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self.plain, {c for s in split for c in s}, "")
-            get = self.plain.__getitem__
-            return [b"".join(map(get, s)) for s in split]
-        whole = [i for i, t in enumerate(texts) if "  " in t]
-        odd = set(whole)
-        split = [t.split(" ") if i not in odd else [""] for i, t in enumerate(texts)]
-        self._learn(self.plain, {s[0] for s in split}, "")
-        self._learn(self.spaced, {c for s in split for c in s[1:]}, " ")
-        get = self.spaced.__getitem__
-        out = [self.plain[s[0]] + b"".join(map(get, s[1:])) for s in split]
+            return self._look_up(self.plain, [t.replace("\n", " ").split(" ") for t in texts], "")
+        whole = {i for i, t in enumerate(texts) if "  " in t}
+        split = [t.split(" ") if i not in whole else [""] for i, t in enumerate(texts)]
+        first = self._look_up(self.plain, [s[:1] for s in split], "")
+        rest = self._look_up(self.spaced, [s[1:] for s in split], " ")
+        out = [a + b for a, b in zip(first, rest, strict=True)]
         for i in whole:
-            out[i] = _bytes(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+            out[i] = self._one(texts[i])
         return out
 
 
