@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -85,3 +86,63 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         held += int(n) + 1
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups from batches sorted by a long column, and the groups' bounds in them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if last is not None and keys[0] != last:
+            new = np.r_[0, new]
+        if len(new):  # all before the last change is complete
+            at = int(new[-1])
+            table = pa.Table.from_batches([*held, batch.slice(0, at)] if at or not held else held, batch.schema)
+            if table.num_rows:
+                yield _bounded(table, key)
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+        last = keys[-1]
+    if held:
+        yield _bounded(pa.Table.from_batches(held), key)
+
+
+def _bounded(table: pa.Table, key: str) -> tuple[pa.Table, np.ndarray]:
+    table = table.combine_chunks()
+    keys = table.column(key).to_numpy()
+    return table, np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+
+
+def array_of(table: pa.Table, name: str) -> pa.Array:
+    col = table.column(name)
+    return col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks)
+
+
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): root is the smallest node reachable from it.
+
+    Large stars and small stars in turn: every node hangs its larger neighbours, then all others, on the
+    smallest neighbour, until the edges form stars. Each round is a table in the shared folder.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "edges")
+    before = None
+    while True:
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "large")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large_star")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "small")
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        pairs = written(small.distinct(), "small_star")
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

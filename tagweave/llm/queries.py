@@ -5,6 +5,7 @@ from __future__ import annotations
 from tagweave.llm.decontaminate import op10_decontaminate
 from tagweave.llm.exact_dedup import op9_exact_dedup
 from tagweave.llm.hmm import op2_hmm_score
+from tagweave.llm.jaccard_join import op7_jaccard_join
 from tagweave.llm.line_dedup import op3_line_dedup
 from tagweave.llm.packing import op8_packing
 from tagweave.llm.token_files import op4_token_files
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_hmm_score": op2_hmm_score,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_files": op4_token_files,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
