@@ -92,9 +92,11 @@ def identities(
     clashes = named.where("of > 1").select("h", "content", "name")
     if not clashes.isEmpty():
         hit = rows.join(clashes.select("h").distinct(), "h", "left_semi").select("row").distinct()
-        again = base.select("row", "doc_id").join(hit, "row", "left_semi")
-        texts = again.join(_texts(docs, again), ["row"]).mapInArrow(_explode(block, hasher), "row long, left int, i int, h long, content binary")
-        part = part.union(texts.join(clashes, ["h", "content"]).select("row", "left", "i", "name"))
+        again = base.join(hit, "row", "left_semi").select("row", "text_sha256")
+        wanted = again.select("text_sha256").distinct()
+        found = documents(docs).mapInArrow(_explode(block, hasher), _BLOCKS).join(wanted, "text_sha256", "left_semi").distinct()
+        named_blocks = found.join(clashes, ["h", "content"]).select("text_sha256", "left", "i", "name")
+        part = part.union(again.join(named_blocks, "text_sha256").select("row", "left", "i", "name"))
     done, level = [], 0
     while True:
         part = written(part, f"level{level}")
@@ -116,20 +118,20 @@ def identities(
     return base.drop("hashes"), names
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    return documents(docs, F.monotonically_increasing_id().alias("row")).select("row", "text").join(wanted.select("row"), "row", "left_semi")
+_BLOCKS = "text_sha256 string, left int, i int, h long, content binary"
 
 
 def _explode(block: int, hasher: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                blocks = _cut(text, block)[1]
-                out += [(row, len(blocks), i, hasher(b), b) for i, b in enumerate(blocks)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            for text in batch.column("text").to_pylist():
+                data, blocks = _cut(text, block)
+                sha = hashlib.sha256(data).hexdigest()
+                out += [(sha, len(blocks), i, hasher(b), b) for i, b in enumerate(blocks)]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "left", "i", "h", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["text_sha256", "left", "i", "h", "content"])
 
     return run
 
@@ -145,7 +147,7 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes],
     full = written(rows.join(names, "row"), "named")
     best = full.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
     # only groups of several rows have anything to look up
-    many = best.where("group_size > 1")
+    many = written(best.where("group_size > 1"), "groups")
     out = full.join(many, ["level", "name"], "left")
     return out.select(
         "doc_id",

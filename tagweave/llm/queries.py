@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tagweave.llm.decontaminate import op10_decontaminate
+from tagweave.llm.edit_counts import op5_edit_counts
 from tagweave.llm.exact_dedup import op9_exact_dedup
 from tagweave.llm.hmm import op2_hmm_score
 from tagweave.llm.jaccard_join import op7_jaccard_join
 from tagweave.llm.line_dedup import op3_line_dedup
 from tagweave.llm.packing import op8_packing
+from tagweave.llm.substring_dedup import op6_substring_dedup
 from tagweave.llm.token_files import op4_token_files
 from tagweave.llm.toxicity import op1_toxicity
 
@@ -18,6 +20,8 @@ def queries() -> dict:
         "op2_hmm_score": op2_hmm_score,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_files": op4_token_files,
+        "op5_edit_counts": op5_edit_counts,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
