@@ -99,7 +99,7 @@ class SegmentTree:
             begin -= int(self.sums[self.size + leaf, 0])
         self.text = self.text[:start] + replacement + self.text[end:]
         shift = len(replacement) - (end - start)
-        after, bound = leaf, begin  # the first leaf that stays, and where it starts now
+        after, bound = leaf + 1, begin + int(self.sums[self.size + leaf, 0])  # the first leaf that may stay, and its start
         while after < self.size and bound < end:
             bound += int(self.sums[self.size + after, 0])
             after += 1
