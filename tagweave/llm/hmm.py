@@ -6,8 +6,8 @@ from its count. Latent states emit classes: Baum-Welch runs over all training te
 expected counts for its partition, which are summed across partitions by class; the scaled forward
 recursion then gives the exact log-probability of every whole document.
 
-What is broadcast has a fixed size: `heavy` words with their counts, and the state tables. Rarer words,
-none of which holds more than 1/heavy of all tokens, are looked up by a join.
+What is broadcast has a fixed size: at most `heavy` words with their counts, and the state tables. Rarer
+words, none of which holds more than about 1/heavy of all tokens, are looked up by a join.
 
 Training sequences are the texts cut every `segment` tokens, so that long and short ones share batches;
 no token is left out. Scores are of uncut texts.
@@ -15,6 +15,7 @@ no token is left out. Scores are of uncut texts.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -302,7 +303,15 @@ def _forward(sent):
 
 def _vocabulary(counts: DataFrame, own: int, heavy: int) -> Vocabulary:
     totals = counts.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(heavy).toPandas()
+    # a top-k of this size would send k words from every task; a bound on the count, from a histogram, doesn't
+    level = F.floor(F.log2("n") * 64)
+    levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, room = math.inf, heavy
+    for at, many in levels:
+        if many > room:
+            break
+        least, room = at, room - many
+    top = counts.where(level >= F.lit(float(least))).toPandas().sort_values(["n", "word"], ascending=[False, True])
     held, kinds = np.zeros(SPELLED), np.zeros(SPELLED)
     own = min(own, len(top))
     by_class = counts.mapInArrow(_classes, "cls int, train long").groupBy("cls").agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"))

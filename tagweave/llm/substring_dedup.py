@@ -181,8 +181,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, smal
     name = F.unhex(F.md5(F.concat_ws("|", F.lit(""), F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).cast("binary")))
     src = documents(docs, name.alias("row"))
     suffixes = written(src.select("row", "text").mapInArrow(_runs(length, gram), "row binary, at int, n int, g long, c long"), "runs", compression="zstd")
-    shared = suffixes.groupBy("g").agg(F.count("*").alias("of")).where("of > 1")
-    live = written(suffixes.join(shared.select("g"), "g"), "live", compression="zstd")
+    # written first, so that Spark can split a large bucket's part of the join
+    shared = written(suffixes.groupBy("g").agg(F.count("*").alias("of")).where("of > 1").select("g"), "shared")
+    live = written(suffixes.join(shared, "g"), "live", compression="zstd")
     kinds = written(live.groupBy("g", "c").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at")).alias("one")), "kinds")
     several = written(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     marks = live.join(kinds, ["g", "c"]).join(several, "g", "left")
