@@ -1 +1,158 @@
+"""Reading and writing corpora."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tagweave import schemas
+from tagweave.functions.exprs import no_nodes
+
+
+def with_annotations(df: DataFrame) -> DataFrame:
+    """df with every annotation column, missing or null ones empty."""
+    out = {}
+    for name, node in schemas.ANNOTATIONS.items():
+        out[name] = F.coalesce(F.col(name), no_nodes(node)) if name in df.columns else no_nodes(node)
+    return df.withColumns(out)
+
+
+def read_annotated(spark: SparkSession, *paths: str) -> DataFrame:
+    """JSON lines, plain or gzipped, under the explicit annotated schema."""
+    return with_annotations(spark.read.schema(schemas.V2).json(list(paths)))
+
+
+def read_v1(spark: SparkSession, *paths: str, ext: str = "jsonl", metadata: bool = True) -> DataFrame:
+    """Training files: json or jsonl, and txt (a text a line) only without metadata."""
+    if ext in ("json", "jsonl"):
+        return spark.read.schema(schemas.V1 if metadata else "id string, text string").json(list(paths))
+    if ext == "txt" and not metadata:
+        return spark.read.text(list(paths)).withColumnRenamed("value", "text")
+    raise ValueError(f"files with extension {ext!r} can't be read " + ("with metadata" if metadata else "here"))
+
+
+def read_named(spark: SparkSession, name: str, config: str | None = None, revision: str | None = None) -> DataFrame:
+    """A table by catalogue name, or a directory <name>[/<config>][/<revision>] of Parquet files."""
+    if "/" not in name and spark.catalog.tableExists(name):
+        return spark.table(name)
+    return spark.read.parquet("/".join(x for x in (name.rstrip("/"), config, revision) if x))
+
+
+def read_columnar(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_lines(spark: SparkSession, *paths: str, schema: str) -> DataFrame:
+    """One JSON record a line; lines that aren't keep their text in _corrupt_record."""
+    return parse_lines(spark.read.text(list(paths)), "value", schema).drop("value")
+
+
+def parse_lines(df: DataFrame, column: str, schema: str) -> DataFrame:
+    parsed = F.from_json(F.col(column), schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return df.withColumn("_parsed", parsed).select("*", "_parsed.*").drop("_parsed")
+
+
+def file_name(path: str = "_metadata.file_path") -> F.Column:
+    return F.substring_index(F.col(path), "/", -1)
+
+
+def select_files(
+    files: DataFrame,
+    name: str = "name",
+    pattern: str | None = None,
+    prefix: str | None = None,
+    serial_range: tuple[str, int, int] | None = None,
+    task: tuple[int, int] | None = None,
+    exclude: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of a table of file names: by regex, by prefix and extension, by serial number, by task slice.
+
+    serial_range (pattern with one group, low, high) keeps serials in [low, high); task (t, n) keeps the
+    sorted names [t*n, t*n + n); exclude holds names to leave out.
+    """
+    if prefix is not None:
+        files = files.where(F.col(name).startswith(prefix) & F.col(name).rlike(r"\.jsonl(\.gz)?$"))
+    if pattern is not None:
+        files = files.where(F.col(name).rlike(pattern))
+    if serial_range is not None:
+        serial = F.regexp_extract(name, serial_range[0], 1).try_cast("int")
+        files = files.where((serial >= serial_range[1]) & (serial < serial_range[2]))
+    if exclude is not None:
+        files = files.join(exclude.select(F.col(name).alias("_x")).distinct(), F.col(name) == F.col("_x"), "left_anti")
+    if task is not None:
+        t, n = task
+        files = files.withColumn("_rn", F.row_number().over(Window.orderBy(name)) - 1)  # file names: a short list
+        files = files.where((F.col("_rn") >= t * n) & (F.col("_rn") < t * n + n)).drop("_rn")
+    return files
+
+
+def union_sparse(*dfs: DataFrame) -> DataFrame:
+    """Union by name; columns that a side lacks are empty lists if they are lists, else null."""
+    both = dfs[0]
+    for d in dfs[1:]:
+        both = both.unionByName(d, allowMissingColumns=True)
+    lists = {f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in both.schema if f.dataType.typeName() == "array"}
+    return both.withColumns(lists)
+
+
+def read_site_tables(spark: SparkSession, redirects: str, paragraphs: str) -> tuple[DataFrame, DataFrame]:
+    """(alias, title) and (title, seq, text) tables, as Parquet."""
+    return spark.read.parquet(redirects), spark.read.parquet(paragraphs)
+
+
+def shard(df: DataFrame, n: int, order_by: str, mode: str = "round_robin") -> DataFrame:
+    """df with `shard` 0..n-1: every n-th row in turn, or n contiguous runs, in the order of a unique column."""
+    rn = row_index(df, order_by)
+    if mode == "round_robin":
+        return rn.withColumn("shard", F.pmod("_rn", F.lit(n)).cast("int")).drop("_rn")
+    if mode != "contiguous":
+        raise ValueError(mode)
+    total = rn.count()
+    big, size = total % n, total // n
+    edge = big * (size + 1)
+    at = F.when(F.col("_rn") < edge, F.floor(F.col("_rn") / (size + 1))).otherwise(big + F.floor((F.col("_rn") - edge) / max(1, size)))
+    return rn.withColumn("shard", at.cast("int")).drop("_rn")
+
+
+def row_index(df: DataFrame, *order_by: str, name: str = "_rn") -> DataFrame:
+    """df with the rank of each row from 0: sorted in ranges, each counting on from the ones before.
+
+    Only one number a range meets in a single task.
+    """
+    sort = [F.col(c) for c in order_by]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    ranged = ranged.withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("_part", before.alias("_base"))
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
+
+
+def concat_shards(spark: SparkSession, path: str, expect: int | None = None) -> DataFrame:
+    """The table written with partitionBy("shard"), after a check of the number of shards."""
+    df = spark.read.parquet(path)
+    if expect is not None and (found := df.select("shard").distinct().count()) != expect:
+        raise ValueError(f"{path} holds {found} shards, not {expect}")
+    return df
+
+
+def write_columnar(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parquet; mode "ignore" skips what is there, "overwrite" replaces it. Files appear when the job commits."""
+    df.write.mode(mode).parquet(path)
+
+
+def write_jsonl_gz(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).option("compression", "gzip").json(path)
+
+
+def write_shards(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).partitionBy("shard").parquet(path)
+
+
+def write_schema(df: DataFrame, path: str) -> None:
+    """The schema's JSON form, a single line of text, in a directory beside the data."""
+    text = json.dumps(json.loads(df.schema.json()), sort_keys=True)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

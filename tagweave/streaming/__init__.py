@@ -1 +1,39 @@
+"""The annotated corpus as a stream. All operators but sorts and windows run on it unchanged."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from tagweave import schemas
+from tagweave.sources import with_annotations
+
+
+def stream_annotated(spark: SparkSession, path: str, schema: str = schemas.V2, files_per_trigger: int | None = None) -> DataFrame:
+    """JSON-lines files as they arrive in a directory."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    df = reader.json(path)
+    return with_annotations(df) if schema == schemas.V2 else df
+
+
+def stream_columnar(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def publish(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what has arrived to Parquet files, exactly once, and stop."""
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Rewrite the totals of an aggregated stream after every batch, and stop at the end of what has arrived."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
