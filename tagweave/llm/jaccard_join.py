@@ -3,8 +3,8 @@
 Every document is the set of its runs of five words. Documents with equal sets form a class and are
 joined once. Each of several runs chooses for a set the tokens whose hash is below 1/(similarity x size),
 one or so a set; classes that chose the same token share a bucket. A bucket of more than `brute` classes
-is split again on further sampled tokens (the set's smallest under other hashes), level by level; what is
-still large after the last level is compared in blocks. Runs repeat until a pair at the threshold is in
+is split again on further sampled tokens (the set's smallest under other hashes), level by level; buckets
+whose classes are too alike to split, and what is still large after the last level, are compared in blocks. Runs repeat until a pair at the threshold is in
 one bucket at least with the target recall.
 
 In a bucket, sketches tell which classes can be similar, and sets are sent only for these; then all pairs
@@ -299,11 +299,15 @@ def _buckets(classes: DataFrame, brute: int, levels: int) -> DataFrame:
         done = ready.select("b", "k", "m") if done is None else done.union(ready.select("b", "k", "m"))
         if final or counts.where(F.col("m") > brute).isEmpty():
             break
-        large = live.where(F.col("m") > brute).select("b", "k").join(classes.select("k", "sketch"), "k")
         first = level * SPLITS
         part = [F.substring("sketch", 2 * (first + i) + 1, 2) for i in range(SPLITS)]
+        large = written(live.where(F.col("m") > brute).join(classes.select("k", "sketch"), "k"), f"large{level}")
+        # where half of a bucket would stay together its classes are similar, and splitting it is of no use
+        share = large.groupBy("b", "m", part[0]).agg(F.count("*").alias("c")).groupBy("b", "m").agg(F.max("c").alias("c"))
+        dense = written(share.where("2 * c >= m").select("b"), f"dense{level}")
+        done = done.union(large.join(dense, "b").select("b", "k", "m"))
         children = F.array(*(F.xxhash64("b", F.lit(first + i), p) for i, p in enumerate(part)))
-        rows = large.select("k", F.explode(children).alias("b"))
+        rows = large.join(dense, "b", "left_anti").select("k", F.explode(children).alias("b"))
     return done
 
 
