@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.functions.exprs import MONTHS, col, uniform, unquote
 from tagweave.operators.html import INF, Rule
@@ -143,15 +145,15 @@ def metadata_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix",
     return df.withColumn(out, F.when(F.size(kept) > 0, F.concat(F.array_join(kept, cfg.metadata_sep), F.lit(cfg.metadata_prefix_sep))).otherwise(""))
 
 
-def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "metadata") -> DataFrame:
-    """(id, offset, text): all that is inserted at each offset, in order.
+def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "metadata", text_col: str = "text") -> DataFrame:
+    """(id, offset, text): all that is inserted at each offset of the text, in order; other offsets are left out.
 
     Nodes of a key that have relative positions are first merged at every offset, in that order, with the
     key's wrapper texts around. Then, at an offset: ends of spans, starts and ends of empty spans, starts of
     spans; of starts the later in order comes first.
     """
     rank = F.array_position(F.array(*(F.lit(k) for k in cfg.metadata_list)), F.col("n.key"))
-    flat = df.select(F.col(id_col).alias("_id"), F.posexplode(nodes).alias("i", "n")).where(F.col("n.type") == "local").withColumn("rank", rank).where("rank > 0")
+    flat = df.select(F.col(id_col).alias("_id"), F.length(text_col).alias("len"), F.posexplode(nodes).alias("i", "n")).where(F.col("n.type") == "local").withColumn("rank", rank).where("rank > 0")
     one = F.first_value(F.col("n.relative_start_pos"), ignoreNulls=False).over(Window.partitionBy("_id", "rank").orderBy("i"))
     flat = flat.withColumn("relative", one.isNotNull()).withColumn("r", render_local(F.col("n"), cfg)).where("r is not null")
     start, end = F.col("n.char_start_idx"), F.col("n.char_end_idx")
@@ -159,30 +161,30 @@ def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
     ev = lambda at, slot, order, text: F.struct(at.alias("at"), slot.alias("slot"), order.alias("order"), text.alias("text"))
     key = lambda sign: F.array((sign * F.col("rank") * 2).cast("long"), (sign * end).cast("long"), (sign * F.col("i")).cast("long"))
     plain = flat.where("not relative").select(
-        "_id", F.explode(F.array(ev(start, F.when(empty, 1).otherwise(3), key(-1), F.col("r.start")), ev(end, F.when(empty, 2).otherwise(0), key(1), F.col("r.end")))).alias("e")
+        "_id", "len", F.explode(F.array(ev(start, F.when(empty, 1).otherwise(3), key(-1), F.col("r.start")), ev(end, F.when(empty, 2).otherwise(0), key(1), F.col("r.end")))).alias("e")
     )
     merged = flat.where("relative").select(
-        "_id", "rank", F.col("n.key").alias("key"),
+        "_id", "len", "rank", F.col("n.key").alias("key"),
         F.explode(F.array(
             F.struct(start.alias("at"), F.col("n.relative_start_pos").alias("p"), F.lit(0).alias("edge"), F.col("r.start").alias("text")),
             F.struct(end.alias("at"), F.col("n.relative_end_pos").alias("p"), F.lit(1).alias("edge"), F.col("r.end").alias("text")),
         )).alias("e"),
     ).where("e.text <> ''")
-    merged = merged.groupBy("_id", "rank", "key", F.col("e.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("e.p", "e.edge", "e.text"))).alias("es"))
+    merged = merged.groupBy("_id", "len", "rank", "key", F.col("e.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("e.p", "e.edge", "e.text"))).alias("es"))
     text = F.array_join(F.transform("es", lambda e: e["text"]), "")
     for k in cfg.wrap_start.keys() | cfg.wrap_end.keys():
         text = F.when(F.col("key") == k, F.concat(F.lit(cfg.wrap_start.get(k, "")), text, F.lit(cfg.wrap_end.get(k, "")))).otherwise(text)
     order = F.array((-(F.col("rank") * 2 + 1)).cast("long"), (-F.col("at")).cast("long"), F.lit(0).cast("long"))
-    events = plain.union(merged.select("_id", ev(F.col("at"), F.lit(1), order, text).alias("e"))).where("e.text <> ''")
+    events = plain.union(merged.select("_id", "len", ev(F.col("at"), F.lit(1), order, text).alias("e"))).where("e.text <> '' and e.at between 0 and len")
     lists = events.groupBy("_id", F.col("e.at").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("e.slot", "e.order", "e.text"))).alias("es"))
     return lists.select("_id", "offset", F.array_join(F.transform("es", lambda e: e["text"]), "").alias("text"))
 
 
 def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "metadata", text: str = "text") -> DataFrame:
     """df with `text_with_metadata` and `char_mask` (1 for inserted characters); offsets past the text are left out."""
-    lists = local_events(df, cfg, id_col, nodes).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("_e"))
+    lists = local_events(df, cfg, id_col, nodes, text).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("_e"))
     both = df.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    both = both.withColumn("_e", F.coalesce(F.filter("_e", lambda e: e["offset"].between(0, F.length(text))), F.expr("cast(array() as array<struct<offset:bigint,text:string>>)")))
+    both = both.withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<offset:bigint,text:string>>)")))
     piece = f"substring(`{text}`, cast(if(i = 0, 0, _e[i - 1].offset) + 1 as int), cast(e.offset - if(i = 0, 0, _e[i - 1].offset) as int))"
     rest = f"if(size(_e) = 0, `{text}`, substring(`{text}`, cast(element_at(_e, -1).offset + 1 as int)))"
     joined = F.expr(f"concat(array_join(transform(_e, (e, i) -> concat({piece}, e.text)), ''), {rest})")
@@ -199,7 +201,7 @@ _TOKEN = re.compile(TOKEN)
 Tokenizer = Callable[[Column], Column]
 
 
-@F.pandas_udf("array<struct<id:int,start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "start", "end")])))
 def _cut(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> list[dict] | None:
         if text is None:
@@ -233,11 +235,21 @@ def cap_prefix(ids: Column | str, max_seq_len: int) -> Column:
     return F.when(F.size(col(ids)) > m, F.concat(F.slice(col(ids), 1, max(0, m - 2)), F.slice(col(ids), -2, 2))).otherwise(col(ids))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _touched(starts: pd.Series, ends: pd.Series, chars: pd.Series) -> pd.Series:
+    def one(b: np.ndarray, e: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        before = np.concatenate(([0], np.cumsum(marks)))
+        n = len(marks)
+        return (before[np.minimum(e, n)] > before[np.minimum(b, n)]).astype(np.int32)
+
+    return pd.Series([None if m is None or b is None else one(np.asarray(b, int), np.asarray(e, int), np.asarray(m, int)) for b, e, m in zip(starts, ends, chars, strict=True)])
+
+
 def token_mask(tokens: Column | str, chars: Column | str, regular: bool = False) -> Column:
     """1 for tokens that touch a marked character."""
     if regular:
         return F.transform(col(tokens), lambda t: F.lit(0))
-    return F.transform(col(tokens), lambda t: F.coalesce(F.array_max(F.slice(col(chars), t["start"] + 1, t["end"] - t["start"])), F.lit(0)))
+    return _touched(F.transform(col(tokens), lambda t: t["start"]), F.transform(col(tokens), lambda t: t["end"]), col(chars))
 
 
 def chunk(df: DataFrame, max_seq_len: int, pad_id: int = 0, ids: str = "ids", mask: str = "mask", prefix: str = "prefix_ids", same_context: bool = False) -> DataFrame:
