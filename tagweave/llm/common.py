@@ -69,6 +69,14 @@ def written(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__, ... that df has no column of."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long and text as string, whatever else df has; rows keep their order in a partition."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import ship, utf8, written
+from tagweave.llm.common import fresh, ship, utf8, written
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 17
@@ -214,9 +214,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = S
             yield batch.filter(pa.array(~found))
 
     probes = lines.mapInArrow(cold, lines.schema).select("*", shard)
+    lost = fresh(docs, "lost")
     drops = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, "doc_id long, h1 long, h2 long")
-    drops = drops.mapInArrow(_pack, "id long, key binary").groupBy("id").agg(F.collect_set("key").alias("lost"))
-    both = docs.join(drops.hint("shuffle_hash"), docs["doc_id"] == drops["id"], "left").select(*[docs[c] for c in docs.columns], drops["lost"])
+    drops = drops.mapInArrow(_pack, "id long, key binary").groupBy("id").agg(F.collect_set("key").alias(lost))
+    both = docs.join(drops.hint("shuffle_hash"), docs["doc_id"] == drops["id"], "left").select(*[docs[c] for c in docs.columns], drops[lost])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_dropped long"
     return both.mapInArrow(_finish(docs.columns.index("doc_id"), docs.columns.index("text"), min_chars, sent), schema)
 
