@@ -1,6 +1,6 @@
 """Token counts that follow edits.
 
-A document's pre-tokens are kept in leaves of about `LEAF`, and a segment tree over the leaves holds the
+A document's pre-tokens are kept in leaves of about `LEAF` words, and a segment tree over the leaves holds the
 numbers of characters, pre-tokens and tokens below every node. An edit descends to the leaf where it
 starts, steps back until the text before is out of reach of any pre-token rule, cuts and encodes anew
 from there until a boundary falls on the start of a later leaf, and updates the sums above what changed.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import pieces, ship
-from tagweave.llm.tokens import Encoder, public_path
+from tagweave.llm.tokens import Encoder, lone_spaces, public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 LEAF = 64
@@ -25,7 +25,8 @@ LEAF = 64
 REACH = 3
 #: The published pre-token pattern of the byte-level vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPLIT = regex.compile(PATTERN)
+#: Python's \s also holds four control characters.
+_SPLIT = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})"))
 
 
 class Counter:
@@ -35,6 +36,8 @@ class Counter:
         self.encoder = Encoder(path)
         self.encoder.tokenizer.encode_special_tokens = True
         self.known: dict[str, int] = {}
+        #: Of words after a space: pre-tokens << 40 | tokens << 20 | characters, all with the space.
+        self.chunks: dict[str, int] = {}
 
     def counts(self, pre: list[str]) -> np.ndarray:
         got = list(map(self.known.get, pre))
@@ -50,6 +53,34 @@ class Counter:
         return np.array(got, np.int64)
 
 
+    def after_space(self, words: list[str]) -> np.ndarray:
+        """(characters, pre-tokens, tokens) of words, each with the space before it; cut and counted once."""
+        got = list(map(self.chunks.get, words))
+        if None in got:
+            new = [c for c in {c for c, g in zip(words, got, strict=True) if g is None} if len(c) < 1 << 18]
+            if len(self.chunks) + len(new) > self.encoder.keep:
+                self.chunks.clear()
+            learnt = dict(zip(new, self._packed(new), strict=True))
+            self.chunks.update(learnt)
+            if len(learnt) < len(set(words)) and any(len(c) >= 1 << 18 for c in words):
+                return np.array([self._apart(c) for c in words], np.int64)
+            got = [learnt[c] if g is None else g for c, g in zip(words, got, strict=True)]
+        packed = np.array(got, np.int64)
+        return np.stack([packed & 0xFFFFF, packed >> 40, packed >> 20 & 0xFFFFF], 1)
+
+    def _packed(self, words: list[str]) -> list[int]:
+        cut = [_SPLIT.findall(" " + c) for c in words]
+        sizes = np.array([len(pre) for pre in cut], np.int64)
+        before = np.r_[0, np.cumsum(self.counts([p for pre in cut for p in pre]))] if len(cut) else np.zeros(1, np.int64)
+        ends = np.cumsum(sizes)
+        lengths = np.array([len(c) + 1 for c in words], np.int64)
+        return (sizes << 40 | (before[ends] - before[ends - sizes]) << 20 | lengths).tolist()
+
+    def _apart(self, word: str) -> tuple[int, int, int]:
+        pre = _SPLIT.findall(" " + word)
+        return len(word) + 1, len(pre), int(self.counts(pre).sum())
+
+
 class SegmentTree:
     """Sums of (characters, pre-tokens, tokens) over the leaves of one document."""
 
@@ -57,18 +88,25 @@ class SegmentTree:
         self.text, self.counter, self.encoded = text, counter, 0
         self._build()
 
+    def _units(self) -> np.ndarray:
+        """(characters, pre-tokens, tokens) of the text's parts: words between lone spaces, else pre-tokens.
+
+        A space that no space precedes always begins a pre-token.
+        """
+        if not self.text:
+            return np.zeros((0, 3), np.int64)
+        first, *rest = self.text.split(" ") if lone_spaces(self.text) else [self.text]
+        pre = _SPLIT.findall(first)
+        head = np.stack([np.fromiter(map(len, pre), np.int64, len(pre)), np.ones(len(pre), np.int64), self.counter.counts(pre)], 1)
+        return np.concatenate([head, self.counter.after_space(rest)]) if rest else head
+
     def _build(self) -> None:
-        pre = _SPLIT.findall(self.text)
-        n = len(pre)
-        leaves = max(1, -(-n // LEAF))
+        units = self._units()
+        leaves = max(1, -(-len(units) // LEAF))
         self.size = 1 << (leaves - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 3), np.int64)
-        if n:
-            starts = np.arange(0, n, LEAF)
-            low = self.sums[self.size : self.size + leaves]
-            low[:, 0] = np.add.reduceat(np.fromiter(map(len, pre), np.int64, n), starts)
-            low[:, 1] = np.add.reduceat(np.ones(n, np.int64), starts)
-            low[:, 2] = np.add.reduceat(self.counter.counts(pre), starts)
+        if len(units):
+            self.sums[self.size : self.size + leaves] = np.add.reduceat(units, np.arange(0, len(units), LEAF), axis=0)
         level = self.size
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]

@@ -4,8 +4,8 @@ A text is cut at spaces into chunks that the tokenizer treats independently, eve
 encoded once by the library and kept, and a document is the concatenation of its chunks' ids:
 
 * "word" tokenizers drop white space, so any cut at a space or line feed is between pre-tokens;
-* byte-level ones attach one space to the word after it, so a cut before a lone space is between
-  pre-tokens; texts with two spaces in a row are encoded whole.
+* byte-level ones attach one space to the word after it, so a cut before a space is between pre-tokens
+  if no white space follows it; texts where some does are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,6 +28,18 @@ def public_path(name: str) -> str:
 KEEP = 1_200_000
 
 
+_SPACES = [" " + c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+_ASCII = _SPACES[:10]
+
+
+def lone_spaces(text: str) -> bool:
+    """Whether a cut before every space of text is between byte-level pre-tokens."""
+    for s in _ASCII if text.isascii() else _SPACES:
+        if s in text:
+            return False
+    return not text.endswith(" ") or not text[-2:-1].isspace()
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -85,7 +97,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.words:
             return self._look_up(self.plain, [t.replace("\n", " ").split(" ") for t in texts], "")
-        whole = {i for i, t in enumerate(texts) if "  " in t}
+        whole = {i for i, t in enumerate(texts) if not lone_spaces(t)}
         split = [t.split(" ") if i not in whole else [""] for i, t in enumerate(texts)]
         first = self._look_up(self.plain, [s[:1] for s in split], "")
         rest = self._look_up(self.spaced, [s[1:] for s in split], " ")

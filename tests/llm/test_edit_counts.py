@@ -7,7 +7,7 @@ import tagweave.llm.edit_counts as E
 from tagweave.llm.tokens import public_path
 
 COUNTER = E.Counter(public_path(E.TOKENIZER))
-PARTS = ["the ", "we'll", "'", "ll", " ", "  ", "\n", "abc", "12", "!?", "é", "日本", "<|endoftext|>", "I've", "\t", " a"]
+PARTS = ["the ", "we'll", "'", "ll", " ", "  ", "\n", "abc", "12", "!?", "é", "日本", "<|endoftext|>", "I've", "\t", " a", " \n", "\n ", "\x1c", "\xa0"]
 text = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
 
 

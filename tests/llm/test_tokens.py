@@ -14,7 +14,7 @@ PARTS = ["the", " ", "  ", "\n", "\n\n", " \n", "\t", "It's", "don't", "<|endoft
 
 
 @pytest.mark.parametrize("name", NAMES)
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=1, max_size=4))
 def test_equals_whole_texts(name, texts):
     tokenizer, encoder = HELD[name]
