@@ -19,6 +19,8 @@ PARAGRAPH_TAGS = (
 #: Descriptions that are no descriptions, and their length in words.
 CORRUPT_DESCRIPTION = r"(?dU)^(.* refer(|s) to.?:|\[\[\w*:)"
 MIN_WORDS, MAX_WORDS = 5, 50
+#: Aliases that are broadcast whole.
+SMALL_GAZETTEER = 500
 
 
 def append(df: DataFrame, out: str, nodes: Column, kind: str) -> DataFrame:
@@ -151,9 +153,15 @@ def clean_website_description(df: DataFrame, column: str = "metadata_website_des
 def entity_mentions(df: DataFrame, gazetteer: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, alias, entity, start): the first place of every alias in every text, at any boundary.
 
-    An alias without white space lies within one word of the text, so texts are cut into words and only
-    words that hold some alias go on; this compares distinct words, not documents, with the gazetteer.
+    At most SMALL_GAZETTEER aliases are broadcast and looked for in every text. In a larger gazetteer, an
+    alias without white space lies within one word of the text, so distinct words' substrings meet aliases
+    in an equi-join, and only aliases of several words are broadcast.
     """
+    texts = df.select(id_col, F.col(text).alias("_text"))
+    first = (F.expr("instr(_text, alias)") - 1).cast("long").alias("start")
+    if len(gazetteer.limit(SMALL_GAZETTEER + 1).collect()) <= SMALL_GAZETTEER:
+        held = texts.join(F.broadcast(gazetteer.where("length(alias) > 0")), F.expr("instr(_text, alias) > 0"))
+        return held.select(id_col, "alias", "entity", first)
     word = F.explode(F.array_distinct(F.split(F.col(text), r"[ \t\n\u000B\f\r]+")))
     words = df.select(F.col(id_col), word.alias("_w")).where("_w <> ''")
     single = gazetteer.where(r"alias not rlike '[ \\t\\n\\u000B\\f\\r]' and length(alias) > 0")
@@ -168,10 +176,9 @@ def entity_mentions(df: DataFrame, gazetteer: DataFrame, id_col: str, text: str
     )
     hits = grams.join(single, F.col("_g") == F.col("alias")).select("_w", "alias", "entity")
     at = words.join(hits, "_w").select(id_col, "alias", "entity").distinct()
-    found = at.join(df.select(id_col, F.col(text).alias("_text")), id_col)
-    more = df.select(id_col, F.col(text).alias("_text")).join(F.broadcast(several), F.expr("instr(_text, alias) > 0"))
-    both = found.unionByName(more.select(*found.columns))
-    return both.select(id_col, "alias", "entity", (F.expr("instr(_text, alias)") - 1).cast("long").alias("start"))
+    found = at.join(texts, id_col)
+    more = texts.join(F.broadcast(several), F.expr("instr(_text, alias) > 0"))
+    return found.unionByName(more.select(*found.columns)).select(id_col, "alias", "entity", first)
 
 
 def tag_entity(df: DataFrame, gazetteer: DataFrame, id_col: str, out: str = "metadata_entity", text: str = "text") -> DataFrame:

@@ -89,6 +89,17 @@ def test_paragraphs(spark):
     assert "".join(p.value for p in out) == text
 
 
+def test_gazetteers_of_any_size(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Paris and New York, Obama in Paris"), (2, "none"), (3, None), (4, "xObamax")], "id long, text string")
+    names = spark.createDataFrame([("Paris", "P"), ("Obama", "O"), ("New York", "N"), ("York, O", "Y")], "alias string, entity string")
+    out = []
+    for small in (500, 0):
+        monkeypatch.setattr(taggers, "SMALL_GAZETTEER", small)
+        rows = taggers.tag_entity(df, names, "id").orderBy("id").collect()
+        out.append([[(n.char_start_idx, n.char_end_idx, n.value) for n in r.metadata_entity] for r in rows])
+    assert out[0] == out[1] == [[(10, 18, "N"), (20, 25, "O"), (0, 5, "P"), (14, 21, "Y")], [], [], [(1, 6, "O")]]
+
+
 def test_entity_paragraphs(spark):
     schema = f"metadata_entity array<{schemas.LOCAL}>, metadata_paragraph array<{schemas.PARAGRAPH}>"
     e = lambda s, x, v: (x, s, "entity", "local", v)
