@@ -26,8 +26,8 @@ def column_counts(df: DataFrame) -> DataFrame:
 
 def type_weights(counts: DataFrame) -> DataFrame:
     """(key, n, weight): all counts over each."""
-    total = counts.agg(F.sum("n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_total") / F.col("n")).drop("_total")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.withColumn("weight", F.lit(total) / F.col("n"))
 
 
 def _kept(keys: Column, weights: dict[str, float], seed: int, id_col: str) -> Column:
@@ -86,17 +86,16 @@ def interleave(dfs: list[DataFrame], weights: list[float], seed: int, id_col: st
         ends.append(part.agg(F.max("turn").alias("t")))
     both = reduce(DataFrame.unionByName, parts)
     if stop_first:
-        end = reduce(DataFrame.union, ends).agg(F.min("t").alias("_end"))
-        both = both.crossJoin(F.broadcast(end)).where("turn <= _end").drop("_end")
+        end = reduce(DataFrame.union, ends).agg(F.min("t")).first()[0]
+        both = both.where(F.col("turn") <= F.lit(end))
     return both
 
 
 def percent_split(df: DataFrame, percent: int, order_by: str) -> DataFrame:
     """df with `split`: the first percent of the rows are "validation", the rest "train"."""
     ranked = row_index(df, order_by)
-    bound = ranked.agg(F.floor(F.count("*") * percent / 100 + 0.5).alias("_bound"))
-    split = F.when(F.col("_rn") < F.col("_bound"), "validation").otherwise("train")
-    return ranked.crossJoin(F.broadcast(bound)).withColumn("split", split).drop("_rn", "_bound")
+    bound = int(df.count() * percent / 100 + 0.5)
+    return ranked.withColumn("split", F.when(F.col("_rn") < bound, "validation").otherwise("train")).drop("_rn")
 
 
 def first_n(df: DataFrame, n: int, *order_by: str) -> DataFrame:
