@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave import schemas, sources
+from tagweave import schemas, sources, streaming
 from tagweave.functions import exprs
 from tagweave.operators import evaluate, html, linearize, projections, sampling, taggers
 from tagweave.plans import annotate, training
@@ -839,6 +839,66 @@ def w6_mask_runs(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.mask_runs(scores(spark, d), "attention")
 
 
+@query(
+    "a5_train_loss",
+    f"WITH {SCORES} SELECT split, side, example_id, round(sum(loss) FILTER (attention = 1 AND metadata = 0 AND pos > p0) / nullif(count(*) FILTER (attention = 1 AND metadata = 0 AND pos > p0), 0), 6) AS loss, count(*) FILTER (attention = 1 AND metadata = 0 AND pos > p0) AS tokens FROM f GROUP BY ALL",
+)
+def a5_train_loss(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.masked_mean_loss(scores(spark, d), drop_first=False).withColumn("loss", F.round("loss", 6))
+
+
+@query("a6_mean_perplexity", f"WITH {SCORES} SELECT split, side, round(exp(avg(loss)), 6) AS perplexity FROM losses WHERE loss IS NOT NULL GROUP BY ALL")
+def a6_mean_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mean_perplexity(evaluate.masked_mean_loss(scores(spark, d))).withColumn("perplexity", F.round("perplexity", 6))
+
+
+@query("p6_with_labels", f"WITH t AS (SELECT doc_id, {SPACE_IDS} AS ids FROM documents) SELECT doc_id, CAST(list_sum(ids) AS BIGINT) AS labels FROM t")
+def p6_with_labels(spark: SparkSession, d: str) -> DataFrame:
+    out = projections.with_labels(space_ids(spark, d).withColumnRenamed("ids", "input_ids"))
+    return out.select("doc_id", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
+
+
+# ---- written and read again, and streams
+
+
+@query("s10_jsonl_round_trip", "SELECT page_id % 1000 AS c4_shard, url, length(html) AS n, 1 AS urls, 0 AS entities FROM pages WHERE length(url) > 0")
+def s10_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = sources.scratch_dir(spark)
+    df = taggers.tag_url(pages(spark, d).select((F.col("page_id") % 1000).alias("c4_shard"), "url", F.col("html").alias("text"))).where("length(url) > 0")
+    sources.write_jsonl_gz(df, path)
+    back = sources.read_annotated(spark, path)
+    return back.select("c4_shard", "url", F.length("text").cast("long").alias("n"), F.size("metadata_url").alias("urls"), F.size("metadata_entity").alias("entities"))
+
+
+@query("s16_shards_round_trip", "SELECT CAST((row_number() OVER (ORDER BY page_id) - 1) % 10 AS INTEGER) AS shard, page_id, md5(html) AS html_md5 FROM pages")
+def s16_shards_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = sources.scratch_dir(spark)
+    sources.write_shards(sources.shard(pages(spark, d), 10, "page_id"), path)
+    return sources.concat_shards(spark, path, 10).select("shard", "page_id", F.md5("html").alias("html_md5"))
+
+
+#: A pattern, as a stream of one file takes it.
+PAGE_SCHEMA = "page_id long, url string, html string"
+
+
+@query("st1_stream_datasource", f"SELECT page_id, {DATASOURCE} AS value FROM pages WHERE url IS NOT NULL")
+def st1_stream_datasource(spark: SparkSession, d: str) -> DataFrame:
+    stream = streaming.stream_columnar(spark, f"{d}/pages.parque[t]", PAGE_SCHEMA)
+    out = exploded(taggers.tag_datasource(taggers.tag_url(stream)), "page_id", "metadata_generation_datasource").select("page_id", "value")
+    path = sources.scratch_dir(spark)
+    streaming.publish(out, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("page_id long, value string").parquet(f"{path}/out")
+
+
+@query("st4_stream_counts", f"SELECT 'url' AS key, count(*) AS n FROM pages WHERE length(url) > 0 UNION ALL SELECT 'generation_datasource', count(*) FROM pages WHERE url IS NOT NULL")
+def st4_stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    stream = streaming.stream_columnar(spark, f"{d}/pages.parque[t]", PAGE_SCHEMA)
+    counts = sampling.column_counts(taggers.tag_datasource(taggers.tag_url(stream)))
+    path = sources.scratch_dir(spark)
+    streaming.publish_counts(counts, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return a1_hosts(spark, d)
 

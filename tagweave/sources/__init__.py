@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,3 +158,12 @@ def write_schema(df: DataFrame, path: str) -> None:
     """The schema's JSON form, a single line of text, in a directory beside the data."""
     text = json.dumps(json.loads(df.schema.json()), sort_keys=True)
     df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share (spark.checkpoint.dir); a local one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tagweave-scratch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tagweave/{uuid.uuid4().hex}"
