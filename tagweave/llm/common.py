@@ -33,6 +33,21 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+#: What operators keep in a Python worker from task to task, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    return CACHES.setdefault(name, {})
+
+
+def only(name: str) -> None:
+    """Empty all other operators' caches: a worker that goes on to another stage doesn't keep the last one's."""
+    for other, cache in CACHES.items():
+        if other != name:
+            cache.clear()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable on the executors, once a session."""
     if spark.conf.get(_SHIPPED, "") != spark.sparkContext.applicationId:

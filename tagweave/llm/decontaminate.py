@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, ship, words, written
+from tagweave.llm.common import documents, only, ship, words, worker_cache, written
 
 WINDOW = 10
 BLOCK_WORDS = 4_000_000
@@ -157,7 +157,7 @@ def _batch(out: list[tuple], row: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+_BUILT: dict[str, ahocorasick.Automaton] = worker_cache("decontaminate")
 
 
 def _scanner(spark: SparkSession, items: list[tuple[str, str | None]], window: int):
@@ -165,6 +165,7 @@ def _scanner(spark: SparkSession, items: list[tuple[str, str | None]], window: i
     sent = spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = automaton(sent.value, window)
@@ -197,6 +198,7 @@ def _cleaner(spark: SparkSession, items: list[tuple[str, str | None]], window: i
     sent = spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = automaton(sent.value, window)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import pieces, ship
+from tagweave.llm.common import only, pieces, ship, worker_cache
 from tagweave.llm.tokens import Encoder, lone_spaces, public_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -170,7 +170,7 @@ class SegmentTree:
             up = np.unique(up // 2)
 
 
-_HELD: dict[str, Counter] = {}
+_HELD: dict[str, Counter] = worker_cache("edit_counts")
 
 SCHEMA = (
     "doc_id long, n_edits long, n_tokens long, n_tokens_edited long, n_pretokens long, n_pretokens_edited long, "
@@ -180,6 +180,7 @@ SCHEMA = (
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("edit_counts")
         if path not in _HELD:
             _HELD[path] = Counter(path)
         counter = _HELD[path]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, pieces, ship, utf8, written
+from tagweave.llm.common import documents, only, pieces, ship, utf8, worker_cache, written
 
 STATES = 8
 OWN = 1 << 14
@@ -91,7 +91,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([cls, batch.column("train")], ["cls", "train"])
 
 
-_ARRAYS: dict[str, tuple] = {}
+_ARRAYS: dict[str, tuple] = worker_cache("hmm")
 
 ROWS = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, "
@@ -104,6 +104,7 @@ def _sequences(sent):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("hmm")
         if key not in _ARRAYS:
             _ARRAYS.clear()
             _ARRAYS[key] = (sent.value, *sent.value.arrays())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import WORD_BYTES, array_of, documents, ship, smallest_reachable, utf8, whole_groups, written
+from tagweave.llm.common import WORD_BYTES, array_of, documents, only, ship, smallest_reachable, utf8, whole_groups, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -108,6 +108,7 @@ def digest(tokens: np.ndarray) -> bytes:
 
 def _describe(runs: int, similarity: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard_join")
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             none = np.empty(0, np.int64)
@@ -206,6 +207,7 @@ _LEAST = 0.5
 
 def _load(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard_join")
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             same = [digest(s) == c for s, c in zip(sets, batch.column("c").to_pylist(), strict=True)]
@@ -253,6 +255,7 @@ def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard_join")
         for table, bounds in whole_groups(batches, "g"):
             b, k, copies = (array_of(table, c).to_numpy() for c in ("b", "k", "copies"))
             side, alone = array_of(table, "side").to_numpy(), array_of(table, "alone").to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import fresh, ship, utf8, written
+from tagweave.llm.common import fresh, only, ship, utf8, written
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 17
@@ -118,6 +118,7 @@ def _keys(text: str | None, min_chars: int) -> list[bytes]:
 
 def _emit(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("line_dedup")
         for batch in batches:
             ids, digests = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -148,6 +149,7 @@ def _probe(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 def _finish(at_id: int, at_text: int, min_chars: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("line_dedup")
         index = pickle.loads(hot.value)
         for batch in batches:
             n_lines, n_dropped, texts = [], [], []

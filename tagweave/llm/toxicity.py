@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, ship, words
+from tagweave.llm.common import documents, only, ship, words, worker_cache
 
 MAX_DOCS = 4000
 SHORTEST, LONGEST = 3, 8
@@ -35,7 +35,8 @@ TOXIC_FRAGMENTS, ORDINARY_FRAGMENTS = 200, 800
 RATIO = 6.0
 LEVEL = 12
 DISTANCES = (4, 6, 8, 10, 12, 14, 16, 18)
-KEEP = 1_000_000
+#: Windows whose distance a Python worker keeps.
+KEEP = 300_000
 
 
 def chain(word: bytes) -> bytes:
@@ -112,10 +113,11 @@ def _fragment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(cols, ["fragment", "toxic", "ordinary"])
 
 
-_SCORERS: dict[Model, Scorer] = {}
+_SCORERS: dict[Model, Scorer] = worker_cache("toxicity")
 
 
 def scorer(model: Model) -> Scorer:
+    only("toxicity")
     if model not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[model] = Scorer(model)
