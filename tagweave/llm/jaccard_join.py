@@ -218,24 +218,41 @@ def _load(n: int):
     return run
 
 
+#: Tokens of so many sets are counted by a matrix product, others pair by pair.
+DENSE = 48
+
+
 def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """m x m: numbers of tokens that sets share, by blocks of a 0/1 matrix of sets and tokens."""
+    """m x m: numbers of tokens that sets share."""
     m = len(sets)
     flat = np.concatenate(sets)
     _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
-    rank = np.cumsum(times > 1) - 1
-    some = times[at] > 1
-    row, col = row[some], rank[at[some]]
     out = np.zeros((m, m), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = max(256, (1 << 23) // m)
-    for base in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        lo, hi = np.searchsorted(col, [base, base + width])
-        x = np.zeros((m, width), np.float32)
-        x[row[lo:hi], col[lo:hi] - base] = 1
-        out += x @ x.T
+    often = times[at] >= DENSE
+    if often.any():
+        rank = np.cumsum(times >= DENSE) - 1
+        r, c = row[often], rank[at[often]]
+        order = np.argsort(c, kind="stable")
+        r, c = r[order], c[order]
+        columns = int(c[-1]) + 1
+        width = min(columns, max(256, (1 << 23) // m))
+        for base in range(0, columns, width):
+            lo, hi = np.searchsorted(c, [base, base + width])
+            x = np.zeros((m, min(width, columns - base)), np.float32)
+            x[r[lo:hi], c[lo:hi] - base] = 1
+            out += x @ x.T
+    some = (times[at] > 1) & ~often
+    if some.any():
+        order = np.lexsort((row[some], at[some]))
+        r, c = row[some][order], at[some][order]
+        for apart in range(1, int(times[c].max())):
+            same = np.flatnonzero(c[apart:] == c[:-apart])
+            if not len(same):
+                break
+            i, j = r[same], r[same + apart]
+            np.add.at(out.ravel(), i * m + j, np.float32(1))
+            np.add.at(out.ravel(), j * m + i, np.float32(1))
     return out
 
 
@@ -267,11 +284,15 @@ def _verify(similarity: float):
                 members = lo + np.unique(k[lo:hi], return_index=True)[1]  # repeated rows load a set twice
                 if len(members) < 2:
                     continue
+                owned = _owned(int(b[lo]), [values[offs[i] : offs[i + 1]] for i in members.tolist()], side[members], alone[members])
+                mine = np.flatnonzero(owned.any(0) | owned.any(1))
+                if not len(mine):
+                    continue
+                members, owned = members[mine], owned[np.ix_(mine, mine)]
                 sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in members]
                 size = np.array([len(s) for s in sets], float)
                 both = shared_tokens(sets)
-                hit = both >= similarity * (size[:, None] + size - both) - 1e-6
-                hit &= _owned(int(b[lo]), [values[offs[i] : offs[i + 1]] for i in members.tolist()], side[members], alone[members])
+                hit = owned & (both >= similarity * (size[:, None] + size - both) - 1e-6)
                 i, j = np.nonzero(hit)
                 if not len(i):
                     continue
