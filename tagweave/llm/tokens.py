@@ -27,7 +27,7 @@ def public_path(name: str) -> str:
 
 
 #: Chunks that a Python worker keeps.
-KEEP = 800_000
+KEEP = 300_000
 
 
 _SPACES = [" " + c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
