@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import documents, pieces, ship, written
-from tagweave.llm.tokens import encoder, public_path
+from tagweave.llm.tokens import KEEP, encoder, public_path
 
 LENGTH = 2048
 END_ID = 1
@@ -49,11 +49,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _cut(path: str, length: int, end_id: int, with_ids: bool):
+def _cut(path: str, length: int, end_id: int, with_ids: bool, keep: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, keep)
         for batch in batches:
             for part in pieces(batch, "text"):
                 out: list[tuple] = []
@@ -101,18 +101,19 @@ def pack(
     group_pieces: int = GROUP_PIECES,
     seed: int = 0,
     with_ids: bool = False,
+    keep: int = KEEP,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset.
 
     Every row of docs is a document of its own, also one whose doc_id is null or occurs again; null and
     empty texts are the end id alone. Pieces of a sequence follow each other without gaps; sequences
     are meant to be padded to `length`. Ties in length go by the order of the pieces. Only doc_id and
-    text are read. Groups are drawn by hash of the piece's number, so equal rows scatter.
+    text are read. A worker keeps at most `keep` encoded chunks. Groups are drawn by hash of the piece's number, so equal rows scatter.
     """
     ship(docs.sparkSession)
     path = tokenizer or public_path(TOKENIZER)
     schema = PIECE + (", ids array<int>" if with_ids else "")
-    cut = documents(docs).mapInArrow(_cut(path, length, end_id, with_ids), schema)
+    cut = documents(docs).mapInArrow(_cut(path, length, end_id, with_ids, keep), schema)
     cut = written(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
     dealt = cut.withColumn("in_group", F.pmod(F.xxhash64("piece", F.lit(seed)), F.lit(groups)))

@@ -27,7 +27,7 @@ def public_path(name: str) -> str:
 
 
 #: Chunks that a Python worker keeps.
-KEEP = 300_000
+KEEP = 1_200_000
 
 
 _SPACES = [" " + c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
@@ -112,9 +112,10 @@ class Encoder:
 _HELD: dict[str, Encoder] = worker_cache("tokens")
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP) -> Encoder:
     """The worker's encoder for a tokenizer file; it outlives a task."""
     only("tokens")
     if path not in _HELD:
-        _HELD[path] = Encoder(path)
+        _HELD[path] = Encoder(path, keep)
+    _HELD[path].keep = keep
     return _HELD[path]
