@@ -3,9 +3,11 @@
 Every document is the set of its runs of five words. Documents with equal sets form a class and are
 joined once. Each of several runs chooses for a set the tokens whose hash is below 1/(similarity x size),
 one or so a set; classes that chose the same token share a bucket. A bucket of more than `brute` classes
-is split again on further sampled tokens (the set's smallest under other hashes), level by level; buckets
-whose classes are too alike to split, and what is still large after the last level, are compared in blocks. Runs repeat until a pair at the threshold is in
-one bucket at least with the target recall.
+is split again on further sampled tokens (the set's smallest under hashes of its own run and level), level
+by level; buckets whose classes are too alike to split, and what is still large after the last level, are
+compared in blocks. Runs share no hash, so a pair that one of them parts meets in others with the chance
+that it had in the first; they repeat until a pair at the threshold is in one bucket at least with the
+target recall, whatever the sizes of its buckets.
 
 In a bucket, sketches tell which classes can be similar, and sets are sent only for these; then all pairs
 of the bucket are compared exactly by their shared tokens. A pair in several buckets is counted in the
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,10 @@ BRUTE = 2048
 LEVELS = 4
 SKETCH = 64
 SPLITS = 3
+#: Chance that sketches drop a pair at the threshold, at most.
+DROPPED = 1e-9
+#: A bucket's name ends in its run, in so many bits.
+RUN_BITS = 12
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -40,8 +47,6 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
 _POSITION = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
-_MUL = (_RNG.integers(1, 2**32, 128, dtype=np.uint64) | _U(1)).astype(np.uint32)
-_ADD = _RNG.integers(1, 2**32, 128, dtype=np.uint64).astype(np.uint32)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -78,27 +83,63 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    """A pair at the threshold shares 2s/(1+s) of its tokens, of which a run chooses 1/s on average."""
-    miss = math.exp(-min(1.0, 2 / (1 + similarity)))
+@cache
+def _hashes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of n hash functions on 32 bits; the first ones are the same for every n."""
+    x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _U(0xD1B54A32D192ED03) + _U(seed))
+    return (x[::2] | _U(1)).astype(np.uint32)[:, None], x[1::2].astype(np.uint32)[:, None]
+
+
+def _hashed(low: np.ndarray, n: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first function, functions x tokens) for all n functions, in blocks of bounded size."""
+    mul, add = _hashes(n, seed)
+    step = max(1, (1 << 18) // len(low))
+    for i in range(0, n, step):
+        yield i, low[None, :] * mul[i : i + step] + add[i : i + step]
+
+
+def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
+    """Of a pair at the threshold a run chooses a shared token but for a chance of 1/e; all levels but the last may split.
+
+    Every run and level has hashes of its own, so the chances multiply.
+    """
     split = 1 - (1 - similarity) ** SPLITS
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - miss) * split**LEVELS))
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-1)) * split ** (levels - 1)))
+    if runs > 1 << RUN_BITS:
+        raise ValueError(f"recall {recall} at similarity {similarity} takes {runs} runs")
+    return runs
 
 
-def paths(tokens: np.ndarray, runs: int, similarity: float) -> np.ndarray:
-    """Names of the tokens that each run chooses for a set."""
-    low = tokens.astype(np.uint32)
-    h = low[None, :] * _MUL[SKETCH : SKETCH + runs, None] + _ADD[SKETCH : SKETCH + runs, None]
-    bound = min(2**32 - 1, int(2**32 / (similarity * len(tokens))))
-    run, at = np.nonzero(h <= np.uint32(bound))
-    return mix(tokens[at] + run.astype(np.uint64) * _U(0xD1B54A32D192ED03)).astype(np.int64)
+def least_equal(similarity: float) -> int:
+    """The most sketch values to ask for, where a pair at the threshold has fewer with a chance of DROPPED at most."""
+    below = 0.0
+    for t in range(SKETCH):
+        below += math.comb(SKETCH, t) * similarity**t * (1 - similarity) ** (SKETCH - t)
+        if below > DROPPED:
+            return t
+    return SKETCH
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Low halves of the smallest hashes under each of SKETCH functions."""
+def coordinates(runs: int, levels: int = LEVELS) -> int:
+    """Sketch values that a set needs: SPLITS for each run and level that splits, of which the first SKETCH are compared."""
+    return max(SKETCH, runs * (levels - 1) * SPLITS)
+
+
+def paths(tokens: np.ndarray, runs: int, similarity: float) -> np.ndarray:
+    """Names of the tokens that each run chooses for a set; the last RUN_BITS of a name are its run."""
+    bound = np.uint32(min(2**32 - 1, int(2**32 / (similarity * len(tokens)))))
+    out = []
+    for first, h in _hashed(tokens.astype(np.uint32), runs, 1):
+        run, at = np.nonzero(h <= bound)
+        run = (run + first).astype(np.uint64)
+        out.append((mix(tokens[at] + run * _U(0xD1B54A32D192ED03)) << _U(RUN_BITS)) | run)
+    return np.concatenate(out).astype(np.int64)
+
+
+def sketch(tokens: np.ndarray, n: int = SKETCH) -> bytes:
+    """Low halves of the smallest hashes under each of n functions."""
     low = (tokens >> _U(32)).astype(np.uint32)
-    h = low[None, :] * _MUL[:SKETCH, None] + _ADD[:SKETCH, None]
-    least = h.min(1).astype(np.uint64)
+    least = np.concatenate([h.min(1) for _, h in _hashed(low, n, 2)]).astype(np.uint64)
     return mix(least).astype("<u2").tobytes()
 
 
@@ -106,7 +147,7 @@ def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _describe(runs: int, similarity: float, n: int):
+def _describe(runs: int, similarity: float, n: int, values: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard_join")
         for batch in batches:
@@ -117,7 +158,7 @@ def _describe(runs: int, similarity: float, n: int):
                     batch.column("doc_id"),
                     pa.array([digest(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
+                    pa.array([sketch(s, values) if len(s) else b"" for s in sets], pa.binary()),
                     pa.array([paths(s, runs, similarity) if len(s) else none for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "c", "n", "sketch", "paths"],
@@ -159,16 +200,18 @@ def _owned(b: int, lists: list[np.ndarray], sides: np.ndarray, alone: np.ndarray
     return ok
 
 
-def _near(sketches: np.ndarray, least: float) -> np.ndarray:
+def _near(sketches: np.ndarray, least: int) -> np.ndarray:
     m = len(sketches)
     out = np.zeros((m, m), bool)
     step = max(1, (1 << 22) // (m * SKETCH))
     for i in range(0, m, step):
-        out[i : i + step] = (sketches[i : i + step, None, :] == sketches[None, :, :]).sum(2) >= least * SKETCH
+        out[i : i + step] = (sketches[i : i + step, None, :] == sketches[None, :, :]).sum(2) >= least
     return out
 
 
 def _candidates(similarity: float):
+    least = least_equal(similarity)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, "g"):
             b = array_of(table, "b").to_numpy()
@@ -185,11 +228,11 @@ def _candidates(similarity: float):
                     continue
                 if hi - lo == 2:
                     i, j = lo, lo + 1
-                    if min(n[i], n[j]) < similarity * max(n[i], n[j]) or (raw[i] == raw[j]).sum() < _LEAST * SKETCH:
+                    if min(n[i], n[j]) < similarity * max(n[i], n[j]) or (raw[i] == raw[j]).sum() < least:
                         continue
                 size = n[lo:hi].astype(float)
                 ok = np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size)
-                ok &= _near(raw[lo:hi], _LEAST)
+                ok &= _near(raw[lo:hi], least)
                 if not np.triu(ok, 1).any():
                     continue
                 ok &= _owned(int(b[lo]), [values[offs[i] : offs[i + 1]] for i in range(lo, hi)], side[lo:hi], alone[lo:hi])
@@ -201,10 +244,6 @@ def _candidates(similarity: float):
     return run
 
 
-#: Least share of equal sketch values that a pair at similarity 0.8 shows but for one time in a thousand million.
-_LEAST = 0.5
-
-
 def _load(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard_join")
@@ -323,14 +362,17 @@ def _buckets(classes: DataFrame, brute: int, levels: int) -> DataFrame:
         done = ready.select("b", "k", "m") if done is None else done.union(ready.select("b", "k", "m"))
         if final or counts.where(F.col("m") > brute).isEmpty():
             break
-        first = level * SPLITS
-        part = [F.substring("sketch", 2 * (first + i) + 1, 2) for i in range(SPLITS)]
+        # every run splits by sketch values of its own, so that no two runs part a pair by the same ones
+        run = F.col("b").bitwiseAND(F.lit((1 << RUN_BITS) - 1))
+        first = (run * (levels - 1) + level) * SPLITS
+        part = [F.substring("sketch", ((first + i) * 2 + 1).cast("int"), F.lit(2)) for i in range(SPLITS)]
         large = written(live.where(F.col("m") > brute).join(classes.select("k", "sketch"), "k"), f"large{level}")
         # where half of a bucket would stay together its classes are similar, and splitting it is of no use
         share = large.groupBy("b", "m", part[0]).agg(F.count("*").alias("c")).groupBy("b", "m").agg(F.max("c").alias("c"))
         dense = written(share.where("2 * c >= m").select("b"), f"dense{level}")
         done = done.union(large.join(dense, "b").select("b", "k", "m"))
-        children = F.array(*(F.xxhash64("b", F.lit(first + i), p) for i, p in enumerate(part)))
+        names = (F.xxhash64("b", F.lit(level * SPLITS + i), p) for i, p in enumerate(part))
+        children = F.array(*(F.shiftleft(name, RUN_BITS).bitwiseOR(run) for name in names))
         rows = large.join(dense, "b", "left_anti").select("k", F.explode(children).alias("b"))
     return done
 
@@ -339,8 +381,8 @@ def link_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     """(sets, classes, totals, components): documents with their class digest, the classes, their links, their components."""
     spark = ship(docs.sparkSession)
     src = documents(docs).where("doc_id is not null")
-    runs = min(60, runs_for(recall, similarity))
-    sets = src.mapInArrow(_describe(runs, similarity, n), "doc_id long, c binary, n int, sketch binary, paths array<long>")
+    runs = runs_for(recall, similarity, levels)
+    sets = src.mapInArrow(_describe(runs, similarity, n, coordinates(runs, levels)), "doc_id long, c binary, n int, sketch binary, paths array<long>")
     sets = written(sets, "sets")
     classes = sets.where("n > 0").groupBy("c").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
@@ -348,7 +390,7 @@ def link_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
     buckets = written(_buckets(classes, brute, levels), "buckets")
     lists = buckets.groupBy("k").agg(F.sort_array(F.collect_set("b")).alias("bs"))
-    lists = written(classes.select("k", "n", "sketch").join(lists, "k"), "lists")
+    lists = written(classes.select("k", "n", F.substring("sketch", 1, 2 * SKETCH).alias("sketch")).join(lists, "k"), "lists")
     full = buckets.dropDuplicates(["b", "k"]).join(lists, "k")
     grouped = _chunked(full, brute).repartition("g").sortWithinPartitions("g", "k")
     grouped = grouped.select("g", "b", "k", "n", "sketch", "bs", "side", "alone")

@@ -203,6 +203,31 @@ def test_jaccard_join(spark, odd, none, kw):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_jaccard_join_of_frequent_passages(spark):
+    """Pairs at 0.82 all of whose shared shingles are in 200 classes: a run that parts one must not do so in all runs."""
+    rng = np.random.default_rng(3)
+    pool = [" ".join(f"p{p}w{i}" for i in range(48)) for p in range(75)]
+    rows, fresh = [], 0
+    for _ in range(100):
+        chosen = rng.choice(75, 25, replace=False)
+        for _ in range(6):
+            text = pool[chosen[0]]
+            for p in chosen[1:]:
+                text += f" x{fresh} {pool[p]}"
+                fresh += 1
+            rows.append((len(rows), text))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), brute=16).collect()
+    assert Counter(r.n_links for r in got) == {5: 600}
+    assert all(r.class_id == r.doc_id // 6 * 6 for r in got)
+
+
+def test_jaccard_join_sketch_loss():
+    for similarity in (0.5, 0.8, 0.95):
+        least = jaccard_join.least_equal(similarity)
+        p = [math.comb(64, k) * similarity**k * (1 - similarity) ** (64 - k) for k in range(64)]
+        assert sum(p[:least]) <= jaccard_join.DROPPED < sum(p[: least + 1])
+
+
 def repeats_plain(rows, length):
     at = defaultdict(int)
     data = [(doc, (text or "").encode()) for doc, text in rows]
