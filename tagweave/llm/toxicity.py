@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-A window is a word written as the chain of its beginnings (\\x01a\\x01an\\x01ant...), so that a word that
-starts like known words compresses to few bytes. One zstandard dictionary is trained on toxic and one on
-ordinary text: a dictionary holds the chains of the fragments (beginnings of words) that set its class
-apart by document frequency, the strongest last, where matches are cheapest. A window's distance is its
-compressed length with the ordinary dictionary less that with the toxic one. A document's features are
-the numbers of distinct windows at or over each of several distances; their thresholds are calibrated by
-a logistic regression on documents that the dictionaries have not seen.
+Windows slide over the whole of each word: one begins at every character that SHORTEST bytes or more
+follow, and at the first, and holds LONGEST bytes, so that a term is met wherever it stands in a long word
+or in a run of a script without spaces. A window is written as the chain of its beginnings
+(\\x01a\\x01an\\x01ant...), so that one that starts like known fragments compresses to few bytes. One
+zstandard dictionary is trained on toxic and one on ordinary text: a dictionary holds the chains of the
+fragments (beginnings of windows) that set its class apart by document frequency, the strongest last, where
+matches are cheapest. A window's distance is its compressed length with the ordinary dictionary less that
+with the toxic one. A document's features are the numbers of windows of its distinct words at or over each
+of several distances, once for the words' first windows and once for all; their thresholds are calibrated
+by a logistic regression on documents that the dictionaries have not seen.
 
 Learning uses a bounded sample: `max_docs` labelled rows of each class (drawn by hash of the doc_id).
-Scoring covers every word of every document.
+Scoring covers every byte of every word of every document.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, only, ship, words, worker_cache
+from tagweave.llm.common import documents, only, pieces, ship, words, worker_cache
 
 MAX_DOCS = 4000
 SHORTEST, LONGEST = 3, 8
@@ -35,8 +38,9 @@ TOXIC_FRAGMENTS, ORDINARY_FRAGMENTS = 200, 800
 RATIO = 6.0
 LEVEL = 12
 DISTANCES = (4, 6, 8, 10, 12, 14, 16, 18)
-#: Windows whose distance a Python worker keeps.
+#: Windows, and words of up to KEPT_WORD bytes, whose distances a Python worker keeps.
 KEEP = 300_000
+KEPT_WORD = 24
 
 
 def chain(word: bytes) -> bytes:
@@ -44,8 +48,15 @@ def chain(word: bytes) -> bytes:
     return b"".join(b"\x01" + word[:k] for k in range(1, end + 1)) + (b"\x02" if len(word) <= LONGEST else b"")
 
 
+def windows(word: bytes) -> list[bytes]:
+    """LONGEST + 1 bytes from each character on, each window once; the last byte only tells that the word goes on."""
+    starts = (i for i in range(1, len(word) - SHORTEST + 1) if word[i] & 0xC0 != 0x80)
+    return list(dict.fromkeys([word[: LONGEST + 1], *(word[i : i + LONGEST + 1] for i in starts)]))
+
+
 def fragments(text: str | None) -> set[bytes]:
-    return {w[:k] for w in set(words(text)) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    found = set().union(*map(windows, set(words(text))))
+    return {w[:k] for w in found for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
 @dataclass(frozen=True)
@@ -71,22 +82,43 @@ class Scorer:
         self.model = model
         self.toxic, self.ordinary = model.compressors()
         self.known: dict[bytes, int] = {}
+        self.whole: dict[bytes, bytes] = {}
 
-    def distance(self, word: bytes) -> int:
-        c = chain(word)
+    def distance(self, window: bytes) -> int:
+        c = chain(window)
         return len(self.ordinary.compress(c)) - len(self.toxic.compress(c))
 
+    def distances(self, word: bytes) -> bytes:
+        """One signed byte for each of the word's windows, in their order."""
+        known, out = self.known, []
+        for w in windows(word):
+            d = known.get(w)
+            if d is None:
+                if len(known) >= KEEP:
+                    known.clear()
+                d = known[w] = self.distance(w)
+            out.append(d)
+        return np.array(out, np.int8).tobytes()
+
     def features(self, text: str | None) -> np.ndarray:
         found = set(words(text))
-        known = self.known
-        if len(known) > KEEP:
-            known.clear()
+        whole = self.whole
+        if len(whole) > KEEP:
+            whole.clear()
+        parts = []
         for w in found:
-            if w[: LONGEST + 1] not in known:
-                known[w[: LONGEST + 1]] = self.distance(w)
-        d = np.fromiter((known[w[: LONGEST + 1]] for w in found), np.int64, len(found))
-        counts = [math.log1p(int((d >= t).sum())) for t in DISTANCES]
-        return np.array([*counts, max(0, int(d.max(initial=0))) / 10, math.log1p(len(found))])
+            part = whole.get(w)
+            if part is None:
+                part = self.distances(w)
+                if len(w) <= KEPT_WORD:
+                    whole[w] = part
+            parts.append(part)
+        both = []
+        for held in (bytes(p[0] for p in parts), b"".join(parts)):
+            d = np.frombuffer(held, np.int8)
+            both += [math.log1p(int((d >= t).sum())) for t in DISTANCES]
+            both += [max(0, int(d.max(initial=0))) / 10, math.log1p(len(d))]
+        return np.array(both)
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights)) + self.model.bias
@@ -104,7 +136,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole, "text")):
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic].update(fragments(text))
@@ -184,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: in
     ordinary = b"".join(chain(bytes(r["fragment"])) for r in reversed(usual.collect()))
     model = Model(toxic, ordinary)
     seen = rows.where("not fit").select("text", "toxic").mapInArrow(_features(model), "toxic int, features array<double>").collect()
-    x = np.array([r["features"] for r in seen], float).reshape(len(seen), len(DISTANCES) + 2)
+    x = np.array([r["features"] for r in seen], float).reshape(len(seen), 2 * (len(DISTANCES) + 2))
     weights, bias = fit_logistic(x, np.array([r["toxic"] for r in seen], float))
     for df in (rows, counts):
         df.unpersist()

@@ -351,6 +351,21 @@ def test_toxicity_held_out(spark):
     assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.85 and c.get((0, 1), 0) / (c[0, 0] + c.get((0, 1), 0)) < 0.02
 
 
+def test_toxicity_reads_whole_words():
+    """A term late in an unspaced run, or inside a longer token, changes the score as it does alone."""
+    term, plain_, run = "悪口雑言", "穏便平和", "".join(chr(0x4E00 + 7 * i % 2000) for i in range(300))
+    toxic = [term, "vilest"]
+    usual = [plain_, "gentle"]
+    one = [b"".join(toxicity.chain(f) for w in ws for f in sorted(toxicity.fragments(w), key=len)) for ws in (toxic, usual)]
+    scorer = toxicity.Scorer(toxicity.Model(*one))
+    high = len(toxicity.DISTANCES) + 2 + toxicity.DISTANCES.index(8)
+    for bad, good in ((run + "。" + term, run + "。" + plain_), ("x" * 30 + "vilest" + "y" * 30, "x" * 30 + "gentle" + "y" * 30)):
+        assert scorer.features(bad)[high] > 0 and scorer.features(good)[high] == 0
+    for word in ("wordwordword", "日本語の文章です", "ab", "a"):
+        b = word.encode()
+        assert set(b) == {c for w in toxicity.windows(b) for c in w[: toxicity.LONGEST]}
+
+
 def test_sql(spark):
     import compare
     from tagweave.llm import queries
