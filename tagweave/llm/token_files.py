@@ -3,7 +3,7 @@
 Files hold documents in ascending doc_id order, a row each: doc_id, n_tokens, the file's number, the
 place of the first id in the file, and the ids as a list column. Ids are dictionary-encoded (their
 vocabulary is small and fixed); the other columns, which mostly rise, are delta-encoded. Row groups and
-pages are small and pages carry an index, so a reader of a few documents, or of metadata only, skips
+pages are small and pages carry an index, so a reader of a few documents, or of tags only, skips
 the rest.
 """
 
