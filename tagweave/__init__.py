@@ -1 +1 @@
-"""tagweave: metadata annotation and training-row preparation for web-text corpora on Spark."""
+"""tagweave: tags annotation and training-row preparation for web-text corpora on Spark."""

@@ -1,6 +1,6 @@
 """Masked losses, perplexity and comparisons, over a table of token scores.
 
-scores: (example_id, split, side, pos, loss, attention, metadata), a row a token; loss is that of the
+scores: (example_id, split, side, pos, loss, attention, tags), a row a token; loss is that of the
 token given those before it, so the first token of an example has none to count.
 """
 
@@ -20,20 +20,20 @@ def finite(loss: str = "loss") -> F.Column:
 
 
 def first_region(scores: DataFrame) -> DataFrame:
-    """scores with `first_region`: up to the second token that isn't metadata, from the first."""
-    seen = F.sum(1 - F.col("metadata")).over(Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    """scores with `first_region`: up to the second token that isn't tags, from the first."""
+    seen = F.sum(1 - F.col("tags")).over(Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return scores.withColumn("first_region", seen == 1)
 
 
 def masked_mean_loss(scores: DataFrame, drop_first: bool = True) -> DataFrame:
-    """(split, side, example_id, loss, tokens): mean over attended tokens that aren't metadata.
+    """(split, side, example_id, loss, tokens): mean over attended tokens that aren't tags.
 
-    drop_first leaves out the first such token and the metadata up to the next (evaluation); without it
+    drop_first leaves out the first such token and the tags up to the next (evaluation); without it
     (training) only the first token of the example is out. An example without tokens has a null loss.
     """
     first = F.min("pos").over(Window.partitionBy(*KEYS))
     rows = first_region(scores).withColumn("_first", first)
-    use = (F.col("attention") == 1) & (F.col("metadata") == 0) & (F.col("pos") > F.col("_first"))
+    use = (F.col("attention") == 1) & (F.col("tags") == 0) & (F.col("pos") > F.col("_first"))
     use = use & ~F.col("first_region") if drop_first else use
     total = F.sum(F.when(use, finite()))
     n = F.count_if(use)
@@ -60,7 +60,7 @@ def preference(pairs: DataFrame, correct: str, incorrect: str) -> DataFrame:
     return pairs.agg(won.alias("accuracy"), F.count("*").alias("pairs"))
 
 
-def mask_runs(scores: DataFrame, mask: str = "metadata") -> DataFrame:
+def mask_runs(scores: DataFrame, mask: str = "tags") -> DataFrame:
     """(split, side, example_id, run, mask, first, last, tokens): runs of neighbours with equal mask."""
     w = Window.partitionBy(*KEYS).orderBy("pos")
     new = F.coalesce((F.col(mask) != F.lag(mask).over(w)).cast("int"), F.lit(1))
@@ -78,7 +78,7 @@ def any_nodes(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     some = F.lit(False)
     for c in columns:
         some = some | F.coalesce(F.size(c) > 0, F.lit(False))
-    return df.groupBy(by).agg(F.bool_or(some).alias("has_metadata"), F.count("*").alias("rows"))
+    return df.groupBy(by).agg(F.bool_or(some).alias("has_tags"), F.count("*").alias("rows"))
 
 
 def longest_row(df: DataFrame, ids: str = "input_ids") -> DataFrame:

@@ -1,36 +1,37 @@
-"""Text, element spans and isolated sub-trees from HTML.
-
-Pages are walked in one Arrow-batched pass without a shuffle; rules on finished spans (dropping tags,
-renumbering, keeping attributes) are column expressions on the node array.
+"""Text, element spans and isolated sub-trees from HTML, as a relation of tags.
+
+A page is cut into tokens by a regular expression. A small stack helper writes out the ends that HTML
+implies, so that every start has its end. From there on a page is rows (page, pos, edge, tag, text): one
+for each start and end of an element, with the text that follows it. Depth is a running sum of edges, an
+element's end is the next row of its depth, text lengths are differences of running sums, removal is
+containment in a removed span, and places in the cleaned text are running sums of what is written. All
+windows share the page as key, so there is one exchange; pages with equal markup are worked on once.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tagweave.functions.exprs import col
+from tagweave.schemas import HTML
 
 INF = float("inf")
-FAKE = {"block": "fake_tag_block", "inline": "fake_tag_inline", "basic": "fake_tag_basic"}
 
-#: Elements that begin a line, and elements that are set off by a space.
-BLOCK = frozenset(
+#: Elements that begin and end a line, and elements that are set off by a space.
+BLOCK = (
     "address article aside blockquote body br button canvas caption col colgroup dd div dl dt embed fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li map noscript object ol output p pre progress section table "
-    "tbody textarea tfoot th thead tr ul video fake_tag_block".split()
-)
-SPACED = frozenset(
-    "address cite details datalist iframe img input label legend optgroup q select summary tbody td time fake_tag_inline".split()
-)
+    "tbody textarea tfoot th thead tr ul video"
+).split()
+SPACED = "address cite details datalist iframe img input label legend optgroup q select summary tbody td time".split()
 #: Fixed values of HTML: elements without an end tag, and starts that close an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset(
@@ -44,445 +45,166 @@ CLOSED_BY = {
 }
 STOPS = frozenset("table ul ol dl select body html div".split())
 HEAD_ONLY = frozenset("base link meta title".split())
+RAW = ("script", "style")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A tag, and the lengths of text at which it is dropped."""
+    """An element (any but those of `but`, if tag is None) goes where its text has `least` to `most` characters.
 
-    tag: str
+    bottom_up: the text is measured when what goes inside has gone; else as the page has it.
+    """
+
+    tag: str | None = None
     least: float = 0
     most: float = INF
-    method: str = "top-down"
+    but: tuple[str, ...] = ()
+    bottom_up: bool = False
+
+    def holds(self, tag: Column, n: Column) -> Column:
+        named = tag == self.tag if self.tag is not None else ~tag.isin(list(self.but)) if self.but else F.lit(True)
+        n = n.cast("double")
+        return named & (n >= F.lit(float(self.least))) & (n <= F.lit(float(self.most)))
+
+
+def any_rule(rules: tuple[Rule, ...], tag: Column, n: Column) -> Column:
+    return reduce(lambda a, r: a | r.holds(tag, n), rules, F.lit(False))
 
 
 @dataclass(frozen=True)
 class HtmlPolicy:
-    drop_with_content: tuple[Rule, ...] = ()
-    drop_alone: tuple[Rule, ...] = ()
-    attrs_to_keep: tuple[str, ...] | None = None
-    start_at: str | None = "body"
+    """What extract_html removes, folds and keeps.
+
+    drop: rules for elements that go with their text; unwrap: rules for elements whose node goes but whose
+    text stays; root: the first element of this tag is the page (None: all of it); fold: tags of which an
+    only child of the same tag melts into its parent; newlines: <br> is a line feed; isolate: tags whose
+    markup is returned apart; keep_attrs: attributes that nodes keep (None: all).
+    """
+
+    drop: tuple[Rule, ...] = ()
+    unwrap: tuple[Rule, ...] = ()
+    root: str | None = "body"
     fold: tuple[str, ...] = ()
-    br_to_newline: bool = False
-    alone_most: float = -INF
-    alone_least: float = -INF
-    alone_exceptions: tuple[str, ...] = ()
-    content_most: float = -INF
-    content_least: float = -INF
-    content_exceptions: tuple[str, ...] = ()
+    newlines: bool = False
     isolate: tuple[str, ...] = ()
-
-    def __post_init__(self) -> None:
-        for rule in self.drop_with_content:
-            if rule.method not in ("top-down", "bottom-up"):
-                raise ValueError(f"{rule.tag}: {rule.method!r} is neither 'top-down' nor 'bottom-up'")
+    keep_attrs: tuple[str, ...] | None = None
 
 
 #: What annotation of a corpus uses.
 PRODUCTION = HtmlPolicy(
-    drop_with_content=tuple(Rule(t) for t in "script style header iframe footer form".split())
-    + tuple(Rule(t, most=64) for t in "body div p section table ul ol dl".split()),
+    drop=(*map(Rule, "script style header iframe footer form".split()), *(Rule(t, most=64) for t in "body div p section table ul ol dl".split())),
     fold=("div",),
-    br_to_newline=True,
+    newlines=True,
     isolate=("head", "footer", "title"),
 )
 
-
-@dataclass(eq=False)
-class Element:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    parent: Element | None = None
-    kids: list[Element] = field(default_factory=list)
-    text: str = ""
-    tail: str = ""
-
-    def add(self, tag: str, attrs: dict[str, str]) -> Element:
-        kid = Element(tag, attrs, self)
-        self.kids.append(kid)
-        return kid
-
-    def content(self) -> str:
-        return self.text + "".join(k.content() + k.tail for k in self.kids)
-
-    def all(self) -> Iterator[Element]:
-        yield self
-        for k in self.kids:
-            yield from k.all()
-
-    def outer(self) -> str:
-        """Markup, with empty elements closed in place."""
-        attrs = "".join(f' {a}="{markup.escape(v)}"' for a, v in self.attrs.items())
-        inner = markup.escape(self.text, False) if self.tag not in ("script", "style") else self.text
-        inner += "".join(k.outer() + markup.escape(k.tail, False) for k in self.kids)
-        return f"<{self.tag}{attrs}>{inner}</{self.tag}>" if inner else f"<{self.tag}{attrs}/>"
-
-
-class TreeBuilder(HTMLParser):
-    """Elements of a page: html over head and body, implied ends closed, comments left out."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("html")
-        self.head: Element | None = None
-        self.body: Element | None = None
-        self.at = self.root
-
-    def _in(self, tag: str) -> bool:
-        e: Element | None = self.at
-        while e is not None and e.tag != tag:
-            e = e.parent
-        return e is not None
-
-    def _need_body(self) -> None:
-        if self.body is None:
-            self.body = self.root.add("body", {})
-        if self.at is self.root or self.at is self.head:
-            self.at = self.body
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        named: dict[str, str] = {}
-        for a, v in attrs:
-            if re.fullmatch(r"[\w:.-]+", a):
-                named.setdefault(a, a if v is None else v)
-        if tag == "html":
-            self.root.attrs |= {a: v for a, v in named.items() if a not in self.root.attrs}
-            return
-        if tag == "head":
-            if self.head is None and self.body is None:
-                self.head = self.at = self.root.add("head", named)
-            return
-        if tag == "body":
-            if self.body is None:
-                self.body = self.root.add("body", named)
-            else:
-                self.body.attrs |= {a: v for a, v in named.items() if a not in self.body.attrs}
-            self.at = self.body
-            return
-        if self.body is None and (tag in HEAD_ONLY or (tag in ("script", "style", "noscript") and self.head is not None)):
-            if self.head is None:
-                self.head = self.root.add("head", {})
-            self.at = self.head if self.at is self.root else self.at
-        else:
-            if not (self.head is not None and self._in("head") and self.at is not self.head):
-                self._need_body()
-            self._close_for(tag)
-        kid = self.at.add(tag, named)
-        if tag not in VOID:
-            self.at = kid
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag:
-            self.handle_endtag(tag)
-
-    def _close_for(self, tag: str) -> None:
-        shut = CLOSED_BY.get(tag, set())
-        if tag in CLOSES_P:
-            shut = shut | {"p"}
-        e = self.at
-        while e.parent is not None:
-            if e.tag in shut:
-                self.at = e.parent
-                if tag in CLOSES_P or e.tag not in ("td", "th", "tr"):
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = re.compile(r"[\w:.-]+")
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Name and value of a start tag's attributes; the first of equal names holds, one without value is its own."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw.strip("<>").removesuffix("/"), re.match(r"<[A-Za-z][^\s/>]*", raw).end() - 1):
+        value = m[2]
+        if _NAME.fullmatch(m[1]):
+            found.setdefault(m[1].lower(), m[1] if value is None else markup.unescape(value[1:-1] if value[0] in "\"'" else value))
+    return found
+
+
+def balance(kinds: list[str], tags: list[str], raws: list[str]) -> list[list]:
+    """Rows [edge, tag, text after it, attributes]: html, head and body in place, and an end (edge -1) for each start (1)."""
+    rows: list[list] = [[1, "html", "", {}]]
+    stack, met = ["html"], set()
+
+    def begin(tag: str, attrs: dict[str, str]) -> None:
+        rows.append([1, tag, "", attrs])
+        stack.append(tag)
+        met.add(tag)
+
+    def shrink(depth: int) -> None:
+        while len(stack) > depth:
+            rows.append([-1, stack.pop(), "", {}])
+
+    def into_body(attrs: dict[str, str] | None = None) -> None:
+        if "body" not in met:
+            shrink(1)
+            begin("body", attrs or {})
+
+    def end_before(tag: str) -> None:
+        shut, at = CLOSED_BY.get(tag, set()) | ({"p"} if tag in CLOSES_P else set()), len(stack) - 1
+        while at > 0 and ((here := stack[at]) in shut or here not in STOPS):
+            if here in shut:
+                shrink(at)
+                if tag in CLOSES_P or here not in ("td", "th", "tr"):
                     return
-            elif e.tag in STOPS:
-                return
-            e = e.parent
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("html", "body"):
-            return
-        e: Element | None = self.at
-        while e is not None and e.tag != tag:
-            if e is self.body:
-                return
-            e = e.parent
-        if e is not None and e.parent is not None:
-            self.at = e.parent
-
-    def handle_data(self, data: str) -> None:
-        if self.at is self.root or self.at is self.head:
-            if not data.strip():
-                if self.at is self.head and self.at.kids:
-                    self.at.kids[-1].tail += data
-                return
-            self._need_body()
-            if self.body is not None and not self.body.kids and not self.body.text:
-                self.at = self.body.add("p", {})
-        if self.at.kids:
-            self.at.kids[-1].tail += data
-        else:
-            self.at.text += data
-
-
-def parse(page: str) -> TreeBuilder | None:
-    """None where there is nothing to parse: empty pages, and those that declare an XML encoding."""
-    if not page or not page.strip() or re.match(r"\s*<\?xml[^>]*encoding", page):
-        return None
-    builder = TreeBuilder()
-    builder.feed(page)
-    builder.close()
-    return builder
-
-
-def _squeeze(e: Element, pre: bool = False) -> None:
-    """Runs of white space become one space, but for `pre`."""
-    pre = pre or e.tag in ("pre", "textarea", "script", "style")
-    if not pre:
-        e.text = re.sub(r"[ \t\r\n\f\v]+", " ", e.text)
-    for k in e.kids:
-        _squeeze(k, pre)
-        if not pre:
-            k.tail = re.sub(r"[ \t\r\n\f\v]+", " ", k.tail)
-
-
-def _joined(a: str, b: str) -> str:
-    """a and b with a space between them, unless one has it; never two."""
-    if a.endswith(" ") and b.startswith(" "):
-        return a[:-1] + b
-    return a + b if a.endswith(" ") or b.startswith(" ") else f"{a} {b}"
-
-
-def _remove(e: Element) -> None:
-    """Take e out of the tree; the text after it goes to its neighbour or its parent."""
-    parent = e.parent
-    if parent is None:
-        e.text, e.kids = "", []
-        return
-    at = parent.kids.index(e)
-    if e.tail:
-        if at == 0:
-            parent.text = _joined(parent.text, e.tail) if parent.text else e.tail
-        else:
-            before = parent.kids[at - 1]
-            spaced = before.text.endswith(" "), e.tail.startswith(" ")
-            if not before.tail:
-                before.tail = e.tail
-            elif before.text and spaced == (False, False):
-                before.text = f"{before.text} {e.tail}"
-            elif before.text and spaced == (True, True):
-                before.text = before.text[:-1] + e.tail
-            elif not before.tail.endswith(" ") and not spaced[1]:
-                before.tail = f"{before.tail} {e.tail}"
-            else:
-                before.tail += e.tail
-    del parent.kids[at]
-
-
-class Walker:
-    """Applies a policy to one tree."""
-
-    def __init__(self, policy: HtmlPolicy) -> None:
-        self.policy = policy
-        self.rules = {r.tag: r for r in policy.drop_with_content}
-        self.alone = {r.tag: r for r in policy.drop_alone} | {t: Rule(t) for t in FAKE.values()}
-        self.block = BLOCK
-        if policy.br_to_newline:
-            self.block = BLOCK - {"br"}
-            self.alone["br"] = Rule("br")
-        if policy.start_at is not None and policy.start_at != "html":
-            self.alone["html"] = Rule("html")
-        self.previous: dict[int, str] = {}
-
-    def _fold(self, e: Element) -> None:
-        if len(e.kids) != 1:
-            return
-        kid = e.kids[0]
-        same = e.tag in self.policy.fold and kid.tag == e.tag
-        again = e.tag in FAKE.values() and self.previous.get(id(e)) == kid.tag
-        if not same and not again:
-            return
-        kid.tag = FAKE["block" if e.tag in self.block else "inline" if e.tag in SPACED else "basic"]
-        top = e
-        while top.tag in FAKE.values() and top.parent is not None:
-            top = top.parent
-        for a, v in kid.attrs.items():
-            top.attrs[a] = f"{top.attrs[a]} {v}" if a in top.attrs else v
-        self.previous[id(kid)] = e.tag
-
-    def _drops(self, e: Element, method: str) -> bool:
-        rule, p = self.rules.get(e.tag), self.policy
-        if rule is not None and rule.method != method or rule is None and method == "bottom-up":
-            return False
-        n = len(e.content())
-        if rule is not None and rule.least <= n <= rule.most:
-            return True
-        return method == "top-down" and e.tag not in p.content_exceptions and p.content_least <= n <= p.content_most
-
-    def clean(self, e: Element) -> None:
-        self._fold(e)
-        if self._drops(e, "top-down"):
-            _remove(e)
-            return
-        for k in list(e.kids):
-            self.clean(k)
-        if self._drops(e, "bottom-up"):
-            _remove(e)
-
-    def flatten(self, root: Element) -> tuple[str, list[dict]]:
-        """The text and a node for every element kept, in post-order."""
-        out: list[str] = []
-        state = {"n": 0, "last": ""}
-        counts: dict[int, int] = defaultdict(int)
-        nodes: list[dict] = []
-
-        def put(s: str) -> None:
-            if s:
-                out.append(s)
-                state["n"] += len(s)
-                state["last"] = s[-1]
-
-        def separate(tag: str) -> None:
-            last = state["last"]
-            if not state["n"]:
-                return
-            if tag in self.block:
-                if last == " ":
-                    out.append(out.pop()[:-1] + "\n")
-                    state["last"] = "\n"
-                elif last != "\n":
-                    put("\n")
-            elif tag in SPACED and last not in (" ", "\n"):
-                put(" ")
-
-        def write(text: str, inside: str) -> None:
-            if inside == "pre":
-                put(text)
-                return
-            last, kept = state["last"] if state["n"] else " ", []
-            for c in text.replace(" ", " "):
-                c = " " if c in "\r\n" else c
-                if not last.isspace() or not c.isspace():
-                    kept.append(c)
-                last = c
-            put("".join(kept))
-
-        def number(at: int) -> int:
-            counts[at] += 1
-            return counts[at] - 1
-
-        done: list[tuple] = []
-        stack: list[tuple[Element, bool, int, int]] = [(root, False, 0, 0)]
-        marks: dict[str, int] = {"at": 0}
-        while stack:
-            e, closing, start, first = stack.pop()
-            if not closing:
-                start = marks["at"]
-                first = number(start)
-                if self.policy.br_to_newline and e.tag == "br":
-                    put("\n")
-                separate(e.tag)
-                write(e.text, e.tag)
-                marks["at"] = state["n"]
-                stack.append((e, True, start, first))
-                stack.extend((k, False, 0, 0) for k in reversed(e.kids))
-            else:
-                end = marks["at"]
-                done.append((e, start, first, end, number(end)))
-                separate(e.tag)
-                write(e.tail, e.tag)
-                marks["at"] = state["n"]
-        p = self.policy
-        for e, start, first, end, last in done:
-            n, rule = end - start, self.alone.get(e.tag)
-            if rule is not None and rule.least <= n <= rule.most:
-                continue
-            if e.tag not in p.alone_exceptions and p.alone_least <= n <= p.alone_most:
+            at -= 1
+
+    for kind, tag, raw in zip(kinds, tags, raws, strict=True):
+        if kind == "text":
+            text = markup.unescape(raw)
+            if len(stack) == 1 or stack[-1] == "head":
+                if not text.strip():
+                    if rows[-1][0] < 0:
+                        rows[-1][2] += text
+                    continue
+                into_body()
+                if rows[-1][1] == "body":
+                    begin("p", {})
+            rows[-1][2] += text
+        elif kind == "open":
+            attrs = attributes(raw.split(">", 1)[0] + ">")
+            if tag in ("html", "head", "body"):
+                if tag == "html":
+                    rows[0][3] = attrs | rows[0][3]
+                elif tag == "head" and not met & {"head", "body"}:
+                    begin("head", attrs)
+                elif tag == "body":
+                    into_body(attrs)
                 continue
-            kept = {a: v for a, v in e.attrs.items() if p.attrs_to_keep is None or a in p.attrs_to_keep}
-            nodes.append(
-                {
-                    "char_end_idx": end, "char_start_idx": start, "html_attrs": {"attrs": list(kept), "values": list(kept.values())},
-                    "key": "html", "relative_end_pos": last, "relative_start_pos": first, "type": "local", "value": e.tag,
-                }
-            )
-        by_place: dict[int, list[tuple[int, dict, str]]] = defaultdict(list)
-        for x in nodes:
-            by_place[x["char_start_idx"]].append((x["relative_start_pos"], x, "relative_start_pos"))
-            by_place[x["char_end_idx"]].append((x["relative_end_pos"], x, "relative_end_pos"))
-        for events in by_place.values():
-            for i, (_, x, name) in enumerate(sorted(events, key=lambda t: t[0])):
-                x[name] = i
-        return "".join(out), nodes
-
-
-def clean_page(page: str | None, policy: HtmlPolicy = PRODUCTION) -> tuple[str, list[dict], dict[str, list[str]]]:
-    """(text, nodes, isolated sub-trees); ("", [], {}) for pages that can't be parsed or have no start element."""
-    built = parse(page or "")
-    if built is None:
-        return "", [], {}
-    apart = {t: [e.outer() for e in built.root.all() if e.tag == t] for t in policy.isolate}
-    root = built.root
-    if policy.start_at is not None:
-        found = next((e for e in root.all() if e.tag == policy.start_at), None)
-        if found is None:
-            return "", [], {}
-        if found is not root:
-            root = Element("html", kids=[found])
-            found.parent, found.tail = root, ""
-    _squeeze(root)
-    walker = Walker(policy)
-    walker.clean(root)
-    text, nodes = walker.flatten(root)
-    return text, nodes, apart
-
-
-_NODE = pa.struct(
-    [
-        ("char_end_idx", pa.int64()), ("char_start_idx", pa.int64()),
-        ("html_attrs", pa.struct([("attrs", pa.list_(pa.string())), ("values", pa.list_(pa.string()))])),
-        ("key", pa.string()), ("relative_end_pos", pa.int64()), ("relative_start_pos", pa.int64()),
-        ("type", pa.string()), ("value", pa.string()),
-    ]
-)
-
-
-def _extract(policy: HtmlPolicy, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                rows, errors = [], []
-                for page in part.column(at).to_pylist():
-                    try:
-                        rows.append(clean_page(page, policy))
-                        errors.append("")
-                    except (RecursionError, ValueError) as e:
-                        rows.append(("", [], {}))
-                        errors.append(type(e).__name__)
-                own = [
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.list_(_NODE)),
-                    *(pa.array([r[2].get(t, []) for r in rows], pa.list_(pa.string())) for t in policy.isolate),
-                    pa.array([int(e != "") for e in errors], pa.int64()),
-                    pa.array(errors, pa.string()),
-                ]
-                names = ["text", "metadata_html", *(f"html_{t}" for t in policy.isolate), "HtmlPreprocessor_error", "HtmlPreprocessor_error_comment"]
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], [*part.schema.names, *names])
-
-    return run
-
-
-def extract_html(df: DataFrame, html: str = "html", policy: HtmlPolicy = PRODUCTION) -> DataFrame:
-    """df with text, metadata_html, html_<tag> of each isolated tag, and the error columns; same names are replaced.
-
-    A page that fails gets an empty text, no nodes and the error's name. Null pages are empty.
-    """
-    from tagweave.schemas import HTML
-
-    new = ["text", "metadata_html", *(f"html_{t}" for t in policy.isolate), "HtmlPreprocessor_error", "HtmlPreprocessor_error_comment"]
-    df = df.drop(*(c for c in new if c != html))
-    lists = "".join(f", `html_{t}` array<string>" for t in policy.isolate)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", text string, metadata_html array<{HTML}>{lists}, HtmlPreprocessor_error bigint, HtmlPreprocessor_error_comment string"
-    return df.mapInArrow(_extract(policy, df.columns.index(html)), schema)
+            if "body" not in met and (tag in HEAD_ONLY or (tag in (*RAW, "noscript") and "head" in met)):
+                if "head" not in met:
+                    begin("head", {})
+            elif len(stack) < 3:
+                into_body()
+                end_before(tag)
+            else:
+                end_before(tag)
+            begin(tag, attrs)
+            if tag in RAW and "</" in raw:
+                rows[-1][2] = raw.split(">", 1)[1].rsplit("</", 1)[0]
+            if tag in VOID or tag in RAW or raw.endswith("/>"):
+                shrink(len(stack) - 1)
+        elif kind == "close" and tag not in ("html", "head", "body") and tag in stack:
+            at = len(stack) - 1 - stack[::-1].index(tag)
+            if "body" not in stack[at:]:
+                shrink(at)
+    shrink(0)
+    return rows
+
+
+_ROWS = "array<struct<edge:int,tag:string,text:string,attrs:array<string>,vals:array<string>>>"
+
+
+def _balanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            token = one.column(1).flatten()
+            rows = balance(*(token.field(i).to_pylist() for i in range(3)))
+            edge, tag, text, attrs = zip(*rows, strict=True)
+            cols = [
+                pa.array(edge, pa.int32()), pa.array(tag), pa.array(text),
+                pa.array([list(a) for a in attrs], pa.list_(pa.string())), pa.array([list(a.values()) for a in attrs], pa.list_(pa.string())),
+            ]
+            struct = pa.StructArray.from_arrays(cols, ["edge", "tag", "text", "attrs", "vals"])
+            yield pa.RecordBatch.from_arrays([one.column(0), pa.ListArray.from_arrays([0, len(rows)], struct)], ["page", "rows"])
 
 
 def html_tokens(html: Column | str) -> Column:
     """Markup and text in order: array<struct<kind, tag, raw>>; kind: open, close, comment or text."""
-    pattern = r"(?s)<!--.*?-->|<(?:script|style)\\b[^>]*>.*?</(?:script|style)\\s*>|</?[A-Za-z][^>]*>|[^<]+|<"
-    raw = F.regexp_extract_all(col(html), F.lit(pattern.replace("\\\\", "\\")), F.lit(0))
+    pattern = r"(?s)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|</?[A-Za-z][^>]*>|[^<]+|<"
+    raw = F.regexp_extract_all(col(html), F.lit(pattern), F.lit(0))
 
     def token(x: Column) -> Column:
         kind = (
@@ -493,20 +215,260 @@ def html_tokens(html: Column | str) -> Column:
     return F.transform(raw, token)
 
 
-def drop_tags(nodes: Column | str, rules: tuple[Rule, ...] = (), most: float = -INF, least: float = -INF, exceptions: tuple[str, ...] = ()) -> Column:
-    """Nodes without those whose span is as long as a rule for their tag, or for all tags but exceptions, says."""
+def tag_rows(pages: DataFrame) -> DataFrame:
+    """(page, pos, edge, tag, text, attrs, vals) of pages (page, html): a row for every start and end, in order.
 
-    def goes(x: Column) -> Column:
-        n = (x["char_end_idx"] - x["char_start_idx"]).cast("double")
-        out = F.lit(False)
-        for r in rules:
-            out = out | ((x["value"] == r.tag) & (n >= F.lit(float(r.least))) & (n <= F.lit(float(r.most))))
-        general = (n >= F.lit(float(least))) & (n <= F.lit(float(most)))
-        return out | (general & ~x["value"].isin(list(exceptions)) if exceptions else general)
+    Declarations and bogus end tags are left out; a page that is blank or declares an XML encoding has no rows.
+    """
+    pages = pages.where(r"html rlike '\\S' and not html rlike '(?s)^\\s*<\\?xml[^>]*encoding'")
+    plain = F.regexp_replace(F.regexp_replace("html", r"<[!?](?!--)[^>]*>", ""), r"</(?![A-Za-z])", "")
+    tokens = pages.select("page", html_tokens(plain).alias("tokens")).where("size(tokens) > 0")
+    rows = tokens.mapInArrow(_balanced, f"page binary, rows {_ROWS}")
+    return rows.select("page", F.posexplode("rows").alias("pos", "r")).select("page", "pos", "r.*")
 
-    return F.filter(col(nodes), lambda x: ~goes(x))
 
+_INSIDE_RAW = ["pre", "textarea", *RAW]
 
+
+def page_order(*also: str) -> WindowSpec:
+    return Window.partitionBy("page", *also).orderBy("pos")
+
+
+def so_far(*also: str) -> WindowSpec:
+    return page_order(*also).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before(*also: str) -> WindowSpec:
+    return page_order(*also).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def same_depth() -> WindowSpec:
+    return page_order("depth")
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """rows with depth, and, at starts, `end`: the position of the element's end."""
+    rows = rows.withColumn("depth", F.sum("edge").over(so_far()) + F.when(F.col("edge") < 0, 1).otherwise(0))
+    return rows.withColumn("end", F.when(F.col("edge") > 0, F.lead("pos").over(same_depth())))
+
+
+def within(hit: Column) -> Column:
+    """The last position of the spans met so far that `hit` chooses; a row up to it is inside one, as spans nest."""
+    return F.coalesce(F.max(F.when(hit & (F.col("edge") > 0), F.col("end"))).over(so_far()), F.lit(-1))
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """Runs of white space in `text` become one space, but inside pre, textarea, script and style."""
+    kept = F.col("pos") < within(F.col("tag").isin(_INSIDE_RAW))
+    return rows.withColumn("text", F.when(kept, F.col("text")).otherwise(F.regexp_replace("text", r"[ \t\r\n\f\x0B]+", " ")))
+
+
+def folded(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """rows with `melts`: starts and ends of only children that melt into a parent of the same tag.
+
+    A chain of such elements follows each other in the order of starts, so its number is a running count of
+    the others; the first of the chain takes all attributes, those of one name with a space between.
+    """
+    if not tags:
+        return rows.withColumn("melts", F.lit(False))
+    rows = rows.withColumns(
+        {"_first": (F.lag("edge").over(page_order()) == 1) & (F.lag("tag").over(page_order()) == F.col("tag")) & F.col("tag").isin(list(tags)), "_next": F.lead("edge").over(page_order())}
+    )
+    only = F.col("_first") & (F.lead("_next").over(same_depth()) == -1)
+    rows = rows.withColumn("melts", F.coalesce((F.col("edge") > 0) & only, F.lit(False)))
+    rows = rows.withColumn("melts", F.when(F.col("edge") > 0, F.col("melts")).otherwise(F.lag("melts").over(same_depth())))
+    rows = rows.withColumn("_chain", F.sum(F.when((F.col("edge") > 0) & ~F.col("melts"), 1).otherwise(0)).over(so_far()))
+    starts = Window.partitionBy("page", "_chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = F.when((F.col("edge") > 0) & (F.size("attrs") > 0), F.arrays_zip(F.col("attrs").alias("a"), F.col("vals").alias("v")))
+    rows = rows.withColumn("_pairs", F.when((F.col("edge") > 0) & ~F.col("melts"), F.flatten(F.collect_list(pairs).over(starts))))
+    names = F.array_distinct(F.transform("_pairs", lambda p: p["a"]))
+    merged = F.transform(names, lambda n: F.array_join(F.transform(F.filter("_pairs", lambda p: p["a"] == n), lambda p: p["v"]), " "))
+    return rows.withColumns({"attrs": names, "vals": merged}).drop("_first", "_next", "_chain", "_pairs")
+
+
+def removed(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows without what lies in a removed element; the text after one stays, with `joint` true.
+
+    Rules that measure from the bottom up are met in rounds, elements without undecided ones inside first.
+    """
+    size = F.length("text")
+    first = tuple(r for r in rules if not r.bottom_up)
+    later = tuple(r for r in rules if r.bottom_up)
+    tag = F.when(F.col("melts"), F.lit("")).otherwise(F.col("tag"))
+
+    def summed(df: DataFrame, n: Column) -> DataFrame:
+        """df with _sum, n summed over the rows before; its rise to an element's end is what lies inside."""
+        return df.withColumn("_sum", F.coalesce(F.sum(n).over(before()), F.lit(0)))
+
+    inside = F.lead("_sum").over(same_depth()) - F.col("_sum")
+    rows = summed(rows, size)
+    rows = rows.withColumn("goes", F.coalesce((F.col("edge") > 0) & any_rule(first, tag, inside), F.lit(False)))
+    if later:
+        named = [r.tag for r in later]
+        rows = rows.withColumn("undecided", (F.col("edge") > 0) & ~F.col("goes") & (F.lit(None in named) | tag.isin([t or "" for t in named])))
+        while True:
+            rows = rows.withColumn("_last", within(F.col("goes")))
+            rows = summed(rows, F.when(F.col("pos") < F.col("_last"), 0).otherwise(size)).withColumn("_left", inside)
+            rows = summed(rows, F.col("undecided").cast("int")).withColumn("_now", F.col("undecided") & (inside <= 1))
+            rows = rows.withColumn("goes", F.col("goes") | (F.col("_now") & any_rule(later, tag, F.col("_left"))))
+            rows = settled(rows.withColumn("undecided", F.col("undecided") & ~F.col("_now")).drop("_left", "_now", "_last"))
+            if rows.where("undecided").isEmpty():
+                break
+    rows = rows.withColumn("_last", within(F.col("goes"))).where("pos >= _last")
+    return rows.withColumn("joint", F.col("pos") == F.col("_last")).drop("_last", "_sum", "goes", "undecided")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder, so that rounds don't pile up."""
+    from tagweave.sources import scratch_dir
+
+    path = scratch_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+_WHITE = r"(?U)\s"
+
+
+def placed(rows: DataFrame, newlines: bool) -> DataFrame:
+    """rows with `at`, the length of the text before the row, and `piece`, what the row adds to the text.
+
+    Text without white space at its ends is a core. Whatever lies between two cores (white space, elements)
+    comes to one line feed if there is an edge of a block element, to one space if there is white space or
+    an edge of a spaced element, else to nothing. <br> is a core of its own, and text of pre is kept.
+    """
+    tag, text = F.when(F.col("joint"), F.lit("")).otherwise(F.col("tag")), F.col("text")
+    block = [t for t in BLOCK if not (newlines and t == "br")]
+    verbatim = tag == "pre"
+    plain = F.regexp_replace(F.regexp_replace(text, "[\u00a0\r\n]", " "), r"(?U)(\s)\s+", "$1")
+    core = F.when(verbatim, F.regexp_replace(text, r" \z", "")).otherwise(F.regexp_replace(plain, r"(?U)^\s|\s\z", ""))
+    is_br = (tag == "br") & (F.col("edge") > 0) if newlines else F.lit(False)
+    # text after a removed element is set off from the text before it within the same element
+    rows = rows.withColumn("_part", F.sum(F.when(F.col("joint"), 0).otherwise(1)).over(so_far()))
+    set_off = F.col("joint") & (F.length(text) > 0) & F.coalesce(F.max(F.length(text)).over(before("_part")) > 0, F.lit(False))
+    rows = rows.withColumns(
+        {
+            "_core": F.when(is_br, F.concat(F.lit("\n"), core)).otherwise(core),
+            "_line": tag.isin(block) & ~is_br,
+            "_gap": tag.isin([*block, *SPACED]) | (~verbatim & text.rlike(f"^{_WHITE}")) | set_off,
+            "_trail": F.when(verbatim, text.endswith(" ")).otherwise(text.rlike(rf"{_WHITE}\z")),
+        }
+    )
+    # a core that begins with a line feed of <br> is met after its element's own edge
+    rows = rows.withColumn("_has", F.length("_core") > 0)
+    rows = rows.withColumns(
+        {
+            "_group": F.coalesce(F.sum(F.col("_has").cast("int")).over(before()), F.lit(0)),
+            "_open": F.coalesce(F.last(F.when(F.col("_has"), ~F.col("_core").endswith("\n")), True).over(before()), F.lit(False)),
+            "_tail": F.coalesce(F.last(F.when(F.col("_has"), F.col("_trail")), True).over(before()), F.lit(False)),
+            "_long": F.coalesce(F.sum(F.length("_core")).over(before()), F.lit(0)),
+        }
+    )
+    upto = F.max("_gap").over(so_far("_group"))
+    earlier = F.coalesce(F.max("_gap").over(before("_group")), F.lit(False))
+    rows = rows.withColumns({"_now": F.col("_open") & (F.col("_tail") | upto), "_then": F.col("_open") & (F.col("_tail") | earlier), "_feed": F.max("_line").over(so_far("_group"))})
+    is_last = F.lead("pos").over(page_order()).isNull()
+    rows = rows.withColumn("_filled", F.coalesce(F.sum((F.col("_has") & F.col("_now")).cast("int")).over(before()), F.lit(0)))
+    gap = F.when(F.col("_now"), F.when(F.col("_feed"), "\n").otherwise(" ")).otherwise("")
+    rows = rows.withColumn("at", F.col("_long") + F.col("_filled") + F.col("_then").cast("int"))
+    # a page whose last core ends in white space keeps it
+    rows = rows.withColumn("piece", F.when(F.col("_has"), F.concat(gap, F.col("_core"))).when(is_last, gap))
+    return rows.drop("_part", "_core", "_line", "_gap", "_trail", "_has", "_group", "_open", "_tail", "_long", "_now", "_then", "_feed", "_filled")
+
+
+def nodes_of(rows: DataFrame, policy: HtmlPolicy) -> DataFrame:
+    """rows with `node` at the start of every element that keeps its node, and `end`, by which nodes are ordered."""
+    rows = rows.withColumn("_to", F.when(F.col("edge") > 0, F.lead("at").over(same_depth())))
+    unwrap = (*policy.unwrap, *((Rule("br"),) if policy.newlines else ()), *((Rule("html"),) if policy.root not in (None, "html") else ()))
+    stays = (F.col("edge") > 0) & ~F.col("melts") & ~F.col("joint") & ~any_rule(unwrap, F.col("tag"), F.col("_to") - F.col("at"))
+    rows = rows.withColumn("_stays", F.coalesce(stays, F.lit(False)))
+    rows = rows.withColumn("_stays", F.when(F.col("edge") > 0, F.col("_stays")).otherwise(F.coalesce(F.lag("_stays").over(same_depth()), F.lit(False))))
+    rows = rows.withColumn("_rank", F.row_number().over(page_order("at", "_stays")).cast("long") - 1).withColumn("_rank_to", F.lead("_rank").over(same_depth()))
+    node = F.struct(
+        F.col("_to").cast("long").alias("char_end_idx"), F.col("at").cast("long").alias("char_start_idx"),
+        F.struct(F.coalesce("attrs", F.array().cast("array<string>")).alias("attrs"), F.coalesce("vals", F.array().cast("array<string>")).alias("values")).alias("html_attrs"),
+        F.lit("html").alias("key"), F.col("_rank_to").alias("relative_end_pos"), F.col("_rank").alias("relative_start_pos"),
+        F.lit("local").alias("type"), F.col("tag").alias("value"),
+    )
+    return rows.withColumn("node", F.when(F.col("_stays") & (F.col("edge") > 0), node)).drop("_to", "_stays", "_rank", "_rank_to")
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def isolated(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """(page, html_<tag> of each tag): the markup of its elements in order, empty ones closed in place."""
+    inside = rows.withColumn("_last", within(F.col("tag").isin(list(tags)))).where("pos <= _last")
+    attrs = F.array_join(
+        F.transform(F.arrays_zip(F.col("attrs").alias("a"), F.col("vals").alias("v")), lambda p: F.concat(F.lit(" "), p["a"], F.lit('="'), F.replace(_escaped(p["v"]), F.lit('"'), F.lit("&quot;")), F.lit('"'))), ""
+    )
+    text = F.when(F.col("tag").isin(*RAW) & (F.col("edge") > 0), F.col("text")).otherwise(_escaped(F.col("text")))
+    empty = (F.col("end") == F.col("pos") + 1) & (F.col("text") == "")
+    was_empty = F.lag(F.coalesce(empty, F.lit(False))).over(page_order()) & (F.col("edge") < 0)
+    begin = F.concat(F.lit("<"), F.col("tag"), attrs, F.when(empty, "/>").otherwise(">"))
+    close = F.when(F.coalesce(was_empty, F.lit(False)), F.lit("")).otherwise(F.concat(F.lit("</"), F.col("tag"), F.lit(">")))
+    inside = inside.withColumn("_edge", F.when(F.col("edge") > 0, begin).otherwise(close)).withColumn("_text", text)
+    parts = inside.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "_edge", "_text", "end", "tag", "edge"))).alias("p"))
+
+    def whole(x: Column) -> Column:
+        body = F.filter("p", lambda y: (y["pos"] >= x["pos"]) & (y["pos"] < x["end"]))
+        close = F.filter("p", lambda y: y["pos"] == x["end"])
+        return F.concat(F.array_join(F.transform(body, lambda y: F.concat(y["_edge"], y["_text"])), ""), F.array_join(F.transform(close, lambda y: y["_edge"]), ""))
+
+    def of(tag: str) -> Column:
+        return F.transform(F.filter("p", lambda x: (x["tag"] == tag) & (x["edge"] > 0)), whole)
+
+    return parts.select("page", *(of(t).alias(f"html_{t}") for t in tags))
+
+
+def extract_html(df: DataFrame, html: str = "html", policy: HtmlPolicy = PRODUCTION) -> DataFrame:
+    """df with text, tags_html, html_<tag> of each isolated tag, and the error columns; same names are replaced.
+
+    Null and blank pages, pages that declare an XML encoding and pages without a root element have an empty
+    text and no nodes. Text after a removed element stays where it stood. Nesting has no limit; no page
+    fails, so the error columns (kept for readers of the annotated layout) are 0 and "".
+    """
+    new = ["text", "tags_html", *(f"html_{t}" for t in policy.isolate), "html_error", "html_error_comment"]
+    df = df.drop(*(c for c in new if c != html))
+    held = {c.lower() for c in df.columns}
+    key = next(k for k in ("page", *(f"page_{i}" for i in range(len(held) + 1))) if k not in held)
+    df = df.withColumn(key, F.unhex(F.md5(F.col(html).cast("binary"))))
+    pages = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("page")).agg(F.first(html).alias("html"))
+    rows = spans(tag_rows(pages))
+    root = policy.root
+    if root is not None:
+        found = F.min(F.when((F.col("tag") == root) & (F.col("edge") > 0), F.struct("pos", "end"))).over(Window.partitionBy("page"))
+        rows = rows.withColumn("_root", found).where("_root is not null")
+        part = rows.where("pos between _root.pos and _root.end").withColumn("text", F.when(F.col("pos") == F.col("_root.end"), "").otherwise(F.col("text")))
+        part = part.drop("_root")
+    else:
+        part = rows
+    flat = removed(folded(squeezed(part), policy.fold), policy.drop)
+    flat = nodes_of(placed(flat, policy.newlines), policy)
+    pieces = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))))
+    nodes = F.array_sort(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("end", "node"))))
+    out = flat.groupBy("page").agg(pieces.alias("_pieces"), nodes.alias("_nodes"))
+    kept = keep_attrs(F.transform("_nodes", lambda n: n["node"]), policy.keep_attrs).cast(f"array<{HTML}>")
+    out = out.select("page", F.array_join(F.transform("_pieces", lambda p: p["piece"]), "").alias("text"), kept.alias("tags_html"))
+    if policy.isolate:
+        out = out.join(isolated(rows, policy.isolate), "page", "left")
+    out = out.withColumnRenamed("page", "_of")
+    full = df.drop("text").join(out, df[key] == out["_of"], "left")
+    none = F.array().cast("array<string>")
+    return full.select(
+        *(F.col(c) for c in df.columns if c not in (key, "text")),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("tags_html", F.array().cast(f"array<{HTML}>")).alias("tags_html"),
+        *(F.coalesce(f"html_{t}", none).alias(f"html_{t}") for t in policy.isolate),
+        F.lit(0).cast("long").alias("html_error"),
+        F.lit("").alias("html_error_comment"),
+    )
+
+
+def drop_tags(nodes: Column | str, rules: tuple[Rule, ...] = ()) -> Column:
+    """Nodes without those whose span is as long as one of the rules says."""
+    return F.filter(col(nodes), lambda x: ~any_rule(rules, x["value"], x["char_end_idx"] - x["char_start_idx"]))
 def keep_attrs(nodes: Column | str, names: tuple[str, ...] | None) -> Column:
     """Nodes with the named attributes only; None keeps all."""
     if names is None:
@@ -519,7 +481,7 @@ def keep_attrs(nodes: Column | str, names: tuple[str, ...] | None) -> Column:
     return F.transform(col(nodes), kept)
 
 
-def renumber(df: DataFrame, id_col: str, column: str = "metadata_html") -> DataFrame:
+def renumber(df: DataFrame, id_col: str, column: str = "tags_html") -> DataFrame:
     """Relative positions counted anew: at every offset, starts and ends in their old order from 0."""
     nodes = df.select(F.col(id_col).alias("_id"), F.posexplode(column).alias("_i", "_x"))
     start = F.struct(F.lit("start").alias("edge"), F.col("_x.char_start_idx").alias("at"), F.col("_x.relative_start_pos").alias("old"))

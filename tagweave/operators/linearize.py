@@ -1,4 +1,4 @@
-"""Metadata into text and text into training rows."""
+"""Tag into text and text into training rows."""
 
 from __future__ import annotations
 
@@ -14,44 +14,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.exprs import MONTHS, col, uniform, unquote
-from tagweave.operators.html import INF, Rule
+from tagweave.operators.html import Rule, any_rule
 
 
 @dataclass(frozen=True)
 class HtmlRules:
-    """Which html nodes are rendered, and with which attributes."""
+    """Which html nodes are rendered, and with which attributes (None: all)."""
 
     attributes_to_keep: tuple[str, ...] | None = None
-    most: float = -INF
-    least: float = -INF
-    exceptions: tuple[str, ...] = ()
     drop: tuple[Rule, ...] = ()
 
 
 @dataclass(frozen=True)
 class LinearizeConfig:
-    metadata_list: tuple[str, ...] = ("html", "timestamp", "website_description", "title", "url", "datasource", "length", "entity", "entity_paragraph")
-    metadata_sep: str = " | "
-    metadata_key_value_sep: str = ": "
-    metadata_prefix_sep: str = " |||"
-    metadata_prefix_start_seq: str = ""
-    metadata_probability: float = 1.0
+    tags_list: tuple[str, ...] = ("html", "timestamp", "website_description", "title", "url", "datasource", "length", "entity", "entity_paragraph")
+    tags_sep: str = " | "
+    tags_key_value_sep: str = ": "
+    tags_prefix_sep: str = " |||"
+    tags_prefix_start_seq: str = ""
+    tags_probability: float = 1.0
     entity_setting: str = "beg"
     special_tokens_in_prefix: bool = False
     special_tokens: dict[str, str] = field(default_factory=dict)
     wrap_start: dict[str, str] = field(default_factory=dict)
     wrap_end: dict[str, str] = field(default_factory=dict)
     local_as_regular_text: bool = False
-    same_context_without_metadata: bool = False
+    same_context_without_tags: bool = False
     max_seq_len: int = 1024
     pad_id: int = 0
     html: HtmlRules = HtmlRules()
 
     def for_prompt(self) -> LinearizeConfig:
-        return replace(self, metadata_sep="; ", metadata_prefix_sep="")
+        return replace(self, tags_sep="; ", tags_prefix_sep="")
 
 
-#: What stands before the value of a global node instead of its key.
+#: What stands before the value of a global node instead of its key, and before lists of entities.
 LABELS = {"title": "Title", "website_description": "Website Description", "datasource": "Datasource", "length": "Text Length"}
 PROMPT_LABELS = LABELS | {"datasource": "Data source", "length": "Number of characters"}
 LISTED = {"entity": "Entities", "entity_paragraph": "Entity Paragraphs"}
@@ -68,41 +65,36 @@ def timestamp_of(value: Column) -> Column:
 def render_timestamp(value: Column, cfg: LinearizeConfig) -> Column:
     ts = timestamp_of(value)
     names = F.array(*(F.lit(m.capitalize()) for m in MONTHS))
-    return F.concat(F.lit("Year: "), F.year(ts).cast("string"), F.lit(cfg.metadata_sep + "Month: "), F.get(names, F.month(ts) - 1))
+    return F.concat(F.lit("Year: "), F.year(ts).cast("string"), F.lit(cfg.tags_sep + "Month: "), F.get(names, F.month(ts) - 1))
 
 
 Renderer = Callable[[Column, LinearizeConfig], Column]
 #: Renderers of global nodes by key; copy and change to render a key differently.
 GLOBAL_RENDERERS: dict[str, Renderer] = {
     "timestamp": lambda n, cfg: render_timestamp(n["value"], cfg),
-    "url": lambda n, cfg: F.concat(F.lit("url" + cfg.metadata_key_value_sep), unquote(n["value"], plus=True)),
-    **{k: (lambda n, cfg, label=v: F.concat(F.lit(label + cfg.metadata_key_value_sep), n["value"])) for k, v in LABELS.items()},
+    "url": lambda n, cfg: F.concat(F.lit("url" + cfg.tags_key_value_sep), unquote(n["value"], plus=True)),
+    **{k: (lambda n, cfg, label=v: F.concat(F.lit(label + cfg.tags_key_value_sep), n["value"])) for k, v in LABELS.items()},
 }
 PROMPT_RENDERERS = GLOBAL_RENDERERS | {
-    k: (lambda n, cfg, label=v: F.concat(F.lit(label + cfg.metadata_key_value_sep), n["value"])) for k, v in PROMPT_LABELS.items()
+    k: (lambda n, cfg, label=v: F.concat(F.lit(label + cfg.tags_key_value_sep), n["value"])) for k, v in PROMPT_LABELS.items()
 }
 
 
 def render_global(node: Column, cfg: LinearizeConfig, renderers: dict[str, Renderer] = GLOBAL_RENDERERS) -> Column:
-    out = F.concat(node["key"], F.lit(cfg.metadata_key_value_sep), node["value"])
+    out = F.concat(node["key"], F.lit(cfg.tags_key_value_sep), node["value"])
     for key, f in renderers.items():
         out = F.when(node["key"] == key, f(node, cfg)).otherwise(out)
     return out
 
 
 def _html_shown(node: Column, rules: HtmlRules) -> Column:
-    n = (node["char_end_idx"] - node["char_start_idx"]).cast("double")
-    drop = F.lit(False)
-    for r in rules.drop:
-        drop = drop | ((node["value"] == r.tag) & n.between(float(r.least), float(r.most)))
-    general = n.between(F.lit(float(rules.least)), F.lit(float(rules.most)))
-    return ~(drop | (general & ~node["value"].isin(list(rules.exceptions)) if rules.exceptions else general))
+    return ~any_rule(rules.drop, node["value"], node["char_end_idx"] - node["char_start_idx"])
 
 
 def render_local(node: Column, cfg: LinearizeConfig) -> Column:
     """struct<start, end>: texts put at both ends of a node; null where the node isn't shown."""
     pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    kv = F.concat(node["key"], F.lit(cfg.metadata_key_value_sep), node["value"])
+    kv = F.concat(node["key"], F.lit(cfg.tags_key_value_sep), node["value"])
     name = F.replace(node["value"], F.lit("_"), F.lit(" "))
     attrs = F.arrays_zip(node["html_attrs"]["attrs"].alias("a"), node["html_attrs"]["values"].alias("v"))
     if cfg.html.attributes_to_keep is not None:
@@ -120,8 +112,8 @@ def render_local(node: Column, cfg: LinearizeConfig) -> Column:
     )
 
 
-def metadata_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix", out: str = "prefix", nodes: str = "metadata", renderers: dict[str, Renderer] | None = None) -> DataFrame:
-    """The rendered last node of each key, in the order of metadata_list; "" without any.
+def tags_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix", out: str = "prefix", nodes: str = "tags", renderers: dict[str, Renderer] | None = None) -> DataFrame:
+    """The rendered last node of each key, in the order of tags_list; "" without any.
 
     style "prompt": entities are listed once each, sorted, and other local keys appear as titles.
     """
@@ -129,30 +121,30 @@ def metadata_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix",
     use = renderers or (PROMPT_RENDERERS if prompt else GLOBAL_RENDERERS)
     parts = []
     of = lambda key: F.filter(nodes, lambda n: n["key"] == key)
-    for key in cfg.metadata_list:
+    for key in cfg.tags_list:
         own = of(key)
         last = F.try_element_at(own, F.lit(-1))
         text = F.when(last["type"] == "global", render_global(last, cfg, {k: f for k, f in use.items() if k == key}))
         if prompt and key in LISTED:
             values = F.array_sort(F.array_distinct(F.transform(own, lambda n: F.replace(n["value"], F.lit("_"), F.lit(" ")))))
-            local = F.concat(F.lit(LISTED[key] + cfg.metadata_key_value_sep), F.array_join(values, ", "))
+            local = F.concat(F.lit(LISTED[key] + cfg.tags_key_value_sep), F.array_join(values, ", "))
         elif cfg.special_tokens_in_prefix:
             local = F.lit(cfg.special_tokens.get(key, key.title() if prompt else key))
         else:
             local = F.lit(key.title()) if prompt else F.lit(None).cast("string")
         parts.append(F.when(F.size(own) > 0, text.otherwise(local)))
     kept = F.filter(F.array(*parts), lambda p: p.isNotNull())
-    return df.withColumn(out, F.when(F.size(kept) > 0, F.concat(F.array_join(kept, cfg.metadata_sep), F.lit(cfg.metadata_prefix_sep))).otherwise(""))
+    return df.withColumn(out, F.when(F.size(kept) > 0, F.concat(F.array_join(kept, cfg.tags_sep), F.lit(cfg.tags_prefix_sep))).otherwise(""))
 
 
-def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "metadata", text_col: str = "text") -> DataFrame:
+def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text_col: str = "text") -> DataFrame:
     """(id, offset, text): all that is inserted at each offset of the text, in order; other offsets are left out.
 
     Nodes of a key that have relative positions are first merged at every offset, in that order, with the
     key's wrapper texts around. Then, at an offset: ends of spans, starts and ends of empty spans, starts of
     spans; of starts the later in order comes first.
     """
-    rank = F.array_position(F.array(*(F.lit(k) for k in cfg.metadata_list)), F.col("n.key"))
+    rank = F.array_position(F.array(*(F.lit(k) for k in cfg.tags_list)), F.col("n.key"))
     flat = df.select(F.col(id_col).alias("_id"), F.length(text_col).alias("len"), F.posexplode(nodes).alias("i", "n")).where(F.col("n.type") == "local").withColumn("rank", rank).where("rank > 0")
     one = F.first_value(F.col("n.relative_start_pos"), ignoreNulls=False).over(Window.partitionBy("_id", "rank").orderBy("i"))
     flat = flat.withColumn("relative", one.isNotNull()).withColumn("r", render_local(F.col("n"), cfg)).where("r is not null")
@@ -180,8 +172,8 @@ def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
     return lists.select("_id", "offset", F.array_join(F.transform("es", lambda e: e["text"]), "").alias("text"))
 
 
-def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "metadata", text: str = "text") -> DataFrame:
-    """df with `text_with_metadata` and `char_mask` (1 for inserted characters); offsets past the text are left out."""
+def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text: str = "text") -> DataFrame:
+    """df with `text_with_tags` and `char_mask` (1 for inserted characters); offsets past the text are left out."""
     lists = local_events(df, cfg, id_col, nodes, text).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("_e"))
     both = df.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
     both = both.withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<offset:bigint,text:string>>)")))
@@ -192,7 +184,7 @@ def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
         "concat(flatten(transform(_e, (e, i) -> concat(array_repeat(0, cast(e.offset - if(i = 0, 0, _e[i - 1].offset) as int)), array_repeat(1, length(e.text))))),"
         f" array_repeat(0, length({rest})))"
     )
-    return both.withColumns({"text_with_metadata": joined, "char_mask": mask}).drop("_e")
+    return both.withColumns({"text_with_tags": joined, "char_mask": mask}).drop("_e")
 
 
 #: Word with the white space before it, other characters likewise, or white space: every character is in a token.
@@ -226,7 +218,7 @@ def token_id(word: Column) -> Column:
 
 
 def gate(cfg: LinearizeConfig, seed: int, id_col: str) -> Column:
-    return uniform(seed, id_col, tag="gate") < F.lit(cfg.metadata_probability)
+    return uniform(seed, id_col, tag="gate") < F.lit(cfg.tags_probability)
 
 
 def cap_prefix(ids: Column | str, max_seq_len: int) -> Column:
@@ -253,7 +245,7 @@ def token_mask(tokens: Column | str, chars: Column | str, regular: bool = False)
 
 
 def chunk(df: DataFrame, max_seq_len: int, pad_id: int = 0, ids: str = "ids", mask: str = "mask", prefix: str = "prefix_ids", same_context: bool = False) -> DataFrame:
-    """A row a window: chunk_idx, input_ids, attention_mask, metadata_mask, all max_seq_len long; no ids, no rows.
+    """A row a window: chunk_idx, input_ids, attention_mask, tags_mask, all max_seq_len long; no ids, no rows.
 
     The prefix stands at the head of every window. same_context cuts at the same places and leaves it out.
     """
@@ -269,7 +261,7 @@ def chunk(df: DataFrame, max_seq_len: int, pad_id: int = 0, ids: str = "ids", ma
     out = {
         "input_ids": F.concat(head, own, F.array_repeat(F.lit(pad_id), pad)),
         "attention_mask": F.concat(F.array_repeat(F.lit(1), used), zeros),
-        "metadata_mask": F.array_repeat(F.lit(0), max_seq_len) if same_context else F.concat(F.array_repeat(F.lit(1), n), marks, zeros),
+        "tags_mask": F.array_repeat(F.lit(0), max_seq_len) if same_context else F.concat(F.array_repeat(F.lit(1), n), marks, zeros),
     }
     return rows.withColumns(out).drop("_at")
 
@@ -310,19 +302,19 @@ def fix_length(df: DataFrame, n: int, pad_id: int = 0, ignore: int = -100, ids:
     )
 
 
-def train_rows(df: DataFrame, cfg: LinearizeConfig, id_col: str, seed: int = 0, tokenizer: Tokenizer = regex_tokens, nodes: str = "metadata") -> DataFrame:
-    """Training rows of documents (id, text, metadata): id, chunk_idx, input_ids, attention_mask, metadata_mask, labels."""
-    src = df.where(F.length("text") > 0).select(F.col(id_col), "text", F.when(gate(cfg, seed, id_col), F.col(nodes)).otherwise(F.array().cast(df.schema[nodes].dataType)).alias("metadata"))
-    prefixed = metadata_prefix(src, cfg)
+def train_rows(df: DataFrame, cfg: LinearizeConfig, id_col: str, seed: int = 0, tokenizer: Tokenizer = regex_tokens, nodes: str = "tags") -> DataFrame:
+    """Training rows of documents (id, text, tags): id, chunk_idx, input_ids, attention_mask, tags_mask, labels."""
+    src = df.where(F.length("text") > 0).select(F.col(id_col), "text", F.when(gate(cfg, seed, id_col), F.col(nodes)).otherwise(F.array().cast(df.schema[nodes].dataType)).alias("tags"))
+    prefixed = tags_prefix(src, cfg)
     inserted = insert_local(prefixed, cfg, id_col)
     has = F.col("prefix") != ""
     spaced = inserted.withColumns(
         {
-            "_text": F.concat(F.when(has, " ").otherwise(""), F.col("text_with_metadata")),
+            "_text": F.concat(F.when(has, " ").otherwise(""), F.col("text_with_tags")),
             "_chars": F.concat(F.array_repeat(F.lit(0), F.when(has, 1).otherwise(0)), F.col("char_mask")),
         }
     )
-    head = F.transform(tokenizer(F.concat(F.lit(cfg.metadata_prefix_start_seq), F.col("prefix"))), lambda t: t["id"])
+    head = F.transform(tokenizer(F.concat(F.lit(cfg.tags_prefix_start_seq), F.col("prefix"))), lambda t: t["id"])
     coded = spaced.withColumn("_tokens", tokenizer(F.col("_text")))
     coded = coded.withColumns(
         {
@@ -331,19 +323,19 @@ def train_rows(df: DataFrame, cfg: LinearizeConfig, id_col: str, seed: int = 0,
             "mask": token_mask("_tokens", "_chars", cfg.local_as_regular_text),
         }
     )
-    rows = chunk(coded, cfg.max_seq_len, cfg.pad_id, same_context=cfg.same_context_without_metadata)
-    return rows.select(id_col, "chunk_idx", "input_ids", "attention_mask", "metadata_mask", F.col("input_ids").alias("labels"))
+    rows = chunk(coded, cfg.max_seq_len, cfg.pad_id, same_context=cfg.same_context_without_tags)
+    return rows.select(id_col, "chunk_idx", "input_ids", "attention_mask", "tags_mask", F.col("input_ids").alias("labels"))
 
 
 def paired_examples(df: DataFrame, cfg: LinearizeConfig, id_col: str, include_chunked: bool = False, tokenizer: Tokenizer = regex_tokens) -> DataFrame:
-    """id, normal_ids, normal_attention, metadata_ids, metadata_attention, metadata_mask of first windows.
+    """id, normal_ids, normal_attention, tags_ids, tags_attention, tags_mask of first windows.
 
-    Only documents of one window, unless include_chunked; a window that is metadata throughout is left out.
+    Only documents of one window, unless include_chunked; a window that is tags throughout is left out.
     """
     with_ = train_rows(df, cfg, id_col, tokenizer=tokenizer)
-    without = train_rows(df, replace(cfg, same_context_without_metadata=True), id_col, tokenizer=tokenizer)
+    without = train_rows(df, replace(cfg, same_context_without_tags=True), id_col, tokenizer=tokenizer)
     chunks = with_.groupBy(id_col).agg(F.max("chunk_idx").alias("_last"))
-    first = with_.where("chunk_idx = 0 and not forall(metadata_mask, m -> m = 1)").join(chunks, id_col)
+    first = with_.where("chunk_idx = 0 and not forall(tags_mask, m -> m = 1)").join(chunks, id_col)
     first = first if include_chunked else first.where("_last = 0")
     normal = without.where("chunk_idx = 0").select(id_col, F.col("input_ids").alias("normal_ids"), F.col("attention_mask").alias("normal_attention"))
-    return first.select(id_col, F.col("input_ids").alias("metadata_ids"), F.col("attention_mask").alias("metadata_attention"), "metadata_mask").join(normal, id_col)
+    return first.select(id_col, F.col("input_ids").alias("tags_ids"), F.col("attention_mask").alias("tags_attention"), "tags_mask").join(normal, id_col)

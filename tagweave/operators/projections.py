@@ -10,14 +10,14 @@ from pyspark.sql.types import ArrayType
 
 from tagweave.schemas import ANY
 
-PREFIX = "metadata_"
+PREFIX = "tags_"
 
 
 def annotations(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.name.startswith(PREFIX) and isinstance(f.dataType, ArrayType)]
 
 
-def keep_metadata(df: DataFrame, keys: list[str]) -> DataFrame:
+def keep_tags(df: DataFrame, keys: list[str]) -> DataFrame:
     """Drop annotation columns but those of keys, which must be there."""
     missing = [k for k in keys if PREFIX + k not in df.columns]
     if missing:
@@ -29,7 +29,7 @@ def drop_empty_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.length(text) > 0)
 
 
-def only_with_metadata(df: DataFrame, key: str, order_by: str, limit: int | None = None) -> DataFrame:
+def only_with_tags(df: DataFrame, key: str, order_by: str, limit: int | None = None) -> DataFrame:
     """Rows that have nodes of a key, all other annotations emptied; the first `limit` by order_by."""
     empty = {c: F.array().cast(df.schema[c].dataType) for c in annotations(df) if c != PREFIX + key}
     out = df.where(F.size(PREFIX + key) > 0).withColumns(empty)
@@ -37,15 +37,15 @@ def only_with_metadata(df: DataFrame, key: str, order_by: str, limit: int | None
 
 
 def validation_by_type(df: DataFrame, order_by: str, limit: int) -> DataFrame:
-    """A `split` a type of annotation (rows that have it), `validation` and `validation_no_metadata` (all rows).
+    """A `split` a type of annotation (rows that have it), `validation` and `validation_no_tags` (all rows).
 
-    Each split takes the first `limit` rows; other types' nodes are emptied, and all of them without metadata.
+    Each split takes the first `limit` rows; other types' nodes are emptied, and all of them without tags.
     """
     cols = annotations(df)
-    names = F.array(*(F.when(F.size(c) > 0, F.lit("validation_" + c.removeprefix(PREFIX))) for c in cols), F.lit("validation"), F.lit("validation_no_metadata"))
+    names = F.array(*(F.when(F.size(c) > 0, F.lit("validation_" + c.removeprefix(PREFIX))) for c in cols), F.lit("validation"), F.lit("validation_no_tags"))
     rows = df.withColumn("split", F.explode(F.filter(names, lambda n: n.isNotNull())))
     parts = []
-    for name in ["validation", "validation_no_metadata", *("validation_" + c.removeprefix(PREFIX) for c in cols)]:
+    for name in ["validation", "validation_no_tags", *("validation_" + c.removeprefix(PREFIX) for c in cols)]:
         parts.append(rows.where(F.col("split") == name).orderBy(order_by).limit(limit))
     out = reduce(DataFrame.unionByName, parts)
     keep = lambda c: (F.col("split") == "validation") | (F.col("split") == "validation_" + c.removeprefix(PREFIX))
@@ -72,12 +72,12 @@ def _widened(df: DataFrame, column: str) -> Column:
 
 
 def to_v1(df: DataFrame) -> DataFrame:
-    """One `metadata` list of all annotation lists in column order; a table that has it stays as it is."""
-    if "metadata" in df.columns:
+    """One `tags` list of all annotation lists in column order; a table that has it stays as it is."""
+    if "tags" in df.columns:
         return df
     cols = annotations(df)
     nodes = F.concat(*(_widened(df, c) for c in cols)) if cols else F.array().cast(f"array<{ANY}>")
-    return df.withColumn("metadata", nodes).drop(*cols)
+    return df.withColumn("tags", nodes).drop(*cols)
 
 
 def with_labels(df: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def with_labels(df: DataFrame) -> DataFrame:
 
 
 def evaluation_columns(df: DataFrame) -> DataFrame:
-    return df.select(*(c for c in df.columns if c in ("text", "metadata") or c.startswith(PREFIX)))
+    return df.select(*(c for c in df.columns if c in ("text", "tags") or c.startswith(PREFIX)))
 
 
 def clean_up(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +105,7 @@ def intersect_on_text(dfs: list[DataFrame], order_by: str, lists: list[str], tex
     """Texts that every table has, each table de-duplicated first; the tables' lists are concatenated in turn."""
     parts = [dedupe_text(d, order_by, text).select(F.col(text).alias("_t"), F.col(c).alias(f"_l{i}")) for i, (d, c) in enumerate(zip(dfs, lists, strict=True))]
     both = reduce(lambda a, b: a.join(b, "_t"), parts)
-    return both.select(F.col("_t").alias(text), F.concat(*(F.coalesce(f"_l{i}", F.array().cast(dfs[i].schema[c].dataType)) for i, c in enumerate(lists))).alias("metadata"))
+    return both.select(F.col("_t").alias(text), F.concat(*(F.coalesce(f"_l{i}", F.array().cast(dfs[i].schema[c].dataType)) for i, c in enumerate(lists))).alias("tags"))
 
 
 def difference(df: DataFrame, other: DataFrame, on: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tagweave.operators.projections import PREFIX, annotations
 from tagweave.sources import row_index
 
 
-def type_counts(df: DataFrame, nodes: str = "metadata") -> DataFrame:
+def type_counts(df: DataFrame, nodes: str = "tags") -> DataFrame:
     """(key, n): rows that hold nodes of each key."""
     keys = F.array_distinct(F.transform(nodes, lambda x: x["key"]))
     return df.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
@@ -43,14 +43,14 @@ def uniform_of(seed: int, id_col: str, key: Column) -> Column:
     return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float((1 << 52) + 1)
 
 
-def sample_metadata(df: DataFrame, weights: dict[str, float], seed: int, id_col: str, nodes: str = "metadata") -> DataFrame:
+def sample_tags(df: DataFrame, weights: dict[str, float], seed: int, id_col: str, nodes: str = "tags") -> DataFrame:
     """Keep all nodes of some of a row's types, drawn without replacement by weight."""
     keys = F.array_sort(F.array_distinct(F.transform(nodes, lambda x: x["key"])))
     kept = F.when(F.size(keys) > 0, _kept(keys, weights, seed, id_col))
     return df.withColumn("_kept", kept).withColumn(nodes, F.filter(nodes, lambda x: F.array_contains("_kept", x["key"]))).drop("_kept")
 
 
-def sample_metadata_columns(df: DataFrame, weights: dict[str, float], seed: int, id_col: str, html_rate: float = 1.0) -> DataFrame:
+def sample_tags_columns(df: DataFrame, weights: dict[str, float], seed: int, id_col: str, html_rate: float = 1.0) -> DataFrame:
     """The same over annotation columns; others' lists become empty, html first with probability 1 - html_rate."""
     cols = [c for c in annotations(df) if c.removeprefix(PREFIX) in weights]
     if PREFIX + "html" in cols:

@@ -1,4 +1,4 @@
-"""Taggers: projections that append metadata nodes to a list column and keep the rows.
+"""Taggers: projections that append tags nodes to a list column and keep the rows.
 
 Each is tag_x(df, out=..., inputs...) -> df. A null list counts as empty; null inputs give no node.
 """
@@ -29,23 +29,23 @@ def append(df: DataFrame, out: str, nodes: Column, kind: str) -> DataFrame:
     return df.withColumn(out, F.concat(held, nodes))
 
 
-def tag_url(df: DataFrame, out: str = "metadata_url", url: str = "url") -> DataFrame:
+def tag_url(df: DataFrame, out: str = "tags_url", url: str = "url") -> DataFrame:
     return append(df, out, F.when(F.length(url) > 0, F.array(global_node("url", F.col(url)))), GLOBAL)
 
 
-def tag_timestamp(df: DataFrame, out: str = "metadata_timestamp", urls: str = "metadata_url") -> DataFrame:
+def tag_timestamp(df: DataFrame, out: str = "tags_timestamp", urls: str = "tags_url") -> DataFrame:
     """The date in the path of the first url node."""
     date = path_date(unquote(url_path(first_value(urls, "url"))))
     node = global_node("timestamp", F.date_format(date, "yyyy-MM-dd HH:mm:ss"))
     return append(df, out, F.when(date.isNotNull(), F.array(node)), GLOBAL)
 
 
-def tag_length_text(df: DataFrame, out: str = "metadata_generation_length_text", text: str = "text") -> DataFrame:
+def tag_length_text(df: DataFrame, out: str = "tags_generation_length_text", text: str = "text") -> DataFrame:
     """The number of code points of the text."""
     return append(df, out, F.when(F.col(text).isNotNull(), F.array(global_node("length", F.length(text)))), GLOBAL)
 
 
-def tag_length_sentence(df: DataFrame, out: str = "metadata_generation_length_sentence", text: str = "text") -> DataFrame:
+def tag_length_sentence(df: DataFrame, out: str = "tags_generation_length_sentence", text: str = "text") -> DataFrame:
     """A node for every full stop: from the stop before it (or 0) to it, valued at the characters between."""
     parts = F.split(F.col(text), "\\.")
     sizes = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.length(s))
@@ -78,11 +78,11 @@ def datasource(url: Column | str) -> Column:
     return F.concat(url_netloc(url), F.lit(" > "), F.array_join(F.transform(lists, lambda w: F.array_join(w, " ")), " > "))
 
 
-def tag_datasource(df: DataFrame, out: str = "metadata_generation_datasource", url: str = "url") -> DataFrame:
+def tag_datasource(df: DataFrame, out: str = "tags_generation_datasource", url: str = "url") -> DataFrame:
     return append(df, out, F.when(F.col(url).isNotNull(), F.array(global_node("datasource", datasource(url)))), GLOBAL)
 
 
-def tag_title(df: DataFrame, out: str = "metadata_title", titles: str = "html_title") -> DataFrame:
+def tag_title(df: DataFrame, out: str = "tags_title", titles: str = "html_title") -> DataFrame:
     """What stands in the first title element, on one line."""
     pattern = "(?d)<title[^>]*>(.*)</title>"
     first = F.get(F.col(titles), F.lit(0))
@@ -134,7 +134,7 @@ def describe_entities(df: DataFrame, keyword: str, redirects: DataFrame, paragra
 
 
 def tag_website_description(
-    df: DataFrame, redirects: DataFrame, paragraphs: DataFrame, out: str = "metadata_website_desc", urls: str = "metadata_url"
+    df: DataFrame, redirects: DataFrame, paragraphs: DataFrame, out: str = "tags_website_desc", urls: str = "tags_url"
 ) -> DataFrame:
     keyed = df.withColumn("_keyword", url_keyword(first_value(urls, "url")))
     found = describe_sites(keyed, "_keyword", redirects, paragraphs, "_description")
@@ -142,7 +142,7 @@ def tag_website_description(
     return append(found, out, node, GLOBAL).drop("_keyword", "_description")
 
 
-def clean_website_description(df: DataFrame, column: str = "metadata_website_desc") -> DataFrame:
+def clean_website_description(df: DataFrame, column: str = "tags_website_desc") -> DataFrame:
     """Empty the list if its first value only refers elsewhere or has too few or too many words."""
     value = F.get(F.col(column), F.lit(0))["value"]
     count = F.size(F.filter(F.split(value, r"(?U)\s+"), lambda w: w != ""))
@@ -181,7 +181,7 @@ def entity_mentions(df: DataFrame, gazetteer: DataFrame, id_col: str, text: str
     return found.unionByName(more.select(*found.columns)).select(id_col, "alias", "entity", first)
 
 
-def tag_entity(df: DataFrame, gazetteer: DataFrame, id_col: str, out: str = "metadata_entity", text: str = "text") -> DataFrame:
+def tag_entity(df: DataFrame, gazetteer: DataFrame, id_col: str, out: str = "tags_entity", text: str = "text") -> DataFrame:
     """A node for the first mention of each alias, in the order of the aliases; value: the entity."""
     found = entity_mentions(df, gazetteer, id_col, text)
     node = local_node("entity", F.col("start"), F.col("start") + F.length("alias"), F.col("entity"))
@@ -190,7 +190,7 @@ def tag_entity(df: DataFrame, gazetteer: DataFrame, id_col: str, out: str = "met
     return append(df.join(lists, F.col(id_col) == F.col("_id"), "left"), out, F.col("_n"), LOCAL).drop("_id", "_n")
 
 
-def paragraphs(df: DataFrame, id_col: str, text: str = "text", nodes: str = "metadata_html") -> DataFrame:
+def paragraphs(df: DataFrame, id_col: str, text: str = "text", nodes: str = "tags_html") -> DataFrame:
     """(id, seq, start, end, marker, value): the text cut where marker elements end.
 
     Markers go by end, then start; a `p` cuts one character later; an empty block still moves the cut; two
@@ -216,7 +216,7 @@ def paragraphs(df: DataFrame, id_col: str, text: str = "text", nodes: str = "met
     return segments.select(id_col, seq.alias("seq"), start.alias("start"), (start + F.length("value")).alias("end"), "marker", "value")
 
 
-def tag_paragraph(df: DataFrame, id_col: str, out: str = "metadata_paragraph", text: str = "text", nodes: str = "metadata_html") -> DataFrame:
+def tag_paragraph(df: DataFrame, id_col: str, out: str = "tags_paragraph", text: str = "text", nodes: str = "tags_html") -> DataFrame:
     found = paragraphs(df, id_col, text, nodes)
     node = F.struct(F.col("end").alias("char_end_idx"), F.col("start").alias("char_start_idx"), F.lit("paragraph").alias("key"), "marker", F.lit("local").alias("type"), "value").cast(PARAGRAPH)
     lists = found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("seq", node.alias("n")))).alias("_n"))
@@ -251,6 +251,6 @@ def number_runs(nodes: Column) -> Column:
     return F.aggregate(nodes, state, step)["nodes"]
 
 
-def tag_entity_paragraph(df: DataFrame, out: str = "metadata_entity_paragraph", entities: str = "metadata_entity", paragraphs: str = "metadata_paragraph") -> DataFrame:
+def tag_entity_paragraph(df: DataFrame, out: str = "tags_entity_paragraph", entities: str = "tags_entity", paragraphs: str = "tags_paragraph") -> DataFrame:
     some = (F.size(entities) > 0) & (F.size(paragraphs) > 0)
     return append(df, out, F.when(some, number_runs(snap_to_paragraph(entities, paragraphs))), LOCAL_REL)

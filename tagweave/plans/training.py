@@ -9,16 +9,16 @@ from tagweave.operators import linearize, projections, sampling
 
 
 def build_dataset(df: DataFrame, cfg: linearize.LinearizeConfig, experiment: str, id_col: str, seed: int = 0, html_rate: float = 1.0) -> DataFrame:
-    """Rows by experiment: "with_metadata" (v1 or annotated tables, types sampled by inverse frequency),
-    "with_metadata_all" (no sampling) or "without_metadata" (texts packed by document)."""
+    """Rows by experiment: "with_tags" (v1 or annotated tables, types sampled by inverse frequency),
+    "with_tags_all" (no sampling) or "without_tags" (texts packed by document)."""
     src = projections.drop_empty_text(df)
-    if experiment == "without_metadata":
+    if experiment == "without_tags":
         ids = F.transform(linearize.regex_tokens("text"), lambda t: t["id"])
         return linearize.pack(src.select(id_col, ids.alias("ids"), F.lit(0).alias("_o")), cfg.max_seq_len, id_col, "_o", pad_id=cfg.pad_id)
     v1 = projections.to_v1(src)
-    if experiment == "with_metadata":
+    if experiment == "with_tags":
         weights = {r["key"]: r["weight"] for r in sampling.type_weights(sampling.type_counts(v1)).collect()}  # a row a node type
-        v1 = sampling.sample_metadata(v1, weights, seed, id_col)
-    elif experiment != "with_metadata_all":
+        v1 = sampling.sample_tags(v1, weights, seed, id_col)
+    elif experiment != "with_tags_all":
         raise ValueError(f"no experiment {experiment!r}")
     return linearize.train_rows(v1, cfg, id_col, seed)

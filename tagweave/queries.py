@@ -55,7 +55,7 @@ HOST = f"replace({NETLOC}, 'www.', '')"
 
 @query("t1_url", "SELECT page_id, 'url' AS key, 'global' AS type, url AS value FROM pages WHERE length(url) > 0")
 def t1_url(spark: SparkSession, d: str) -> DataFrame:
-    return exploded(taggers.tag_url(pages(spark, d)), "page_id", "metadata_url")
+    return exploded(taggers.tag_url(pages(spark, d)), "page_id", "tags_url")
 
 
 @query(
@@ -77,7 +77,7 @@ def t2_timestamp(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("/item/"), F.col("event_id").cast("string")))
     )
     df = table(spark, d, "events").select("event_id", F.concat(F.lit("http://e.org"), path).alias("url"))
-    return exploded(taggers.tag_timestamp(taggers.tag_url(df)), "event_id", "metadata_timestamp").select("event_id", "value")
+    return exploded(taggers.tag_timestamp(taggers.tag_url(df)), "event_id", "tags_timestamp").select("event_id", "value")
 
 
 SITES = f"""
@@ -107,7 +107,7 @@ def sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("t4_website_description", f"WITH {SITES} SELECT page_id, value FROM pages JOIN sentences ON host = {HOST}")
 def t4_website_description(spark: SparkSession, d: str) -> DataFrame:
     tagged = taggers.tag_website_description(taggers.tag_url(pages(spark, d)), *sites(spark, d))
-    return exploded(tagged, "page_id", "metadata_website_desc").select("page_id", "value")
+    return exploded(tagged, "page_id", "tags_website_desc").select("page_id", "value")
 
 
 @query("j1_redirects", f"WITH {SITES} SELECT host, title FROM found")
@@ -154,8 +154,8 @@ SELECT doc_id, v AS value FROM t WHERE NOT (len(list_filter(regexp_split_to_arra
 )
 def t5_clean_description(spark: SparkSession, d: str) -> DataFrame:
     node = exprs.global_node("website_description", F.substring_index("text", "\n", 1))
-    df = docs(spark, d).select("doc_id", F.array(node).alias("metadata_website_desc"))
-    return exploded(taggers.clean_website_description(df), "doc_id", "metadata_website_desc").select("doc_id", "value")
+    df = docs(spark, d).select("doc_id", F.array(node).alias("tags_website_desc"))
+    return exploded(taggers.clean_website_description(df), "doc_id", "tags_website_desc").select("doc_id", "value")
 
 
 WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
@@ -176,13 +176,13 @@ def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {GAZETTEER} SELECT doc_id, instr(text, alias) - 1 AS char_start_idx, instr(text, alias) - 1 + length(alias) AS char_end_idx, entity AS value FROM documents JOIN gazetteer ON contains(text, alias)",
 )
 def t6_entity(spark: SparkSession, d: str) -> DataFrame:
-    out = exploded(taggers.tag_entity(docs(spark, d), gazetteer(spark, d), "doc_id"), "doc_id", "metadata_entity")
+    out = exploded(taggers.tag_entity(docs(spark, d), gazetteer(spark, d), "doc_id"), "doc_id", "tags_entity")
     return out.select("doc_id", "char_start_idx", "char_end_idx", "value")
 
 
 @query("t7_length_text", "SELECT doc_id, CAST(length(text) AS VARCHAR) AS value FROM documents WHERE text IS NOT NULL")
 def t7_length_text(spark: SparkSession, d: str) -> DataFrame:
-    return exploded(taggers.tag_length_text(docs(spark, d)), "doc_id", "metadata_generation_length_text").select("doc_id", "value")
+    return exploded(taggers.tag_length_text(docs(spark, d)), "doc_id", "tags_generation_length_text").select("doc_id", "value")
 
 
 @query(
@@ -195,7 +195,7 @@ SELECT doc_id, CAST(lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS BIG
 """,
 )
 def t8_length_sentence(spark: SparkSession, d: str) -> DataFrame:
-    out = exploded(taggers.tag_length_sentence(docs(spark, d)), "doc_id", "metadata_generation_length_sentence")
+    out = exploded(taggers.tag_length_sentence(docs(spark, d)), "doc_id", "tags_generation_length_sentence")
     return out.select("doc_id", "char_start_idx", "char_end_idx", "value")
 
 
@@ -209,7 +209,7 @@ DATASOURCE = f"{NETLOC} || ' > ' || coalesce(array_to_string(list_transform({CLE
 
 @query("t9_datasource", f"SELECT page_id, {DATASOURCE} AS value FROM pages WHERE url IS NOT NULL")
 def t9_datasource(spark: SparkSession, d: str) -> DataFrame:
-    return exploded(taggers.tag_datasource(pages(spark, d)), "page_id", "metadata_generation_datasource").select("page_id", "value")
+    return exploded(taggers.tag_datasource(pages(spark, d)), "page_id", "tags_generation_datasource").select("page_id", "value")
 
 
 @query(
@@ -222,7 +222,7 @@ SELECT page_id, regexp_extract(ts[1], '<title[^>]*>(.*)</title>', 1) AS value FR
 def t10_title(spark: SparkSession, d: str) -> DataFrame:
     titles = F.regexp_extract_all("html", F.lit("(?si)<title[^>]*>.*?</title>"), F.lit(0))
     tagged = taggers.tag_title(pages(spark, d).withColumn("html_title", titles))
-    return exploded(tagged, "page_id", "metadata_title").select("page_id", "value")
+    return exploded(tagged, "page_id", "tags_title").select("page_id", "value")
 
 
 # ---- nodes over the lines of documents: elements p, li, div and span in turn
@@ -235,7 +235,7 @@ nodes AS (SELECT doc_id, text, i, s, s + length(line) AS e, ['p', 'li', 'div', '
 
 
 def with_lines(df: DataFrame) -> DataFrame:
-    """df with metadata_html: a node a line of the text, relative positions 0."""
+    """df with tags_html: a node a line of the text, relative positions 0."""
     state = "named_struct('at', 0L, 'out', cast(array() as array<struct<s:bigint,e:bigint>>))"
     spans = F.expr(
         f"aggregate(split(text, '\\n'), {state}, (a, l) -> named_struct('at', a.at + length(l) + 1, 'out', concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(l))))))"
@@ -244,7 +244,7 @@ def with_lines(df: DataFrame) -> DataFrame:
         "transform(_spans, (x, i) -> cast(named_struct('char_end_idx', x.e, 'char_start_idx', x.s, 'html_attrs', named_struct('attrs', array('id', 'class'), 'values', array(cast(i as string), 'c')),"
         f" 'key', 'html', 'relative_end_pos', 0L, 'relative_start_pos', 0L, 'type', 'local', 'value', element_at(array('p', 'li', 'div', 'span'), i % 4 + 1)) as {HTML}))"
     )
-    return df.where("length(text) > 0").withColumn("_spans", spans).withColumn("metadata_html", F.expr(node)).drop("_spans")
+    return df.where("length(text) > 0").withColumn("_spans", spans).withColumn("tags_html", F.expr(node)).drop("_spans")
 
 
 PARAGRAPHS = f"""
@@ -281,13 +281,13 @@ SELECT doc_id, CAST(s AS BIGINT) AS char_start_idx, CAST(e AS BIGINT) AS char_en
 def t12_entity_paragraph(spark: SparkSession, d: str) -> DataFrame:
     df = taggers.tag_paragraph(with_lines(docs(spark, d)), "doc_id")
     df = taggers.tag_entity_paragraph(taggers.tag_entity(df, gazetteer(spark, d), "doc_id"))
-    return exploded(df, "doc_id", "metadata_entity_paragraph").select("doc_id", "char_start_idx", "char_end_idx", "value", "relative_start_pos")
+    return exploded(df, "doc_id", "tags_entity_paragraph").select("doc_id", "char_start_idx", "char_end_idx", "value", "relative_start_pos")
 
 
 @query("t3_extract_html")
 def t3_extract_html(spark: SparkSession, d: str) -> DataFrame:
     df = html.extract_html(pages(spark, d))
-    return df.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), F.size("metadata_html").alias("n_nodes"), F.array_join("html_title", "").alias("title"))
+    return df.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), F.size("tags_html").alias("n_nodes"), F.array_join("html_title", "").alias("title"))
 
 
 @query(
@@ -305,7 +305,7 @@ def h1_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h11_drop_tags", f"WITH {LINES} SELECT doc_id, s AS char_start_idx, e AS char_end_idx, tag AS value FROM nodes WHERE NOT ((tag = 'li' AND e - s <= 60) OR (tag <> 'div' AND e - s BETWEEN 10 AND 20))")
 def h11_drop_tags(spark: SparkSession, d: str) -> DataFrame:
-    kept = html.drop_tags("metadata_html", (html.Rule("li", most=60),), most=20, least=10, exceptions=("div",))
+    kept = html.drop_tags("tags_html", (html.Rule("li", most=60), html.Rule(None, 10, 20, but=("div",))))
     out = exploded(with_lines(docs(spark, d)).select("doc_id", kept.alias("n")), "doc_id", "n")
     return out.select("doc_id", "char_start_idx", "char_end_idx", "value")
 
@@ -322,16 +322,16 @@ SELECT q.doc_id, q.i AS i, a.new AS relative_start_pos, b.new AS relative_end_po
 )
 def w2_renumber(spark: SparkSession, d: str) -> DataFrame:
     moved = F.expr(
-        f"transform(metadata_html, (x, i) -> cast(named_struct('char_end_idx', x.char_start_idx div 40 * 40 + 40, 'char_start_idx', x.char_start_idx div 40 * 40, 'html_attrs', x.html_attrs, 'key', x.key,"
+        f"transform(tags_html, (x, i) -> cast(named_struct('char_end_idx', x.char_start_idx div 40 * 40 + 40, 'char_start_idx', x.char_start_idx div 40 * 40, 'html_attrs', x.html_attrs, 'key', x.key,"
         f" 'relative_end_pos', i * 7 + 3, 'relative_start_pos', i * 7, 'type', x.type, 'value', cast(i as string)) as {HTML}))"
     )
-    df = html.renumber(with_lines(docs(spark, d)).withColumn("metadata_html", moved), "doc_id")
-    return exploded(df, "doc_id", "metadata_html").select("doc_id", F.col("value").cast("long").alias("i"), "relative_start_pos", "relative_end_pos")
+    df = html.renumber(with_lines(docs(spark, d)).withColumn("tags_html", moved), "doc_id")
+    return exploded(df, "doc_id", "tags_html").select("doc_id", F.col("value").cast("long").alias("i"), "relative_start_pos", "relative_end_pos")
 
 
 @query("h13_keep_attrs", f"WITH {LINES} SELECT doc_id, s AS char_start_idx, 'id' AS attrs, CAST(i AS VARCHAR) AS vals FROM nodes")
 def h13_keep_attrs(spark: SparkSession, d: str) -> DataFrame:
-    out = exploded(with_lines(docs(spark, d)).select("doc_id", html.keep_attrs("metadata_html", ("id", "href")).alias("n")), "doc_id", "n")
+    out = exploded(with_lines(docs(spark, d)).select("doc_id", html.keep_attrs("tags_html", ("id", "href")).alias("n")), "doc_id", "n")
     return out.select("doc_id", "char_start_idx", F.array_join("html_attrs.attrs", ",").alias("attrs"), F.array_join("html_attrs.values", ",").alias("vals"))
 
 
@@ -358,7 +358,7 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
     titles = F.regexp_extract_all("html", F.lit("(?si)<title[^>]*>.*?</title>"), F.lit(0))
     df = pages(spark, d).select("page_id", "url", F.col("html").alias("text"), titles.alias("html_title"))
     df = taggers.tag_url(taggers.tag_datasource(taggers.tag_length_text(taggers.tag_title(df))))
-    return df.select("page_id", "text", "metadata_generation_datasource", "metadata_generation_length_text", "metadata_title", "metadata_url")
+    return df.select("page_id", "text", "tags_generation_datasource", "tags_generation_length_text", "tags_title", "tags_url")
 
 
 TITLED = "regexp_matches(regexp_extract_all(html, '(?si)<title[^>]*>.*?</title>')[1], '<title[^>]*>(.*)</title>')"
@@ -371,9 +371,9 @@ v1 AS (SELECT page_id, 'datasource' AS key, {DATASOURCE} AS value, 1 AS o FROM p
 """
 
 
-@query("p1_keep_metadata", "SELECT page_id, 'text,metadata_url' AS cols FROM pages")
-def p1_keep_metadata(spark: SparkSession, d: str) -> DataFrame:
-    df = projections.keep_metadata(annotated(spark, d), ["url"])
+@query("p1_keep_tags", "SELECT page_id, 'text,tags_url' AS cols FROM pages")
+def p1_keep_tags(spark: SparkSession, d: str) -> DataFrame:
+    df = projections.keep_tags(annotated(spark, d), ["url"])
     return df.select("page_id", F.lit(",".join(c for c in df.columns if c != "page_id")).alias("cols"))
 
 
@@ -383,16 +383,16 @@ def p2_drop_empty_text(spark: SparkSession, d: str) -> DataFrame:
     return projections.drop_empty_text(docs(spark, d).withColumn("text", text)).select("doc_id")
 
 
-@query("p3_only_with_metadata", f"SELECT page_id, {TITLE} AS value FROM pages WHERE {TITLED}")
-def p3_only_with_metadata(spark: SparkSession, d: str) -> DataFrame:
-    df = projections.only_with_metadata(annotated(spark, d), "title", "page_id")
-    return df.select("page_id", F.get(F.concat("metadata_title", "metadata_url"), F.lit(0))["value"].alias("value"))
+@query("p3_only_with_tags", f"SELECT page_id, {TITLE} AS value FROM pages WHERE {TITLED}")
+def p3_only_with_tags(spark: SparkSession, d: str) -> DataFrame:
+    df = projections.only_with_tags(annotated(spark, d), "title", "page_id")
+    return df.select("page_id", F.get(F.concat("tags_title", "tags_url"), F.lit(0))["value"].alias("value"))
 
 
 @query(
     "p4_validation_by_type",
     f"""
-WITH s AS (SELECT page_id, 'validation' AS split FROM pages UNION ALL SELECT page_id, 'validation_no_metadata' FROM pages
+WITH s AS (SELECT page_id, 'validation' AS split FROM pages UNION ALL SELECT page_id, 'validation_no_tags' FROM pages
  UNION ALL SELECT page_id, 'validation_title' FROM pages WHERE {TITLED} UNION ALL SELECT page_id, 'validation_url' FROM pages WHERE length(url) > 0
  UNION ALL SELECT page_id, 'validation_generation_datasource' FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, 'validation_generation_length_text' FROM pages WHERE html IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY page_id) AS rn FROM s)
@@ -400,16 +400,16 @@ SELECT page_id, split, CAST(split IN ('validation', 'validation_url') AS INTEGER
 """,
 )
 def p4_validation_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return projections.validation_by_type(annotated(spark, d), "page_id", 100).select("page_id", "split", F.size("metadata_url").alias("urls"))
+    return projections.validation_by_type(annotated(spark, d), "page_id", 100).select("page_id", "split", F.size("tags_url").alias("urls"))
 
 
 @query("p5_to_v1", f"WITH {V1_ROWS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, key, value FROM v1")
 def p5_to_v1(spark: SparkSession, d: str) -> DataFrame:
     v1 = projections.to_v1(annotated(spark, d))
-    return v1.select("page_id", F.posexplode("metadata").alias("pos", "n")).select("page_id", F.col("pos").cast("long").alias("pos"), "n.key", "n.value")
+    return v1.select("page_id", F.posexplode("tags").alias("pos", "n")).select("page_id", F.col("pos").cast("long").alias("pos"), "n.key", "n.value")
 
 
-@query("p7_evaluation_columns", "SELECT DISTINCT 'text,metadata_generation_datasource,metadata_generation_length_text,metadata_title,metadata_url' AS cols, (SELECT count(*) FROM pages) AS n FROM pages")
+@query("p7_evaluation_columns", "SELECT DISTINCT 'text,tags_generation_datasource,tags_generation_length_text,tags_title,tags_url' AS cols, (SELECT count(*) FROM pages) AS n FROM pages")
 def p7_evaluation_columns(spark: SparkSession, d: str) -> DataFrame:
     df = projections.evaluation_columns(annotated(spark, d))
     return df.agg(F.count("*").alias("n")).select(F.lit(",".join(df.columns)).alias("cols"), "n")
@@ -433,7 +433,7 @@ def a2_type_weights(spark: SparkSession, d: str) -> DataFrame:
 @query("a1_hosts", f"SELECT split_part({DATASOURCE}, ' > ', 1) AS host, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY 1")
 def a1_hosts(spark: SparkSession, d: str) -> DataFrame:
     tagged = taggers.tag_datasource(taggers.tag_url(pages(spark, d)))
-    host = F.substring_index(exprs.first_value("metadata_generation_datasource", "datasource"), " > ", 1)
+    host = F.substring_index(exprs.first_value("tags_generation_datasource", "datasource"), " > ", 1)
     return tagged.groupBy(host.alias("host")).agg(F.count("*").alias("n")).where("host is not null")
 
 
@@ -452,23 +452,23 @@ r AS (SELECT page_id, key, row_number() OVER (PARTITION BY page_id ORDER BY e, k
 """
 
 
-@query("r1_sample_metadata", f"WITH {_LAW} SELECT r.page_id, r.key FROM r JOIN c USING (page_id) WHERE rn <= floor({u_sql(7, 'page_id', 'count')} * n) + 1")
-def r1_sample_metadata(spark: SparkSession, d: str) -> DataFrame:
-    out = sampling.sample_metadata(projections.to_v1(annotated(spark, d)), WEIGHTS, 7, "page_id")
-    return out.select("page_id", F.explode("metadata").alias("n")).select("page_id", "n.key")
+@query("r1_sample_tags", f"WITH {_LAW} SELECT r.page_id, r.key FROM r JOIN c USING (page_id) WHERE rn <= floor({u_sql(7, 'page_id', 'count')} * n) + 1")
+def r1_sample_tags(spark: SparkSession, d: str) -> DataFrame:
+    out = sampling.sample_tags(projections.to_v1(annotated(spark, d)), WEIGHTS, 7, "page_id")
+    return out.select("page_id", F.explode("tags").alias("n")).select("page_id", "n.key")
 
 
 @query("r2_sample_columns")
 def r2_sample_columns(spark: SparkSession, d: str) -> DataFrame:
     weights = {"generation_datasource": 1.0, "generation_length_text": 2.0, "title": 3.0, "url": 0.5}
-    out = sampling.sample_metadata_columns(annotated(spark, d), weights, 7, "page_id")
-    return out.select("page_id", *(F.size(f"metadata_{k}").cast("long").alias(k) for k in weights))
+    out = sampling.sample_tags_columns(annotated(spark, d), weights, 7, "page_id")
+    return out.select("page_id", *(F.size(f"tags_{k}").cast("long").alias(k) for k in weights))
 
 
 @query("r3_html_rate", f"WITH {LINES} SELECT doc_id, CASE WHEN {u_sql(5, 'doc_id', 'html')} < 1 - 0.6 THEN 0 ELSE count(*) END AS n FROM nodes GROUP BY doc_id")
 def r3_html_rate(spark: SparkSession, d: str) -> DataFrame:
-    out = sampling.sample_metadata_columns(with_lines(docs(spark, d)), {"html": 1.0}, 5, "doc_id", 0.6)
-    return out.select("doc_id", F.size("metadata_html").cast("long").alias("n"))
+    out = sampling.sample_tags_columns(with_lines(docs(spark, d)), {"html": 1.0}, 5, "doc_id", 0.6)
+    return out.select("doc_id", F.size("tags_html").cast("long").alias("n"))
 
 
 @query("r4_sample_rows", f"SELECT doc_id FROM documents WHERE {u_sql(3, 'doc_id')} < 0.3")
@@ -534,8 +534,8 @@ def s6_select_files(spark: SparkSession, d: str) -> DataFrame:
 @query("s7_union_sparse", f"SELECT page_id, CASE WHEN page_id % 2 = 0 AND {TITLED} THEN 1 ELSE 0 END AS titles FROM pages")
 def s7_union_sparse(spark: SparkSession, d: str) -> DataFrame:
     df = annotated(spark, d)
-    both = sources.union_sparse(df.where("page_id % 2 = 0"), df.where("page_id % 2 = 1").drop("metadata_title"))
-    return both.select("page_id", F.size("metadata_title").alias("titles"))
+    both = sources.union_sparse(df.where("page_id % 2 = 0"), df.where("page_id % 2 = 1").drop("tags_title"))
+    return both.select("page_id", F.size("tags_title").alias("titles"))
 
 
 @query("s8_parse_lines", "SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE CAST(length(text) AS BIGINT) END AS n, doc_id % 10 = 0 AS corrupt FROM documents")
@@ -559,7 +559,7 @@ def s15_site_tables(spark: SparkSession, d: str) -> DataFrame:
 )
 def l1_render_global(spark: SparkSession, d: str) -> DataFrame:
     cfg = linearize.LinearizeConfig()
-    v1 = projections.to_v1(annotated(spark, d)).select("page_id", F.explode("metadata").alias("n")).where("n.key <> 'url'")
+    v1 = projections.to_v1(annotated(spark, d)).select("page_id", F.explode("tags").alias("n")).where("n.key <> 'url'")
     return v1.select("page_id", linearize.render_global(F.col("n"), cfg).alias("text"))
 
 
@@ -586,27 +586,27 @@ PREFIX = f"""
 
 @query("l4_prefix", f"WITH {PREFIX} SELECT page_id, string_agg(t, ' | ' ORDER BY o) || ' |||' AS prefix FROM t GROUP BY page_id")
 def l4_prefix(spark: SparkSession, d: str) -> DataFrame:
-    cfg = linearize.LinearizeConfig(metadata_list=("title", "datasource", "length"))
-    return linearize.metadata_prefix(projections.to_v1(annotated(spark, d)), cfg).select("page_id", "prefix")
+    cfg = linearize.LinearizeConfig(tags_list=("title", "datasource", "length"))
+    return linearize.tags_prefix(projections.to_v1(annotated(spark, d)), cfg).select("page_id", "prefix")
 
 
 @query("l16_prompt", f"WITH {PREFIX} SELECT page_id, replace(replace(string_agg(t, '; ' ORDER BY o), 'Datasource: ', 'Data source: '), 'Text Length: ', 'Number of characters: ') AS prefix FROM t GROUP BY page_id")
 def l16_prompt(spark: SparkSession, d: str) -> DataFrame:
-    cfg = linearize.LinearizeConfig(metadata_list=("title", "datasource", "length")).for_prompt()
-    return linearize.metadata_prefix(projections.to_v1(annotated(spark, d)), cfg, "prompt").select("page_id", "prefix")
+    cfg = linearize.LinearizeConfig(tags_list=("title", "datasource", "length")).for_prompt()
+    return linearize.tags_prefix(projections.to_v1(annotated(spark, d)), cfg, "prompt").select("page_id", "prefix")
 
 
 @query("l5_render_local", f"WITH {LINES} SELECT doc_id, i, '<' || tag || ' id:' || i || ' class:c>' AS s, '</' || tag || '>' AS e FROM nodes")
 def l5_render_local(spark: SparkSession, d: str) -> DataFrame:
-    df = with_lines(docs(spark, d)).select("doc_id", F.posexplode("metadata_html").alias("i", "n"))
+    df = with_lines(docs(spark, d)).select("doc_id", F.posexplode("tags_html").alias("i", "n"))
     r = linearize.render_local(F.col("n"), linearize.LinearizeConfig())
     return df.select("doc_id", F.col("i").cast("long").alias("i"), r["start"].alias("s"), r["end"].alias("e"))
 
 
 @query("l6_html_filter", f"WITH {LINES} SELECT doc_id, i, '<' || tag || ' id:' || i || '>' AS s FROM nodes WHERE tag <> 'span' AND NOT (tag <> 'p' AND e - s <= 12)")
 def l6_html_filter(spark: SparkSession, d: str) -> DataFrame:
-    rules = linearize.HtmlRules(("id",), most=12, least=0, exceptions=("p",), drop=(html.Rule("span"),))
-    df = with_lines(docs(spark, d)).select("doc_id", F.posexplode("metadata_html").alias("i", "n"))
+    rules = linearize.HtmlRules(("id",), drop=(html.Rule("span"), html.Rule(None, 0, 12, but=("p",))))
+    df = with_lines(docs(spark, d)).select("doc_id", F.posexplode("tags_html").alias("i", "n"))
     r = linearize.render_local(F.col("n"), linearize.LinearizeConfig(html=rules))
     return df.withColumn("r", r).where("r is not null").select("doc_id", F.col("i").cast("long").alias("i"), "r.start").withColumnRenamed("start", "s")
 
@@ -620,7 +620,7 @@ SELECT doc_id, "offset", '{{' || string_agg(t, '' ORDER BY edge, t) || '}}' AS t
 )
 def l7_collate(spark: SparkSession, d: str) -> DataFrame:
     cfg = linearize.LinearizeConfig(wrap_start={"html": "{"}, wrap_end={"html": "}"})
-    df = projections.to_v1(with_lines(docs(spark, d)).select("doc_id", "text", "metadata_html"))
+    df = projections.to_v1(with_lines(docs(spark, d)).select("doc_id", "text", "tags_html"))
     return linearize.local_events(df, cfg, "doc_id").select(F.col("_id").alias("doc_id"), "offset", "text")
 
 
@@ -633,16 +633,16 @@ WHERE doc_id NOT IN (SELECT doc_id FROM nodes WHERE s = e) GROUP BY doc_id
 )
 def l8_insert_local(spark: SparkSession, d: str) -> DataFrame:
     cfg = linearize.LinearizeConfig(html=linearize.HtmlRules(attributes_to_keep=()))
-    df = with_lines(docs(spark, d)).where("not exists(metadata_html, n -> n.char_start_idx = n.char_end_idx)")
-    df = df.withColumn("metadata_html", F.transform("metadata_html", lambda n: n.withField("relative_start_pos", F.lit(None).cast("long"))))
-    out = linearize.insert_local(projections.to_v1(df.select("doc_id", "text", "metadata_html")), cfg, "doc_id")
+    df = with_lines(docs(spark, d)).where("not exists(tags_html, n -> n.char_start_idx = n.char_end_idx)")
+    df = df.withColumn("tags_html", F.transform("tags_html", lambda n: n.withField("relative_start_pos", F.lit(None).cast("long"))))
+    out = linearize.insert_local(projections.to_v1(df.select("doc_id", "text", "tags_html")), cfg, "doc_id")
     inserted = F.aggregate("char_mask", F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", F.md5("text_with_metadata").alias("text_md5"), inserted.alias("inserted"))
+    return out.select("doc_id", F.md5("text_with_tags").alias("text_md5"), inserted.alias("inserted"))
 
 
 @query("l9_gate", f"SELECT doc_id, {u_sql(1, 'doc_id', 'gate')} < 0.4 AS gated FROM documents")
 def l9_gate(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", linearize.gate(linearize.LinearizeConfig(metadata_probability=0.4), 1, "doc_id").alias("gated"))
+    return docs(spark, d).select("doc_id", linearize.gate(linearize.LinearizeConfig(tags_probability=0.4), 1, "doc_id").alias("gated"))
 
 
 TOKENS = "regexp_extract_all(text, '\\s*[\\p{L}\\p{N}\\p{M}_]+|\\s*[^\\p{L}\\p{N}\\p{M}_\\s]+|\\s+')"
@@ -686,14 +686,14 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, md5(array_to_string(list_concat(
 def l12_chunk(spark: SparkSession, d: str) -> DataFrame:
     rows = linearize.chunk(space_ids(spark, d).withColumn("prefix_ids", F.array(F.lit(7), F.lit(8), F.lit(9))), 64)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("doc_id", "chunk_idx", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"), total("attention_mask").alias("attended"), total("metadata_mask").alias("masked"))
+    return rows.select("doc_id", "chunk_idx", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"), total("attention_mask").alias("attended"), total("tags_mask").alias("masked"))
 
 
 @query("l13_same_context", _CHUNKS + "SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, md5(array_to_string(list_concat(own, list_transform(range(0, 64 - len(own)), lambda x: CAST(0 AS INTEGER))), ',')) AS ids_md5, CAST(len(own) AS BIGINT) AS attended, 64 AS mask_len FROM w")
 def l13_same_context(spark: SparkSession, d: str) -> DataFrame:
     rows = linearize.chunk(space_ids(spark, d).withColumn("prefix_ids", F.array(F.lit(7), F.lit(8), F.lit(9))), 64, same_context=True)
     attended = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("doc_id", "chunk_idx", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"), attended.alias("attended"), F.size("metadata_mask").alias("mask_len"))
+    return rows.select("doc_id", "chunk_idx", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"), attended.alias("attended"), F.size("tags_mask").alias("mask_len"))
 
 
 @query(
@@ -723,18 +723,18 @@ def l15_fix_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l18_train_rows")
 def l18_train_rows(spark: SparkSession, d: str) -> DataFrame:
-    df = taggers.tag_length_text(with_lines(docs(spark, d))).select("doc_id", "text", "metadata_generation_length_text", "metadata_html")
-    rows = training.build_dataset(df, linearize.LinearizeConfig(max_seq_len=256), "with_metadata", "doc_id")
+    df = taggers.tag_length_text(with_lines(docs(spark, d))).select("doc_id", "text", "tags_generation_length_text", "tags_html")
+    rows = training.build_dataset(df, linearize.LinearizeConfig(max_seq_len=256), "with_tags", "doc_id")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("doc_id", "chunk_idx", F.size("input_ids").alias("n"), total("attention_mask").alias("attended"), total("metadata_mask").alias("masked"))
+    return rows.select("doc_id", "chunk_idx", F.size("input_ids").alias("n"), total("attention_mask").alias("attended"), total("tags_mask").alias("masked"))
 
 
 @query("a11_paired_examples")
 def a11_paired_examples(spark: SparkSession, d: str) -> DataFrame:
-    df = projections.to_v1(taggers.tag_length_text(with_lines(docs(spark, d))).select("doc_id", "text", "metadata_generation_length_text"))
+    df = projections.to_v1(taggers.tag_length_text(with_lines(docs(spark, d))).select("doc_id", "text", "tags_generation_length_text"))
     out = linearize.paired_examples(df, linearize.LinearizeConfig(max_seq_len=512), "doc_id")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", total("metadata_attention").alias("with_metadata"), total("normal_attention").alias("without"), total("metadata_mask").alias("masked"))
+    return out.select("doc_id", total("tags_attention").alias("with_tags"), total("normal_attention").alias("without"), total("tags_mask").alias("masked"))
 
 
 @query("a10_longest_row", f"WITH t AS (SELECT {SPACE_IDS} AS ids FROM documents) SELECT CAST(max(len(ids)) AS INTEGER) AS longest FROM t")
@@ -758,7 +758,7 @@ def j4_intersect(spark: SparkSession, d: str) -> DataFrame:
     df = docs(spark, d)
     named = lambda x, mod: df.where(f"doc_id % {mod} = 0").withColumn("nodes", F.array(F.concat(F.lit(x), F.col("doc_id").cast("string"))))
     out = projections.intersect_on_text([named("a", 2), named("b", 3)], "doc_id", ["nodes", "nodes"])
-    return out.select(F.md5("text").alias("text_md5"), F.array_join("metadata", ",").alias("ids"))
+    return out.select(F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("ids"))
 
 
 @query("j5_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -772,9 +772,9 @@ def u1_union(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
 
 
-@query("a4_any_nodes", f"SELECT page_id % 10 AS grp, bool_or({TITLED}) AS has_metadata, count(*) AS \"rows\" FROM pages GROUP BY 1")
+@query("a4_any_nodes", f"SELECT page_id % 10 AS grp, bool_or({TITLED}) AS has_tags, count(*) AS \"rows\" FROM pages GROUP BY 1")
 def a4_any_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.any_nodes(annotated(spark, d).withColumn("grp", F.col("page_id") % 10), "grp", ["metadata_title"])
+    return evaluate.any_nodes(annotated(spark, d).withColumn("grp", F.col("page_id") % 10), "grp", ["tags_title"])
 
 
 @query("a8_error_counts", "SELECT CAST(sum(CASE WHEN TRY_CAST(props AS INTEGER) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS parse_error FROM events")
@@ -786,19 +786,19 @@ def a8_error_counts(spark: SparkSession, d: str) -> DataFrame:
 
 SCORES = """
 numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_quantity) AS pos FROM lineitem),
-scores AS (SELECT l_orderkey AS example_id, CASE l_orderkey % 3 WHEN 0 THEN 'a' ELSE 'b' END AS split, CASE WHEN l_orderkey % 2 = 0 THEN 'normal' ELSE 'metadata' END AS side, pos, l_discount * 20 + l_tax AS loss,
- CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END AS attention, CASE WHEN pos <= l_orderkey % 4 THEN 1 ELSE 0 END AS metadata FROM numbered),
-f AS (SELECT *, sum(1 - metadata) OVER (PARTITION BY split, side, example_id ORDER BY pos) = 1 AS first_region, min(pos) OVER (PARTITION BY split, side, example_id) AS p0 FROM scores),
-losses AS (SELECT split, side, example_id, sum(loss) FILTER (attention = 1 AND metadata = 0 AND pos > p0 AND NOT first_region) / nullif(count(*) FILTER (attention = 1 AND metadata = 0 AND pos > p0 AND NOT first_region), 0) AS loss,
- count(*) FILTER (attention = 1 AND metadata = 0 AND pos > p0 AND NOT first_region) AS tokens FROM f GROUP BY ALL)
+scores AS (SELECT l_orderkey AS example_id, CASE l_orderkey % 3 WHEN 0 THEN 'a' ELSE 'b' END AS split, CASE WHEN l_orderkey % 2 = 0 THEN 'normal' ELSE 'tags' END AS side, pos, l_discount * 20 + l_tax AS loss,
+ CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END AS attention, CASE WHEN pos <= l_orderkey % 4 THEN 1 ELSE 0 END AS tags FROM numbered),
+f AS (SELECT *, sum(1 - tags) OVER (PARTITION BY split, side, example_id ORDER BY pos) = 1 AS first_region, min(pos) OVER (PARTITION BY split, side, example_id) AS p0 FROM scores),
+losses AS (SELECT split, side, example_id, sum(loss) FILTER (attention = 1 AND tags = 0 AND pos > p0 AND NOT first_region) / nullif(count(*) FILTER (attention = 1 AND tags = 0 AND pos > p0 AND NOT first_region), 0) AS loss,
+ count(*) FILTER (attention = 1 AND tags = 0 AND pos > p0 AND NOT first_region) AS tokens FROM f GROUP BY ALL)
 """
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
     return table(spark, d, "lineitem").withColumn("pos", F.row_number().over(order)).selectExpr(
-        "l_orderkey as example_id", "if(l_orderkey % 3 = 0, 'a', 'b') as split", "if(l_orderkey % 2 = 0, 'normal', 'metadata') as side", "pos",
-        "cast(l_discount * 20 + l_tax as double) as loss", "if(l_quantity > 10, 1, 0) as attention", "if(pos <= l_orderkey % 4, 1, 0) as metadata",
+        "l_orderkey as example_id", "if(l_orderkey % 3 = 0, 'a', 'b') as split", "if(l_orderkey % 2 = 0, 'normal', 'tags') as side", "pos",
+        "cast(l_discount * 20 + l_tax as double) as loss", "if(l_quantity > 10, 1, 0) as attention", "if(pos <= l_orderkey % 4, 1, 0) as tags",
     )
 
 
@@ -841,7 +841,7 @@ def w6_mask_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a5_train_loss",
-    f"WITH {SCORES} SELECT split, side, example_id, round(sum(loss) FILTER (attention = 1 AND metadata = 0 AND pos > p0) / nullif(count(*) FILTER (attention = 1 AND metadata = 0 AND pos > p0), 0), 6) AS loss, count(*) FILTER (attention = 1 AND metadata = 0 AND pos > p0) AS tokens FROM f GROUP BY ALL",
+    f"WITH {SCORES} SELECT split, side, example_id, round(sum(loss) FILTER (attention = 1 AND tags = 0 AND pos > p0) / nullif(count(*) FILTER (attention = 1 AND tags = 0 AND pos > p0), 0), 6) AS loss, count(*) FILTER (attention = 1 AND tags = 0 AND pos > p0) AS tokens FROM f GROUP BY ALL",
 )
 def a5_train_loss(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.masked_mean_loss(scores(spark, d), drop_first=False).withColumn("loss", F.round("loss", 6))
@@ -867,7 +867,7 @@ def s10_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     df = taggers.tag_url(pages(spark, d).select((F.col("page_id") % 1000).alias("c4_shard"), "url", F.col("html").alias("text"))).where("length(url) > 0")
     sources.write_jsonl_gz(df, path)
     back = sources.read_annotated(spark, path)
-    return back.select("c4_shard", "url", F.length("text").cast("long").alias("n"), F.size("metadata_url").alias("urls"), F.size("metadata_entity").alias("entities"))
+    return back.select("c4_shard", "url", F.length("text").cast("long").alias("n"), F.size("tags_url").alias("urls"), F.size("tags_entity").alias("entities"))
 
 
 @query("s16_shards_round_trip", "SELECT CAST((row_number() OVER (ORDER BY page_id) - 1) % 10 AS INTEGER) AS shard, page_id, md5(html) AS html_md5 FROM pages")
@@ -884,7 +884,7 @@ PAGE_SCHEMA = "page_id long, url string, html string"
 @query("st1_stream_datasource", f"SELECT page_id, {DATASOURCE} AS value FROM pages WHERE url IS NOT NULL")
 def st1_stream_datasource(spark: SparkSession, d: str) -> DataFrame:
     stream = streaming.stream_columnar(spark, f"{d}/pages.parque[t]", PAGE_SCHEMA)
-    out = exploded(taggers.tag_datasource(taggers.tag_url(stream)), "page_id", "metadata_generation_datasource").select("page_id", "value")
+    out = exploded(taggers.tag_datasource(taggers.tag_url(stream)), "page_id", "tags_generation_datasource").select("page_id", "value")
     path = sources.scratch_dir(spark)
     streaming.publish(out, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema("page_id long, value string").parquet(f"{path}/out")

@@ -23,28 +23,28 @@ ANY = (
 
 #: Column and node type of the annotated corpus.
 ANNOTATIONS = {
-    "metadata_entity": LOCAL,
-    "metadata_entity_paragraph": LOCAL_REL,
-    "metadata_generation_datasource": GLOBAL,
-    "metadata_generation_length_sentence": LOCAL,
-    "metadata_generation_length_text": GLOBAL,
-    "metadata_html": HTML,
-    "metadata_paragraph": PARAGRAPH,
-    "metadata_timestamp": GLOBAL,
-    "metadata_title": GLOBAL,
-    "metadata_url": GLOBAL,
-    "metadata_website_desc": GLOBAL,
+    "tags_entity": LOCAL,
+    "tags_entity_paragraph": LOCAL_REL,
+    "tags_generation_datasource": GLOBAL,
+    "tags_generation_length_sentence": LOCAL,
+    "tags_generation_length_text": GLOBAL,
+    "tags_html": HTML,
+    "tags_paragraph": PARAGRAPH,
+    "tags_timestamp": GLOBAL,
+    "tags_title": GLOBAL,
+    "tags_url": GLOBAL,
+    "tags_website_desc": GLOBAL,
 }
 V2 = ", ".join(
     [
         "c4_shard bigint, c4_timestamp string, html string, text string, url string",
         "html_footer array<string>, html_head array<string>, html_title array<string>",
-        "HtmlPreprocessor_error bigint, HtmlPreprocessor_error_comment string",
+        "html_error bigint, html_error_comment string",
         *(f"{name} array<{node}>" for name, node in ANNOTATIONS.items()),
     ]
 )
-V1 = f"id string, text string, metadata array<{ANY}>"
-TRAIN_ROW = "chunk_idx int, input_ids array<int>, attention_mask array<int>, metadata_mask array<int>"
+V1 = f"id string, text string, tags array<{ANY}>"
+TRAIN_ROW = "chunk_idx int, input_ids array<int>, attention_mask array<int>, tags_mask array<int>"
 
 _SCALARS = {"int64": "bigint", "int32": "int", "string": "string", "float64": "double", "float32": "float", "bool": "boolean"}
 

@@ -26,13 +26,13 @@ def read_annotated(spark: SparkSession, *paths: str) -> DataFrame:
     return with_annotations(spark.read.schema(schemas.V2).json(list(paths)))
 
 
-def read_v1(spark: SparkSession, *paths: str, ext: str = "jsonl", metadata: bool = True) -> DataFrame:
-    """Training files: json or jsonl, and txt (a text a line) only without metadata."""
+def read_v1(spark: SparkSession, *paths: str, ext: str = "jsonl", tags: bool = True) -> DataFrame:
+    """Training files: json or jsonl, and txt (a text a line) only without tags."""
     if ext in ("json", "jsonl"):
-        return spark.read.schema(schemas.V1 if metadata else "id string, text string").json(list(paths))
-    if ext == "txt" and not metadata:
+        return spark.read.schema(schemas.V1 if tags else "id string, text string").json(list(paths))
+    if ext == "txt" and not tags:
         return spark.read.text(list(paths)).withColumnRenamed("value", "text")
-    raise ValueError(f"files with extension {ext!r} can't be read " + ("with metadata" if metadata else "here"))
+    raise ValueError(f"files with extension {ext!r} can't be read " + ("with tags" if tags else "here"))
 
 
 def read_named(spark: SparkSession, name: str, config: str | None = None, revision: str | None = None) -> DataFrame:
@@ -56,8 +56,9 @@ def parse_lines(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("_parsed", parsed).select("*", "_parsed.*").drop("_parsed")
 
 
-def file_name(path: str = "_metadata.file_path") -> F.Column:
-    return F.substring_index(F.col(path), "/", -1)
+def file_name() -> F.Column:
+    """The name of the file that a row was read from, without its folders."""
+    return F.substring_index(F.input_file_name(), "/", -1)
 
 
 def select_files(

@@ -16,7 +16,7 @@ def values(df, column, name="value"):
 def test_datasource(spark):
     urls = ["https://www.a.com/forum/21-new-project/x_y-5", "https://b.org/2005/03/22/end", "http://c.de/", "http://d.de/a+b.html?q=1#f"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    got = values(taggers.tag_datasource(df), "metadata_generation_datasource")
+    got = values(taggers.tag_datasource(df), "tags_generation_datasource")
     assert got == [["www.a.com > forum > x y"], ["b.org > end"], ["c.de > "], ["d.de > a b html"]]
 
 
@@ -36,55 +36,84 @@ def test_unquote(spark):
 
 def test_lengths(spark):
     df = spark.createDataFrame([("ab. c.d",), ("",), (None,), ("no stop",)], "text string")
-    assert values(taggers.tag_length_text(df), "metadata_generation_length_text") == [["7"], ["0"], [], ["7"]]
-    out = taggers.tag_length_sentence(df).select("metadata_generation_length_sentence").collect()
+    assert values(taggers.tag_length_text(df), "tags_generation_length_text") == [["7"], ["0"], [], ["7"]]
+    out = taggers.tag_length_sentence(df).select("tags_generation_length_sentence").collect()
     assert [[(n.char_start_idx, n.char_end_idx, n.value) for n in r[0]] for r in out] == [[(0, 2, "2"), (2, 5, "2")], [], [], []]
 
 
 def test_descriptions(spark):
     texts = ["one two", "a b c d e", "Mercury may refer to:", " ".join("w" * 51)]
     node = "array(named_struct('key', 'website_description', 'type', 'global', 'value', t))"
-    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"{node} as metadata_website_desc")
-    assert values(taggers.clean_website_description(df), "metadata_website_desc") == [[], ["a b c d e"], [], []]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"{node} as tags_website_desc")
+    assert values(taggers.clean_website_description(df), "tags_website_desc") == [[], ["a b c d e"], [], []]
 
 
-PAGE = (
-    "\n <html>\n <head><meta charset=\"utf-8\"><title>My test page</title><head>\n <body>\n <h1>This is a title</h1>\n with some additional text to reach "
-    "64 characters tidi tadada tidi tadada tidi tadada </body> <footer><p>Author: X</p></footer></html>\n"
-)
+def cleaned(spark, page, policy):
+    r = html.extract_html(spark.createDataFrame([(page,)], "html string"), policy=policy).first()
+    return r.text, r.tags_html
 
 
-def test_html_page(spark):
-    r = html.extract_html(spark.createDataFrame([(PAGE,), (None,), ("",), ("<?xml version='1.0' encoding='x'?><a/>",)], "html string")).collect()
-    assert r[0].text == "This is a title\nwith some additional text to reach 64 characters tidi tadada tidi tadada tidi tadada\n"
-    assert [(n.value, n.char_start_idx, n.char_end_idx, n.relative_start_pos, n.relative_end_pos) for n in r[0].metadata_html] == [("h1", 0, 15, 1, 0), ("body", 0, 101, 0, 0)]
-    assert r[0].html_title == ["<title>My test page</title>"] and r[0].html_footer == ["<footer><p>Author: X</p></footer>"]
-    assert [x.text for x in r[1:]] == ["", "", ""]
+def places(text, nodes):
+    return [(n.value, text[n.char_start_idx : n.char_end_idx], n.relative_start_pos, n.relative_end_pos) for n in nodes]
 
 
-def test_html_rules():
-    page = "<html><body><h1>this is a title that we keep</h1><div class='a' id=1>blablabla<div class='b' href='x'>tidi tidi</div></div></body></html>"
-    text, nodes, _ = html.clean_page(page, html.HtmlPolicy(fold=("div",)))
-    assert text == "this is a title that we keep\nblablabla\ntidi tidi\n"
-    assert [n["html_attrs"] for n in nodes if n["value"] == "div"] == [{"attrs": ["class", "id", "href"], "values": ["a b", "1", "x"]}]
-    text, nodes, _ = html.clean_page(page, html.HtmlPolicy(drop_with_content=(html.Rule("div", most=10, method="bottom-up"),), attrs_to_keep=("id",)))
-    assert text == "this is a title that we keep\n" or "tidi" not in text
-    with pytest.raises(ValueError, match="neither"):
-        html.HtmlPolicy(drop_with_content=(html.Rule("p", method="sideways"),))
+NEWS = (
+    "<!DOCTYPE html>\n<html>\n<head><title>Harbour news</title><meta name=k>\n</head><body class=m>\n<h2>Ferry is late</h2>\nThe ferry from the north quay left an hour "
+    "after its time on Monday, said the pilot. </body><footer><b>Imprint &amp; more</b></footer></html>"
+)
 
 
-def test_html_breaks_and_pre():
-    text, nodes, _ = html.clean_page("<body>a<br>b<pre> x\n  y </pre><p>one<p>two<ul><li>l1<li>l2</ul></body>", html.HtmlPolicy(br_to_newline=True))
-    assert "a\nb" in text and " x\n  y" in text and "one\ntwo" in text and "br" not in {n["value"] for n in nodes}
-    for n in nodes:
-        assert 0 <= n["char_start_idx"] <= n["char_end_idx"] <= len(text)
+def test_html_page(spark):
+    r = html.extract_html(spark.createDataFrame([(NEWS, "old"), (None, "o"), ("  ", "o"), ("<?xml version='1.0' encoding='x'?><a/>", "o"), ("<title>x</title>", "o"), (NEWS, "same")], "html string, text string"))
+    r = r.orderBy(F.length("html").desc_nulls_last()).collect()
+    lines = "Ferry is late\nThe ferry from the north quay left an hour after its time on Monday, said the pilot.\n"
+    assert r[0].text == r[1].text == lines and [x.text for x in r[2:]] == [""] * 4
+    assert places(lines, r[0].tags_html) == [("h2", "Ferry is late", 1, 0), ("body", lines, 0, 0)]
+    assert r[0].html_title == ["<title>Harbour news</title>"] and r[0].html_footer == ["<footer><b>Imprint &amp; more</b></footer>"]
+    assert r[0].html_head == ['<head><title>Harbour news</title><meta name="k"/>\n</head>'] and r[0].html_error == 0
+
+
+def test_html_text(spark):
+    page = "<h1>A  <i> b</i></h1>x&nbsp; y<div>\n c<div>d</div> e</div><table><tr><td>1</td><td>2<tr><td>3</table><ul><li>p<li>q</ul>end"
+    text, nodes = cleaned(spark, page, html.HtmlPolicy(keep_attrs=()))
+    assert text == "A b\nx y\nc\nd\ne\n1 2\n3\np\nq\nend\n"
+    assert [n.value for n in nodes] == "i h1 div div td td tr td tr table li li ul body".split()
+    assert places(text, nodes)[2][:2] == ("div", "\nd")
+    text, nodes = cleaned(spark, "<p> cut </><p>one<pre> x\n  y </pre>a<br>b<br/>c", html.HtmlPolicy(newlines=True))
+    assert text == "cut >\none\n x\n  y\na\nb\nc\n" and "br" not in [n.value for n in nodes]
+    text, nodes = cleaned(spark, "<a href='u'\" title>go</a>", html.HtmlPolicy())
+    assert (text, nodes[0].html_attrs.attrs, list(nodes[0].html_attrs["values"])) == ("go\n", ["href", "title"], ["u", "title"])
+
+
+def test_html_rules(spark):
+    page = "<body><h1>a heading that stays</h1><div class='a' id=1>outer<div class='b' href='x'>tiny</div></div></body>"
+    text, nodes = cleaned(spark, page, html.HtmlPolicy(fold=("div",)))
+    assert text == "a heading that stays\nouter\ntiny\n"
+    assert [(n.html_attrs.attrs, list(n.html_attrs["values"])) for n in nodes if n.value == "div"] == [(["class", "id", "href"], ["a b", "1", "x"])]
+    for rule, left in (
+        (html.Rule("div", most=5), "a heading that stays\nouter\n"),
+        (html.Rule("div", most=5, bottom_up=True), "a heading that stays\n"),
+        (html.Rule("div", least=9), "a heading that stays\n"),
+        (html.Rule(most=4, but=("h1",)), "a heading that stays\nouter\n"),
+    ):
+        text, nodes = cleaned(spark, page, html.HtmlPolicy(drop=(rule,), keep_attrs=("id",)))
+        assert text == left and {a for n in nodes for a in n.html_attrs.attrs} <= {"id"}
+    text, nodes = cleaned(spark, page, html.HtmlPolicy(unwrap=(html.Rule("div", most=5), html.Rule(least=20, but=("body", "div")))))
+    assert [n.value for n in nodes] == ["div", "body"] and text == "a heading that stays\nouter\ntiny\n"
+    text, _ = cleaned(spark, "<b>x</b><script>q</script>tail<i>k</i> <u>z</u>mm<s></s><u>z</u>nn", html.HtmlPolicy(drop=(html.Rule("script"), html.Rule("u"))))
+    assert text == "xtailk mmnn\n"
+
+
+def test_html_nested_deep(spark):
+    text, nodes = cleaned(spark, "<div>" * 3000 + "deep" + "</div>" * 3000, html.HtmlPolicy())
+    assert text == "deep\n" and len(nodes) == 3001
 
 
 def test_paragraphs(spark):
     node = lambda tag, s, e: (e, s, ([], []), "html", 0, 0, "local", tag)
     text = "abc\ndef\n\nghi tail"
-    df = spark.createDataFrame([(1, text, [node("p", 0, 3), node("div", 4, 12)])], f"id long, text string, metadata_html array<{schemas.HTML}>")
-    out = taggers.tag_paragraph(df, "id").first().metadata_paragraph
+    df = spark.createDataFrame([(1, text, [node("p", 0, 3), node("div", 4, 12)])], f"id long, text string, tags_html array<{schemas.HTML}>")
+    out = taggers.tag_paragraph(df, "id").first().tags_paragraph
     assert [(p.char_start_idx, p.char_end_idx, p.marker, p.value) for p in out] == [(0, 4, "p", "abc\n"), (4, 9, "div+lf", "def\n\n"), (9, 12, "div+lf", "ghi"), (12, 17, "remainder", " tail")]
     assert "".join(p.value for p in out) == text
 
@@ -96,31 +125,31 @@ def test_gazetteers_of_any_size(spark, monkeypatch):
     for small in (500, 0):
         monkeypatch.setattr(taggers, "SMALL_GAZETTEER", small)
         rows = taggers.tag_entity(df, names, "id").orderBy("id").collect()
-        out.append([[(n.char_start_idx, n.char_end_idx, n.value) for n in r.metadata_entity] for r in rows])
+        out.append([[(n.char_start_idx, n.char_end_idx, n.value) for n in r.tags_entity] for r in rows])
     assert out[0] == out[1] == [[(10, 18, "N"), (20, 25, "O"), (0, 5, "P"), (14, 21, "Y")], [], [], [(1, 6, "O")]]
 
 
 def test_entity_paragraphs(spark):
-    schema = f"metadata_entity array<{schemas.LOCAL}>, metadata_paragraph array<{schemas.PARAGRAPH}>"
+    schema = f"tags_entity array<{schemas.LOCAL}>, tags_paragraph array<{schemas.PARAGRAPH}>"
     e = lambda s, x, v: (x, s, "entity", "local", v)
     df = spark.createDataFrame([([e(1, 3, "A"), e(4, 6, "B"), e(1, 2, "A"), e(30, 31, "C")], [(10, 0, "paragraph", "p", "local", "x")])], schema)
-    out = taggers.tag_entity_paragraph(df).first().metadata_entity_paragraph
+    out = taggers.tag_entity_paragraph(df).first().tags_entity_paragraph
     assert [(n.char_start_idx, n.char_end_idx, n.value, n.relative_start_pos) for n in out] == [(0, 10, "A", 0), (0, 10, "B", 1), (30, 31, "C", 0)]
 
 
 def test_insertion(spark):
     n = lambda key, s, e, v, r=None: (e, s, (["a"], ["1"]), key, None, r, r, "local", v)
     nodes = [n("entity", 0, 5, "Joe_B"), n("html", 0, 5, "b", 0), n("html", 5, 5, "br", 1)]
-    df = spark.createDataFrame([(1, "Biden won", nodes)], f"id long, text string, metadata array<{schemas.ANY}>")
-    nodes_html = df.withColumn("metadata", F.expr("filter(metadata, n -> n.key = 'entity')"))
+    df = spark.createDataFrame([(1, "Biden won", nodes)], f"id long, text string, tags array<{schemas.ANY}>")
+    nodes_html = df.withColumn("tags", F.expr("filter(tags, n -> n.key = 'entity')"))
     r = linearize.insert_local(nodes_html, linearize.LinearizeConfig(), "id").first()
-    assert r.text_with_metadata == "Biden [[Joe B]] won" and r.char_mask == [0] * 5 + [1] * 10 + [0] * 4
+    assert r.text_with_tags == "Biden [[Joe B]] won" and r.char_mask == [0] * 5 + [1] * 10 + [0] * 4
 
 
 def test_chunks(spark):
     df = spark.createDataFrame([(1, [1, 2, 3, 4, 5], [0, 1, 0, 0, 1], [9]), (2, [], [], [9])], "id int, ids array<int>, mask array<int>, prefix_ids array<int>")
     out = linearize.chunk(df, 4).orderBy("chunk_idx").collect()
-    assert [(r.input_ids, r.attention_mask, r.metadata_mask) for r in out] == [([9, 1, 2, 3], [1] * 4, [1, 0, 1, 0]), ([9, 4, 5, 0], [1, 1, 1, 0], [1, 0, 1, 0])]
+    assert [(r.input_ids, r.attention_mask, r.tags_mask) for r in out] == [([9, 1, 2, 3], [1] * 4, [1, 0, 1, 0]), ([9, 4, 5, 0], [1, 1, 1, 0], [1, 0, 1, 0])]
 
 
 def test_error_capture(spark):
@@ -140,7 +169,7 @@ def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("u1", "t1"), ("u2", "t2")], "url string, text string")
     sources.write_jsonl_gz(taggers.tag_url(df), f"{tmp_path}/j")
     back = sources.read_annotated(spark, f"{tmp_path}/j")
-    assert sorted(v[0] for v in values(back, "metadata_url")) == ["u1", "u2"] and values(back, "metadata_html") == [[], []]
+    assert sorted(v[0] for v in values(back, "tags_url")) == ["u1", "u2"] and values(back, "tags_html") == [[], []]
     sources.write_shards(sources.shard(df, 2, "url"), f"{tmp_path}/s")
     sources.write_shards(sources.shard(df, 2, "url"), f"{tmp_path}/s", "ignore")
     assert sources.concat_shards(spark, f"{tmp_path}/s", 2).count() == 2
@@ -158,7 +187,7 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = streaming.stream_annotated(spark, f"{tmp_path}/in", files_per_trigger=1)
     run = lambda d: taggers.tag_datasource(taggers.tag_length_text(taggers.tag_url(d)))
     streaming.publish(run(stream), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    cols = ["url", "metadata_url", "metadata_generation_datasource", "metadata_generation_length_text"]
+    cols = ["url", "tags_url", "tags_generation_datasource", "tags_generation_length_text"]
     want = sorted(map(str, run(sources.read_annotated(spark, f"{tmp_path}/in")).select(cols).collect()))
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(cols).collect())) == want
     counts = sampling.column_counts(run(streaming.stream_annotated(spark, f"{tmp_path}/in", files_per_trigger=2)))
