@@ -1,15 +1,20 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
-Of all suffixes only some can start or hold a string of `length` bytes that occurs twice, and buckets
-tell which. Every window of `length` bytes has an anchor, its smallest q-gram by hash, so equal windows
-have equal anchors at equal places. Initial buckets are anchors' q-grams; buckets of one suffix are done.
-Others are refined by the identifier of the whole run of windows that share the anchor: a run that occurs
-twice is repeated throughout. What is left in buckets of several runs is refined by the identifiers of its
-windows, in one task for buckets of at most `small` runs, else by counting identifiers over the cluster.
-No bucket is gathered whole beyond that.
-
-Suffixes that are no anchors' are never sorted, so there is no complete suffix array; strings are judged
-on the input, and every byte covered by a repeated window goes.
+Suffixes fall into initial buckets by a q-gram, and buckets are refined by the bucket identifiers of later
+offsets until they stand for strings of `length` bytes; a suffix alone in its bucket is done.
+
+The first buckets are over the cluster and few. Every window of `short` bytes has an anchor, its smallest
+`gram`-byte string by hash, so equal windows have equal anchors at equal places: a suffix whose anchor has a
+bucket of its own can't begin a repeat and is done at once. Others are refined by the identifier of the whole
+run of windows that share the anchor (with the bytes that strings of `length` from there need); a run that
+occurs twice repeats throughout. What is left, runs that differ in a bucket of several, is refined byte by
+byte: buckets of exact 8-byte strings, then of 16, 32, ... bytes, each named by the pair of a suffix's own
+bucket and that of the suffix one length on, until `short` and `length` are reached (`refine`). Buckets of
+more than `small` different runs are refined over the cluster, by a pair of halves' identifiers.
+
+No bucket is gathered whole beyond that. Strings are judged on the input, and every byte covered by a
+repeated string goes. Exact names need no hashes; anchors, whole runs and halves are named by 64-bit hashes,
+always two at once.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +33,14 @@ from tagweave.llm.common import array_of, documents, ship, utf8, whole_groups, w
 from tagweave.llm.jaccard_join import _BYTE, _powers, mix
 
 LENGTH = 400
-GRAM = 100
-SMALL = 4096
+#: Shorter repeats (passages of some fifty words) are counted too, but not removed.
+SHORT = 240
+GRAM = 60
+SMALL = 1024
 #: Longer texts are cut, with windows on either side of a cut kept whole.
 PIECE = 1 << 19
+#: Suffixes that are refined at once in a task; a bucket is kept whole.
+AT_ONCE = 1 << 20
 _U = np.uint64
 
 
@@ -52,27 +62,28 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+def runs(data: bytes, length: int = LENGTH, gram: int = GRAM, short: int = SHORT) -> list[tuple[int, int, int, int]]:
     """(first window, number of windows, anchor's bucket, identifier of the run) of the windows of data."""
     out = []
-    for base in range(0, max(0, len(data) - length + 1), PIECE):
-        part = data[base : base + PIECE + length - 1]
-        g = identifiers(np.frombuffer(part, np.uint8), gram)
+    view = memoryview(data)
+    for base in range(0, max(0, len(data) - short + 1), PIECE):
+        g = identifiers(np.frombuffer(view[base : base + PIECE + short - 1], np.uint8), gram)
         place = np.arange(len(g), dtype=np.uint64)
-        first = _least((g & ~_U((1 << 20) - 1)) | place, length - gram + 1) & _U((1 << 20) - 1)
+        first = _least((g & ~_U((1 << 20) - 1)) | place, short - gram + 1) & _U((1 << 20) - 1)
         change = np.r_[0, np.flatnonzero(first[1:] != first[:-1]) + 1, len(first)]
         bucket = g[first[change[:-1]].astype(np.int64)].view(np.int64)
+        change += base
         for at, end, key in zip(change[:-1].tolist(), change[1:].tolist(), bucket.tolist(), strict=True):
-            out.append((base + at, end - at, key, xxhash.xxh3_64_intdigest(part[at : end - 1 + length]) - (1 << 63)))
+            out.append((at, end - at, key, xxhash.xxh3_64_intdigest(view[at : end - 1 + length]) - (1 << 63)))
     return out
 
 
-def _runs(length: int, gram: int):
+def _runs(length: int, gram: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = runs(utf8(text), length, gram)
+                found = runs(utf8(text), length, gram, short)
                 out += found
                 rows += [row] * len(found)
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -82,7 +93,7 @@ def _runs(length: int, gram: int):
     return run
 
 
-_CONTEXT = "row binary, at int, g long, open boolean, hot boolean, bytes binary"
+_CONTEXT = "row binary, at int, n int, g long, open boolean, hot boolean, bytes binary"
 
 
 def _contexts(length: int):
@@ -90,97 +101,175 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, text, marks in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                data = None
-                for m in marks:
-                    if m["compare"]:
-                        data = utf8(text) if data is None else data
-                        out.append((row, m["at"], m["g"], not m["full"], m["hot"], data[m["at"] : m["at"] + m["n"] - 1 + length]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "at", "g", "open", "hot", "bytes"])
+            marks = batch.column("runs")
+            fields = marks.values
+            at, n, g, full, compare, hot = (fields.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "g", "full", "compare", "hot"))
+            offsets = marks.offsets.to_numpy()
+            chosen = np.flatnonzero(compare)
+            of = np.searchsorted(offsets, chosen, side="right") - 1
+            texts = batch.column("text")
+            names, out, last, data = batch.column("row").to_pylist(), [], -1, b""
+            for i, r in zip(chosen.tolist(), of.tolist(), strict=True):
+                if r != last:
+                    last, data = r, utf8(texts[r].as_py())
+                out.append(data[at[i] : at[i] + n[i] - 1 + length])
+            cols = [pa.array([names[r] for r in of.tolist()], pa.binary()), *(pa.array(x[chosen]) for x in (at, n, g)), pa.array(~full[chosen].astype(bool)), pa.array(hot[chosen].astype(bool)), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "at", "n", "g", "open", "hot", "bytes"])
 
     return run
 
 
-def _in_bucket(length: int):
-    """Windows of open runs that occur in another run of the bucket, as ranges of window starts."""
+def _named(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among those that occur twice; -1 for keys that occur once."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    group = np.cumsum(new) - 1
+    several = np.diff(np.r_[np.flatnonzero(new), len(keys)]) > 1
+    rank = np.where(several, np.cumsum(several) - 1, -1)
+    out = np.empty(len(keys), np.int64)
+    out[order] = rank[group]
+    return out
+
+
+def refine(data: np.ndarray, lengths: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """For each length in turn, a name for the string of so many bytes at every place of data, -1 where it occurs once.
+
+    Names of short strings are ranks of their bytes; longer ones are ranks of pairs of names, those of the
+    place and of the place as far on as is still to cover. A place that is alone once stays so.
+    """
+    gram = 8
+    names = np.full(len(data), -1, np.int64)
+    if len(data) >= gram:
+        names[: len(data) - gram + 1] = _named(np.ndarray((len(data) - gram + 1,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy())
+    for wanted in lengths:
+        while gram < wanted:
+            step = min(gram, wanted - gram)
+            both = np.flatnonzero((names[: len(names) - step] >= 0) & (names[step:] >= 0)) if len(names) > step else np.empty(0, np.int64)
+            pairs = names[both] * (len(data) + 1) + names[both + step]
+            names = np.full(len(data), -1, np.int64)
+            if len(both):
+                names[both] = _named(pairs)
+            gram += step
+        yield names
+
+
+def _edges(flags: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of runs of true flags that stay in one context."""
+    cut = np.r_[True, context[1:] != context[:-1]] if len(context) else np.empty(0, bool)
+    begin = flags & (cut | ~np.r_[False, flags[:-1]])
+    after = np.r_[cut[1:], True] if len(cut) else cut
+    end = flags & (after | ~np.r_[flags[1:], False])
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def _in_bucket(length: int, short: int):
+    """Windows of open runs that occur in another run of the bucket, as ranges of window starts, for both lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, "g"):
-            row, at = array_of(table, "row").to_pylist(), array_of(table, "at").to_pylist()
-            is_open = array_of(table, "open").to_numpy(zero_copy_only=False)
-            data = array_of(table, "bytes").to_pylist()
-            out: list[tuple[bytes, int, int]] = []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                ids = [identifiers(np.frombuffer(data[i], np.uint8), length) for i in range(lo, hi)]
-                sizes = [len(x) for x in ids]
-                _, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-                weight = np.repeat(np.where(is_open[lo:hi], 1, 2), sizes)
-                twice = np.bincount(inverse, weight)[inverse] > 1
-                ends = np.cumsum(sizes)
-                for i, (b, e) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True), lo):
-                    if is_open[i]:
-                        edge = np.flatnonzero(np.diff(np.r_[False, twice[b:e], False]))
-                        out += [(row[i], at[i] + x, at[i] + y) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            kinds = [pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "first", "end"])
+            sizes = pc.binary_length(array_of(table, "bytes")).to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            lo = 0
+            while lo < table.num_rows:  # whole buckets, about AT_ONCE bytes
+                room = np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, side="right")
+                hi = int(bounds[max(np.searchsorted(bounds, room, side="right") - 1, np.searchsorted(bounds, lo, side="right"))])
+                yield from _refined(table.slice(lo, hi - lo), length, short)
+                lo = hi
 
     return run
 
 
-def _windows(length: int):
+def _refined(part: pa.Table, length: int, short: int) -> Iterator[pa.RecordBatch]:
+    row, at, n, is_open, held = (array_of(part, c) for c in ("row", "at", "n", "open", "bytes"))
+    at, n, is_open = at.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64), is_open.to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(held).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
+    base = np.cumsum(sizes) - sizes
+    for wanted, names in zip((short, length), refine(data, (short, length)), strict=True):
+        many = np.clip(np.minimum(n, sizes - wanted + 1), 0, None)
+        context = np.repeat(np.arange(len(n)), many)
+        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        mine = names[base[context] + nth]
+        known = mine >= 0
+        weight = np.bincount(mine[known], np.where(is_open[context[known]], 1, 2))
+        twice = np.zeros(len(mine), bool)
+        twice[known] = weight[mine[known]] > 1
+        begin, end = _edges(twice & is_open[context], context)
+        if len(begin):
+            c = context[begin]
+            cols = [row.take(pa.array(c)), pa.array(at[c] + nth[begin]), pa.array(at[c] + nth[end - 1] + 1), pa.array(np.full(len(c), wanted, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "first", "end", "size"])
+
+
+def _windows(length: int, short: int):
+    """A row for every window of both lengths: the identifiers of its halves are its bucket and that of a later offset."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = identifiers(np.frombuffer(r["bytes"], np.uint8), length).view(np.int64)
-                n = len(ids)
-                cols = [np.arange(r["at"], r["at"] + n, dtype=np.int64), np.full(n, r["g"], np.int64), ids, np.full(n, 1 if r["open"] else 2, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["row"]] * n, pa.binary()), *map(pa.array, cols)], ["row", "first", "g", "id", "weight"])
+                data = np.frombuffer(r["bytes"], np.uint8)
+                for wanted in (short, length):
+                    n = min(r["n"], len(data) - wanted + 1)
+                    if n > 0:
+                        half = -(-wanted // 2)
+                        ids = identifiers(data, half).view(np.int64)
+                        cols = [np.arange(r["at"], r["at"] + n, dtype=np.int64), np.full(n, r["g"], np.int64), np.full(n, wanted, np.int32)]
+                        cols += [ids[:n], ids[wanted - half : wanted - half + n], np.full(n, 1 if r["open"] else 2, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array([r["row"]] * n, pa.binary()), *map(pa.array, cols)], ["row", "first", "g", "size", "b", "later", "weight"])
 
     return run
 
 
-def _cut(length: int):
+def _covered(n_bytes: int, marks: list[dict], ranges: list[dict], wanted: int) -> np.ndarray:
+    """Which bytes repeated windows of one length cover."""
+    step = np.zeros(n_bytes + 1, np.int32)
+    for m in marks:
+        end = min(m["at"] + m["n"], n_bytes - wanted + 1)
+        if m["full"] and end > m["at"]:
+            step[m["at"]] += 1
+            step[end - 1 + wanted] -= 1
+    for r in ranges:
+        if r["size"] == wanted:
+            step[r["first"]] += 1
+            step[r["end"] - 1 + wanted] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
+def _cut(length: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, text, marks, ranges in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "runs", "ranges")), strict=True):
                 data = utf8(text)
-                step = np.zeros(len(data) + 1, np.int32)
-                for m in marks:
-                    if m["full"]:
-                        step[m["at"]] += 1
-                        step[m["at"] + m["n"] - 1 + length] -= 1
-                for r in ranges or ():
-                    step[r["first"]] += 1
-                    step[r["end"] - 1 + length] -= 1
-                gone = np.cumsum(step[:-1]) > 0
+                gone = _covered(len(data), marks, ranges or (), length)
+                repeated = int(_covered(len(data), marks, ranges or (), short).sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(np.r_[False, gone]) & gone))
-                out.append((row, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((row, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), repeated, kept))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, small: int = SMALL, with_kept: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept: the bytes left].
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, small: int = SMALL, short: int = SHORT, with_kept: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated[, kept: the bytes left].
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in another row or
-    the same. Null counts as empty; texts shorter than `length` stay whole; repeated rows are documents of
+    the same. n_repeated counts bytes covered by strings of `short` bytes (gram <= short <= length) that do;
+    they stay. Null counts as empty; texts shorter than `length` stay whole; repeated rows are documents of
     their own, so all of a repeated text of `length` bytes or more goes. kept may end inside a character.
     Only doc_id and text are read.
     """
+    if not gram <= short <= length:
+        raise ValueError("gram <= short <= length")
     ship(docs.sparkSession)
     # a row's name comes from what it holds: numbers given by a scan may differ in the next one
     name = F.unhex(F.md5(F.concat_ws("|", F.lit(""), F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).cast("binary")))
     src = documents(docs, name.alias("row"))
-    suffixes = written(src.select("row", "text").mapInArrow(_runs(length, gram), "row binary, at int, n int, g long, c long"), "runs", compression="zstd")
+    suffixes = written(src.select("row", "text").mapInArrow(_runs(length, gram, short), "row binary, at int, n int, g long, c long"), "runs", compression="zstd")
     # written first, so that Spark can split a large bucket's part of the join
     shared = written(suffixes.groupBy("g").agg(F.count("*").alias("of")).where("of > 1").select("g"), "shared")
     live = written(suffixes.join(shared, "g"), "live", compression="zstd")
@@ -194,23 +283,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, smal
     marks = marks.groupBy("row").agg(F.collect_list(mark).alias("runs"))
     held = written(src.select("row", "text").join(marks.hint("shuffle_hash"), "row"), "held", compression="zstd")
     contexts = written(held.mapInArrow(_contexts(length), _CONTEXT), "contexts", compression="zstd")
-    ranges = contexts.where("not hot").repartition("g").sortWithinPartitions("g").mapInArrow(_in_bucket(length), "row binary, first long, end long")
+    ranges = contexts.where("not hot").repartition("g").sortWithinPartitions("g").mapInArrow(_in_bucket(length, short), "row binary, first long, end long, size int")
     hot = contexts.where("hot")
     if not hot.isEmpty():
-        windows = written(hot.mapInArrow(_windows(length), "row binary, first long, g long, id long, weight int"), "windows", compression="zstd")
-        twice = written(windows.groupBy("g", "id").agg(F.sum("weight").alias("times")).where("times > 1").select("g", "id"), "twice")
-        more = windows.where("weight = 1").join(twice, ["g", "id"]).select("row", "first", (F.col("first") + 1).alias("end"))
+        windows = written(hot.mapInArrow(_windows(length, short), "row binary, first long, g long, size int, b long, later long, weight int"), "windows", compression="zstd")
+        twice = written(windows.groupBy("g", "size", "b", "later").agg(F.sum("weight").alias("times")).where("times > 1").drop("times"), "twice")
+        more = windows.where("weight = 1").join(twice, ["g", "size", "b", "later"]).select("row", "first", (F.col("first") + 1).alias("end"), "size")
         ranges = ranges.union(more)
-    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "end", "size")).alias("ranges"))
     cut = held.join(ranges.hint("shuffle_hash"), "row", "left").mapInArrow(
-        _cut(length), "row binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _cut(length, short), "row binary, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary"
     )
     cut = written((cut if with_kept else cut.drop("kept")).dropDuplicates(["row"]), "cut")
     bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     plain = src.select("row", "doc_id", F.octet_length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("sha"), *([bytes_.alias("whole")] if with_kept else []))
     out = plain.join(cut, "row", "left")
     zero = F.lit(0).cast("long")
-    cols = ["doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
+    cols = ["doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_repeated", zero).alias("n_repeated")]
     return out.select(*cols, *([F.coalesce("kept", "whole").alias("kept")] if with_kept else []))
 
 

@@ -254,12 +254,28 @@ def test_substring_dedup(spark, odd, none, small):
     more.append((300, "a" * 200))
     rows = [(d, t[:3000] if t else t) for d, t in plain(odd)] + more
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = substring_dedup.remove_repeats(df, length=40, gram=10, small=small, with_kept=True).collect()
+    out = substring_dedup.remove_repeats(df, length=40, gram=10, small=small, short=25, with_kept=True).collect()
     assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == bag(repeats_plain(rows, 40))
+    assert bag((r.doc_id, r.n_repeated) for r in out) == bag((r[0], r[2]) for r in repeats_plain(rows, 25))
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in out)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_as_registered(spark):
+    rows = plain(spark.read.parquet(f"{SF}/documents.parquet"))
+    out = substring_dedup.op6_substring_dedup(spark, SF).collect()
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == bag(repeats_plain(rows, 400))
+    assert bag((r.doc_id, r.n_repeated) for r in out) == bag((r[0], r[2]) for r in repeats_plain(rows, 240))
+
+
+def test_refine():
+    data = np.frombuffer(bytes(np.random.default_rng(3).integers(97, 99, 400, dtype=np.uint8)) * 2, np.uint8)
+    for n, names in zip((8, 11, 40), substring_dedup.refine(data, (8, 11, 40)), strict=True):
+        found = [data[i : i + n].tobytes() for i in range(len(data) - n + 1)]
+        times = Counter(found)
+        assert all((names[i] >= 0) == (times[x] > 1) for i, x in enumerate(found)) and len(set(names.tolist()) - {-1}) == sum(t > 1 for t in times.values())
+
+
 def test_edit_counts(spark, odd, none):
     t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
