@@ -8,110 +8,118 @@ from there until a boundary falls on the start of a later leaf, and updates the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import only, pieces, ship, worker_cache
-from tagweave.llm.tokens import Encoder, lone_spaces, public_path
+from tagweave.llm.common import documents, only, pieces, ship, worker_cache
+from tagweave.llm.tokens import BYTE_LEVEL, CROWDED, Encoder, pattern, public_path, shown
 
 TOKENIZER = "byte_bpe_50k.json"
 LEAF = 64
 #: Characters after a pre-token that can decide where it ends: an apostrophe looks at two, others at one.
 REACH = 3
-#: The published pre-token pattern of the byte-level vocabulary. Fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Python's \s also holds four control characters.
-_SPLIT = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})"))
+_SPLIT = pattern(BYTE_LEVEL)
 
 
 class Counter:
     """Tokens of pre-tokens; every distinct one is encoded once. Special strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        self.encoder = Encoder(path)
-        self.encoder.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
-        #: Of words after a space: pre-tokens << 40 | tokens << 20 | characters, all with the space.
-        self.chunks: dict[str, int] = {}
+        self.encoder = Encoder(path, special=False)
 
     def counts(self, pre: list[str]) -> np.ndarray:
-        got = list(map(self.known.get, pre))
-        if None in got:
-            new = {p for p, g in zip(pre, got, strict=True) if g is None}
-            if len(self.known) + len(new) > self.encoder.keep:
-                self.known.clear()
-            learnt: dict[str, bytes] = {}
-            self.encoder._learn(learnt, new, "")
-            counted = {p: len(learnt[p]) // 4 for p in new}
-            self.known.update(counted)
-            got = [counted[p] if g is None else g for p, g in zip(pre, got, strict=True)]
-        return np.array(got, np.int64)
-
-
-    def after_space(self, words: list[str]) -> np.ndarray:
-        """(characters, pre-tokens, tokens) of words, each with the space before it; cut and counted once."""
-        got = list(map(self.chunks.get, words))
-        if None in got:
-            new = [c for c in {c for c, g in zip(words, got, strict=True) if g is None} if len(c) < 1 << 18]
-            if len(self.chunks) + len(new) > self.encoder.keep:
-                self.chunks.clear()
-            learnt = dict(zip(new, self._packed(new), strict=True))
-            self.chunks.update(learnt)
-            if len(learnt) < len(set(words)) and any(len(c) >= 1 << 18 for c in words):
-                return np.array([self._apart(c) for c in words], np.int64)
-            got = [learnt[c] if g is None else g for c, g in zip(words, got, strict=True)]
-        packed = np.array(got, np.int64)
-        return np.stack([packed & 0xFFFFF, packed >> 40, packed >> 20 & 0xFFFFF], 1)
-
-    def _packed(self, words: list[str]) -> list[int]:
-        cut = [_SPLIT.findall(" " + c) for c in words]
-        sizes = np.array([len(pre) for pre in cut], np.int64)
-        before = np.r_[0, np.cumsum(self.counts([p for pre in cut for p in pre]))] if len(cut) else np.zeros(1, np.int64)
-        ends = np.cumsum(sizes)
-        lengths = np.array([len(c) + 1 for c in words], np.int64)
-        return (sizes << 40 | (before[ends] - before[ends - sizes]) << 20 | lengths).tolist()
-
-    def _apart(self, word: str) -> tuple[int, int, int]:
-        pre = _SPLIT.findall(" " + word)
-        return len(word) + 1, len(pre), int(self.counts(pre).sum())
+        return np.fromiter(map(len, self.encoder.ids(list(map(shown, pre)))), np.int64, len(pre)) // 4
+
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (characters, pre-tokens, tokens) of the texts' parts, and where each text's rows end.
+
+        Parts are words between lone spaces, each with the space before it (a space that no space precedes
+        always begins a pre-token), else pre-tokens. Every distinct word of the texts is cut and counted once.
+        """
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+        offsets -= offsets[0]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = self._cut_rows(words, " ")
+        which = coded.indices.to_numpy().astype(np.int64)
+        first = [words[i] for i in which[offsets[:-1]].tolist()]
+        own = list(dict.fromkeys(first))
+        at = {w: len(rows) + i for i, w in enumerate(own)}
+        rows = np.concatenate([rows, self._cut_rows(own, "")])
+        which[offsets[:-1]] = [at[w] for w in first]
+        out, ends = rows[which], offsets[1:]
+        crowded = np.flatnonzero(pc.match_substring_regex(texts, CROWDED).to_numpy(zero_copy_only=False))
+        empty = np.flatnonzero(pc.binary_length(texts).to_numpy() == 0)
+        if len(crowded) or len(empty):  # cut whole; an empty text has no parts
+            parts, begin = [], np.r_[0, ends]
+            whole = dict.fromkeys(crowded.tolist()) | dict.fromkeys(empty.tolist())
+            last, sizes = 0, np.diff(begin)
+            for i in sorted(whole):
+                parts.append(out[begin[last] : begin[i]])
+                pre = _SPLIT.findall(texts[i].as_py())
+                parts.append(np.stack([np.fromiter(map(len, pre), np.int64, len(pre)), np.ones(len(pre), np.int64), self.counts(pre)], 1))
+                sizes[i], last = len(pre), i + 1
+            parts.append(out[begin[last] :])
+            out, ends = np.concatenate(parts), np.cumsum(sizes)
+        return out, ends
+
+    def _cut_rows(self, words: list[str], before: str) -> np.ndarray:
+        cuts = [self._cut(w, before) for w in words]
+        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        total = np.r_[0, np.cumsum(self.counts([p for c in cuts for p in c]))]
+        ends = np.cumsum(n)
+        return np.stack([np.fromiter(map(len, words), np.int64, len(words)) + len(before), n, total[ends] - total[ends - n]], 1)
+
+    def _cut(self, word: str, before: str) -> list[str]:
+        if word.isalpha():
+            return [before + word]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return [before + word[:-1], word[-1]]
+        return _SPLIT.findall(before + word)
 
 
 class SegmentTree:
     """Sums of (characters, pre-tokens, tokens) over the leaves of one document."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
+    def __init__(self, text: str, counter: Counter, units: np.ndarray | None = None) -> None:
         self.text, self.counter, self.encoded = text, counter, 0
-        self._build()
+        self._build(counter.units(pa.array([text]))[0] if units is None else units)
 
-    def _units(self) -> np.ndarray:
-        """(characters, pre-tokens, tokens) of the text's parts: words between lone spaces, else pre-tokens.
+    @classmethod
+    def of_leaves(cls, text: str, counter: Counter, leaves: np.ndarray) -> SegmentTree:
+        """The tree of a text whose leaves' sums were kept."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counter, tree.encoded = text, counter, 0
+        tree._grow(leaves)
+        return tree
 
-        A space that no space precedes always begins a pre-token.
-        """
-        if not self.text:
-            return np.zeros((0, 3), np.int64)
-        first, *rest = self.text.split(" ") if lone_spaces(self.text) else [self.text]
-        pre = _SPLIT.findall(first)
-        head = np.stack([np.fromiter(map(len, pre), np.int64, len(pre)), np.ones(len(pre), np.int64), self.counter.counts(pre)], 1)
-        return np.concatenate([head, self.counter.after_space(rest)]) if rest else head
-
-    def _build(self) -> None:
-        units = self._units()
-        leaves = max(1, -(-len(units) // LEAF))
-        self.size = 1 << (leaves - 1).bit_length()
+    def _build(self, units: np.ndarray) -> None:
+        self._grow(np.add.reduceat(units, np.arange(0, len(units), LEAF), axis=0) if len(units) else np.zeros((1, 3), np.int64))
+
+    def _grow(self, leaves: np.ndarray) -> None:
+        self.size = 1 << (max(1, len(leaves)) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 3), np.int64)
-        if len(units):
-            self.sums[self.size : self.size + leaves] = np.add.reduceat(units, np.arange(0, len(units), LEAF), axis=0)
+        self.sums[self.size : self.size + len(leaves)] = leaves
         level = self.size
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
             level //= 2
 
+    @property
+    def leaves(self) -> np.ndarray:
+        """Sums of the leaves, to be kept; empty ones at the end are left out."""
+        low = self.sums[self.size :]
+        full = np.flatnonzero(low[:, 0])
+        return low[: full[-1] + 1 if len(full) else 1]
+
     @property
     def totals(self) -> tuple[int, int, int]:
         return tuple(int(x) for x in self.sums[1])
@@ -156,7 +164,12 @@ class SegmentTree:
         self.encoded += len(pre)
         counts = self.counter.counts(pre) if pre else np.zeros(0, np.int64)
         if len(pre) > 4 * LEAF * max(1, after - leaf):
-            self._build()
+            # too many for the old leaves: the touched ones are cut anew and the tree grows; no text is encoded again
+            low = self.sums[self.size : 2 * self.size]
+            units = np.stack([np.fromiter(map(len, pre), np.int64, len(pre)), np.ones(len(pre), np.int64), counts], 1)
+            new = np.add.reduceat(units, np.arange(0, len(units), LEAF), axis=0)
+            held = np.concatenate([low[:leaf], new, low[after:]])
+            self._grow(held[held[:, 0] > 0] if held[:, 0].any() else held[:1])
             return
         changed = np.arange(leaf, after)
         share = -(-len(pre) // max(1, len(changed)))
@@ -172,37 +185,93 @@ class SegmentTree:
 
 _HELD: dict[str, Counter] = worker_cache("edit_counts")
 
-SCHEMA = (
-    "doc_id long, n_edits long, n_tokens long, n_tokens_edited long, n_pretokens long, n_pretokens_edited long, "
-    "n_encoded_again long, edited string"
-)
+LEAVES = "array<struct<chars:long,pretokens:long,tokens:long>>"
+_KEPT = pa.list_(pa.struct([("chars", pa.int64()), ("pretokens", pa.int64()), ("tokens", pa.int64())]))
+COUNTS = "n_edits long, n_tokens long, n_tokens_edited long, n_pretokens long, n_pretokens_edited long, n_encoded_again long"
+SCHEMA = f"doc_id long, {COUNTS}, edited string, leaves {LEAVES}"
+
+
+def _as_lists(kept: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(kept) if kept else np.zeros((0, 3), np.int64)
+    struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, j])) for j in range(3)], ["chars", "pretokens", "tokens"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in kept])].astype(np.int32)), struct)
+
+
+def _trees(part: pa.RecordBatch, counter: Counter) -> Iterator[SegmentTree]:
+    """The trees of a part's texts: from kept leaves where they are there and fit the text, else counted."""
+    texts = part.column("text")
+    plain = texts.to_pylist()
+    fits = [False] * len(plain)
+    if "leaves" in part.schema.names:
+        lists = part.column("leaves")
+        sums = [np.array([[x["chars"], x["pretokens"], x["tokens"]] for x in v or ()], np.int64).reshape(-1, 3) for v in lists.to_pylist()]
+        fits = [bool(len(x)) and int(x[:, 0].sum()) == len(t or "") for x, t in zip(sums, plain, strict=True)]
+    missing = [i for i, f in enumerate(fits) if not f]
+    units, ends = counter.units(texts.take(pa.array(missing, pa.int64()))) if missing else (None, np.zeros(0, np.int64))
+    spans = dict(zip(missing, zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True), strict=True)) if missing else {}
+    for i, text in enumerate(plain):
+        if fits[i]:
+            yield SegmentTree.of_leaves(text or "", counter, sums[i])
+        else:
+            b, e = spans[i]
+            yield SegmentTree(text or "", counter, units[b:e])
+
 
+def _counter(path: str) -> Counter:
+    only("edit_counts")
+    if path not in _HELD:
+        _HELD[path] = Counter(path)
+    return _HELD[path]
+
+
+def _count(path: str, digest: bool):
+    """digest: the edited text's SHA-256 in place of the text and of the leaves."""
 
-def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("edit_counts")
-        if path not in _HELD:
-            _HELD[path] = Counter(path)
-        counter = _HELD[path]
+        counter = _counter(path)
         for batch in batches:
             for part in pieces(batch, "text"):
-                out = []
-                for doc, text, edits in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("edits").to_pylist(), strict=True):
-                    tree = SegmentTree(text or "", counter)
+                out, edited, kept = [], [], []
+                for edits, tree in zip(part.column("edits").to_pylist(), _trees(part, counter), strict=True):
                     _, pre, tokens = tree.totals
                     done = [e for e in edits or () if e is not None and e["start"] is not None]
                     for e in done:
                         tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["replacement"] or "")
                     _, pre_now, tokens_now = tree.totals
-                    out.append((doc, len(done), tokens, tokens_now, pre, pre_now, tree.encoded, tree.text))
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 7 + [pa.string()]
-                names = ["doc_id", "n_edits", "n_tokens", "n_tokens_edited", "n_pretokens", "n_pretokens_edited", "n_encoded_again", "edited"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                    out.append((len(done), tokens, tokens_now, pre, pre_now, tree.encoded))
+                    edited.append(hashlib.sha256(tree.text.encode("utf-8", "surrogatepass")).hexdigest() if digest else tree.text)
+                    if not digest:
+                        kept.append(tree.leaves)
+                cols = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(edited, pa.string())]
+                names = ["doc_id", *(c.split()[0] for c in COUNTS.split(", ")), "edited_sha256" if digest else "edited"]
+                if not digest:
+                    cols.append(_as_lists(kept))
+                    names.append("leaves")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
+def _leaves(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                kept = [t.leaves for t in _trees(part, counter)]
+                yield pa.RecordBatch.from_arrays([*part.columns, _as_lists(kept)], [*part.schema.names, "leaves"])
+
+    return run
+
+
+def with_leaves(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, text, leaves): the leaves of each document's segment tree, to be kept in a table beside the documents.
+
+    count_tokens takes them up, so that later edits encode what they touch and nothing else.
+    """
+    ship(docs.sparkSession)
+    return documents(docs).mapInArrow(_leaves(tokenizer or public_path(TOKENIZER)), f"doc_id long, text string, leaves {LEAVES}")
+
+
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """docs with the array `edits` of each doc_id: rows (doc_id, seq, start, end, replacement), in the order of seq."""
     kept = F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement")))
@@ -210,17 +279,21 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.drop("edits").join(lists.hint("shuffle_hash"), "doc_id", "left")
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Token counts before and after the edits of each row of docs (doc_id, text, edits), and the edited text.
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, digest: bool = False) -> DataFrame:
+    """Token counts before and after the edits of each row of docs (doc_id, text, edits[, leaves]), the edited text and its leaves.
 
     edits: array<struct<start, end, replacement>>, in code points of the text as the edits before have left
     it; bounds outside the text are brought inside, null edits or starts are skipped, a null end is the
     start, a null replacement deletes. Null texts and lists are empty. Repeated rows are rows of their own.
+    leaves: what with_leaves or an earlier count_tokens returned for the same text; rows without fitting
+    leaves are counted whole. digest: only the SHA-256 of the edited text comes back.
     """
     ship(docs.sparkSession)
     edits = F.col("edits").cast("array<struct<start:long,end:long,replacement:string>>").alias("edits")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), edits)
-    return src.mapInArrow(_count(tokenizer or public_path(TOKENIZER)), SCHEMA)
+    kept = [F.col("leaves").cast(LEAVES).alias("leaves")] if "leaves" in docs.columns else []
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), edits, *kept)
+    schema = f"doc_id long, {COUNTS}, edited_sha256 string" if digest else SCHEMA
+    return src.mapInArrow(_count(tokenizer or public_path(TOKENIZER), digest), schema)
 
 
 def sample_edits() -> F.Column:
@@ -239,5 +312,4 @@ def sample_edits() -> F.Column:
 
 def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = count_tokens(docs.withColumn("edits", sample_edits()))
-    return out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+    return count_tokens(docs.withColumn("edits", sample_edits()), digest=True)

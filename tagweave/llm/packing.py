@@ -1,7 +1,7 @@
 """Packing of token pieces by first-fit decreasing in randomised groups.
 
-A document of n tokens is cut into full pieces of the sequence length and one rest. Pieces are dealt at
-random to groups of about `group_pieces`; in each group rests are placed, longest first, into the first
+A document of n tokens is cut into full pieces of the sequence length and one rest. Documents are dealt at
+random, a document whole, to groups of about `group_pieces`; in each group pieces are placed, longest first, into the first
 bin that still has room, which a tournament tree over the bins' capacities finds in log(bins) steps.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,32 +54,33 @@ def _cut(path: str, length: int, end_id: int, with_ids: bool, keep: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, keep)
+        enc, number = encoder(path, keep), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in pieces(batch, "text"):
-                out: list[tuple] = []
-                ids = []
-                for doc, data in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    data += end
-                    n = len(data) // 4
-                    for start in range(0, n, length):
-                        x = data[4 * start : 4 * (start + length)]
-                        out.append((doc, start, len(x) // 4, zlib.crc32(x), n))
-                        if with_ids:
-                            ids.append(np.frombuffer(x, "<u4").astype(np.int32))
-                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                ids, ends = enc.encode(part.column("text"), end)
+                begins = np.r_[0, ends[:-1]]
+                tokens = ends - begins
+                many = -(-tokens // length)
+                which = np.repeat(np.arange(len(many)), many)
+                start = (np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)) * length
+                sizes = np.minimum(tokens[which] - start, length)
+                at = begins[which] + start
+                sums = [zlib.crc32(ids[b : b + n]) for b, n in zip(at.tolist(), sizes.tolist(), strict=True)]
+                cols = [part.column("doc_id").take(pa.array(which)), *map(pa.array, (start, sizes)), pa.array(sums, pa.int64()), pa.array(tokens[which])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids.view("<i4"))))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                cols.append(pa.array(which + number))
+                number += len(many)
+                yield pa.RecordBatch.from_arrays(cols, [*names, "document"])
 
     return run
 
 
 def _place(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("piece", ignore_index=True)
+        pdf = pdf.sort_values(["document", "start"], ignore_index=True)
         sizes = pdf["length"].to_numpy(np.int64)
         bins = first_fit_decreasing(sizes, length)
         order = np.lexsort((np.arange(len(bins)), -sizes, bins))
@@ -88,7 +90,7 @@ def _place(length: int):
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         pdf["sequence_id"] = (pdf["in_group"].to_numpy(np.int64) << 32) + bins
         pdf["offset"] = offset
-        return pdf.drop(columns=["piece", "in_group"])
+        return pdf.drop(columns=["document", "in_group"])
 
     return run
 
@@ -108,15 +110,15 @@ def pack(
     Every row of docs is a document of its own, also one whose doc_id is null or occurs again; null and
     empty texts are the end id alone. Pieces of a sequence follow each other without gaps; sequences
     are meant to be padded to `length`. Ties in length go by the order of the pieces. Only doc_id and
-    text are read. A worker keeps at most `keep` encoded chunks. Groups are drawn by hash of the piece's number, so equal rows scatter.
+    text are read. A worker keeps at most 2 * `keep` encoded pre-tokens. Documents are dealt by hash of their
+    number in the scan, so equal rows scatter and a document's pieces share a group.
     """
     ship(docs.sparkSession)
     path = tokenizer or public_path(TOKENIZER)
     schema = PIECE + (", ids array<int>" if with_ids else "")
-    cut = documents(docs).mapInArrow(_cut(path, length, end_id, with_ids, keep), schema)
-    cut = written(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    cut = written(documents(docs).mapInArrow(_cut(path, length, end_id, with_ids, keep), schema + ", document long"), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("in_group", F.pmod(F.xxhash64("piece", F.lit(seed)), F.lit(groups)))
+    dealt = cut.withColumn("in_group", F.pmod(F.xxhash64("document", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("in_group").applyInPandas(_place(length), schema + ", sequence_id long, offset long")
 
 

@@ -1,19 +1,28 @@
 """Fast whole-text encoding with the tokenizers library.
 
-A text is cut at spaces into chunks that the tokenizer treats independently, every distinct chunk is
-encoded once by the library and kept, and a document is the concatenation of its chunks' ids:
+Texts are cut at spaces into chunks that the tokenizer treats independently, a batch's distinct chunks are
+found by Arrow, each is cut into pre-tokens, and every distinct pre-token is encoded once by the library's
+model and kept. A document is the concatenation of its chunks' ids, which numpy gathers for a batch at once:
 
 * "word" tokenizers drop white space, so any cut at a space or line feed is between pre-tokens;
 * byte-level ones attach one space to the word after it, so a cut before a space is between pre-tokens
   if no white space follows it; texts where some does are encoded whole.
+
+What isn't plainly cut (special strings, characters that a normaliser may change) goes to the library as
+it is.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 from tagweave.llm.common import only, worker_cache
 
@@ -26,96 +35,193 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Chunks that a Python worker keeps.
-KEEP = 1_200_000
+#: Pre-tokens that a Python worker keeps in each of two generations; of chunks it keeps half as many.
+KEEP = 300_000
+
+#: The published pre-token patterns of the two vocabularies. Fixed values.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+
+def pattern(published: str) -> regex.Pattern:
+    """A published pattern for Python's regex, whose \\s also holds four control characters."""
+    white = published.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
+    return regex.compile(white)
+
 
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Where a cut before some space is not between byte-level pre-tokens.
+CROWDED = f"(?s) {_SPACE}|{_SPACE} \\z"
 
-_SPACES = [" " + c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
-_ASCII = _SPACES[:10]
 
+def _byte_characters() -> dict[int, str]:
+    """Byte to character: printable Latin-1 ones stand for themselves, all others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-def lone_spaces(text: str) -> bool:
-    """Whether a cut before every space of text is between byte-level pre-tokens."""
-    for s in _ASCII if text.isascii() else _SPACES:
-        if s in text:
-            return False
-    return not text.endswith(" ") or not text[-2:-1].isspace()
 
+_SHOWN = _byte_characters()
+_SHOWN_SPACE = _SHOWN[32]
 
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+
+def shown(text: str) -> str:
+    """A pre-token as the model's vocabulary writes it."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", _SHOWN_SPACE)
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+
+
+class Kept:
+    """Values by key, learnt when they are first asked for; the latest `keep` keys or more stay, in two generations."""
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], keep: int) -> None:
+        self.learn, self.keep = learn, keep
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, keys: list[str]) -> list[bytes]:
+        got = list(map(self.new.get, keys))
+        gaps = [i for i, x in enumerate(got) if x is None]
+        if gaps:
+            if len(self.new) > self.keep:
+                self.old, self.new = self.new, {}
+            new, old = self.new, self.old
+            unknown = []
+            for i in gaps:
+                x = old.get(keys[i])
+                if x is None:
+                    unknown.append(i)
+                else:
+                    new[keys[i]] = got[i] = x
+            names = list(dict.fromkeys([keys[i] for i in unknown]))
+            new.update(zip(names, self.learn(names), strict=True))
+            for i in unknown:
+                got[i] = new[keys[i]]
+        return got
 
 
 class Encoder:
-    """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers."""
+    """Ids of pre-tokens, chunks and whole texts, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = KEEP) -> None:
+    def __init__(self, path: str, keep: int = KEEP, special: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
+        self.tokenizer.encode_special_tokens = not special
+        self.special = special
+        self.model = self.tokenizer.model
         self.words = str(self.tokenizer.pre_tokenizer.__class__.__name__) != "ByteLevel"
-        #: Between chunks in a run of them, one id of its own whatever stands beside it.
-        self.between = " \x01 " if self.words else "\n"
-        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
-        self.plain: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
-
-    def _one(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _run(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, encoded as one text and cut at the marks, or one by one if that doesn't add up."""
-        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(ids == self.mark[0])
-        if len(self.mark) != 1 or len(at) != len(chunks) - 1:
-            return [self._one(c) for c in chunks]
-        data, begins, ends = ids.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
-        return [data[b:e] for b, e in zip(begins, ends, strict=True)]
-
-    def _learn(self, cache: dict[str, bytes], new: set[str], before: str) -> None:
-        if len(cache) + len(new) > self.keep:
-            cache.clear()
-            if not before:
-                cache[""] = b""
-        odd = {c for c in new if not c or c.strip() != c or "\n" in c or "\x01" in c or "<|" in c}
-        cache.update((c, self._one(before + c)) for c in odd)
-        plain = list(new - odd)
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            cache.update(zip(part, self._run([before + c for c in part]), strict=True))
-
-    def _look_up(self, cache: dict[str, bytes], split: list[list[str]], before: str) -> list[bytes]:
-        found = [list(map(cache.get, s)) for s in split]
-        gaps = [i for i, f in enumerate(found) if None in f]
-        if gaps:
-            new = {c for i in gaps for c, x in zip(split[i], found[i], strict=True) if x is None}
-            own: dict[str, bytes] = cache
-            self._learn(own, new, before)
-            for i in gaps:
-                found[i] = [own[c] if x is None else x for c, x in zip(split[i], found[i], strict=True)]
-        return [b"".join(f) for f in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.split = pattern(WORD if self.words else BYTE_LEVEL)
+        self.before = "" if self.words else " "
+        self.pretokens = Kept(self._pretokens, keep)
+        #: Chunks after a space; one after a null character is the first of its text.
+        self.kept = Kept(self._chunks, keep // 2)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _pretokens(self, pre: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        return [self.whole(p[1:]) if p[0] == "\0" else array("I", [t.id for t in tokenize(p)]).tobytes() for p in pre]
+
+    def ids(self, pre: list[str]) -> list[bytes]:
+        """Ids of pre-tokens as the vocabulary writes them, and of uncut chunks after a null character."""
+        return self.pretokens.get(pre)
+
+    def cut(self, chunk: str, before: str) -> list[str]:
+        """The pre-tokens of a chunk with `before` in front; all of it where only the library can tell."""
+        if not chunk:
+            return [_SHOWN_SPACE] if before else []
         if self.words:
-            return self._look_up(self.plain, [t.replace("\n", " ").split(" ") for t in texts], "")
-        whole = {i for i, t in enumerate(texts) if not lone_spaces(t)}
-        split = [t.split(" ") if i not in whole else [""] for i, t in enumerate(texts)]
-        first = self._look_up(self.plain, [s[:1] for s in split], "")
-        rest = self._look_up(self.spaced, [s[1:] for s in split], " ")
-        out = [a + b for a, b in zip(first, rest, strict=True)]
-        for i in whole:
-            out[i] = self._one(texts[i])
+            if not chunk.isascii() and max(chunk) > "\xff":  # normal forms and cases beyond may be odd
+                return ["\0" + before + chunk]
+            if self.special and "<|" in chunk:
+                return ["\0" + before + chunk]
+            chunk = chunk.lower()
+        space = _SHOWN_SPACE if before else ""
+        if chunk.isalpha():
+            return [space + (chunk if chunk.isascii() else shown(chunk))]
+        head, last = chunk[:-1], chunk[-1]
+        if last in ".,;:!?)" and head.isalpha():
+            return [space + (head if head.isascii() else shown(head)), last]
+        if self.special and "<|" in chunk or not chunk.isascii():
+            return ["\0" + before + chunk]
+        return list(map(shown, self.split.findall(before + chunk)))
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        flat, ends = [], []
+        for c in chunks:
+            flat += self.cut(c, self.before) if c[:1] != "\0" else self.cut(c[1:], "")
+            ends.append(len(flat))
+        ids, out, at = self.ids(flat), [], 0
+        for end in ends:
+            out.append(ids[at] if end == at + 1 else b"".join(ids[at:end]))
+            at = end
         return out
 
+    def chunks(self, chunks: list[str], first: bool = False) -> list[bytes]:
+        """Ids of chunks that follow a space, or that begin a text."""
+        if first and self.before:
+            return self.kept.get(["\0" + c for c in chunks])
+        odd = [i for i, c in enumerate(chunks) if c[:1] == "\0"]
+        out = self.kept.get(chunks)
+        for i in odd:
+            out[i] = self.whole(self.before + chunks[i])
+        return out
 
-_HELD: dict[str, Encoder] = worker_cache("tokens")
-
-
-def encoder(path: str, keep: int = KEEP) -> Encoder:
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, where each text's end); null is empty, and `end` follows every text."""
+        texts = pc.fill_null(texts, "")
+        if self.words:
+            texts, odd = pc.replace_substring(texts, "\n", " "), np.zeros(len(texts), bool)
+        else:
+            odd = pc.match_substring_regex(texts, CROWDED).to_numpy(zero_copy_only=False)
+        cut = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
+        lists = pc.split_pattern(cut, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+        offsets -= offsets[0]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        collected = gc.isenabled()
+        gc.disable()  # millions of short-lived strings, no cycles
+        try:
+            pieces = self.chunks(words)
+        finally:
+            if collected:
+                gc.enable()
+        which = coded.indices.to_numpy().astype(np.int64)
+        if not self.words:  # a text's first chunk has no space before it
+            first = lists.values.take(pa.array(lists.offsets.to_numpy()[:-1])).to_pylist()
+            own = {c: len(pieces) + i for i, c in enumerate(dict.fromkeys(first))}
+            pieces += self.chunks(list(own), first=True)
+            which[offsets[:-1]] = [own[c] for c in first]
+            for i in np.flatnonzero(odd).tolist():
+                which[offsets[i]] = len(pieces)
+                pieces.append(self.whole(texts[i].as_py()))
+        if end:
+            which = np.insert(which, offsets[1:], len(pieces))
+            pieces.append(end)
+            offsets = offsets + np.arange(len(offsets))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        n = sizes[which]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(sizes) - sizes)[which] - (ends - n)).astype(kind), n)
+        at += np.arange(total, dtype=kind)
+        return ids[at], np.r_[0, ends][offsets[1:]]
+
+
+_HELD: dict[tuple[str, bool], Encoder] = worker_cache("tokens")
+
+
+def encoder(path: str, keep: int = KEEP, special: bool = True) -> Encoder:
     """The worker's encoder for a tokenizer file; it outlives a task."""
     only("tokens")
-    if path not in _HELD:
-        _HELD[path] = Encoder(path, keep)
-    _HELD[path].keep = keep
-    return _HELD[path]
+    if (path, special) not in _HELD:
+        _HELD[path, special] = Encoder(path, keep, special)
+    held = _HELD[path, special]
+    held.pretokens.keep, held.kept.keep = keep, keep // 2
+    return held

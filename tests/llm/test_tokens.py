@@ -1,6 +1,7 @@
 """Chunk-wise encoding equals the library's encoding of whole texts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,4 +20,7 @@ PARTS = ["the", " ", "  ", "\n", "\n\n", " \n", "\t", "It's", "don't", "<|endoft
 def test_equals_whole_texts(name, texts):
     tokenizer, encoder = HELD[name]
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    ids, ends = encoder.encode(pa.array([*texts, None]), np.array([7], "<u4").tobytes())
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*w, 7] for w in [*want, []]]
+    ids, ends = encoder.encode(pa.array(texts).slice(1))
+    assert ids.tolist() == [i for w in want[1:] for i in w] and len(ends) == len(texts) - 1
