@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from tagweave.llm.common import documents, pieces, shared_dir, ship
 from tagweave.llm.tokens import encoder, public_path
 
 END_ID = 1
+NO_DOC = -(1 << 63)
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, n_tokens long, part int, first long, ids array<int>"
 META = ("doc_id", "n_tokens", "part", "first")
@@ -36,34 +36,58 @@ LAYOUT = {
 }
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, bounds: np.ndarray):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, first, part = encoder(path), 0, TaskContext.get().partitionId()
+        enc = encoder(path)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                data = [x + end for x in enc.encode([t or "" for t in piece.column("text").to_pylist()])]
-                counts = np.array([len(x) // 4 for x in data], np.int64)
-                ends = np.cumsum(counts)
-                values = pa.array(np.frombuffer(b"".join(data), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
-                cols = [piece.column("doc_id"), pa.array(counts), pa.array(np.full(len(data), part, np.int32)), pa.array(first + ends - counts), lists]
-                yield pa.RecordBatch.from_arrays(cols, [*META, "ids"])
-                first += int(ends[-1])
+                ids, ends = enc.encode(piece.column("text"), end)
+                begins = np.r_[0, ends[:-1]]
+                tie = np.array([zlib.crc32(ids[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], np.int64)
+                doc = piece.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False)
+                # an id that fills several ranges is dealt to them by its rows' ids
+                low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+                part = low + tie % (high - low + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(part.astype(np.int32)), pa.array(tie), lists], ["doc_id", "part", "tie", "ids"])
 
     return run
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = 0
+    for batch in batches:
+        counts = np.diff(batch.column("ids").offsets.to_numpy()).astype(np.int64)
+        ends = np.cumsum(counts)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), batch.column("part"), pa.array(first + ends - counts), batch.column("ids")], [*META, "ids"])
+        first += int(ends[-1]) if len(ends) else 0
+
+
+def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """parts - 1 doc_ids that cut docs into ranges of like sizes, from a sample of at most some 100 ids a range."""
+    total = docs.count()
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"))
+    share = min(1.0, 100 * parts / max(1, total))
+    drawn = np.sort(np.array([r["doc_id"] for r in (ids if share == 1 else ids.sample(share, seed=1)).collect()], np.int64))
+    return drawn[(np.arange(1, parts) * len(drawn)) // parts] if len(drawn) else np.empty(0, np.int64)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> str:
     """Encode docs and write them to path in ascending doc_id order; null doc_ids come first.
 
-    Null and empty texts are the end id alone. Rows of one doc_id follow each other by text. Only
-    doc_id and text are read.
+    Null and empty texts are the end id alone. Rows of one doc_id follow each other, in no order of theirs.
+    Only doc_id and text are read. Texts are encoded where they are read, and only ids travel: each row goes
+    straight to the part of its range of doc_ids (as many as shuffle partitions).
     """
-    ship(docs.sparkSession)
-    ranged = documents(docs).repartitionByRange("doc_id").sortWithinPartitions(F.asc("doc_id"), F.asc("text"))
-    ranged.mapInArrow(_encode(tokenizer or public_path(TOKENIZER), end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
+    spark = ship(docs.sparkSession)
+    src = documents(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encode = _encode(tokenizer or public_path(TOKENIZER), end_id, range_bounds(src, parts))
+    encoded = src.mapInArrow(encode, "doc_id long, part int, tie long, ids array<int>")
+    ranged = encoded.repartitionById(parts, "part").sortWithinPartitions(F.asc("doc_id"), F.asc("tie")).select("doc_id", "part", "ids")
+    ranged.mapInArrow(_number, SCHEMA).write.options(**LAYOUT).parquet(path)
     return path
 
 
