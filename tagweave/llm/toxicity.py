@@ -1,24 +1,24 @@
 """Toxicity by compression distance.
 
-Windows slide over the whole of each word: one begins at every character that SHORTEST bytes or more
-follow, and at the first, and holds LONGEST bytes, so that a term is met wherever it stands in a long word
-or in a run of a script without spaces. A window is written as the chain of its beginnings
-(\\x01a\\x01an\\x01ant...), so that one that starts like known fragments compresses to few bytes. One
-zstandard dictionary is trained on toxic and one on ordinary text: a dictionary holds the chains of the
-fragments (beginnings of windows) that set its class apart by document frequency, the strongest last, where
-matches are cheapest. A window's distance is its compressed length with the ordinary dictionary less that
-with the toxic one. A document's features are the numbers of windows of its distinct words at or over each
-of several distances, once for the words' first windows and once for all; their thresholds are calibrated
-by a logistic regression on documents that the dictionaries have not seen.
-
-Learning uses a bounded sample: `max_docs` labelled rows of each class (drawn by hash of the doc_id).
-Scoring covers every byte of every word of every document.
+zstandard dictionaries are trained on text (`train_dictionary`, the COVER algorithm, on windows of whole
+texts): a base on ordinary text, then one on what toxic text has beyond the base and one on what other
+ordinary text has beyond it (bytes that no `GRAM`-byte string of the base covers, and a little around them).
+Both compressors hold the base, then the dictionary of their class, so that common words compress alike and
+a difference comes from what sets the classes apart.
+
+A document's text (A-Z lower-cased, ASCII white space and punctuation as single spaces) is cut into windows
+of WINDOW bytes, half overlapping, over all of it. A window's distance is its compressed length with the
+ordinary dictionary less that with the toxic one. Features are how many and what share of the windows reach
+each of several distances, their mean and maximum; thresholds on them are calibrated by a logistic
+regression on documents that the dictionaries have not seen.
+
+Learning uses a bounded sample: `max_docs` labelled rows of each class and `max_windows` training windows of
+each kind (drawn by hash). Scoring covers every byte of every document.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,39 +29,66 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, only, pieces, ship, words, worker_cache
+from tagweave.llm.common import WORD_BYTES, documents, only, pieces, ship, utf8, words, worker_cache, written
 
 MAX_DOCS = 4000
-SHORTEST, LONGEST = 3, 8
-TOXIC_FRAGMENTS, ORDINARY_FRAGMENTS = 200, 800
-#: A toxic fragment is so many times as frequent in toxic documents as in ordinary ones.
-RATIO = 6.0
-LEVEL = 12
-DISTANCES = (4, 6, 8, 10, 12, 14, 16, 18)
-#: Windows, and words of up to KEPT_WORD bytes, whose distances a Python worker keeps.
-KEEP = 300_000
-KEPT_WORD = 24
+MAX_WINDOWS = 8000
+TRAINED = 512
+BASE, OWN = 60_000, 2_048
+GRAM = 7
+AROUND = 3
+WINDOW = 64
+DISTANCES = (1, 2, 4, 6, 8)
+N_FEATURES = len(DISTANCES) + 5
 
 
-def chain(word: bytes) -> bytes:
-    end = min(len(word), LONGEST)
-    return b"".join(b"\x01" + word[:k] for k in range(1, end + 1)) + (b"\x02" if len(word) <= LONGEST else b"")
+def plain(text: str | None) -> bytes:
+    return b" " + b" ".join(utf8(text).translate(WORD_BYTES).split()) + b" "
 
 
-def windows(word: bytes) -> list[bytes]:
-    """LONGEST + 1 bytes from each character on, each window once; the last byte only tells that the word goes on."""
-    starts = (i for i in range(1, len(word) - SHORTEST + 1) if word[i] & 0xC0 != 0x80)
-    return list(dict.fromkeys([word[: LONGEST + 1], *(word[i : i + LONGEST + 1] for i in starts)]))
+def windows(data: bytes, size: int = WINDOW, step: int = WINDOW // 2) -> list[bytes]:
+    """Windows that cover all of data; the last may be shorter."""
+    return [data[i : i + size] for i in range(0, max(1, len(data) - size + step), step)]
 
 
-def fragments(text: str | None) -> set[bytes]:
-    found = set().union(*map(windows, set(words(text))))
-    return {w[:k] for w in found for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary's content from samples; the samples themselves where they are too few to train on."""
+    whole = b"".join(samples)
+    if len(whole) <= size or len(samples) < 16:
+        return whole[-size:]
+    try:
+        return zstandard.train_dictionary(size, samples, k=16 if size < BASE else 32, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return whole[-size:]
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The strings of GRAM bytes (at most 7) at every place of data, as numbers."""
+    held = data + b"\0" * 8
+    return np.ndarray((len(data),), "<u8", held, 0, (1,)) & np.uint64((1 << 8 * GRAM) - 1)
+
+
+def known_grams(samples: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([grams(x)[: max(0, len(x) - GRAM + 1)] for x in samples] or [np.empty(0, np.uint64)]))
+
+
+def beyond(data: bytes, known: np.ndarray) -> bytes:
+    """What of data no known gram covers, with AROUND bytes on either side."""
+    mine = grams(data)[: max(0, len(data) - GRAM + 1)]
+    place = np.searchsorted(known, mine)
+    place[place == len(known)] = 0
+    at = np.flatnonzero(known[place] == mine) if len(known) else np.empty(0, np.int64)
+    step = np.zeros(len(data) + GRAM + 1, np.int32)
+    step[at] += 1
+    step[at + GRAM] -= 1
+    covered = np.cumsum(step)[: len(data)] > 0
+    edge = np.flatnonzero(np.diff(np.r_[True, covered, True].astype(np.int8)))
+    return b"".join(data[max(0, b - AROUND) : e + AROUND] for b, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries' contents and the calibrated weights; a few KB."""
+    """The contents of both dictionaries and the calibrated weights; some 130 KB."""
 
     toxic: bytes
     ordinary: bytes
@@ -69,56 +96,43 @@ class Model:
     bias: float = 0.0
 
     def compressors(self) -> tuple:
+        held = zstandard.ZstdCompressionParameters(
+            window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
+            write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+
         def one(content: bytes):
-            held = zstandard.ZstdCompressionDict(content.rjust(64, b"\x03"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=held, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            content = zstandard.ZstdCompressionDict(content.rjust(64, b"\x03"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return zstandard.ZstdCompressor(dict_data=content, compression_params=held)
 
         return one(self.toxic), one(self.ordinary)
 
 
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """The model without weights, from training windows of both classes; half of the ordinary ones train the base."""
+    one, other = ordinary[::2], ordinary[1::2]
+    base = trained(other, BASE)
+    sides = ((toxic, ordinary), (one, other + toxic))
+    own = [trained([x for w in side if (x := beyond(w, known))], OWN) for side, known in ((s, known_grams(t)) for s, t in sides)]
+    size = max(map(len, own))
+    return Model(*(base + x.rjust(size, b"\x03") for x in own))
+
+
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.toxic, self.ordinary = model.compressors()
-        self.known: dict[bytes, int] = {}
-        self.whole: dict[bytes, bytes] = {}
-
-    def distance(self, window: bytes) -> int:
-        c = chain(window)
-        return len(self.ordinary.compress(c)) - len(self.toxic.compress(c))
-
-    def distances(self, word: bytes) -> bytes:
-        """One signed byte for each of the word's windows, in their order."""
-        known, out = self.known, []
-        for w in windows(word):
-            d = known.get(w)
-            if d is None:
-                if len(known) >= KEEP:
-                    known.clear()
-                d = known[w] = self.distance(w)
-            out.append(d)
-        return np.array(out, np.int8).tobytes()
+        toxic, ordinary = model.compressors()
+        self.toxic, self.ordinary = toxic.compress, ordinary.compress
+
+    def distances(self, text: str | None) -> np.ndarray:
+        toxic, ordinary = self.toxic, self.ordinary
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(plain(text))], np.int64)
 
     def features(self, text: str | None) -> np.ndarray:
-        found = set(words(text))
-        whole = self.whole
-        if len(whole) > KEEP:
-            whole.clear()
-        parts = []
-        for w in found:
-            part = whole.get(w)
-            if part is None:
-                part = self.distances(w)
-                if len(w) <= KEPT_WORD:
-                    whole[w] = part
-            parts.append(part)
-        both = []
-        for held in (bytes(p[0] for p in parts), b"".join(parts)):
-            d = np.frombuffer(held, np.int8)
-            both += [math.log1p(int((d >= t).sum())) for t in DISTANCES]
-            both += [max(0, int(d.max(initial=0))) / 10, math.log1p(len(d))]
-        return np.array(both)
+        d = self.distances(text)
+        out = [math.log1p(int((d >= t).sum())) for t in DISTANCES]
+        shares = [math.sqrt((d >= 2).mean()), math.sqrt((d <= -2).mean())]
+        return np.array([*out, *shares, int(d.max()) / 10, float(d.mean()), math.log1p(len(d))])
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights)) + self.model.bias
@@ -135,14 +149,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "h"])
 
 
-def _fragment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of TRAINED bytes, and a hash by which some are drawn."""
     for batch in (piece for whole in batches for piece in pieces(whole, "text")):
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        kinds, found = [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(fragments(text))
-        keys = list(counts[0].keys() | counts[1].keys())
-        cols = [pa.array(keys, pa.binary()), *(pa.array([counts[k][x] for x in keys], pa.int64()) for k in (1, 0))]
-        yield pa.RecordBatch.from_arrays(cols, ["fragment", "toxic", "ordinary"])
+            cut = windows(plain(text), TRAINED, TRAINED)
+            found += cut
+            kinds += [toxic] * len(cut)
+        draw = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in found]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(draw, pa.int64()), pa.array(found, pa.binary())], ["toxic", "draw", "window"])
 
 
 _SCORERS: dict[Model, Scorer] = worker_cache("toxicity")
@@ -191,7 +207,7 @@ def in_fold(fold: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: int = 0, max_windows: int = MAX_WINDOWS) -> Model:
     """Fit on at most max_docs labelled rows of each class, none of them from the held-out fold."""
     ship(docs.sparkSession)
     src = documents(docs).where("doc_id is not null")
@@ -199,28 +215,18 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: in
     known = known.agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~in_fold(fold)).where("toxic in (0, 1)")
     there = known.join(src.select("doc_id").distinct(), "doc_id", "left_semi")
     drawn = [there.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for k in (0, 1)]
-    sample = F.broadcast(drawn[0].union(drawn[1]).coalesce(1).persist())
+    sample = F.broadcast(drawn[0].union(drawn[1]).coalesce(1))  # at most 2 * max_docs rows of two numbers
     rows = src.join(sample, "doc_id").mapInArrow(_sketch, "doc_id long, text string, toxic int, h long")
     # near copies count once, or they'd make their own words look typical
     rows = rows.dropDuplicates(["h"]).withColumn("fit", F.pmod(F.xxhash64("h"), F.lit(3)) > 0)
-    rows = rows.select("doc_id", "text", "toxic", "fit").persist()
-    n = {(r["toxic"], r["fit"]): r["count"] for r in rows.groupBy("toxic", "fit").count().collect()}
-    n_tox, n_ord = n.get((1, True), 0), n.get((0, True), 0)
-    counts = rows.where("fit").select("text", "toxic").mapInArrow(_fragment_counts, "fragment binary, toxic long, ordinary long")
-    counts = counts.groupBy("fragment").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).persist()
-    t, o = F.col("t"), F.col("o")
-    ratio = (t + 0.5) / (n_tox + 1) / ((o + 0.5) / (n_ord + 1))
-    top = counts.where((t >= max(2, 0.01 * n_tox)) & (ratio >= RATIO)).withColumn("score", t * F.log(ratio)).orderBy(F.desc("score"), "fragment").limit(TOXIC_FRAGMENTS)
-    usual = counts.orderBy(F.desc("o"), "fragment").limit(ORDINARY_FRAGMENTS)
-    toxic = b"".join(chain(bytes(r["fragment"])) for r in reversed(top.collect()))
-    ordinary = b"".join(chain(bytes(r["fragment"])) for r in reversed(usual.collect()))
-    model = Model(toxic, ordinary)
+    rows = written(rows.select("text", "toxic", "fit"), "labelled")
+    cut = rows.where("fit").select("text", "toxic").mapInArrow(_training_windows, "toxic int, draw long, window binary")
+    drawn = [cut.where(F.col("toxic") == k).orderBy("draw", "window").limit(max_windows * (2 - k)).select("window").collect() for k in (1, 0)]
+    model = dictionaries(*([bytes(r["window"]) for r in side] for side in drawn))
     seen = rows.where("not fit").select("text", "toxic").mapInArrow(_features(model), "toxic int, features array<double>").collect()
-    x = np.array([r["features"] for r in seen], float).reshape(len(seen), 2 * (len(DISTANCES) + 2))
+    x = np.array([r["features"] for r in seen], float).reshape(len(seen), N_FEATURES)
     weights, bias = fit_logistic(x, np.array([r["toxic"] for r in seen], float))
-    for df in (rows, counts):
-        df.unpersist()
-    return Model(toxic, ordinary, tuple(float(v) for v in weights), bias)
+    return Model(model.toxic, model.ordinary, tuple(float(v) for v in weights), bias)
 
 
 def _score(model: Model, at: int, name: str):
@@ -236,8 +242,8 @@ def _score(model: Model, at: int, name: str):
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with `score`, 0 to 1; a column of that name is replaced.
 
-    Null and empty texts have no windows and get the score of no evidence; repeated rows get equal
-    scores. A model without toxic or without ordinary labels knows only their share.
+    Null and empty texts are one window of white space and get the score of no evidence; repeated rows get
+    equal scores. A model without toxic or without ordinary labels knows only their share.
     """
     ship(docs.sparkSession)
     docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
