@@ -1,16 +1,15 @@
 """Language-model scoring with a hidden Markov model over word classes.
 
-Words are counted over the whole corpus. The `own` most frequent words are classes of their own; all
-others share classes by spelling (first two and last three bytes), and a word's share of its class comes
-from its count. Latent states emit classes: Baum-Welch runs over all training text, each task adding up
-expected counts for its partition, which are summed across partitions by class; the scaled forward
-recursion then gives the exact log-probability of every whole document.
-
-What is broadcast has a fixed size: at most `heavy` words with their counts, and the state tables. Rarer
-words, none of which holds more than about 1/heavy of all tokens, are looked up by a join.
-
-Training sequences are the texts cut every `segment` tokens, so that long and short ones share batches;
-no token is left out. Scores are of uncut texts.
+Words are counted over all training text. The most frequent are classes of their own, more of them the more
+distinct words there are (`own` at least, `heavy` at most); all others share classes by spelling (first two
+and last three bytes), and a word's share of its class comes from its count. Latent states emit classes:
+Baum-Welch runs over all training texts, whole, each task adding up expected counts for its partition, which
+are summed across partitions by class; the scaled forward recursion then gives the exact log-probability of
+every whole document. Nothing is learnt from held-out text, not even which words are frequent.
+
+What is broadcast has a fixed bound: at most `heavy` words with their counts, and the state tables. Rarer
+words, none of which holds more than about 1/heavy of the training tokens, are looked up by a join. A text of
+n tokens takes about 100 n bytes in its task.
 """
 
 from __future__ import annotations
@@ -34,7 +33,11 @@ STATES = 8
 OWN = 1 << 14
 SPELLED = 1 << 12
 HEAVY = 1 << 18
-SEGMENT = 256
+#: An own class for so many distinct words.
+WORDS_A_CLASS = 256
+#: Longer texts wait for others of their kind, so that steps of the recursions are shared; about so many tokens at once.
+SHORT = 512
+AT_ONCE = 1_000_000
 PASSES = 5
 END = b""
 
@@ -76,13 +79,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", 16 << 20):
             train: Counter = Counter()
-            other: Counter = Counter()
-            for text, out in zip(part.column("text").to_pylist(), part.column("held_out").to_pylist(), strict=True):
-                (other if out else train).update(tokens(text))
-            keys = list(train.keys() | other.keys())
-            a = np.fromiter((train[k] for k in keys), np.int64, len(keys))
-            b = np.fromiter((other[k] for k in keys), np.int64, len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a), pa.array(a + b)], ["word", "train", "n"])
+            for text in part.column("text").to_pylist():
+                train.update(tokens(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(train), pa.binary()), pa.array(list(train.values()), pa.int64())], ["word", "train"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,43 +233,66 @@ def expected_counts(model: Hmm, flat: np.ndarray, starts: np.ndarray, lengths: n
     return first.astype(float), moves, emitted
 
 
-def cut_segments(starts: np.ndarray, ends: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of at most `segment` tokens."""
-    n = -(-(ends - starts) // segment)
-    which = np.repeat(np.arange(len(starts)), n)
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    begin = starts[which] + nth * segment
-    return begin, np.minimum(ends[which] - begin, segment)
-
-
-def _e_step(sent, segment: int):
+class Batches:
+    """Sequences of like lengths together: short ones as they come, long ones when AT_ONCE tokens of them are there."""
+
+    def __init__(self) -> None:
+        self.long: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, flat: np.ndarray, offsets: np.ndarray) -> Iterator[list[np.ndarray]]:
+        lengths = np.diff(offsets)
+        order = np.argsort(lengths, kind="stable")
+        short, held = [], 0
+        for i in order.tolist():
+            x = flat[offsets[i] : offsets[i + 1]]
+            if len(x) > SHORT:
+                if self.held and self.held + len(x) > AT_ONCE:
+                    yield self.rest()
+                self.long.append(np.array(x))
+                self.held += len(x)
+                continue
+            short.append(x)
+            held += len(x)
+            if held > AT_ONCE:
+                yield short
+                short, held = [], 0
+        if short:
+            yield short
+
+    def rest(self) -> list[np.ndarray]:
+        out, self.long, self.held = self.long, [], 0
+        return out
+
+
+def _e_step(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Hmm = sent.value
         k, classes = model.states, len(model.emit)
         total = np.zeros((classes + k + 1, k))
-        seen = False
+
+        def count(sequences: list[np.ndarray]) -> None:
+            if sequences:
+                lengths = np.array([len(x) for x in sequences], np.int64)
+                first, moves, emitted = expected_counts(model, np.concatenate(sequences), np.cumsum(lengths) - lengths, lengths)
+                total[:classes] += emitted
+                total[classes : classes + k] += moves
+                total[-1] += first
+
+        waiting = Batches()
         for batch in batches:
             lists = batch.column(0)
-            flat = lists.values.to_numpy()
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            begin, lengths = cut_segments(offsets[:-1], offsets[1:], segment)
-            at = 0
-            for end in [*np.flatnonzero(np.diff(np.cumsum(lengths) // 1_000_000)) + 1, len(lengths)]:
-                if end > at:
-                    first, moves, emitted = expected_counts(model, flat, begin[at:end], lengths[at:end])
-                    total[:classes] += emitted
-                    total[classes : classes + k] += moves
-                    total[-1] += first
-                    seen = True
-                at = end
-        if seen:
-            keep = np.flatnonzero(total.any(1))
+            for sequences in waiting.add(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)):
+                count(sequences)
+        count(waiting.rest())
+        keep = np.flatnonzero(total.any(1))
+        if len(keep):
             yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), *(pa.array(total[keep, j]) for j in range(k))], ["row", *(f"s{j}" for j in range(k))])
 
     return run
 
 
-def baum_welch(classes: DataFrame, counts: np.ndarray, states: int = STATES, passes: int = PASSES, segment: int = SEGMENT) -> Hmm:
+def baum_welch(classes: DataFrame, counts: np.ndarray, states: int = STATES, passes: int = PASSES) -> Hmm:
     """Fit to the one array<int> column of `classes`; counts: tokens of each class in it."""
     spark = ship(classes.sparkSession)
     model = initial(counts, states)
@@ -278,7 +300,7 @@ def baum_welch(classes: DataFrame, counts: np.ndarray, states: int = STATES, pas
     schema = "row int, " + ", ".join(f"s{j} double" for j in range(states))
     for _ in range(passes):
         sent = spark.sparkContext.broadcast(model)
-        sums = classes.mapInArrow(_e_step(sent, segment), schema).groupBy("row").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states)))
+        sums = classes.mapInArrow(_e_step(sent), schema).groupBy("row").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states)))
         got = sums.toPandas()
         total = np.zeros((n + states + 1, states))
         total[got["row"].to_numpy(int)] = got.drop(columns="row").to_numpy(float)
@@ -303,25 +325,25 @@ def _forward(sent):
 
 
 def _vocabulary(counts: DataFrame, own: int, heavy: int) -> Vocabulary:
-    totals = counts.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
+    totals = counts.agg(F.sum("train").alias("n"), F.count("*").alias("v")).first()
     # a top-k of this size would send k words from every task; a bound on the count, from a histogram, doesn't
-    level = F.floor(F.log2("n") * 64)
+    level = F.floor(F.log2("train") * 64)
     levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, room = math.inf, heavy
     for at, many in levels:
         if many > room:
             break
         least, room = at, room - many
-    top = counts.where(level >= F.lit(float(least))).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    top = counts.where(level >= F.lit(float(least))).toPandas().sort_values(["train", "word"], ascending=[False, True])
     held, kinds = np.zeros(SPELLED), np.zeros(SPELLED)
-    own = min(own, len(top))
-    by_class = counts.mapInArrow(_classes, "cls int, train long").groupBy("cls").agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"))
+    own = min(max(own, int(totals["v"]) // WORDS_A_CLASS), len(top))
+    by_class = counts.mapInArrow(_classes, "cls int, train long").groupBy("cls").agg(F.sum("train").alias("n"), F.count("*").alias("v"))
     for r in by_class.collect():
         held[r["cls"]], kinds[r["cls"]] = r["n"], r["v"]
     words, train = [bytes(w) for w in top["word"]], top["train"].to_numpy(np.int64)
     for w, n in zip(words[:own], train[:own], strict=True):  # words that are classes of their own
         held[spelled(w)] -= n
-        kinds[spelled(w)] -= n > 0
+        kinds[spelled(w)] -= 1
     return Vocabulary(words, train, own, int(totals["n"] or 0), int(totals["v"] or 0), held, kinds)
 
 
@@ -334,7 +356,7 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, passes: int
     """
     spark = ship(docs.sparkSession)
     src = documents(docs, F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = src.mapInArrow(_count, "word binary, train long, n long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
+    counts = src.where("not held_out").select("text").mapInArrow(_count, "word binary, train long").groupBy("word").agg(F.sum("train").alias("train"))
     counts = written(counts, "counts")
     vocabulary = _vocabulary(counts, own, heavy)
     rows = src.mapInArrow(_sequences(spark.sparkContext.broadcast(vocabulary)), ROWS)
@@ -351,7 +373,8 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, passes: int
     n = F.col("train")
     total = float(vocabulary.total + 0.5 * (vocabulary.distinct + 1))
     sums = (
-        rare.join(counts.select("word", "train"), "word")
+        rare.join(counts, "word", "left")  # words that no training text has count 0
+        .withColumn("train", F.coalesce("train", F.lit(0)))
         .join(per, "cls")
         .groupBy("row")
         .agg(
