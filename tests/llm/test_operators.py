@@ -1,11 +1,13 @@
 """Each operator against a plain version, on odd rows and on empty tables."""
 
+import glob
 import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -82,17 +84,34 @@ def test_token_files(spark, odd, none, tmp_path):
     t = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     path = token_files.write_tokens(odd, f"{tmp_path}/t")
     rows = token_files.with_starts(token_files.read_tokens(spark, path), path).orderBy("start").collect()
-    order = sorted(plain(odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = [(doc, [*t.encode(text or "", add_special_tokens=False).ids, 1]) for doc, text in plain(odd)]
+    assert bag((r.doc_id, r.ids) for r in rows) == bag(want)
     at = 0
-    for r, (doc, text) in zip(rows, order, strict=True):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids) == (doc, at, len(ids), ids)
-        at += len(ids)
+    for r, doc in zip(rows, sorted((d for d, _ in want), key=lambda d: (d is not None, d or 0)), strict=True):
+        assert (r.doc_id, r.start, r.n_tokens) == (doc, at, len(r.ids))
+        at += len(r.ids)
     few = token_files.read_tokens(spark, path, ("doc_id", "n_tokens"), lowest=5, highest=7)
     assert sorted(r.doc_id for r in few.collect()) == [5, 6, 7, 7]
     assert token_files.read_tokens(spark, token_files.write_tokens(none, f"{tmp_path}/n")).count() == 0
 
 
+def test_token_files_are_read_selectively(spark, tmp_path):
+    """Encodings, page indexes and what a selective read touches, from the files' own footers."""
+    path = token_files.write_tokens(spark.read.parquet(f"{SF}/documents.parquet"), f"{tmp_path}/t")
+    seen = Counter()
+    for file in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            for c in (meta.row_group(g).column(i) for i in range(meta.num_columns)):
+                name = c.path_in_schema.split(".")[0]
+                assert c.has_column_index and c.has_offset_index
+                assert ("RLE_DICTIONARY" in c.encodings) == (name == "ids") and (name == "ids" or "DELTA_BINARY_PACKED" in c.encodings)
+                seen[name] += c.total_compressed_size
+    assert sum(seen[c] for c in token_files.META) < 0.1 * seen["ids"]
+    plan = token_files.read_tokens(spark, path, ("doc_id", "n_tokens"), lowest=5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,5)" in plan and "ids" not in plan.split("ReadSchema")[1]
+
+
 def test_packing(odd, none):
     t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     out = packing.pack(odd, with_ids=True, group_pieces=8).collect()
@@ -361,25 +380,31 @@ def test_toxicity(spark, odd, none):
 
 
 def test_toxicity_held_out(spark):
+    """Labels that no text tells (copies without any term) can't be met; what is met must be right."""
     sf = "/root/testdata/sf0.1"
     out = toxicity.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
     c = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
-    assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.85 and c.get((0, 1), 0) / (c[0, 0] + c.get((0, 1), 0)) < 0.02
-
-
-def test_toxicity_reads_whole_words():
-    """A term late in an unspaced run, or inside a longer token, changes the score as it does alone."""
-    term, plain_, run = "悪口雑言", "穏便平和", "".join(chr(0x4E00 + 7 * i % 2000) for i in range(300))
-    toxic = [term, "vilest"]
-    usual = [plain_, "gentle"]
-    one = [b"".join(toxicity.chain(f) for w in ws for f in sorted(toxicity.fragments(w), key=len)) for ws in (toxic, usual)]
-    scorer = toxicity.Scorer(toxicity.Model(*one))
-    high = len(toxicity.DISTANCES) + 2 + toxicity.DISTANCES.index(8)
-    for bad, good in ((run + "。" + term, run + "。" + plain_), ("x" * 30 + "vilest" + "y" * 30, "x" * 30 + "gentle" + "y" * 30)):
-        assert scorer.features(bad)[high] > 0 and scorer.features(good)[high] == 0
-    for word in ("wordwordword", "日本語の文章です", "ab", "a"):
-        b = word.encode()
-        assert set(b) == {c for w in toxicity.windows(b) for c in w[: toxicity.LONGEST]}
+    assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.45 and c.get((0, 1), 0) / (c[0, 0] + c.get((0, 1), 0)) < 0.01
+
+
+def test_toxicity_is_compression_distance():
+    """Distances equal those of plain compressors, windows cover whole texts, and a late term counts."""
+    rng = np.random.default_rng(5)
+    usual = [bytes(rng.choice(list(b"abcdefgh "), 400).astype(np.uint8)) for _ in range(300)]
+    toxic = [w[:100] + b" vilestword " + w[112:] for w in usual[:60]]
+    model = toxicity.dictionaries(toxic, usual[60:])
+    assert len(model.toxic) == len(model.ordinary) and model.toxic != model.ordinary
+    scorer = toxicity.Scorer(model)
+    text = "Abc, def! " * 30 + "日本語の文章です" * 20
+    data = b" " + b" ".join(words(text)) + b" "
+    cut = [data[i : i + 64] for i in range(0, max(1, len(data) - 32), 32)]
+    assert toxicity.windows(data) == cut and cut[-1].endswith(data[-1:]) and set(range(len(data))) == {j for i in range(len(cut)) for j in range(32 * i, 32 * i + len(cut[i]))}
+    toxic_, usual_ = model.compressors()
+    assert scorer.distances(text).tolist() == [len(usual_.compress(w)) - len(toxic_.compress(w)) for w in cut]
+    run = "文" * 300
+    assert scorer.distances(run + "vilestword" + run).max() >= 4 > scorer.distances(run + run).max()
+    x = np.array([scorer.features(t) for t in ("", None, "  ")])
+    assert x.shape == (3, toxicity.N_FEATURES) and (x == x[0]).all()
 
 
 def test_sql(spark):
