@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -41,11 +43,23 @@ def worker_cache(name: str) -> dict:
     return CACHES.setdefault(name, {})
 
 
+_LATEST: list[str] = []
+
+
 def only(name: str) -> None:
-    """Empty all other operators' caches: a worker that goes on to another stage doesn't keep the last one's."""
+    """Empty all other operators' caches: a worker that goes on to another stage doesn't keep the last one's memory."""
+    if _LATEST == [name]:
+        return
+    _LATEST[:] = [name]
     for other, cache in CACHES.items():
         if other != name:
             cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:  # the allocator keeps freed pages otherwise
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -68,9 +82,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; a local one only where none is set, as in tests."""
+    """A new folder in spark.checkpoint.dir, which the cluster shares; where that is unset, a local one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tagweave-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tagweave/{uuid.uuid4().hex}"

@@ -32,7 +32,7 @@ from tagweave.llm.common import WORD_BYTES, array_of, documents, only, ship, sma
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99999
-BRUTE = 2048
+BRUTE = 1024
 LEVELS = 4
 SKETCH = 64
 SPLITS = 3
@@ -180,6 +180,10 @@ def _chunked(rows: DataFrame, brute: int) -> DataFrame:
     )
 
 
+#: Columns of a matrix of members and what they share, at once.
+COLUMNS = 2048
+
+
 def _owned(b: int, lists: list[np.ndarray], sides: np.ndarray, alone: np.ndarray) -> np.ndarray:
     """m x m: pairs i < j for which b is the first bucket that both are in (and that this group must compare)."""
     m = len(lists)
@@ -192,9 +196,15 @@ def _owned(b: int, lists: list[np.ndarray], sides: np.ndarray, alone: np.ndarray
         shared = times[at] > 1
         if shared.any():
             row = np.repeat(np.arange(m), [len(s) for s in smaller])[shared]
-            inside = np.zeros((m, int(keep[-1]) + 1), np.float32)
-            inside[row, keep[at[shared]]] = 1
-            ok &= inside @ inside.T == 0
+            column = keep[at[shared]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            for base in range(0, int(column[-1]) + 1, COLUMNS):
+                lo, hi = np.searchsorted(column, [base, base + COLUMNS])
+                if hi > lo:
+                    inside = np.zeros((m, COLUMNS), np.float32)
+                    inside[row[lo:hi], column[lo:hi] - base] = 1
+                    ok &= inside @ inside.T == 0
     if not alone.all():
         ok &= sides[:, None] != sides[None, :]
     return ok
@@ -230,8 +240,8 @@ def _candidates(similarity: float):
                     i, j = lo, lo + 1
                     if min(n[i], n[j]) < similarity * max(n[i], n[j]) or (raw[i] == raw[j]).sum() < least:
                         continue
-                size = n[lo:hi].astype(float)
-                ok = np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size)
+                size = n[lo:hi].astype(np.float32)
+                ok = np.minimum(size[:, None], size) >= np.float32(similarity * (1 - 1e-6)) * np.maximum(size[:, None], size)
                 ok &= _near(raw[lo:hi], least)
                 if not np.triu(ok, 1).any():
                     continue
@@ -261,13 +271,26 @@ def _load(n: int):
 DENSE = 48
 
 
+#: Tokens that are counted at once; sets are sorted, so that ranges of tokens can be met in turn.
+TOKENS = 1 << 20
+
+
 def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
     """m x m: numbers of tokens that sets share."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    ranges = max(1, -(-sum(map(len, sets)) // TOKENS))
+    edges = [0, *((i << 64) // ranges for i in range(1, ranges))]
+    cuts = [np.r_[np.searchsorted(s, np.array(edges, np.uint64)), len(s)] for s in sets]
+    for i in range(ranges):
+        _add_shared(out, [s[c[i] : c[i + 1]] for s, c in zip(sets, cuts, strict=True)])
+    return out
+
+
+def _add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
     m = len(sets)
     flat = np.concatenate(sets)
     _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
-    out = np.zeros((m, m), np.float32)
     often = times[at] >= DENSE
     if often.any():
         rank = np.cumsum(times >= DENSE) - 1
@@ -275,10 +298,9 @@ def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(c, kind="stable")
         r, c = r[order], c[order]
         columns = int(c[-1]) + 1
-        width = min(columns, max(256, (1 << 23) // m))
-        for base in range(0, columns, width):
-            lo, hi = np.searchsorted(c, [base, base + width])
-            x = np.zeros((m, min(width, columns - base)), np.float32)
+        for base in range(0, columns, COLUMNS):
+            lo, hi = np.searchsorted(c, [base, base + COLUMNS])
+            x = np.zeros((m, min(COLUMNS, columns - base)), np.float32)
             x[r[lo:hi], c[lo:hi] - base] = 1
             out += x @ x.T
     some = (times[at] > 1) & ~often
@@ -292,7 +314,6 @@ def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
             i, j = r[same], r[same + apart]
             np.add.at(out.ravel(), i * m + j, np.float32(1))
             np.add.at(out.ravel(), j * m + i, np.float32(1))
-    return out
 
 
 def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -330,9 +351,10 @@ def _verify(similarity: float):
                 members, owned = members[mine], owned[np.ix_(mine, mine)]
                 sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in members]
                 size = np.array([len(s) for s in sets], float)
-                both = shared_tokens(sets)
-                hit = owned & (both >= similarity * (size[:, None] + size - both) - 1e-6)
-                i, j = np.nonzero(hit)
+                i, j = np.nonzero(owned)
+                both = shared_tokens(sets)[i, j].astype(float)
+                hit = both >= similarity * (size[i] + size[j] - both) - 1e-6
+                i, j = i[hit], j[hit]
                 if not len(i):
                     continue
                 kk, cc = k[members], copies[members]
