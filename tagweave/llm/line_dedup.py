@@ -103,12 +103,13 @@ def build_index(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, least: np.nda
 
 
 def probe(index: dict, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(found, least, most) of each key."""
+    """(found, repeated, least) of each key: whether it is there, under two documents or more, and the smallest."""
     at = index["ph"].find(h1, h2)
     if not index["ph"].size:
-        return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
+        return np.zeros(len(h1), bool), np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
     found = (at >= 0) & (index["fingerprint"][at] == h2)
-    return found, index["least"][at], index["most"][at]
+    # a count of 1 settles it; rows of one doc_id may count twice, so the largest doc_id decides the rest
+    return found, found & (index["count"][at] > 1) & (index["least"][at] != index["most"][at]), index["least"][at]
 
 
 def _keys(text: str | None, min_chars: int) -> list[bytes]:
@@ -138,13 +139,26 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "arrays": [blob]})
 
 
-def _probe(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    if not len(probes) or not len(index):
-        return pd.DataFrame({"doc_id": [], "h1": [], "h2": []}).astype("int64")
-    h1, h2, doc = (probes[c].to_numpy(np.int64) for c in ("h1", "h2", "doc_id"))
-    found, least, most = probe(pickle.loads(index["arrays"].iloc[0]), h1, h2)
-    lose = found & (least != most) & (doc != least)
-    return pd.DataFrame({"doc_id": doc[lose], "h1": h1[lose], "h2": h2[lose]})
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, place): a shard's arrays come first, then its probes, a batch at a time."""
+    only("line_dedup")
+    held, index = None, None
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        edge = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else [0]
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if held != shard[lo]:
+                held, index = shard[lo], None
+            part = batch.slice(lo, hi - lo)
+            first = part.column("arrays")[0]
+            if first.is_valid:
+                index, part = pickle.loads(first.as_py()), part.slice(1)
+            if index is None or not part.num_rows:
+                continue
+            h1, h2, doc = (part.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+            _, repeated, least = probe(index, h1.copy(), h2.copy())
+            lose = pa.array(repeated & (doc != least))
+            yield part.select(["doc_id", "h1", "h2"]).filter(lose)
 
 
 def _finish(at_id: int, at_text: int, min_chars: int, hot):
@@ -162,8 +176,8 @@ def _finish(at_id: int, at_text: int, min_chars: int, hot):
                 lost: set[bytes] = set()
                 if digests and index["ph"].size:
                     pair = as_pair(digests)
-                    found, least, most = probe(index, pair[:, 0].copy(), pair[:, 1].copy())
-                    lost = {d for d, x in zip(digests, found & (least != most) & (least != doc), strict=True) if x}
+                    _, repeated, least = probe(index, pair[:, 0].copy(), pair[:, 1].copy())
+                    lost = {d for d, x in zip(digests, repeated & (least != doc), strict=True) if x}
                 lost.update(gone or ())
                 if lost:
                     kept = [x for x, k in zip(lines, keys, strict=True) if k is None or line_hash(k) not in lost]
@@ -217,7 +231,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = S
 
     probes = lines.mapInArrow(cold, lines.schema).select("*", shard)
     lost = fresh(docs, "lost")
-    drops = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, "doc_id long, h1 long, h2 long")
+    none = F.lit(None)
+    both = index.select("shard", none.cast("long").alias("h1"), none.cast("long").alias("h2"), none.cast("long").alias("doc_id"), "arrays", F.lit(0).alias("place"))
+    both = both.union(probes.select("shard", "h1", "h2", "doc_id", none.cast("binary").alias("arrays"), F.lit(1).alias("place")))
+    both = both.repartition("shard").sortWithinPartitions("shard", "place")  # streamed: no shard's probes are held whole
+    drops = both.drop("place").mapInArrow(_probe, "doc_id long, h1 long, h2 long")
     drops = drops.mapInArrow(_pack, "id long, key binary").groupBy("id").agg(F.collect_set("key").alias(lost))
     both = docs.join(drops.hint("shuffle_hash"), docs["doc_id"] == drops["id"], "left").select(*[docs[c] for c in docs.columns], drops[lost])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_dropped long"
