@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from itertools import chain
 from collections.abc import Iterator
 
 import ahocorasick
@@ -98,26 +99,30 @@ def _blocks(items: list[tuple[str, str | None]], most: int, window: int) -> Iter
     yield held
 
 
+def _items(benchmark: DataFrame) -> Iterator[tuple[str | None, str]]:
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
+    return ((r[0], r[1]) for r in rows.toLocalIterator())
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, items (sorted), spans (offsets in the text).
 
     Null and empty texts have no words and no hits; benchmark rows without words have no window; items
-    that share a window are all reported; repeated documents and ids are rows of their own; other
+    that share a window are all reported, those without item_id as one null at the end; repeated documents and ids are rows of their own; other
     columns of either table are not read. The benchmark, a set of questions, passes the driver in
     blocks of `block_words` words of windows; each block is a broadcast and a scan of its own.
     """
     spark = ship(docs.sparkSession)
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
-    blocks = list(_blocks([(str(r[0]), r[1]) for r in rows.toLocalIterator()], block_words, window))
+    blocks = _blocks(_items(benchmark), block_words, window)
+    first, second = next(blocks, []), next(blocks, None)
     src = documents(docs)
-    if len(blocks) == 1:
-        return src.mapInArrow(_scanner(spark, blocks[0], window), _SPANS)
-    src = src.withColumn("row", F.monotonically_increasing_id())
-    src = written(src, "docs")
-    parts = [src.mapInArrow(_scanner(spark, b, window), _SPANS_ROW) for b in blocks]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.union(p)
+    if second is None:
+        return src.mapInArrow(_scanner(spark, first, window), _SPANS)
+    src = written(src.withColumn("row", F.monotonically_increasing_id()), "docs")
+    both = None
+    for block in chain([first, second], blocks):  # one block at a time on the driver
+        part = written(src.mapInArrow(_scanner(spark, block, window), _SPANS_ROW), "scan")
+        both = part if both is None else both.union(part)
     merged = both.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
@@ -177,7 +182,7 @@ def _scanner(spark: SparkSession, items: list[tuple[str, str | None]], window: i
             for i, text in enumerate(cols["text"]):
                 n, runs, found = scan(a, text)
                 spans = [{"start": b, "end": e} for b, e in original_spans(text, runs)]
-                out.append((cols["doc_id"][i], n, sum(e - b for b, e in runs), sorted(found), spans) + ((cols["row"][i],) if row else ()))
+                out.append((cols["doc_id"][i], n, sum(e - b for b, e in runs), sorted(found, key=lambda x: (x is None, x or "")), spans) + ((cols["row"][i],) if row else ()))
             yield _batch(out, row)
 
     return run
@@ -186,10 +191,14 @@ def _scanner(spark: SparkSession, items: list[tuple[str, str | None]], window: i
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
     spark = ship(docs.sparkSession)
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     window, most = kw.get("window", WINDOW), kw.get("block_words", BLOCK_WORDS)
-    for items in _blocks([(str(r[0]), r[1]) for r in rows.toLocalIterator()], most, window):
+    blocks = _blocks(_items(benchmark), most, window)
+    items = next(blocks, None)
+    while items is not None:
         docs = docs.mapInArrow(_cleaner(spark, items, window, docs.columns.index("text")), docs.schema)
+        items = next(blocks, None)
+        if items is not None:
+            docs = written(docs, "cleaned")
     return docs
 
 

@@ -51,12 +51,22 @@ def _identify(block: int, hasher: Callable[[bytes], int]):
     return run
 
 
+#: Bytes of blocks that a task remembers, so that one that many of its batches hold is sent once.
+REMEMBERED = 32 << 20
+
+
 def _contents(block: int, hasher: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        held = 0
         for batch in batches:
-            blocks = {b for text in batch.column("text").to_pylist() for b in _cut(text, block)[1]}
+            blocks = {b for text in batch.column("text").to_pylist() for b in _cut(text, block)[1]} - sent
             keys = [hasher(b) for b in blocks]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(blocks), pa.binary())], ["h", "content"])
+            if held > REMEMBERED:
+                sent, held = set(), 0
+            sent |= blocks
+            held += sum(map(len, blocks))
 
     return run
 
