@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import shared_dir
+from tagweave.llm.common import fresh, shared_dir
 from tagweave.llm.decontaminate import remove_contaminated
 from tagweave.llm.jaccard_join import near_duplicates
 from tagweave.llm.line_dedup import dedup_lines
@@ -18,34 +18,51 @@ from tagweave.llm.toxicity import score, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
+    """Documents with a toxicity score of 0.5 or more go; null and empty texts have the score of no evidence."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = fresh(docs, "toxicity")
+    return score(docs, model, name).where(F.col(name) < 0.5).drop(name).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in the smallest doc_id only; n_chars follows the text, and all documents stay."""
-    out = dedup_lines(docs)
+    """Repeated lines stay in the smallest doc_id only; n_chars follows the text, and all documents stay.
+
+    Columns that are called like the operator's own keep their values.
+    """
+    renamed = docs
+    own = {c: fresh(docs, f"{c}_") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    for c, held in own.items():
+        renamed = renamed.withColumnRenamed(c, held)
+    out = dedup_lines(renamed).drop("n_lines", "n_dropped")
+    for c, held in own.items():
+        out = out.withColumnRenamed(held, c)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; rows without doc_id stay."""
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates the smallest doc_id stays; rows without doc_id stay.
+
+    Taking lines out makes copies unlike each other, so documents are compared as they are now and, where
+    that differs, as they came: a document counts with both texts, and a link by either joins a group.
+    """
+    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("came"))
+    changed = came.join(now, "doc_id").where("not (came <=> text)").select("doc_id", F.col("came").alias("text"))
+    groups = near_duplicates(now.union(changed))
+    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone"], "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go; null and empty texts hold none, repeated rows go alike."""
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, placed in sequences."""
-    return pack(docs, keep=300_000)  # workers still hold what earlier stages left
+    """Pieces of the documents, placed in sequences; every row is a document, and null and empty texts are the end id."""
+    return pack(docs, keep=150_000)  # workers still hold what earlier stages left
 
 
 STAGES = [
