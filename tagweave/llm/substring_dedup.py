@@ -36,7 +36,7 @@ LENGTH = 400
 #: Shorter repeats (passages of some fifty words) are counted too, but not removed.
 SHORT = 240
 GRAM = 60
-SMALL = 1024
+SMALL = 4096
 #: Longer texts are cut, with windows on either side of a cut kept whole.
 PIECE = 1 << 19
 #: Suffixes that are refined at once in a task; a bucket is kept whole.
