@@ -9,7 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,14 +92,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tagweave/{uuid.uuid4().hex}"
 
 
+#: Tables that written() made in this session and that nothing has dropped yet.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.options(**options).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(work: Callable[[], DataFrame], name: str = "result") -> DataFrame:
+    """What work() returns as a table; the tables that it wrote on its way are dropped."""
+    mark = len(_WRITTEN)
+    out = written(work(), name)
+    spark = out.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _WRITTEN[mark:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+    _WRITTEN[mark:] = _WRITTEN[-1:]
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the first of name_, name__, ... that df has no column of."""
     held = {c.lower() for c in df.columns}

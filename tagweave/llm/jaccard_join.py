@@ -32,7 +32,7 @@ from tagweave.llm.common import WORD_BYTES, array_of, documents, only, ship, sma
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99999
-BRUTE = 1024
+BRUTE = 2048
 LEVELS = 4
 SKETCH = 64
 SPLITS = 3
