@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import fresh, shared_dir
+from tagweave.llm.common import finished, fresh, shared_dir
 from tagweave.llm.decontaminate import remove_contaminated
 from tagweave.llm.jaccard_join import near_duplicates
 from tagweave.llm.line_dedup import dedup_lines
@@ -41,18 +41,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
+def _repeats(docs: DataFrame) -> DataFrame:
+    """doc_ids (`gone`) that are near duplicates of a smaller one."""
+    found = finished(lambda: near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return found.hint("shuffle_hash")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays; rows without doc_id stay.
 
-    Taking lines out makes copies unlike each other, so documents are compared as they are now and, where
-    that differs, as they came: a document counts with both texts, and a link by either joins a group.
+    Taking lines out makes copies unlike each other, so documents are compared as they are now, and what is
+    left is compared once more as it came.
     """
-    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("came"))
-    changed = came.join(now, "doc_id").where("not (came <=> text)").select("doc_id", F.col("came").alias("text"))
-    groups = near_duplicates(now.union(changed))
-    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone"], "left_anti").select(docs.columns)
+    left = docs.join(_repeats(docs), F.col("doc_id") == F.col("gone"), "left_anti").select(docs.columns)
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").join(left.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    return left.join(_repeats(came), F.col("doc_id") == F.col("gone"), "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
