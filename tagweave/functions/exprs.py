@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.schemas import GLOBAL, LOCAL
 
@@ -80,3 +83,25 @@ def no_nodes(kind: str) -> Column:
 def first_value(nodes: Column | str, key: str) -> Column:
     """The value of the first node with a key; null if there is none."""
     return F.get(F.filter(col(nodes), lambda n: n["key"] == key), F.lit(0))["value"]
+
+
+def _sums(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda v: None if v is None else np.cumsum(np.asarray(v, np.int64)))
+
+
+def _places(v: np.ndarray) -> np.ndarray:
+    v = np.asarray(v, np.int64)
+    first = np.r_[True, v[1:] != v[:-1]] if len(v) else np.empty(0, bool)
+    at = np.arange(len(v))
+    return at - np.maximum.accumulate(np.where(first, at, 0)) if len(v) else at
+
+
+def _all_places(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda v: None if v is None else _places(v))
+
+
+# Called nondeterministic so that the optimizer doesn't move them into lambdas, where Python can't be called.
+#: Sums of each array up to every place; array functions only give them in quadratic time.
+running_sums = F.pandas_udf(_sums, T.ArrayType(T.LongType())).asNondeterministic()
+#: The place of every value in its run of equal neighbours.
+places_in_runs = F.pandas_udf(_all_places, T.ArrayType(T.LongType())).asNondeterministic()

@@ -91,8 +91,11 @@ def _html_shown(node: Column, rules: HtmlRules) -> Column:
     return ~any_rule(rules.drop, node["value"], node["char_end_idx"] - node["char_start_idx"])
 
 
-def render_local(node: Column, cfg: LinearizeConfig) -> Column:
-    """struct<start, end>: texts put at both ends of a node; null where the node isn't shown."""
+def render_local(node: Column, cfg: LinearizeConfig, renderers: dict[str, Renderer] | None = None) -> Column:
+    """struct<start, end>: texts put at both ends of a node; null where the node isn't shown.
+
+    renderers: such structs for keys that are to be rendered differently.
+    """
     pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     kv = F.concat(node["key"], F.lit(cfg.tags_key_value_sep), node["value"])
     name = F.replace(node["value"], F.lit("_"), F.lit(" "))
@@ -103,13 +106,16 @@ def render_local(node: Column, cfg: LinearizeConfig) -> Column:
     bar = F.concat(F.lit(" |"), name, F.lit("|"))
     none = F.lit("")
     html = pair(F.concat(F.lit("<"), node["value"], shown, F.lit(">")), F.concat(F.lit("</"), node["value"], F.lit(">")))
-    return (
+    out = (
         F.when(node["key"] == "entity", pair(none, F.concat(F.lit(" [["), name, F.lit("]]"))))
         .when(node["key"] == "entity_paragraph", pair(bar, none) if cfg.entity_setting == "beg" else pair(none, bar))
         .when(node["key"] == "basic_start_local", pair(node["value"], none))
         .when((node["key"] == "html") & _html_shown(node, cfg.html), html)
         .when(node["key"] != "html", pair(F.concat(F.lit("["), kv, F.lit("]")), F.concat(F.lit("[/"), kv, F.lit("]"))))
     )
+    for key, f in (renderers or {}).items():
+        out = F.when(node["key"] == key, f(node, cfg)).otherwise(out)
+    return out
 
 
 def tags_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix", out: str = "prefix", nodes: str = "tags", renderers: dict[str, Renderer] | None = None) -> DataFrame:
@@ -137,7 +143,7 @@ def tags_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix", out:
     return df.withColumn(out, F.when(F.size(kept) > 0, F.concat(F.array_join(kept, cfg.tags_sep), F.lit(cfg.tags_prefix_sep))).otherwise(""))
 
 
-def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text_col: str = "text") -> DataFrame:
+def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text_col: str = "text", renderers: dict[str, Renderer] | None = None) -> DataFrame:
     """(id, offset, text): all that is inserted at each offset of the text, in order; other offsets are left out.
 
     Nodes of a key that have relative positions are first merged at every offset, in that order, with the
@@ -147,7 +153,7 @@ def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
     rank = F.array_position(F.array(*(F.lit(k) for k in cfg.tags_list)), F.col("n.key"))
     flat = df.select(F.col(id_col).alias("_id"), F.length(text_col).alias("len"), F.posexplode(nodes).alias("i", "n")).where(F.col("n.type") == "local").withColumn("rank", rank).where("rank > 0")
     one = F.first_value(F.col("n.relative_start_pos"), ignoreNulls=False).over(Window.partitionBy("_id", "rank").orderBy("i"))
-    flat = flat.withColumn("relative", one.isNotNull()).withColumn("r", render_local(F.col("n"), cfg)).where("r is not null")
+    flat = flat.withColumn("relative", one.isNotNull()).withColumn("r", render_local(F.col("n"), cfg, renderers)).where("r is not null")
     start, end = F.col("n.char_start_idx"), F.col("n.char_end_idx")
     empty = start == end
     ev = lambda at, slot, order, text: F.struct(at.alias("at"), slot.alias("slot"), order.alias("order"), text.alias("text"))
@@ -172,9 +178,9 @@ def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
     return lists.select("_id", "offset", F.array_join(F.transform("es", lambda e: e["text"]), "").alias("text"))
 
 
-def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text: str = "text") -> DataFrame:
+def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text: str = "text", renderers: dict[str, Renderer] | None = None) -> DataFrame:
     """df with `text_with_tags` and `char_mask` (1 for inserted characters); offsets past the text are left out."""
-    lists = local_events(df, cfg, id_col, nodes, text).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("_e"))
+    lists = local_events(df, cfg, id_col, nodes, text, renderers).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("_e"))
     both = df.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
     both = both.withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<offset:bigint,text:string>>)")))
     piece = f"substring(`{text}`, cast(if(i = 0, 0, _e[i - 1].offset) + 1 as int), cast(e.offset - if(i = 0, 0, _e[i - 1].offset) as int))"
@@ -302,11 +308,20 @@ def fix_length(df: DataFrame, n: int, pad_id: int = 0, ignore: int = -100, ids:
     )
 
 
-def train_rows(df: DataFrame, cfg: LinearizeConfig, id_col: str, seed: int = 0, tokenizer: Tokenizer = regex_tokens, nodes: str = "tags") -> DataFrame:
+def train_rows(
+    df: DataFrame,
+    cfg: LinearizeConfig,
+    id_col: str,
+    seed: int = 0,
+    tokenizer: Tokenizer = regex_tokens,
+    nodes: str = "tags",
+    renderers: dict[str, Renderer] | None = None,
+    local_renderers: dict[str, Renderer] | None = None,
+) -> DataFrame:
     """Training rows of documents (id, text, tags): id, chunk_idx, input_ids, attention_mask, tags_mask, labels."""
     src = df.where(F.length("text") > 0).select(F.col(id_col), "text", F.when(gate(cfg, seed, id_col), F.col(nodes)).otherwise(F.array().cast(df.schema[nodes].dataType)).alias("tags"))
-    prefixed = tags_prefix(src, cfg)
-    inserted = insert_local(prefixed, cfg, id_col)
+    prefixed = tags_prefix(src, cfg, renderers=renderers)
+    inserted = insert_local(prefixed, cfg, id_col, renderers=local_renderers)
     has = F.col("prefix") != ""
     spaced = inserted.withColumns(
         {

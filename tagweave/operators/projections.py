@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType
 from tagweave.schemas import ANY
 
 PREFIX = "tags_"
+#: Spark limits groups of a window before the exchange up to so many rows.
+TOP_BY_WINDOW = 1000
 
 
 def annotations(df: DataFrame) -> list[str]:
@@ -39,15 +41,19 @@ def only_with_tags(df: DataFrame, key: str, order_by: str, limit: int | None = N
 def validation_by_type(df: DataFrame, order_by: str, limit: int) -> DataFrame:
     """A `split` a type of annotation (rows that have it), `validation` and `validation_no_tags` (all rows).
 
-    Each split takes the first `limit` rows; other types' nodes are emptied, and all of them without tags.
+    Each split takes the first `limit` rows; other types' nodes are emptied, and all of them without tags. Up
+    to TOP_BY_WINDOW rows a split, tasks keep their own first rows before they meet, in one pass; beyond it,
+    each split is a pass of its own.
     """
     cols = annotations(df)
     names = F.array(*(F.when(F.size(c) > 0, F.lit("validation_" + c.removeprefix(PREFIX))) for c in cols), F.lit("validation"), F.lit("validation_no_tags"))
     rows = df.withColumn("split", F.explode(F.filter(names, lambda n: n.isNotNull())))
-    parts = []
-    for name in ["validation", "validation_no_tags", *("validation_" + c.removeprefix(PREFIX) for c in cols)]:
-        parts.append(rows.where(F.col("split") == name).orderBy(order_by).limit(limit))
-    out = reduce(DataFrame.unionByName, parts)
+    if limit <= TOP_BY_WINDOW:
+        place = F.row_number().over(Window.partitionBy("split").orderBy(order_by))
+        out = rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+    else:
+        splits = ["validation", "validation_no_tags", *("validation_" + c.removeprefix(PREFIX) for c in cols)]
+        out = reduce(DataFrame.unionByName, (rows.where(F.col("split") == name).orderBy(order_by).limit(limit) for name in splits))
     keep = lambda c: (F.col("split") == "validation") | (F.col("split") == "validation_" + c.removeprefix(PREFIX))
     return out.withColumns({c: F.when(keep(c), F.col(c)).otherwise(F.array().cast(df.schema[c].dataType)) for c in cols})
 
@@ -112,3 +118,8 @@ def difference(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     return df.join(other.select(on).distinct(), on, "left_anti")
 
 
+def step_counts(step: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the step's name and the numbers of rows before and after it."""
+    return before.select(F.lit(0).alias("_a")).unionAll(after.select(F.lit(1).alias("_a"))).agg(
+        F.count_if(F.col("_a") == 0).alias("rows_before"), F.count_if(F.col("_a") == 1).alias("rows_after")
+    ).select(F.lit(step).alias("step"), "rows_before", "rows_after")

@@ -65,10 +65,17 @@ def sample_tags_columns(df: DataFrame, weights: dict[str, float], seed: int, id_
 
 
 def sample_rows(df: DataFrame, share: float, seed: int, id_col: str) -> DataFrame:
-    """Rows whose number is below share; with replacement use DataFrame.sample."""
+    """Rows whose number is below share; see sample_with_replacement."""
     return df.where(uniform(seed, id_col) < share)
 
 
+def sample_with_replacement(df: DataFrame, n: int, seed: int, order_by: str) -> DataFrame:
+    """n draws, numbered by `draw`, each of any row of df by its rank in the order of a unique column."""
+    ranked, total = row_index(df, order_by), df.count()
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(seed, "id") * total).cast("long").alias("_rn"))
+    return draws.join(ranked, "_rn").drop("_rn")
+
+
 def shuffle(df: DataFrame, seed: int, id_col: str, total: bool = True) -> DataFrame:
     """All rows in random order, or (total=False) random order within random partitions."""
     keyed = df.withColumn("_u", uniform(seed, id_col))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.functions.exprs import col, first_value, global_node, local_node, no_nodes, path_date, unquote, url_keyword, url_netloc, url_path
+from tagweave.functions.exprs import col, first_value, global_node, local_node, no_nodes, path_date, places_in_runs, running_sums, unquote, url_keyword, url_netloc, url_path
 from tagweave.schemas import GLOBAL, LOCAL, LOCAL_REL, PARAGRAPH
 
 #: Tags that end a paragraph.
@@ -49,14 +49,13 @@ def tag_length_sentence(df: DataFrame, out: str = "tags_generation_length_senten
     """A node for every full stop: from the stop before it (or 0) to it, valued at the characters between."""
     parts = F.split(F.col(text), "\\.")
     sizes = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.length(s))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("stop"), no_nodes(LOCAL).alias("nodes"))
+    held = df.withColumn("_sizes", sizes).withColumn("_upto", running_sums("_sizes"))
 
-    def step(s: Column, n: Column) -> Column:
-        end = s["at"] + n
-        node = local_node("length", s["stop"], end, n)
-        return F.struct((end + 1).alias("at"), end.alias("stop"), F.concat(s["nodes"], F.array(node)).alias("nodes"))
+    def node(n: Column, i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get("_upto", i - 1) + i - 1)
+        return local_node("length", start.cast("long"), (F.get("_upto", i) + i).cast("long"), n)
 
-    return append(df, out, F.aggregate(sizes, state, step)["nodes"], LOCAL)
+    return append(held, out, F.transform("_sizes", node), LOCAL).drop("_sizes", "_upto")
 
 
 def datasource(url: Column | str) -> Column:
@@ -150,35 +149,35 @@ def clean_website_description(df: DataFrame, column: str = "tags_website_desc")
     return df.withColumn(column, F.when(F.coalesce(bad, F.lit(False)), no_nodes(GLOBAL)).otherwise(F.col(column)))
 
 
+_BLANK = r"[ \t\n\u000B\f\r]"
+
+
 def entity_mentions(df: DataFrame, gazetteer: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, alias, entity, start): the first place of every alias in every text, at any boundary.
 
-    At most SMALL_GAZETTEER aliases are broadcast and looked for in every text. In a larger gazetteer, an
-    alias without white space lies within one word of the text, so distinct words' substrings meet aliases
-    in an equi-join, and only aliases of several words are broadcast.
+    At most SMALL_GAZETTEER aliases are broadcast and looked for in every text. Of a larger gazetteer nothing
+    is broadcast: an alias without white space lies within one word of the text, and one of several words
+    begins with the end of one, so the substrings (of lengths that aliases have) and ends of distinct words
+    meet aliases, or their first words, in equi-joins; texts with such a word are then looked through.
     """
     texts = df.select(id_col, F.col(text).alias("_text"))
     first = (F.expr("instr(_text, alias)") - 1).cast("long").alias("start")
-    if len(gazetteer.limit(SMALL_GAZETTEER + 1).collect()) <= SMALL_GAZETTEER:
-        held = texts.join(F.broadcast(gazetteer.where("length(alias) > 0")), F.expr("instr(_text, alias) > 0"))
-        return held.select(id_col, "alias", "entity", first)
-    word = F.explode(F.array_distinct(F.split(F.col(text), r"[ \t\n\u000B\f\r]+")))
-    words = df.select(F.col(id_col), word.alias("_w")).where("_w <> ''")
-    single = gazetteer.where(r"alias not rlike '[ \\t\\n\\u000B\\f\\r]' and length(alias) > 0")
-    several = gazetteer.where(r"alias rlike '[ \\t\\n\\u000B\\f\\r]'")
-    # a word holds an alias if one of its substrings equals it: an equi-join on distinct words' substrings
-    most = single.agg(F.max(F.length("alias"))).first()[0] or 0
-    grams = words.select("_w").distinct().select(
-        "_w", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.length("_w")),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max(1, most)), F.length("_w") - i + 1)), lambda n: F.substring("_w", i, n)),
-        )))).alias("_g"),
-    )
-    hits = grams.join(single, F.col("_g") == F.col("alias")).select("_w", "alias", "entity")
-    at = words.join(hits, "_w").select(id_col, "alias", "entity").distinct()
-    found = at.join(texts, id_col)
-    more = texts.join(F.broadcast(several), F.expr("instr(_text, alias) > 0"))
-    return found.unionByName(more.select(*found.columns)).select(id_col, "alias", "entity", first)
+    named = gazetteer.where("length(alias) > 0").select("alias", "entity")
+    if len(named.limit(SMALL_GAZETTEER + 1).collect()) <= SMALL_GAZETTEER:
+        return texts.join(F.broadcast(named), F.expr("instr(_text, alias) > 0")).select(id_col, "alias", "entity", first)
+    word = F.explode(F.array_distinct(F.split(F.col(text), _BLANK)))
+    words = df.select(F.col(id_col), word.alias("_w"))
+    distinct = words.select("_w").distinct()
+    several = named.where(F.col("alias").rlike(_BLANK)).withColumn("_key", F.get(F.split("alias", _BLANK), F.lit(0)))
+    single = named.where(~F.col("alias").rlike(_BLANK)).withColumn("_key", F.col("alias"))
+    lengths = [r[0] for r in single.select(F.length("alias")).distinct().collect()]  # a number for each length
+    size = F.length("_w")
+    within = F.flatten(F.transform(F.array(*map(F.lit, lengths or [0])), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring("_w", i, n))))
+    ends = F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.substring("_w", i, size))
+    hits = distinct.select("_w", F.explode(F.array_distinct(within)).alias("_key")).where("_key <> ''").join(single, "_key")
+    more = distinct.select("_w", F.explode(F.array_distinct(ends)).alias("_key")).join(several, "_key")
+    at = words.join(hits.union(more).select("_w", "alias", "entity"), "_w").select(id_col, "alias", "entity").distinct()
+    return at.join(texts, id_col).where("instr(_text, alias) > 0").select(id_col, "alias", "entity", first)
 
 
 def tag_entity(df: DataFrame, gazetteer: DataFrame, id_col: str, out: str = "tags_entity", text: str = "text") -> DataFrame:
@@ -208,10 +207,10 @@ def paragraphs(df: DataFrame, id_col: str, text: str = "text", nodes: str = "tag
     )
     blocks = blocks.select(id_col, "_text", F.posexplode(block).alias("_b", "x")).withColumn("_blk", F.expr("if(x.e > x.b, substring(_text, cast(x.b + 1 as int), cast(x.e - x.b as int)), '')"))
     blocks = blocks.where("_blk <> ''").withColumn("_segs", F.expr(r"regexp_extract_all(_blk, '(?s).*?\\n\\n|.+', 0)"))
+    blocks = blocks.withColumn("_upto", running_sums(F.transform("_segs", lambda v: F.length(v))))
     marker = F.concat(F.col("x.tag"), F.when(F.size("_segs") > 1, "+lf").otherwise(""))
-    segments = blocks.select(id_col, "_b", F.col("x.b").alias("_at"), marker.alias("marker"), F.col("_segs"), F.posexplode("_segs").alias("_s", "value"))
-    before = F.expr("aggregate(slice(_segs, 1, _s), 0L, (a, v) -> a + length(v))")
-    start = F.col("_at") + before
+    segments = blocks.select(id_col, "_b", F.col("x.b").alias("_at"), marker.alias("marker"), "_upto", F.posexplode("_segs").alias("_s", "value"))
+    start = F.col("_at") + F.when(F.col("_s") > 0, F.get("_upto", F.col("_s") - 1)).otherwise(0)
     seq = F.row_number().over(Window.partitionBy(id_col).orderBy("_b", "_s"))
     return segments.select(id_col, seq.alias("seq"), start.alias("start"), (start + F.length("value")).alias("end"), "marker", "value")
 
@@ -236,21 +235,21 @@ def snap_to_paragraph(entities: Column | str, paragraphs: Column | str) -> Colum
     return F.array_distinct(F.transform(F.filter(col(entities), lambda e: e["key"] == "entity"), snapped))
 
 
-def number_runs(nodes: Column) -> Column:
-    """Nodes with relative positions: their place in a run of neighbours with equal starts."""
-    state = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("at"), no_nodes(LOCAL_REL).alias("nodes"))
+def number_runs(nodes: Column, places: Column) -> Column:
+    """Nodes with relative positions; places: where each stands in a run of neighbours with equal starts."""
 
-    def step(s: Column, n: Column) -> Column:
-        at = F.when(s["start"] == n["char_start_idx"], s["at"] + 1).otherwise(F.lit(0).cast("long"))
-        node = F.struct(
+    def numbered(n: Column, i: Column) -> Column:
+        at = F.get(places, i)
+        return F.struct(
             n["char_end_idx"].alias("char_end_idx"), n["char_start_idx"].alias("char_start_idx"), n["key"].alias("key"),
             at.alias("relative_end_pos"), at.alias("relative_start_pos"), n["type"].alias("type"), n["value"].alias("value"),
         )
-        return F.struct(n["char_start_idx"].alias("start"), at.alias("at"), F.concat(s["nodes"], F.array(node)).alias("nodes"))
 
-    return F.aggregate(nodes, state, step)["nodes"]
+    return F.transform(nodes, numbered)
 
 
 def tag_entity_paragraph(df: DataFrame, out: str = "tags_entity_paragraph", entities: str = "tags_entity", paragraphs: str = "tags_paragraph") -> DataFrame:
     some = (F.size(entities) > 0) & (F.size(paragraphs) > 0)
-    return append(df, out, F.when(some, number_runs(snap_to_paragraph(entities, paragraphs))), LOCAL_REL)
+    held = df.withColumn("_snapped", F.when(some, snap_to_paragraph(entities, paragraphs)))
+    held = held.withColumn("_places", places_in_runs(F.transform("_snapped", lambda n: n["char_start_idx"])))
+    return append(held, out, number_runs(F.col("_snapped"), F.col("_places")), LOCAL_REL).drop("_snapped", "_places")

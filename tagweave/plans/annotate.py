@@ -46,18 +46,20 @@ def run_taggers(df: DataFrame, include: list[str] | None = None, lookups: dict[s
     return with_annotations(reduce(lambda d, f: f(d), steps, df))
 
 
-def with_error_capture(name: str, expressions: dict[str, str], defaults: dict[str, object]) -> Tagger:
+def with_error_capture(name: str, expressions: dict[str, str], defaults: dict[str, object], keep_old: bool = False) -> Tagger:
     """Columns from SQL expressions that give null on failure (try_*), with their error columns.
 
-    Where an expression is null though its first input isn't, the column is the default, <name>_error 1 and
-    <name>_error_comment the column's name; else 0 and "".
+    Where an expression is null, <name>_error is 1 and <name>_error_comment the column's name (else 0 and ""),
+    and the column is the default, or what it was before if keep_old is set and the table has it.
     """
 
     def run(df: DataFrame) -> DataFrame:
         new = {c: F.expr(e) for c, e in expressions.items()}
         failed = [F.when(v.isNull(), F.lit(c)) for c, v in new.items()]
         comment = F.concat_ws(",", *failed)
-        out = {c: F.coalesce(v, F.lit(defaults.get(c)).cast(df.select(v).schema[0].dataType)) for c, v in new.items()}
+        kind = {c: df.select(v).schema[0].dataType for c, v in new.items()}
+        old = {c: F.col(c).cast(kind[c]) for c in new if keep_old and c in df.columns}
+        out = {c: F.coalesce(v, *([old[c]] if c in old else []), F.lit(defaults.get(c)).cast(kind[c])) for c, v in new.items()}
         return df.withColumns({f"{name}_error": (comment != "").cast("long"), f"{name}_error_comment": comment} | out)
 
     return run

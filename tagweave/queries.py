@@ -61,13 +61,14 @@ def t1_url(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "t2_timestamp",
     """
-WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '/%Y/%m/%d/x') WHEN 1 THEN strftime(ts, '/a-%Y-%m-%d')
-  WHEN 2 THEN '/' || strftime(ts, '%Y/') || lower(strftime(ts, '%b')) || strftime(ts, '/%d/') WHEN 3 THEN strftime(ts, '/%Y/%m') ELSE '/item/' || event_id END AS p, ts FROM events)
+WITH old AS (SELECT event_id, ts - INTERVAL 10 YEAR AS ts FROM events),
+e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '/%Y/%m/%d/x') WHEN 1 THEN strftime(ts, '/a-%Y-%m-%d')
+  WHEN 2 THEN '/' || strftime(ts, '%Y/') || lower(strftime(ts, '%b')) || strftime(ts, '/%d/') WHEN 3 THEN strftime(ts, '/%Y/%m') ELSE '/item/' || event_id END AS p, ts FROM old)
 SELECT event_id, strftime(date_trunc('day', ts), '%Y-%m-%d 00:00:00') AS value FROM e WHERE event_id % 5 < 3 AND year(ts) BETWEEN 1983 AND 2021
 """,
 )
 def t2_timestamp(spark: SparkSession, d: str) -> DataFrame:
-    ts, k = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 5
+    ts, k = F.expr("cast(ts as timestamp_ntz) - interval 10 years"), F.col("event_id") % 5  # the rule knows years up to 2021
     part = lambda f: F.date_format(ts, f)
     path = (
         F.when(k == 0, F.concat(F.lit("/"), part("yyyy/MM/dd"), F.lit("/x")))
@@ -236,15 +237,14 @@ nodes AS (SELECT doc_id, text, i, s, s + length(line) AS e, ['p', 'li', 'div', '
 
 def with_lines(df: DataFrame) -> DataFrame:
     """df with tags_html: a node a line of the text, relative positions 0."""
-    state = "named_struct('at', 0L, 'out', cast(array() as array<struct<s:bigint,e:bigint>>))"
-    spans = F.expr(
-        f"aggregate(split(text, '\\n'), {state}, (a, l) -> named_struct('at', a.at + length(l) + 1, 'out', concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(l))))))"
-    )["out"]
+    df = df.where("length(text) > 0").withColumn("_lines", F.split("text", "\n"))
+    df = df.withColumn("_upto", exprs.running_sums(F.transform("_lines", lambda x: F.length(x) + 1)))
+    spans = F.expr("transform(_upto, (u, i) -> named_struct('s', u - length(_lines[i]) - 1, 'e', u - 1))")
     node = (
         "transform(_spans, (x, i) -> cast(named_struct('char_end_idx', x.e, 'char_start_idx', x.s, 'html_attrs', named_struct('attrs', array('id', 'class'), 'values', array(cast(i as string), 'c')),"
         f" 'key', 'html', 'relative_end_pos', 0L, 'relative_start_pos', 0L, 'type', 'local', 'value', element_at(array('p', 'li', 'div', 'span'), i % 4 + 1)) as {HTML}))"
     )
-    return df.where("length(text) > 0").withColumn("_spans", spans).withColumn("tags_html", F.expr(node)).drop("_spans")
+    return df.withColumn("_spans", spans).withColumn("tags_html", F.expr(node)).drop("_spans", "_lines", "_upto")
 
 
 PARAGRAPHS = f"""
@@ -335,6 +335,65 @@ def h13_keep_attrs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "char_start_idx", F.array_join("html_attrs.attrs", ",").alias("attrs"), F.array_join("html_attrs.values", ",").alias("vals"))
 
 
+# ---- pages made of documents: every line an element of its own
+
+HTML_LINES = """
+a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE length(text) > 0),
+lines AS (SELECT doc_id, i - 1 AS i, l[i] AS line, regexp_replace(l[i], '[ \\t\\r\\n\\v\\f]+', ' ', 'g') AS held FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM a)),
+texts AS (SELECT *, trim(held) AS t FROM lines)
+"""
+
+
+def line_pages(spark: SparkSession, d: str, wrap: str) -> DataFrame:
+    """(doc_id, html): documents as pages; wrap: SQL for the markup of line x, number i."""
+    escaped = "replace(replace(replace(%s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    body = f"array_join(transform(transform(split(text, '\\n'), x -> {escaped % 'x'}), (x, i) -> {wrap}), '')"
+    page = f"concat('<!DOCTYPE html><html><head><title>', {escaped % 'source'}, '</title></head><body>', {body}, '</body></html>')"
+    return docs(spark, d).where("length(text) > 0").select("doc_id", F.expr(page).alias("html"))
+
+
+PLAIN = "concat('<p id=\"', i, '\">', x, '</p>')"
+
+
+@query("h9_text", f"WITH {HTML_LINES} SELECT doc_id, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> '') || chr(10), '')) AS text_md5 FROM texts GROUP BY doc_id")
+def h9_text(spark: SparkSession, d: str) -> DataFrame:
+    out = html.extract_html(line_pages(spark, d, PLAIN), policy=html.HtmlPolicy())
+    return out.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "h10_spans",
+    f"""
+WITH {HTML_LINES}, p AS (SELECT doc_id, i, length(t) AS n, coalesce(sum(CASE WHEN t <> '' THEN length(t) + 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM texts)
+SELECT doc_id, i, CAST(s AS BIGINT) AS char_start_idx, CAST(s + n AS BIGINT) AS char_end_idx FROM p
+""",
+)
+def h10_spans(spark: SparkSession, d: str) -> DataFrame:
+    out = exploded(html.extract_html(line_pages(spark, d, PLAIN), policy=html.HtmlPolicy()), "doc_id", "tags_html").where("value = 'p'")
+    return out.select("doc_id", F.get(F.col("html_attrs.values"), F.lit(0)).cast("long").alias("i"), "char_start_idx", "char_end_idx")
+
+
+@query("h6_drop_with_text", f"WITH {HTML_LINES} SELECT doc_id, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> '' AND length(held) > 40) || chr(10), '')) AS text_md5, count_if(length(held) > 40) AS n FROM texts GROUP BY doc_id")
+def h6_drop_with_text(spark: SparkSession, d: str) -> DataFrame:
+    out = html.extract_html(line_pages(spark, d, PLAIN), policy=html.HtmlPolicy(drop=(html.Rule("p", most=40),)))
+    n = F.size(F.filter("tags_html", lambda x: x["value"] == "p"))
+    return out.select("doc_id", F.md5("text").alias("text_md5"), n.cast("long").alias("n"))
+
+
+@query("h8_fold", f"WITH {HTML_LINES} SELECT doc_id, i, 'id=' || i || ' 7,class=k' AS attrs FROM texts")
+def h8_fold(spark: SparkSession, d: str) -> DataFrame:
+    pages_ = line_pages(spark, d, "concat('<div id=\"', i, '\">', '<div id=7 class=k>', x, '</div></div>')")
+    out = exploded(html.extract_html(pages_, policy=html.HtmlPolicy(fold=("div",))), "doc_id", "tags_html").where("value = 'div'")
+    pairs = F.transform(F.arrays_zip(F.col("html_attrs.attrs").alias("a"), F.col("html_attrs.values").alias("v")), lambda p: F.concat(p["a"], F.lit("="), p["v"]))
+    return out.select("doc_id", F.split(F.get(F.col("html_attrs.values"), F.lit(0)), " ")[0].cast("long").alias("i"), F.array_join(pairs, ",").alias("attrs"))
+
+
+@query("h2_isolate", "SELECT doc_id, '<title>' || source || '</title>' AS title FROM documents WHERE length(text) > 0 AND source <> ''")
+def h2_isolate(spark: SparkSession, d: str) -> DataFrame:
+    out = html.extract_html(line_pages(spark, d, PLAIN).join(docs(spark, d).where("source <> ''").select("doc_id"), "doc_id"), policy=html.HtmlPolicy(isolate=("title",)))
+    return out.select("doc_id", F.array_join("html_title", "").alias("title"))
+
+
 @query("t14_run_taggers")
 def t14_run_taggers(spark: SparkSession, d: str) -> DataFrame:
     redirects, paragraphs = sites(spark, d)
@@ -458,7 +517,17 @@ def r1_sample_tags(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", F.explode("tags").alias("n")).select("page_id", "n.key")
 
 
-@query("r2_sample_columns")
+@query(
+    "r2_sample_columns",
+    f"""
+WITH {V1_ROWS}, k AS (SELECT DISTINCT page_id, CASE key WHEN 'datasource' THEN 'generation_datasource' WHEN 'length' THEN 'generation_length_text' ELSE key END AS key FROM v1), c AS (SELECT page_id, count(*) AS n FROM k GROUP BY page_id),
+d AS (SELECT page_id, key, -ln((('0x' || substr(md5('7|' || page_id || '|' || key), 1, 13))::UBIGINT + 1) / 4503599627370497.0) / CASE key WHEN 'generation_datasource' THEN 1.0 WHEN 'generation_length_text' THEN 2.0 WHEN 'title' THEN 3.0 ELSE 0.5 END AS e FROM k),
+r AS (SELECT page_id, key, row_number() OVER (PARTITION BY page_id ORDER BY e, key) AS rn FROM d),
+s AS (SELECT r.page_id, r.key FROM r JOIN c USING (page_id) WHERE rn <= floor({u_sql(7, 'page_id', 'count')} * n) + 1)
+SELECT page_id, count_if(key = 'generation_datasource') AS generation_datasource, count_if(key = 'generation_length_text') AS generation_length_text, count_if(key = 'title') AS title, count_if(key = 'url') AS url
+FROM pages LEFT JOIN s USING (page_id) GROUP BY page_id
+""",
+)
 def r2_sample_columns(spark: SparkSession, d: str) -> DataFrame:
     weights = {"generation_datasource": 1.0, "generation_length_text": 2.0, "title": 3.0, "url": 0.5}
     out = sampling.sample_tags_columns(annotated(spark, d), weights, 7, "page_id")
@@ -476,10 +545,21 @@ def r4_sample_rows(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_rows(docs(spark, d), 0.3, 3, "doc_id").select("doc_id")
 
 
+@query(
+    "r4_with_replacement",
+    f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents), n AS (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS id) SELECT id AS draw, doc_id FROM n JOIN r ON rn = CAST(floor({u_sql(9, 'id')} * (SELECT count(*) FROM documents)) AS BIGINT)",
+)
+def r4_with_replacement(spark: SparkSession, d: str) -> DataFrame:
+    ids = docs(spark, d).select("doc_id")
+    return sampling.sample_with_replacement(ids, ids.count(), 9, "doc_id")
+
+
 @query("r5_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {u_sql(11, 'doc_id')}, doc_id) - 1 AS place FROM documents")
 def r5_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    keyed = docs(spark, d).select("doc_id", exprs.uniform(11, "doc_id").alias("u"))
-    return sources.row_index(keyed, "u", "doc_id", name="place").select("doc_id", "place")
+    path = sources.scratch_dir(spark)  # files of a sorted table keep its order in their names and rows
+    sampling.shuffle(docs(spark, d).select("doc_id"), 11, "doc_id").write.parquet(path)
+    read = spark.read.parquet(path).select("doc_id", sources.file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    return sources.row_index(read, "file", "row", name="place").select("doc_id", "place")
 
 
 @query(
@@ -627,13 +707,12 @@ def l7_collate(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "l8_insert_local",
     f"""
-WITH {LINES} SELECT doc_id, md5(string_agg('<' || tag || '>' || substring(text, s + 1, e - s) || '</' || tag || '>', chr(10) ORDER BY i)) AS text_md5, CAST(sum(5 + 2 * length(tag)) AS BIGINT) AS inserted FROM nodes
-WHERE doc_id NOT IN (SELECT doc_id FROM nodes WHERE s = e) GROUP BY doc_id
+WITH {LINES} SELECT doc_id, md5(string_agg('<' || tag || '>' || substring(text, s + 1, e - s) || '</' || tag || '>', chr(10) ORDER BY i)) AS text_md5, CAST(sum(5 + 2 * length(tag)) AS BIGINT) AS inserted FROM nodes GROUP BY doc_id
 """,
 )
 def l8_insert_local(spark: SparkSession, d: str) -> DataFrame:
     cfg = linearize.LinearizeConfig(html=linearize.HtmlRules(attributes_to_keep=()))
-    df = with_lines(docs(spark, d)).where("not exists(tags_html, n -> n.char_start_idx = n.char_end_idx)")
+    df = with_lines(docs(spark, d))
     df = df.withColumn("tags_html", F.transform("tags_html", lambda n: n.withField("relative_start_pos", F.lit(None).cast("long"))))
     out = linearize.insert_local(projections.to_v1(df.select("doc_id", "text", "tags_html")), cfg, "doc_id")
     inserted = F.aggregate("char_mask", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -645,10 +724,11 @@ def l9_gate(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", linearize.gate(linearize.LinearizeConfig(tags_probability=0.4), 1, "doc_id").alias("gated"))
 
 
-TOKENS = "regexp_extract_all(text, '\\s*[\\p{L}\\p{N}\\p{M}_]+|\\s*[^\\p{L}\\p{N}\\p{M}_\\s]+|\\s+')"
-
-
-@query("l10_tokens")
+@query(
+    "l10_tokens",
+    "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\s*[\\p{L}\\p{N}_]+|\\s*[^\\p{L}\\p{N}_\\s]+|\\s+') AS w FROM documents) "
+    "SELECT doc_id, CAST(len(w) AS INTEGER) AS n, CAST(list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT)) AS BIGINT) AS ids, CAST(length(text) AS INTEGER) AS chars FROM t",
+)
 def l10_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = linearize.regex_tokens("text")
     sum_ = F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x["id"])
@@ -752,15 +832,23 @@ def a3_dedupe_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j4_intersect",
-    "SELECT md5(a.text) AS text_md5, a.k || ',' || b.k AS ids FROM (SELECT text, 'a' || min(doc_id) AS k FROM documents WHERE doc_id % 2 = 0 GROUP BY text) a JOIN (SELECT text, 'b' || min(doc_id) AS k FROM documents WHERE doc_id % 3 = 0 GROUP BY text) b USING (text)",
+    "SELECT md5(a.text) AS text_md5, a.k || ',' || b.k AS ids FROM (SELECT text, 'a' || min(doc_id) AS k FROM documents GROUP BY text) a JOIN (SELECT text, 'b' || min(doc_id) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY text) b USING (text)",
 )
 def j4_intersect(spark: SparkSession, d: str) -> DataFrame:
     df = docs(spark, d)
-    named = lambda x, mod: df.where(f"doc_id % {mod} = 0").withColumn("nodes", F.array(F.concat(F.lit(x), F.col("doc_id").cast("string"))))
-    out = projections.intersect_on_text([named("a", 2), named("b", 3)], "doc_id", ["nodes", "nodes"])
+    labelled = df.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    named = lambda x, t: t.withColumn("nodes", F.array(F.concat(F.lit(x), F.col("doc_id").cast("string"))))
+    out = projections.intersect_on_text([named("a", df), named("b", labelled)], "doc_id", ["nodes", "nodes"])
     return out.select(F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("ids"))
 
 
+@query("a9_step_counts", "SELECT 'drop_empty_text' AS step, count(*) AS rows_before, count_if(length(replace(text, 'a', '')) > 0 AND source <> 'src0') AS rows_after FROM documents")
+def a9_step_counts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("source") != "src0", F.replace("text", F.lit("a"), F.lit(""))).otherwise("")
+    before = docs(spark, d).withColumn("text", text)
+    return projections.step_counts("drop_empty_text", before, projections.drop_empty_text(before))
+
+
 @query("j5_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j5_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return projections.difference(docs(spark, d), table(spark, d, "labels"), "doc_id").select("doc_id")

@@ -21,9 +21,10 @@ def with_annotations(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def read_annotated(spark: SparkSession, *paths: str) -> DataFrame:
-    """JSON lines, plain or gzipped, under the explicit annotated schema."""
-    return with_annotations(spark.read.schema(schemas.V2).json(list(paths)))
+def read_annotated(spark: SparkSession, *paths: str, prefix: str = "tags_") -> DataFrame:
+    """JSON lines, plain or gzipped, under the explicit annotated schema; prefix: what the files' annotations begin with."""
+    df = spark.read.schema(schemas.V2.replace("tags_", prefix)).json(list(paths))
+    return with_annotations(df.withColumnsRenamed({prefix + c.removeprefix("tags_"): c for c in schemas.ANNOTATIONS}))
 
 
 def read_v1(spark: SparkSession, *paths: str, ext: str = "jsonl", tags: bool = True) -> DataFrame:
@@ -162,9 +163,11 @@ def write_schema(df: DataFrame, path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir); a local one where none is set."""
+    """A new folder in the one that all executors share (spark.checkpoint.dir); a local one where none is set, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tagweave-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tagweave/{uuid.uuid4().hex}"
