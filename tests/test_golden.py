@@ -146,6 +146,34 @@ def test_insertion(spark):
     assert r.text_with_tags == "Biden [[Joe B]] won" and r.char_mask == [0] * 5 + [1] * 10 + [0] * 4
 
 
+def test_insertion_order(spark):
+    """Nodes with equal offsets, empty spans, relative positions and plain nodes together, and offsets past the end."""
+    n = lambda key, s, e, v, p=None, q=None: (e, s, ([], []), key, None, q, p, "local", v)
+    rows = [
+        (1, "red fox", [n("html", 0, 7, "p", 0, 1), n("html", 0, 3, "b", 1, 0), n("html", 3, 3, "br", 1, 2), n("html", 7, 7, "hr", 0, 2)]),
+        (2, "red fox", [n("entity", 4, 7, "Fox_1"), n("mark", 4, 4, "x"), n("mark", 0, 3, "c"), n("mark", 0, 7, "d")]),
+        (3, "red fox", [n("entity", 0, 99, "Out"), n("html", 0, 3, "i", 0, 0)]),
+        (4, "", []),
+    ]
+    df = spark.createDataFrame(rows, f"id long, text string, tags array<{schemas.ANY}>")
+    cfg = linearize.LinearizeConfig(tags_list=("html", "entity", "mark"), wrap_start={"html": "{"}, wrap_end={"html": "}"})
+    out = {r.id: r for r in linearize.insert_local(df, cfg, "id").collect()}
+    assert out[1].text_with_tags == "{<p><b>}red{</b><br></br>} fox{<hr></p></hr>}"
+    assert out[2].text_with_tags == "[mark: d][mark: c]red[/mark: c] [mark: x][/mark: x]fox [[Fox 1]][/mark: d]"
+    assert out[3].text_with_tags == "{<i>}red{</i>} fox" and out[4].text_with_tags == ""
+    assert all(len(r.char_mask) == len(r.text_with_tags) and sum(r.char_mask) == len(r.text_with_tags) - len(r.text) for r in out.values())
+    own = {"mark": lambda node, cfg: F.struct(F.lit("(").alias("start"), F.lit(")").alias("end"))}
+    assert linearize.insert_local(df.where("id = 2"), cfg, "id", renderers=own).first().text_with_tags == "((red) ()fox [[Fox 1]])"
+
+
+def test_renderers_reach_training_rows(spark):
+    node = "array(named_struct('key', 'url', 'type', 'global', 'value', 'u'))"
+    df = projections.to_v1(spark.createDataFrame([(1, "some text")], "id long, text string").selectExpr("*", f"{node} as tags_url"))
+    cfg = linearize.LinearizeConfig(max_seq_len=32)
+    usual, own = (linearize.train_rows(df, cfg, "id", renderers=r).first().input_ids for r in (None, {"url": lambda n, c: F.lit("other words")}))
+    assert usual != own
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, [1, 2, 3, 4, 5], [0, 1, 0, 0, 1], [9]), (2, [], [], [9])], "id int, ids array<int>, mask array<int>, prefix_ids array<int>")
     out = linearize.chunk(df, 4).orderBy("chunk_idx").collect()
@@ -200,3 +228,51 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string, text string")
     out = taggers.tag_timestamp(taggers.tag_datasource(taggers.tag_url(df)))
     assert out.count() == 0 and projections.to_v1(out).count() == 0
+
+
+def test_readers(spark, tmp_path):
+    df = spark.createDataFrame([("a", "t1"), ("b", "t2")], "id string, text string")
+    df.coalesce(1).write.json(f"{tmp_path}/v1")
+    assert sorted(r.text for r in sources.read_v1(spark, f"{tmp_path}/v1").collect()) == ["t1", "t2"]
+    df.select("text").coalesce(1).write.text(f"{tmp_path}/txt")
+    assert sources.read_v1(spark, f"{tmp_path}/txt", ext="txt", tags=False).columns == ["text"]
+    sources.write_columnar(df, f"{tmp_path}/named/en/v1")
+    sources.write_columnar(df, f"{tmp_path}/named/en/v1", "ignore")
+    assert sources.read_named(spark, f"{tmp_path}/named", "en", "v1").count() == sources.read_columnar(spark, f"{tmp_path}/named/*/v[0-9]").count() == 2
+    names = sources.read_columnar(spark, f"{tmp_path}/named/*/*").select(sources.file_name().alias("name")).distinct()
+    assert sources.select_files(names, pattern=r"^part-\d+.*\.parquet$").count() == names.count() > 0
+    spark.createDataFrame([('{"n": 1}',), ("{broken",)], "v string").coalesce(1).write.text(f"{tmp_path}/lines")
+    assert [r.n for r in sources.read_lines(spark, f"{tmp_path}/lines", schema="n long").orderBy("n").collect()] == [None, 1]
+    df.write.parquet(f"{tmp_path}/redirects")
+    assert [t.count() for t in sources.read_site_tables(spark, f"{tmp_path}/redirects", f"{tmp_path}/redirects")] == [2, 2]
+
+
+def test_other_prefixes(spark, tmp_path):
+    df = taggers.tag_url(spark.createDataFrame([("u", "t")], "url string, text string")).withColumnRenamed("tags_url", "notes_url")
+    sources.write_jsonl_gz(df, f"{tmp_path}/j")
+    back = sources.read_annotated(spark, f"{tmp_path}/j", prefix="notes_").first()
+    assert [n.value for n in back.tags_url] == ["u"] and back.tags_html == []
+
+
+def test_sampling_ends(spark):
+    a, b = spark.range(10).toDF("id"), spark.range(100, 200).toDF("id")
+    both = sampling.interleave([a, b], [1, 1], 3, "id", stop_first=True).orderBy("turn").collect()
+    assert len(both) == 20 and sum(r.source == 0 for r in both) == 10
+    loose = sampling.shuffle(b, 5, "id", total=False)
+    assert sorted(r.id for r in loose.collect()) == list(range(100, 200))
+    drawn = sampling.sample_with_replacement(a, 50, 1, "id").collect()
+    assert len(drawn) == 50 and {r.id for r in drawn} <= set(range(10)) and len({r.id for r in drawn}) < 50
+
+
+def test_old_values_come_back(spark):
+    df = spark.createDataFrame([("7", 1), ("x", 2)], "v string, n int")
+    out = annotate.with_error_capture("p", {"n": "try_cast(v as int)"}, {"n": 0}, keep_old=True)(df).collect()
+    assert [(r.n, r.p_error) for r in out] == [(7, 0), (2, 1)]
+
+
+def test_exploded_in_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["c"])], "id long, parts array<string>")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = streaming.stream_columnar(spark, f"{tmp_path}/in", "id long, parts array<string>")
+    streaming.publish(stream.select("id", F.explode("parts").alias("part")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r.part for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
