@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.exprs import col
 from tagweave.schemas import HTML
+from tagweave.sources import settled
 
 INF = float("inf")
 
@@ -318,15 +319,6 @@ def removed(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return rows.withColumn("joint", F.col("pos") == F.col("_last")).drop("_last", "_sum", "goes", "undecided")
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows as a table in the shared folder, so that rounds don't pile up."""
-    from tagweave.sources import scratch_dir
-
-    path = scratch_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 _WHITE = r"(?U)\s"
 
 

@@ -148,15 +148,16 @@ def j7_entity_description(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "t5_clean_description",
     """
-WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS v FROM documents)
-SELECT doc_id, v AS value FROM t WHERE NOT (len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) < 5 OR len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) > 50
+WITH t AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS v FROM documents)
+SELECT doc_id, i, v AS value FROM t WHERE NOT (len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) < 5 OR len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) > 50
   OR regexp_matches(v, '^(.* refer(|s) to.?:|\\[\\[\\w*:)'))
 """,
 )
 def t5_clean_description(spark: SparkSession, d: str) -> DataFrame:
-    node = exprs.global_node("website_description", F.substring_index("text", "\n", 1))
-    df = docs(spark, d).select("doc_id", F.array(node).alias("tags_website_desc"))
-    return exploded(taggers.clean_website_description(df), "doc_id", "tags_website_desc").select("doc_id", "value")
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    df = lines.select("doc_id", F.col("i").cast("long").alias("i"), F.array(exprs.global_node("website_description", F.col("line"))).alias("tags_website_desc"))
+    out = taggers.clean_website_description(df)
+    return out.select("doc_id", "i", F.explode("tags_website_desc").alias("n")).select("doc_id", "i", "n.value")
 
 
 WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
@@ -430,10 +431,10 @@ v1 AS (SELECT page_id, 'datasource' AS key, {DATASOURCE} AS value, 1 AS o FROM p
 """
 
 
-@query("p1_keep_tags", "SELECT page_id, 'text,tags_url' AS cols FROM pages")
+@query("p1_keep_tags", "SELECT page_id, 'text,tags_url' AS cols, CASE WHEN length(url) > 0 THEN url END AS url, md5(html) AS text_md5 FROM pages")
 def p1_keep_tags(spark: SparkSession, d: str) -> DataFrame:
     df = projections.keep_tags(annotated(spark, d), ["url"])
-    return df.select("page_id", F.lit(",".join(c for c in df.columns if c != "page_id")).alias("cols"))
+    return df.select("page_id", F.lit(",".join(c for c in df.columns if c != "page_id")).alias("cols"), exprs.first_value("tags_url", "url").alias("url"), F.md5("text").alias("text_md5"))
 
 
 @query("p2_drop_empty_text", "SELECT doc_id FROM documents WHERE length(replace(text, 'a', '')) > 0 AND source <> 'src0'")

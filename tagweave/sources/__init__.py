@@ -123,11 +123,12 @@ def shard(df: DataFrame, n: int, order_by: str, mode: str = "round_robin") -> Da
 def row_index(df: DataFrame, *order_by: str, name: str = "_rn") -> DataFrame:
     """df with the rank of each row from 0: sorted in ranges, each counting on from the ones before.
 
-    Only one number a range meets in a single task.
+    The sorted rows are written to the shared folder, so that both readers see the same numbers. Only one
+    number a range meets in a single task.
     """
     sort = [F.col(c) for c in order_by]
     ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = settled(ranged.withColumn("_at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -171,3 +172,10 @@ def scratch_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tagweave-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tagweave/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: read twice, it holds the same rows, whatever executors are lost."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
