@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagweave.llm import decontaminate, edit_counts, exact_dedup, hmm, jaccard_join, line_dedup, packing, substring_dedup, token_files, toxicity
+from tagweave.llm import common, decontaminate, edit_counts, exact_dedup, hmm, jaccard_join, line_dedup, packing, substring_dedup, token_files, toxicity
 from tagweave.llm.common import words
 from tagweave.llm.tokens import public_path
 
@@ -306,6 +306,14 @@ def test_edit_counts(spark, odd, none):
     by = {r.doc_id: r for r in out}
     assert by[4].edited == "new text" and by[1].edited.startswith("AlpX") and by[7].n_edits == 0
     assert edit_counts.count_tokens(none.withColumn("edits", edit_counts.sample_edits())).count() == 0
+    # kept leaves stand in for the texts' own, and leaves of another text are not believed
+    kept = edit_counts.with_leaves(odd).select("doc_id", "text", "leaves")
+    again = edit_counts.count_tokens(edit_counts.with_edits(kept, edits))
+    counts = lambda rows: bag((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_pretokens_edited, r.edited) for r in rows)
+    assert counts(again.collect()) == counts(out)
+    more = again.select("doc_id", F.col("edited").alias("text"), "leaves", F.expr("array(named_struct('start', 1, 'end', 2, 'replacement', 'Z'))").alias("edits"))
+    for r in edit_counts.count_tokens(more).collect() + edit_counts.count_tokens(more.withColumn("text", F.concat("text", F.lit("!")))).collect():
+        assert r.n_tokens_edited == len(t.encode(r.edited, add_special_tokens=False).ids)
 
 
 def test_hmm(odd, none):
@@ -327,6 +335,49 @@ def test_hmm(odd, none):
     assert hmm.score(none, fold).count() == 0
 
 
+def test_hmm_scores_are_exact_with_one_state(spark, odd):
+    """With one state a text's probability is a product of shares, which is written out here."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    counts = Counter()
+    for doc, text in plain(odd):
+        if not held(doc):
+            counts.update(hmm.tokens(text))
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:10]
+    of = lambda w: top.index(w) if w in top else 10 + hmm.spelled(w)
+    per, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        per[of(w)] += n
+        kinds[of(w)] += 1
+    classes, total = 10 + hmm.SPELLED, sum(counts.values())
+    emit = [per[c] + 0.02 * (per[c] + 0.5) / (total + 0.5 * classes) + 1e-9 for c in range(classes)]
+    whole = sum(emit)
+    want = []
+    for doc, text in plain(odd):
+        logs = [math.log10(emit[of(w)] / whole) + (0 if w in top else math.log10((counts[w] + 0.5) / (per[of(w)] + 0.5 * (kinds[of(w)] + 1)))) for w in hmm.tokens(text)]
+        want.append((doc, f"{sum(logs):.5g}"))
+    out = hmm.score(odd, fold, states=1, passes=2, own=10, heavy=40).collect()
+    assert bag((r.doc_id, f"{r.score:.5g}") for r in out) == bag(want)
+
+
+def test_hmm_learns_nothing_from_held_out_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    fold = F.col("doc_id") % 4 == 0
+    other = docs.withColumn("text", F.when(fold, F.concat(F.lit("zebra zebra the of "), F.reverse("text"))).otherwise(F.col("text")))
+    a, b = ({r.doc_id: (r.score, r.base_score) for r in hmm.score(d, fold, passes=2).where("not held_out").collect()} for d in (docs, other))
+    assert a.keys() == b.keys() and all(math.isclose(x, y, rel_tol=1e-6) for k in a for x, y in zip(a[k], b[k], strict=True))
+
+
+def test_baum_welch_reads_whole_texts():
+    """Waiting and sorting lose no sequence, and a long one is not cut."""
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 700, 1, 513, 2, 40, 900])
+    flat = rng.integers(0, 9, lengths.sum()).astype(np.int32)
+    waiting = hmm.Batches()
+    met = [tuple(x) for part in waiting.add(flat, np.r_[0, np.cumsum(lengths)]) for x in part] + [tuple(x) for x in waiting.rest()]
+    assert bag(met) == bag(tuple(x) for x in np.split(flat, np.cumsum(lengths)[:-1])) and not waiting.held
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(4)
     model = hmm.initial(rng.random(6) * 9, 3)
@@ -416,6 +467,55 @@ def test_sql(spark):
         compare.assert_same(queries.queries()[name](spark, SF), con, sql)
 
 
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
+def test_jaccard_recall(spark, similarity):
+    """Links of distinct sets, counted a set, against all pairs; at other thresholds than the usual one too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for doc, text in plain(docs):
+        x = frozenset(jaccard_join.shingles(text).tolist())
+        if x:
+            sets.setdefault(x, []).append(doc)
+    keys = list(sets)
+    holders = defaultdict(set)
+    for i, x in enumerate(keys):
+        for t in x:
+            holders[t].add(i)
+    links = 0
+    for i, x in enumerate(keys):
+        near = Counter(j for t in x for j in holders[t] if j < i)
+        links += sum(n >= similarity * (len(x) + len(keys[j]) - n) - 1e-9 for j, n in near.items())
+    rows = jaccard_join.near_duplicates(docs, similarity).select("set_id", "n_set_links").distinct().collect()
+    found = sum(r.n_set_links for r in rows) / 2
+    assert links > 20 and found <= links and found / links >= 0.999
+
+
+def test_written_tables_are_dropped(spark):
+    before = len(common._WRITTEN)
+    out = common.finished(lambda: common.written(common.written(spark.range(5).toDF("a")).where("a > 1")))
+    assert out.count() == 3 and len(common._WRITTEN) == before + 1
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, odd, none, empty, tmp_path):
+    """Nulls, repeats, clashing columns and no rows at all pass every stage, and columns keep their values."""
+    import corpus_pipeline as P
+
+    docs = (none if empty else odd.withColumn("toxicity", F.lit("t")).withColumn("n_dropped", F.lit("d")).withColumn("gone", F.lit("g"))).withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int").where(F.lit(not empty)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing that occurs in any of these documents at all"), (None, None)], "item_id long, text string").where(F.lit(not empty)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r.n_lines == "x" and r.toxicity == "t" and r.n_dropped == "d" for r in rows) if not empty else not rows, name
+        assert sum(r.doc_id is None for r in rows) == (0 if empty else 2), name
+    packed = P.run(spark, str(tmp_path))
+    assert packed.count() == 0 if empty else packed.select("doc_id").distinct().count() > 3
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
