@@ -40,10 +40,23 @@ class LinearizeConfig:
     wrap_end: dict[str, str] = field(default_factory=dict)
     local_as_regular_text: bool = False
     same_context_without_tags: bool = False
+    #: Annotations (keys) to use; None: all.
+    tags_columns: tuple[str, ...] | None = None
+    #: Draw some of a row's types, by weights or by inverse frequency over sample_size rows (None: all).
+    random_sample: bool = False
+    sample_size: int | None = None
+    sample_weights: dict[str, float] | None = None
+    html_rate: float = 1.0
+    #: Special tokens and wrappers of keys are tokens of their own.
+    special_token_state: bool = False
     max_seq_len: int = 1024
     pad_id: int = 0
     html: HtmlRules = HtmlRules()
 
+    def specials(self) -> tuple[str, ...]:
+        held = (*self.special_tokens.values(), *self.wrap_start.values(), *self.wrap_end.values())
+        return tuple(dict.fromkeys(held)) if self.special_token_state else ()
+
     def for_prompt(self) -> LinearizeConfig:
         return replace(self, tags_sep="; ", tags_prefix_sep="")
 
@@ -195,28 +208,44 @@ def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
 
 #: Word with the white space before it, other characters likewise, or white space: every character is in a token.
 TOKEN = r"\s*\w+|\s*[^\w\s]+|\s+"
-_TOKEN = re.compile(TOKEN)
 Tokenizer = Callable[[Column], Column]
+_TOKENS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "start", "end")]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "start", "end")])))
-def _cut(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        found = ((m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text))
-        return [{"id": int(hashlib.md5(w.encode()).hexdigest()[:7], 16), "start": s, "end": e} for w, s, e in found]
+def tokens_with(specials: tuple[str, ...] = ()) -> Tokenizer:
+    """A tokenizer to array<struct<id, start, end>>; specials are tokens of their own wherever they stand.
 
-    return texts.map(one)
+    An id is the first 28 bits of the token's md5. Offsets are running sums over a text's tokens, which array
+    functions only give in quadratic time, so texts are cut in Arrow batches.
+    """
+    special = "|".join(map(re.escape, sorted(filter(None, specials), key=len, reverse=True)))
+    kept = rf"(?:{special})|\s+(?={special})|\s*(?:(?!{special})\w)+|\s*(?:(?!{special})[^\w\s])+|\s+"
+    pattern = kept if special else TOKEN
 
+    def cut(texts: pd.Series) -> pd.Series:
+        find, ids = re.compile(pattern).finditer, {}
 
-def regex_tokens(text: Column | str) -> Column:
-    """array<struct<id, start, end>>; an id is the first 28 bits of the token's md5.
+        def id_of(word: str) -> int:
+            found = ids.get(word)
+            if found is None:
+                found = ids[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
+            return found
 
-    Offsets are running sums over a text's tokens, which array functions only give in quadratic time, so
-    texts are cut in Arrow batches.
-    """
-    return _cut(col(text))
+        def one(text: str | None) -> list[dict] | None:
+            if text is None:
+                return None
+            return [{"id": id_of(m.group()), "start": m.start(), "end": m.end()} for m in find(text)]
+
+        return texts.map(one)
+
+    # nondeterministic by name, so that it isn't run once for every field that is read
+    split = F.pandas_udf(cut, _TOKENS).asNondeterministic()
+    return lambda text: split(col(text))
+
+
+def regex_tokens(text: Column | str) -> Column:
+    """The tokens of a text, without special ones."""
+    return tokens_with()(text)
 
 
 def token_id(word: Column) -> Column:
@@ -313,12 +342,13 @@ def train_rows(
     cfg: LinearizeConfig,
     id_col: str,
     seed: int = 0,
-    tokenizer: Tokenizer = regex_tokens,
+    tokenizer: Tokenizer | None = None,
     nodes: str = "tags",
     renderers: dict[str, Renderer] | None = None,
     local_renderers: dict[str, Renderer] | None = None,
 ) -> DataFrame:
     """Training rows of documents (id, text, tags): id, chunk_idx, input_ids, attention_mask, tags_mask, labels."""
+    tokenizer = tokenizer or tokens_with(cfg.specials())
     src = df.where(F.length("text") > 0).select(F.col(id_col), "text", F.when(gate(cfg, seed, id_col), F.col(nodes)).otherwise(F.array().cast(df.schema[nodes].dataType)).alias("tags"))
     prefixed = tags_prefix(src, cfg, renderers=renderers)
     inserted = insert_local(prefixed, cfg, id_col, renderers=local_renderers)
@@ -342,7 +372,7 @@ def train_rows(
     return rows.select(id_col, "chunk_idx", "input_ids", "attention_mask", "tags_mask", F.col("input_ids").alias("labels"))
 
 
-def paired_examples(df: DataFrame, cfg: LinearizeConfig, id_col: str, include_chunked: bool = False, tokenizer: Tokenizer = regex_tokens) -> DataFrame:
+def paired_examples(df: DataFrame, cfg: LinearizeConfig, id_col: str, include_chunked: bool = False, tokenizer: Tokenizer | None = None) -> DataFrame:
     """id, normal_ids, normal_attention, tags_ids, tags_attention, tags_mask of first windows.
 
     Only documents of one window, unless include_chunked; a window that is tags throughout is left out.

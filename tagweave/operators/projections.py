@@ -77,11 +77,13 @@ def _widened(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.transform(column, wide), F.array().cast(f"array<{ANY}>"))
 
 
-def to_v1(df: DataFrame) -> DataFrame:
-    """One `tags` list of all annotation lists in column order; a table that has it stays as it is."""
+def to_v1(df: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """One `tags` list of all annotation lists, or those of keys, in column order; a table that has it stays as it is."""
     if "tags" in df.columns:
         return df
     cols = annotations(df)
+    df = df.drop(*(c for c in cols if keys is not None and c.removeprefix(PREFIX) not in keys))
+    cols = annotations(df)
     nodes = F.concat(*(_widened(df, c) for c in cols)) if cols else F.array().cast(f"array<{ANY}>")
     return df.withColumn("tags", nodes).drop(*cols)
 

@@ -50,13 +50,18 @@ def sample_tags(df: DataFrame, weights: dict[str, float], seed: int, id_col: str
     return df.withColumn("_kept", kept).withColumn(nodes, F.filter(nodes, lambda x: F.array_contains("_kept", x["key"]))).drop("_kept")
 
 
+def drop_html(df: DataFrame, html_rate: float, seed: int, id_col: str) -> DataFrame:
+    """df with all html nodes of a row gone, with probability 1 - html_rate."""
+    drop = uniform(seed, id_col, tag="html") < F.lit(1 - html_rate)
+    html = F.when(~drop, F.col(PREFIX + "html")).otherwise(F.array().cast(df.schema[PREFIX + "html"].dataType))
+    return df.withColumn(PREFIX + "html", html)
+
+
 def sample_tags_columns(df: DataFrame, weights: dict[str, float], seed: int, id_col: str, html_rate: float = 1.0) -> DataFrame:
     """The same over annotation columns; others' lists become empty, html first with probability 1 - html_rate."""
     cols = [c for c in annotations(df) if c.removeprefix(PREFIX) in weights]
-    if PREFIX + "html" in cols:
-        drop = uniform(seed, id_col, tag="html") < F.lit(1 - html_rate)
-        html = F.when(~drop, F.col(PREFIX + "html")).otherwise(F.array().cast(df.schema[PREFIX + "html"].dataType))
-        df = df.withColumn(PREFIX + "html", html) if html_rate < 1 else df
+    if PREFIX + "html" in cols and html_rate < 1:
+        df = drop_html(df, html_rate, seed, id_col)
     names = F.filter(F.array(*(F.when(F.size(c) > 0, F.lit(c.removeprefix(PREFIX))) for c in sorted(cols))), lambda x: x.isNotNull())
     out = df.withColumn("_kept", F.when(F.size(names) > 0, _kept(names, weights, seed, id_col)))
     return out.withColumns(

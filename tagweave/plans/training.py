@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from tagweave.operators import linearize, projections, sampling
 
 
-def build_dataset(df: DataFrame, cfg: linearize.LinearizeConfig, experiment: str, id_col: str, seed: int = 0, html_rate: float = 1.0) -> DataFrame:
-    """Rows by experiment: "with_tags" (v1 or annotated tables, types sampled by inverse frequency),
-    "with_tags_all" (no sampling) or "without_tags" (texts packed by document)."""
+def build_dataset(df: DataFrame, cfg: linearize.LinearizeConfig, experiment: str, id_col: str, seed: int = 0) -> DataFrame:
+    """Rows by experiment: "with_tags" (v1 or annotated tables, types drawn by cfg.sample_weights or by inverse
+    frequency), "with_tags_all" (drawn only if cfg.random_sample is set) or "without_tags" (texts packed by document)."""
     src = projections.drop_empty_text(df)
     if experiment == "without_tags":
         ids = F.transform(linearize.regex_tokens("text"), lambda t: t["id"])
         return linearize.pack(src.select(id_col, ids.alias("ids"), F.lit(0).alias("_o")), cfg.max_seq_len, id_col, "_o", pad_id=cfg.pad_id)
-    v1 = projections.to_v1(src)
-    if experiment == "with_tags":
-        weights = {r["key"]: r["weight"] for r in sampling.type_weights(sampling.type_counts(v1)).collect()}  # a row a node type
-        v1 = sampling.sample_tags(v1, weights, seed, id_col)
-    elif experiment != "with_tags_all":
+    if experiment not in ("with_tags", "with_tags_all"):
         raise ValueError(f"no experiment {experiment!r}")
+    if cfg.html_rate < 1 and "tags_html" in src.columns:
+        src = sampling.drop_html(src, cfg.html_rate, seed, id_col)
+    v1 = projections.to_v1(src, cfg.tags_columns)
+    if experiment == "with_tags" or cfg.random_sample:
+        weights = cfg.sample_weights
+        if weights is None:  # a row a node type comes to the driver
+            some = v1 if cfg.sample_size is None else v1.orderBy(id_col).limit(cfg.sample_size)
+            weights = {r["key"]: r["weight"] for r in sampling.type_weights(sampling.type_counts(some)).collect()}
+        v1 = sampling.sample_tags(v1, weights, seed, id_col)
     return linearize.train_rows(v1, cfg, id_col, seed)

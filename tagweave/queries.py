@@ -163,13 +163,13 @@ def t5_clean_description(spark: SparkSession, d: str) -> DataFrame:
 WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
 GAZETTEER = f"""
 w AS (SELECT doc_id, unnest(list_distinct({WORDS})) AS w FROM documents),
-gazetteer AS (SELECT w AS alias, 'Entity_' || upper(w) AS entity FROM w WHERE length(w) BETWEEN 6 AND 12 GROUP BY w ORDER BY count(*) DESC, w LIMIT 30)
+gazetteer AS (SELECT w AS alias, 'Entity_' || upper(w) AS entity FROM w WHERE length(w) BETWEEN 6 AND 12 GROUP BY w HAVING count(*) * 10 > (SELECT count(*) FROM documents))
 """
 
 
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     w = docs(spark, d).select(F.explode(F.array_distinct(F.split("text", r"[ \t\n\u000B\f\r]+"))).alias("w")).where("length(w) between 6 and 12")
-    top = w.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(30)
+    top = w.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") * 10 > docs(spark, d).count())
     return top.select(F.col("w").alias("alias"), F.concat(F.lit("Entity_"), F.upper("w")).alias("entity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,6 +154,18 @@ def write_jsonl_gz(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).option("compression", "gzip").json(path)
 
 
+def publish(write: Callable[[DataFrame, str], None], df: DataFrame, path: str) -> bool:
+    """Write df beside path and move it there when it is whole; False where path is there already and stays."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    beside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    write(df, beside)
+    return bool(files.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target))
+
+
 def write_shards(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).partitionBy("shard").parquet(path)
 

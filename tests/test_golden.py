@@ -1,12 +1,14 @@
 """Small vectors with known results."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagweave import schemas, sources, streaming
 from tagweave.functions.exprs import path_date, unquote
 from tagweave.operators import html, linearize, projections, sampling, taggers
-from tagweave.plans import annotate
+from tagweave.plans import annotate, training
 
 
 def values(df, column, name="value"):
@@ -276,3 +278,22 @@ def test_exploded_in_a_stream(spark, tmp_path):
     stream = streaming.stream_columnar(spark, f"{tmp_path}/in", "id long, parts array<string>")
     streaming.publish(stream.select("id", F.explode("parts").alias("part")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.part for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def test_publishing(spark, tmp_path):
+    df = spark.range(3)
+    assert sources.publish(sources.write_columnar, df, f"{tmp_path}/out") and not sources.publish(sources.write_columnar, df, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_config_switches(spark):
+    node = lambda k, v: f"array(named_struct('key', '{k}', 'type', 'global', 'value', '{v}'))"
+    df = spark.createDataFrame([(i, "some <s> text") for i in range(20)], "id long, text string")
+    df = df.selectExpr("*", f"{node('url', 'u')} as tags_url", f"{node('title', 't')} as tags_title")
+    assert [n.key for n in projections.to_v1(df, ("title",)).first().tags] == ["title"]
+    cfg = linearize.LinearizeConfig(max_seq_len=32, special_tokens={"html": "<s>"})
+    rows = {}
+    for name, c in (("all", cfg), ("special", replace(cfg, special_token_state=True)), ("title", replace(cfg, tags_columns=("title",))), ("drawn", replace(cfg, random_sample=True, sample_weights={"url": 1.0, "title": 1.0}))):
+        rows[name] = [r.input_ids for r in training.build_dataset(df, c, "with_tags_all", "id").orderBy("id").collect()]
+    assert rows["all"] != rows["special"] and rows["all"] != rows["title"] and 1 < len({tuple(x) for x in rows["drawn"]}) <= 3
+    assert linearize.regex_tokens and cfg.specials() == () and replace(cfg, special_token_state=True).specials() == ("<s>",)
