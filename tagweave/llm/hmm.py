@@ -72,7 +72,8 @@ class Vocabulary:
         share = np.zeros(len(self.words))
         rest = cls[self.own :] - self.own
         share[self.own :] = np.log10((self.train[self.own :] + 0.5) / (self.held[rest] + 0.5 * (self.kinds[rest] + 1)))
-        return {w: i for i, w in enumerate(self.words)}, cls, base, share
+        # one more entry, for words that aren't there
+        return {w: i for i, w in enumerate(self.words)}, np.r_[cls, np.int32(0)], np.r_[base, 0.0], np.r_[share, 0.0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def _sequences(sent):
             _ARRAYS.clear()
             _ARRAYS[key] = (sent.value, *sent.value.arrays())
         vocabulary, index, cls_of, base_of, share_of = _ARRAYS[key]
-        known_of = vocabulary.train > 0
+        known_of = np.r_[vocabulary.train > 0, False]
         for batch in batches:
             for part in pieces(batch, "text"):
                 flat: list[bytes] = []

@@ -40,7 +40,7 @@ SMALL = 4096
 #: Longer texts are cut, with windows on either side of a cut kept whole.
 PIECE = 1 << 19
 #: Suffixes that are refined at once in a task; a bucket is kept whole.
-AT_ONCE = 1 << 20
+AT_ONCE = 2 << 20
 _U = np.uint64
 
 
@@ -180,16 +180,36 @@ def _in_bucket(length: int, short: int):
     return run
 
 
+def _starts(n: np.ndarray, sizes: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and place in it of every window of so many bytes that starts in a run."""
+    many = np.clip(np.minimum(n, sizes - wanted + 1), 0, None)
+    context = np.repeat(np.arange(len(n)), many)
+    return context, np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _may_repeat(part: pa.Table, short: int) -> pa.Table:
+    """Contexts without those none of whose windows has another's identifier: all their suffixes are alone."""
+    n, held = array_of(part, "n").to_numpy().astype(np.int64), array_of(part, "bytes")
+    sizes = pc.binary_length(held).to_numpy().astype(np.int64)
+    context, nth = _starts(n, sizes, short)
+    if not len(context):
+        return part.slice(0, 0)
+    ids = identifiers(np.frombuffer(b"".join(held.to_pylist()), np.uint8), short)[(np.cumsum(sizes) - sizes)[context] + nth]
+    again = _named(ids) >= 0
+    return part.take(pa.array(np.flatnonzero(np.bincount(context[again], minlength=len(n)))))
+
+
 def _refined(part: pa.Table, length: int, short: int) -> Iterator[pa.RecordBatch]:
+    part = _may_repeat(part, short).combine_chunks()
+    if not part.num_rows:
+        return
     row, at, n, is_open, held = (array_of(part, c) for c in ("row", "at", "n", "open", "bytes"))
     at, n, is_open = at.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64), is_open.to_numpy(zero_copy_only=False)
     sizes = pc.binary_length(held).to_numpy().astype(np.int64)
     data = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
     base = np.cumsum(sizes) - sizes
     for wanted, names in zip((short, length), refine(data, (short, length)), strict=True):
-        many = np.clip(np.minimum(n, sizes - wanted + 1), 0, None)
-        context = np.repeat(np.arange(len(n)), many)
-        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        context, nth = _starts(n, sizes, wanted)
         mine = names[base[context] + nth]
         known = mine >= 0
         weight = np.bincount(mine[known], np.where(is_open[context[known]], 1, 2))
@@ -221,31 +241,33 @@ def _windows(length: int, short: int):
     return run
 
 
-def _covered(n_bytes: int, marks: list[dict], ranges: list[dict], wanted: int) -> np.ndarray:
-    """Which bytes repeated windows of one length cover."""
-    step = np.zeros(n_bytes + 1, np.int32)
-    for m in marks:
-        end = min(m["at"] + m["n"], n_bytes - wanted + 1)
-        if m["full"] and end > m["at"]:
-            step[m["at"]] += 1
-            step[end - 1 + wanted] -= 1
-    for r in ranges:
-        if r["size"] == wanted:
-            step[r["first"]] += 1
-            step[r["end"] - 1 + wanted] -= 1
+def _covered(n_bytes: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which bytes the ranges cover."""
+    step = np.bincount(begin, minlength=n_bytes + 1) - np.bincount(end, minlength=n_bytes + 1)
     return np.cumsum(step[:-1]) > 0
 
 
 def _cut(length: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            marks, ranges = batch.column("runs"), batch.column("ranges")
+            at, n, full = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "full"))
+            first, end, size = (ranges.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "end", "size"))
+            mark_at, range_at = marks.offsets.to_numpy(), ranges.offsets.to_numpy()
             out = []
-            for row, text, marks, ranges in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "runs", "ranges")), strict=True):
+            for i, (row, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 data = utf8(text)
-                gone = _covered(len(data), marks, ranges or (), length)
-                repeated = int(_covered(len(data), marks, ranges or (), short).sum())
+                m = slice(mark_at[i], mark_at[i + 1])
+                begin, stop = at[m][full[m].astype(bool)], (at[m] + n[m])[full[m].astype(bool)]
+                r = slice(range_at[i], range_at[i + 1])
+                covered = []
+                for wanted in (length, short):
+                    last = np.minimum(stop, len(data) - wanted + 1)
+                    some, own = last > begin, size[r] == wanted
+                    covered.append(_covered(len(data), np.r_[begin[some], first[r][own]].astype(np.int64), np.r_[last[some], end[r][own]].astype(np.int64) - 1 + wanted))
+                gone, repeated = covered[0], int(covered[1].sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = int(np.count_nonzero(np.diff(np.r_[False, gone]) & gone))
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
                 out.append((row, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), repeated, kept))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -291,7 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, smal
         more = windows.where("weight = 1").join(twice, ["g", "size", "b", "later"]).select("row", "first", (F.col("first") + 1).alias("end"), "size")
         ranges = ranges.union(more)
     ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "end", "size")).alias("ranges"))
-    cut = held.join(ranges.hint("shuffle_hash"), "row", "left").mapInArrow(
+    none = F.expr("cast(array() as array<struct<first:bigint,end:bigint,size:int>>)")
+    cut = held.join(ranges.hint("shuffle_hash"), "row", "left").withColumn("ranges", F.coalesce("ranges", none)).mapInArrow(
         _cut(length, short), "row binary, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary"
     )
     cut = written((cut if with_kept else cut.drop("kept")).dropDuplicates(["row"]), "cut")
