@@ -41,10 +41,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
-    """doc_ids (`gone`) that are near duplicates of a smaller one."""
-    found = finished(lambda: near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return found.hint("shuffle_hash")
+def _without_repeats(docs: DataFrame, compared: DataFrame) -> DataFrame:
+    """docs without the doc_ids that are near duplicates of a smaller one in `compared`."""
+    found = finished(lambda: near_duplicates(compared).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["gone"], "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Taking lines out makes copies unlike each other, so documents are compared as they are now, and what is
     left is compared once more as it came.
     """
-    left = docs.join(_repeats(docs), F.col("doc_id") == F.col("gone"), "left_anti").select(docs.columns)
+    left = _without_repeats(docs, docs)
     came = spark.read.parquet(f"{sf_dir}/documents.parquet").join(left.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    return left.join(_repeats(came), F.col("doc_id") == F.col("gone"), "left_anti").select(docs.columns)
+    return _without_repeats(left, came)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
