@@ -5,6 +5,7 @@ from __future__ import annotations
 from tagweave.llm.decontaminate import op10_decontaminate
 from tagweave.llm.edit_counts import op5_edit_counts
 from tagweave.llm.exact_dedup import op9_exact_dedup
+from tagweave.llm.hard_negatives import op13_hard_negatives
 from tagweave.llm.hmm import op2_hmm_score
 from tagweave.llm.jaccard_join import op7_jaccard_join
 from tagweave.llm.line_dedup import op3_line_dedup
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -66,6 +68,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.p, p.ps, s.b, s.score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.b) AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.ps <= 100 * s.score AND 100 * s.score <= 90 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, score AS negative_score
+FROM n WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10}
+    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10, "op13_hard_negatives": OP13}
