@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tagweave.llm.conversation_repair import op12_conversation_repair
 from tagweave.llm.decontaminate import op10_decontaminate
 from tagweave.llm.edit_counts import op5_edit_counts
 from tagweave.llm.exact_dedup import op9_exact_dedup
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
@@ -68,6 +70,53 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+#: States of a repair: 0 no turn yet, 1 after system, 2 after user, 3 after assistant. Two inserted turns at most are of use at a place.
+OP12 = """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b
+      FROM conversations),
+h AS (SELECT k.*, xor(4294967295, list_reduce(b, lambda c, x: xor(t.t[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) % 20 AS kind FROM k, t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM h WHERE kind <> 0),
+f AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS prior FROM d),
+r AS (SELECT conv_id, i, turn, role, text, role[1] AS initial, prior, said = '' AS blank, said <> '' AND seen AS duplicate, said = '' OR seen AS gone,
+             NOT (said = '' OR seen) AND right(said, 1) NOT IN ('.', '!', '?') AS truncated FROM f),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+             count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+             count(*) FILTER (WHERE prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+ins(q, q1, letters, extra, lines) AS (VALUES (0, 0, '', 0, CAST([] AS VARCHAR[])), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []),
+  (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']), (2, 3, 'I', 3, ['assistant:']), (3, 2, 'I', 3, ['user:']),
+  (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:'])),
+act(q1, initial, q2, letter, cost, role) AS (VALUES (0, NULL, 0, 'D', 4, NULL), (1, NULL, 1, 'D', 4, NULL), (2, NULL, 2, 'D', 4, NULL), (3, NULL, 3, 'D', 4, NULL),
+  (0, 's', 1, 'K', 0, NULL), (0, 'u', 2, 'K', 0, NULL), (1, 'u', 2, 'K', 0, NULL), (2, 'a', 3, 'K', 0, NULL), (3, 'u', 2, 'K', 0, NULL),
+  (0, NULL, 2, 'R', 3, 'user'), (1, NULL, 2, 'R', 3, 'user'), (2, NULL, 3, 'R', 3, 'assistant'), (3, NULL, 2, 'R', 3, 'user')),
+s AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM c
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT s.conv_id, r.i, act.q2 AS q, s.cost + ins.extra + act.cost + CASE WHEN r.truncated AND letter <> 'D' THEN 3 ELSE 0 END AS cost,
+           s.audit || ins.letters || act.letter AS audit,
+           s.lines || ins.lines || CASE WHEN letter = 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(act.role, r.role) || ':' || r.text] END AS lines,
+    FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1 JOIN ins ON ins.q = s.q
+      JOIN act ON act.q1 = ins.q1 AND (act.initial IS NULL OR act.initial = r.initial) AND (letter = 'D' OR NOT r.gone))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+e AS (SELECT s.conv_id, s.cost + ins.extra AS cost, s.audit || ins.letters AS audit, s.lines || ins.lines AS lines
+      FROM s LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id JOIN ins ON ins.q = s.q AND ins.q1 IN (0, 3)
+      WHERE s.i = coalesce(g.n, 0)
+      QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.cost + ins.extra, s.audit || ins.letters) = 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, e.cost, e.audit, sha256(array_to_string(e.lines, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 OP13 = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -85,4 +134,4 @@ FROM n WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10, "op13_hard_negatives": OP13}
+    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10, "op12_conversation_repair": OP12, "op13_hard_negatives": OP13}
