@@ -65,9 +65,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of runs of n words; all words if there are fewer, none without words."""
-    b = np.frombuffer(utf8(text).translate(WORD_BYTES), np.uint8)
+def shingles(text: str | None, n: int = WORDS, table: bytes = WORD_BYTES) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of runs of n words; all words if there are fewer, none without words.
+
+    table maps bytes to what is compared, and to spaces what parts words.
+    """
+    b = np.frombuffer(utf8(text).translate(table), np.uint8)
     word = b != 32
     edge = np.flatnonzero(np.diff(np.r_[False, word, False]))
     starts, ends = edge[::2], edge[1::2]

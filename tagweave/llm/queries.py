@@ -11,6 +11,7 @@ from tagweave.llm.hmm import op2_hmm_score
 from tagweave.llm.jaccard_join import op7_jaccard_join
 from tagweave.llm.line_dedup import op3_line_dedup
 from tagweave.llm.packing import op8_packing
+from tagweave.llm.setsketch_dedup import op11_setsketch_dedup
 from tagweave.llm.substring_dedup import op6_substring_dedup
 from tagweave.llm.token_files import op4_token_files
 from tagweave.llm.toxicity import op1_toxicity
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_setsketch_dedup": op11_setsketch_dedup,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_hard_negatives": op13_hard_negatives,
     }
@@ -70,6 +72,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+OP11 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS UBIGINT[])
+             ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(list_slice(w, i, i + 4)))) END AS s FROM w),
+n AS (SELECT doc_id, s, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, len(list_intersect(a.s, b.s)) AS hits
+      FROM n a, n b WHERE a.doc_id < b.doc_id AND a.n > 0 AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM p WHERE 100 * hits >= 85 * (n + m - hits)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
 #: States of a repair: 0 no turn yet, 1 after system, 2 after user, 3 after assistant. Two inserted turns at most are of use at a place.
 OP12 = """
 WITH RECURSIVE t AS (
@@ -134,4 +150,4 @@ FROM n WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10, "op12_conversation_repair": OP12, "op13_hard_negatives": OP13}
+    return {"op3_line_dedup": OP3, "op9_exact_dedup": OP9, "op10_decontaminate": OP10, "op11_setsketch_dedup": OP11, "op12_conversation_repair": OP12, "op13_hard_negatives": OP13}
