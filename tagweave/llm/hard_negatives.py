@@ -209,7 +209,8 @@ def mine(
     chunks = max(1, -(-asked.count() // chunk))
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("p"), F.lit(-FAR).alias("lo"), F.lit(FAR).alias("hi")))
     good = written(_search(blocks, asked.withColumn("windows", whole), positives, True, chunks).select("q", F.col("r").alias("p"), F.col("r_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    per_cent = F.struct("p", F.expr(f"({lowest} * positive_score + 99) div 100").alias("lo"), F.expr(f"({highest} * positive_score) div 100").alias("hi"))
+    share = "{0} * (positive_score div 100) + ({0} * (positive_score % 100) + {1}) div 100"  # of the score, rounded up or down
+    per_cent = F.struct("p", F.expr(share.format(lowest, 99)).alias("lo"), F.expr(share.format(highest, 0)).alias("hi"))
     windows = good.where("positive_score >= 0").groupBy("q").agg(F.collect_list(per_cent).alias("windows"))
     bad = _search(blocks, asked.join(windows, "q"), negatives, False, chunks)
     return (

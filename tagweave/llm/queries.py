@@ -72,13 +72,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+#: Pairs that can link share one of the rarest shingles of each, as many as may be missing and one more.
 OP11 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS UBIGINT[])
-             ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(list_slice(w, i, i + 4)))) END AS s FROM w),
-n AS (SELECT doc_id, s, len(s) AS n FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, len(list_intersect(a.s, b.s)) AS hits
-      FROM n a, n b WHERE a.doc_id < b.doc_id AND a.n > 0 AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+t AS (SELECT doc_id, len(w) AS k, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, k, hash(w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d) AS x FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, list(DISTINCT x) AS s FROM g WHERE i <= greatest(k - 4, 1) GROUP BY doc_id),
+n AS (SELECT w.doc_id, coalesce(s.s, []) AS s, coalesce(len(s.s), 0) AS n FROM w LEFT JOIN s USING (doc_id)),
+u AS (SELECT doc_id, n, unnest(s) AS x FROM n),
+o AS (SELECT doc_id, x FROM u JOIN (SELECT x, count(*) AS f FROM u GROUP BY x) USING (x)
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f, x) <= n - (85 * n + 99) // 100 + 1),
+q AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM o a JOIN o b ON a.x = b.x AND a.doc_id < b.doc_id),
+p AS (SELECT q.a, q.b, a.n AS n, b.n AS m, len(list_intersect(a.s, b.s)) AS hits FROM q JOIN n a ON a.doc_id = q.a JOIN n b ON b.doc_id = q.b),
 l AS (SELECT a, b FROM p WHERE 100 * hits >= 85 * (n + m - hits)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
