@@ -1,19 +1,22 @@
 """Toxicity by compression distance.
 
 zstandard dictionaries are trained on text (`train_dictionary`, the COVER algorithm, on windows of whole
-texts): a base on ordinary text, then one on what toxic text has beyond the base and one on what other
-ordinary text has beyond it (bytes that no `GRAM`-byte string of the base covers, and a little around them).
-Both compressors hold the base, then the dictionary of their class, so that common words compress alike and
-a difference comes from what sets the classes apart.
-
-A document's text (A-Z lower-cased, ASCII white space and punctuation as single spaces) is cut into windows
-of WINDOW bytes, half overlapping, over all of it. A window's distance is its compressed length with the
-ordinary dictionary less that with the toxic one. Features are how many and what share of the windows reach
-each of several distances, their mean and maximum; thresholds on them are calibrated by a logistic
-regression on documents that the dictionaries have not seen.
-
-Learning uses a bounded sample: `max_docs` labelled rows of each class and `max_windows` training windows of
-each kind (drawn by hash). Scoring covers every byte of every document.
+texts), one on toxic and one on ordinary text as they are, of equal size. A document's text (A-Z
+lower-cased, ASCII white space and punctuation as single spaces) is cut into windows of WIDE bytes over all
+of it; a window's distance is its compressed length with the ordinary dictionary less that with the toxic
+one.
+
+Most of what two such dictionaries know is common to both kinds of text, so a finer pair stands beside them:
+both hold a base trained on ordinary text, and one holds a short dictionary trained on what toxic text has
+beyond that base, the other on what other ordinary text has beyond it (bytes that no `GRAM`-byte string of
+the base covers, and a little around them). With these, windows of WINDOW bytes, half overlapping, are
+compressed, as a toxic term in a long text changes a small window more.
+
+Features are how many and what share of the windows reach each of several distances, their mean and extremes;
+thresholds on them are calibrated by a logistic regression on documents that the dictionaries have not seen.
+
+Learning uses a bounded sample: `max_docs` labelled rows of each class, drawn by hash, with all of their
+text. Scoring covers every byte of every document.
 """
 
 from __future__ import annotations
@@ -31,15 +34,16 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import WORD_BYTES, documents, only, pieces, ship, utf8, words, worker_cache, written
 
-MAX_DOCS = 4000
-MAX_WINDOWS = 8000
+MAX_DOCS = 2500
 TRAINED = 512
-BASE, OWN = 60_000, 2_048
+KIND, BASE, OWN = 60_000, 60_000, 2_048
 GRAM = 7
 AROUND = 3
 WINDOW = 64
+WIDE = 256
 DISTANCES = (1, 2, 4, 6, 8)
-N_FEATURES = len(DISTANCES) + 5
+WIDE_DISTANCES = (2, 6, 12)
+N_FEATURES = len(DISTANCES) + len(WIDE_DISTANCES) + 8
 
 
 def plain(text: str | None) -> bytes:
@@ -88,24 +92,27 @@ def beyond(data: bytes, known: np.ndarray) -> bytes:
 
 @dataclass(frozen=True)
 class Model:
-    """The contents of both dictionaries and the calibrated weights; some 130 KB."""
+    """The contents of the dictionaries, toxic and ordinary, and the calibrated weights; some 250 KB."""
 
-    toxic: bytes
-    ordinary: bytes
+    kinds: tuple[bytes, bytes]
+    fine: tuple[bytes, bytes]
     weights: tuple[float, ...] = ()
     bias: float = 0.0
 
-    def compressors(self) -> tuple:
-        held = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
-            write_content_size=False, write_checksum=False, write_dict_id=False,
-        )
 
-        def one(content: bytes):
-            content = zstandard.ZstdCompressionDict(content.rjust(64, b"\x03"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(dict_data=content, compression_params=held)
+def compressor(content: bytes):
+    held = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    content = zstandard.ZstdCompressionDict(content.rjust(64, b"\x03"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=content, compression_params=held).compress
 
-        return one(self.toxic), one(self.ordinary)
+
+def of_one_size(pair: list[bytes], before: bytes = b"") -> tuple[bytes, bytes]:
+    size = max(map(len, pair))
+    one, other = (before + x.rjust(size, b"\x03") for x in pair)
+    return one, other
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
@@ -114,25 +121,28 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     base = trained(other, BASE)
     sides = ((toxic, ordinary), (one, other + toxic))
     own = [trained([x for w in side if (x := beyond(w, known))], OWN) for side, known in ((s, known_grams(t)) for s, t in sides)]
-    size = max(map(len, own))
-    return Model(*(base + x.rjust(size, b"\x03") for x in own))
+    return Model(of_one_size([trained(toxic, KIND), trained(ordinary, KIND)]), of_one_size(own, base))
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
-        toxic, ordinary = model.compressors()
-        self.toxic, self.ordinary = toxic.compress, ordinary.compress
+        self.kinds = [compressor(x) for x in model.kinds]
+        self.fine = [compressor(x) for x in model.fine]
 
-    def distances(self, text: str | None) -> np.ndarray:
-        toxic, ordinary = self.toxic, self.ordinary
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(plain(text))], np.int64)
+    def distances(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows of WIDE bytes, by the two kinds of text, and of those of WINDOW bytes."""
+        data = plain(text)
+        cut = (self.kinds, windows(data, WIDE, WIDE)), (self.fine, windows(data))
+        wide, fine = (np.array([len(ordinary(w)) - len(toxic(w)) for w in own], np.int64) for (toxic, ordinary), own in cut)
+        return wide, fine
 
     def features(self, text: str | None) -> np.ndarray:
-        d = self.distances(text)
+        wide, d = self.distances(text)
         out = [math.log1p(int((d >= t).sum())) for t in DISTANCES]
         shares = [math.sqrt((d >= 2).mean()), math.sqrt((d <= -2).mean())]
-        return np.array([*out, *shares, int(d.max()) / 10, float(d.mean()), math.log1p(len(d))])
+        of_kinds = [math.log1p(int((wide >= t).sum())) for t in WIDE_DISTANCES]
+        return np.array([*out, *shares, int(d.max()) / 10, float(d.mean()), math.log1p(len(d)), *of_kinds, float(wide.mean()), int(wide.max()) / 10, int(wide.min()) / 10])
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights)) + self.model.bias
@@ -150,15 +160,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of TRAINED bytes, and a hash by which some are drawn."""
+    """Windows of TRAINED bytes, each with its document and place."""
     for batch in (piece for whole in batches for piece in pieces(whole, "text")):
-        kinds, found = [], []
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            cut = windows(plain(text), TRAINED, TRAINED)
-            found += cut
-            kinds += [toxic] * len(cut)
-        draw = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in found]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(draw, pa.int64()), pa.array(found, pa.binary())], ["toxic", "draw", "window"])
+        own = [windows(plain(text), TRAINED, TRAINED) for text in batch.column("text").to_pylist()]
+        sizes = [len(x) for x in own]
+        at = pa.array(np.repeat(np.arange(len(own)), sizes), pa.int64())
+        place = np.concatenate([np.arange(n) for n in sizes]) if sizes else []
+        cols = [batch.column("toxic").take(at), batch.column("h").take(at), pa.array(place, pa.int64()), pa.array([w for x in own for w in x], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["toxic", "h", "place", "window"])
 
 
 _SCORERS: dict[Model, Scorer] = worker_cache("toxicity")
@@ -177,7 +186,7 @@ def _features(model: Model):
         s = scorer(model)
         for batch in batches:
             rows = [s.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "features"])
 
     return run
 
@@ -207,8 +216,17 @@ def in_fold(fold: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: int = 0, max_windows: int = MAX_WINDOWS) -> Model:
-    """Fit on at most max_docs labelled rows of each class, none of them from the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: int = 0) -> Model:
+    """Fit on at most max_docs labelled rows of each class, none of them from the held-out fold.
+
+    The model depends on the rows alone, not on how they are partitioned: rows are drawn by their doc_id's
+    hash; of near copies (one smallest hash of five words) the smallest (doc_id, text) counts, with its
+    label; windows come in the order of documents' hashes. A document with labels that conflict is toxic if
+    one of them is; near copies with labels that conflict have the label of the one that counts. Rows without
+    doc_id, rows whose label is null or not 0 or 1, and labels without document take no part; a doc_id that
+    stands for several texts is drawn with all of them. Null and empty texts are one window of white space.
+    Without labels of both classes the score is their share, or near 0 where there are none.
+    """
     ship(docs.sparkSession)
     src = documents(docs).where("doc_id is not null")
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -218,15 +236,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, fold: in
     sample = F.broadcast(drawn[0].union(drawn[1]).coalesce(1))  # at most 2 * max_docs rows of two numbers
     rows = src.join(sample, "doc_id").mapInArrow(_sketch, "doc_id long, text string, toxic int, h long")
     # near copies count once, or they'd make their own words look typical
-    rows = rows.dropDuplicates(["h"]).withColumn("fit", F.pmod(F.xxhash64("h"), F.lit(3)) > 0)
-    rows = written(rows.select("text", "toxic", "fit"), "labelled")
-    cut = rows.where("fit").select("text", "toxic").mapInArrow(_training_windows, "toxic int, draw long, window binary")
-    drawn = [cut.where(F.col("toxic") == k).orderBy("draw", "window").limit(max_windows * (2 - k)).select("window").collect() for k in (1, 0)]
-    model = dictionaries(*([bytes(r["window"]) for r in side] for side in drawn))
-    seen = rows.where("not fit").select("text", "toxic").mapInArrow(_features(model), "toxic int, features array<double>").collect()
+    rows = rows.groupBy("h").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("one")).select("h", "one.text", "one.toxic")
+    rows = written(rows.withColumn("fit", F.pmod(F.xxhash64("h"), F.lit(3)) > 0), "labelled")
+    cut = rows.where("fit").select("text", "toxic", "h").mapInArrow(_training_windows, "toxic int, h long, place long, window binary")
+    # of a bounded number of documents
+    sides = [[bytes(r["window"]) for r in cut.where(F.col("toxic") == k).orderBy("h", "place").select("window").collect()] for k in (1, 0)]
+    model = dictionaries(*sides)
+    seen = rows.where("not fit").select("text", "toxic", "h").mapInArrow(_features(model), "toxic int, h long, features array<double>").orderBy("h").collect()
     x = np.array([r["features"] for r in seen], float).reshape(len(seen), N_FEATURES)
     weights, bias = fit_logistic(x, np.array([r["toxic"] for r in seen], float))
-    return Model(model.toxic, model.ordinary, tuple(float(v) for v in weights), bias)
+    return Model(model.kinds, model.fine, tuple(float(v) for v in weights), bias)
 
 
 def _score(model: Model, at: int, name: str):
