@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, only, pieces, ship, worker_cache
+from tagweave.llm.common import documents, only, pieces, ship, utf8, worker_cache
 from tagweave.llm.tokens import BYTE_LEVEL, CROWDED, Encoder, pattern, public_path, shown
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -185,27 +185,32 @@ class SegmentTree:
 
 _HELD: dict[str, Counter] = worker_cache("edit_counts")
 
-LEAVES = "array<struct<chars:long,pretokens:long,tokens:long>>"
-_KEPT = pa.list_(pa.struct([("chars", pa.int64()), ("pretokens", pa.int64()), ("tokens", pa.int64())]))
+#: Leaves and the SHA-256 of the text that they are of.
+LEAVES = "struct<of:binary,sums:array<struct<chars:long,pretokens:long,tokens:long>>>"
 COUNTS = "n_edits long, n_tokens long, n_tokens_edited long, n_pretokens long, n_pretokens_edited long, n_encoded_again long"
 SCHEMA = f"doc_id long, {COUNTS}, edited string, leaves {LEAVES}"
 
 
-def _as_lists(kept: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(kept) if kept else np.zeros((0, 3), np.int64)
+def _of(text: str) -> bytes:
+    return hashlib.sha256(utf8(text)).digest()
+
+
+def _kept(trees: list[tuple[bytes, np.ndarray]]) -> pa.Array:
+    flat = np.concatenate([x for _, x in trees]) if trees else np.zeros((0, 3), np.int64)
     struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, j])) for j in range(3)], ["chars", "pretokens", "tokens"])
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in kept])].astype(np.int32)), struct)
+    sums = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for _, x in trees])].astype(np.int32)), struct)
+    return pa.StructArray.from_arrays([pa.array([of for of, _ in trees], pa.binary()), sums], ["of", "sums"])
 
 
 def _trees(part: pa.RecordBatch, counter: Counter) -> Iterator[SegmentTree]:
-    """The trees of a part's texts: from kept leaves where they are there and fit the text, else counted."""
+    """The trees of a part's texts: from kept leaves where these are of the text, else counted."""
     texts = part.column("text")
     plain = texts.to_pylist()
     fits = [False] * len(plain)
     if "leaves" in part.schema.names:
-        lists = part.column("leaves")
-        sums = [np.array([[x["chars"], x["pretokens"], x["tokens"]] for x in v or ()], np.int64).reshape(-1, 3) for v in lists.to_pylist()]
-        fits = [bool(len(x)) and int(x[:, 0].sum()) == len(t or "") for x, t in zip(sums, plain, strict=True)]
+        held = [v or {"of": None, "sums": None} for v in part.column("leaves").to_pylist()]
+        sums = [np.array([[x["chars"], x["pretokens"], x["tokens"]] for x in v["sums"] or ()], np.int64).reshape(-1, 3) for v in held]
+        fits = [bool(len(x)) and v["of"] == _of(t or "") for x, v, t in zip(sums, held, plain, strict=True)]
     missing = [i for i, f in enumerate(fits) if not f]
     units, ends = counter.units(texts.take(pa.array(missing, pa.int64()))) if missing else (None, np.zeros(0, np.int64))
     spans = dict(zip(missing, zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True), strict=True)) if missing else {}
@@ -241,11 +246,11 @@ def _count(path: str, digest: bool):
                     out.append((len(done), tokens, tokens_now, pre, pre_now, tree.encoded))
                     edited.append(hashlib.sha256(tree.text.encode("utf-8", "surrogatepass")).hexdigest() if digest else tree.text)
                     if not digest:
-                        kept.append(tree.leaves)
+                        kept.append((_of(tree.text), tree.leaves))
                 cols = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(edited, pa.string())]
                 names = ["doc_id", *(c.split()[0] for c in COUNTS.split(", ")), "edited_sha256" if digest else "edited"]
                 if not digest:
-                    cols.append(_as_lists(kept))
+                    cols.append(_kept(kept))
                     names.append("leaves")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -257,8 +262,8 @@ def _leaves(path: str):
         counter = _counter(path)
         for batch in batches:
             for part in pieces(batch, "text"):
-                kept = [t.leaves for t in _trees(part, counter)]
-                yield pa.RecordBatch.from_arrays([*part.columns, _as_lists(kept)], [*part.schema.names, "leaves"])
+                kept = _kept([(_of(t.text), t.leaves) for t in _trees(part, counter)])
+                yield pa.RecordBatch.from_arrays([*part.columns, kept], [*part.schema.names, "leaves"])
 
     return run
 
@@ -285,8 +290,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, digest: bool = F
     edits: array<struct<start, end, replacement>>, in code points of the text as the edits before have left
     it; bounds outside the text are brought inside, null edits or starts are skipped, a null end is the
     start, a null replacement deletes. Null texts and lists are empty. Repeated rows are rows of their own.
-    leaves: what with_leaves or an earlier count_tokens returned for the same text; rows without fitting
-    leaves are counted whole. digest: only the SHA-256 of the edited text comes back.
+    leaves: what with_leaves or an earlier count_tokens returned for the same text; leaves of any other text,
+    as their hash tells, are not believed, and such rows are counted whole. digest: only the SHA-256 of the edited text comes back.
     """
     ship(docs.sparkSession)
     edits = F.col("edits").cast("array<struct<start:long,end:long,replacement:string>>").alias("edits")
