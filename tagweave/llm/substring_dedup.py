@@ -289,7 +289,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, smal
         raise ValueError("gram <= short <= length")
     ship(docs.sparkSession)
     # a row's name comes from what it holds: numbers given by a scan may differ in the next one
-    name = F.unhex(F.md5(F.concat_ws("|", F.lit(""), F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).cast("binary")))
+    ends = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("|"), F.col("text").cast("string")), F.lit(""))
+    name = F.unhex(F.md5(F.concat(*ends).cast("binary")))  # an id is digits, so the bar after it tells the two apart, and a null from either
     src = documents(docs, name.alias("row"))
     suffixes = written(src.select("row", "text").mapInArrow(_runs(length, gram, short), "row binary, at int, n int, g long, c long"), "runs", compression="zstd")
     # written first, so that Spark can split a large bucket's part of the join
