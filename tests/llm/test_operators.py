@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -99,14 +98,17 @@ def test_token_files_are_read_selectively(spark, tmp_path):
     """Encodings, page indexes and what a selective read touches, from the files' own footers."""
     path = token_files.write_tokens(spark.read.parquet(f"{SF}/documents.parquet"), f"{tmp_path}/t")
     seen = Counter()
+    hadoop, conf = spark._jvm.org.apache.parquet.hadoop, spark._jsc.hadoopConfiguration()
     for file in glob.glob(f"{path}/*.parquet"):
-        meta = pq.ParquetFile(file).metadata
-        for g in range(meta.num_row_groups):
-            for c in (meta.row_group(g).column(i) for i in range(meta.num_columns)):
-                name = c.path_in_schema.split(".")[0]
-                assert c.has_column_index and c.has_offset_index
-                assert ("RLE_DICTIONARY" in c.encodings) == (name == "ids") and (name == "ids" or "DELTA_BINARY_PACKED" in c.encodings)
-                seen[name] += c.total_compressed_size
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(file), conf))
+        for block in reader.getFooter().getBlocks():
+            for c in block.getColumns():
+                name = c.getPath().toDotString().split(".")[0]
+                encodings = {e.name() for e in c.getEncodings()}
+                assert c.getColumnIndexReference() and c.getOffsetIndexReference()
+                assert ("RLE_DICTIONARY" in encodings) == (name == "ids") and (name == "ids" or "DELTA_BINARY_PACKED" in encodings)
+                seen[name] += c.getTotalSize()
+        reader.close()
     assert sum(seen[c] for c in token_files.META) < 0.1 * seen["ids"]
     plan = token_files.read_tokens(spark, path, ("doc_id", "n_tokens"), lowest=5)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(doc_id,5)" in plan and "ids" not in plan.split("ReadSchema")[1]
@@ -280,6 +282,14 @@ def test_substring_dedup(spark, odd, none, small):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_tells_rows_apart(spark):
+    """Rows with and without id or text whose values read alike in a row."""
+    long = "".join(f"{i}-" for i in range(300))
+    rows = [(None, "5|" + long), (5, long), (5, None), (None, "5"), (None, None), (5, ""), (None, "")]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=True).collect()
+    assert bag((r.doc_id, r.n_bytes, bytes(r.kept)) for r in out) == bag((d, len(t or ""), b"5|" if t and "|" in t else b"" if t == long else (t or "").encode()) for d, t in rows)
+
+
 def test_substring_dedup_as_registered(spark):
     rows = plain(spark.read.parquet(f"{SF}/documents.parquet"))
     out = substring_dedup.op6_substring_dedup(spark, SF).collect()
@@ -311,6 +321,9 @@ def test_edit_counts(spark, odd, none):
     again = edit_counts.count_tokens(edit_counts.with_edits(kept, edits))
     counts = lambda rows: bag((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_pretokens_edited, r.edited) for r in rows)
     assert counts(again.collect()) == counts(out)
+    other = [F.when(F.length("text") > 3, F.expr("overlay(text PLACING '?!, ' FROM 1)")).otherwise(F.reverse("text")).alias("text")]  # as long, and another
+    for r in edit_counts.count_tokens(edit_counts.with_edits(kept.select("doc_id", *other, "leaves"), edits)).collect():
+        assert r.n_tokens_edited == len(t.encode(r.edited, add_special_tokens=False).ids)
     more = again.select("doc_id", F.col("edited").alias("text"), "leaves", F.expr("array(named_struct('start', 1, 'end', 2, 'replacement', 'Z'))").alias("edits"))
     for r in edit_counts.count_tokens(more).collect() + edit_counts.count_tokens(more.withColumn("text", F.concat("text", F.lit("!")))).collect():
         assert r.n_tokens_edited == len(t.encode(r.edited, add_special_tokens=False).ids)
@@ -439,22 +452,38 @@ def test_toxicity_held_out(spark):
     assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.45 and c.get((0, 1), 0) / (c[0, 0] + c.get((0, 1), 0)) < 0.01
 
 
+def test_toxicity_is_repeatable(spark):
+    """The same rows give the same model, whatever their partitions; near copies' labels may conflict."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) for _ in range(120)]
+    rows = [(i, texts[i % 120] + (" vile stuff" if i % 9 == 0 else "") + f" end{i % 3}") for i in range(360)]
+    docs = spark.createDataFrame([*rows, (3, "another text of this id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0 or i % 50 == 0)) for i in range(360)] + [(9, 0), (10, 2), (11, None)], "doc_id long, toxic int")
+    first = toxicity.train(docs.repartition(1), labels.repartition(1))
+    assert any(first.weights)
+    for n in (4, 32):
+        assert toxicity.train(docs.repartition(n, "text"), labels.repartition(n)) == first
+
+
 def test_toxicity_is_compression_distance():
     """Distances equal those of plain compressors, windows cover whole texts, and a late term counts."""
     rng = np.random.default_rng(5)
     usual = [bytes(rng.choice(list(b"abcdefgh "), 400).astype(np.uint8)) for _ in range(300)]
     toxic = [w[:100] + b" vilestword " + w[112:] for w in usual[:60]]
     model = toxicity.dictionaries(toxic, usual[60:])
-    assert len(model.toxic) == len(model.ordinary) and model.toxic != model.ordinary
+    for one, other in (model.kinds, model.fine):
+        assert len(one) == len(other) and one != other
     scorer = toxicity.Scorer(model)
     text = "Abc, def! " * 30 + "日本語の文章です" * 20
     data = b" " + b" ".join(words(text)) + b" "
     cut = [data[i : i + 64] for i in range(0, max(1, len(data) - 32), 32)]
     assert toxicity.windows(data) == cut and cut[-1].endswith(data[-1:]) and set(range(len(data))) == {j for i in range(len(cut)) for j in range(32 * i, 32 * i + len(cut[i]))}
-    toxic_, usual_ = model.compressors()
-    assert scorer.distances(text).tolist() == [len(usual_.compress(w)) - len(toxic_.compress(w)) for w in cut]
+    wide, fine = scorer.distances(text)
+    for got, (toxic_, usual_), own in ((fine, model.fine, cut), (wide, model.kinds, [data[i : i + 256] for i in range(0, len(data), 256)])):
+        toxic_, usual_ = toxicity.compressor(toxic_), toxicity.compressor(usual_)
+        assert got.tolist() == [len(usual_(w)) - len(toxic_(w)) for w in own]
     run = "文" * 300
-    assert scorer.distances(run + "vilestword" + run).max() >= 4 > scorer.distances(run + run).max()
+    assert scorer.distances(run + "vilestword" + run)[1].max() >= 4 > scorer.distances(run + run)[1].max()
     x = np.array([scorer.features(t) for t in ("", None, "  ")])
     assert x.shape == (3, toxicity.N_FEATURES) and (x == x[0]).all()
 
