@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -100,8 +102,47 @@ def _all_places(lists: pd.Series) -> pd.Series:
     return lists.map(lambda v: None if v is None else _places(v))
 
 
+def _holders(starts: np.ndarray, ends: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The first of the spans (begins, stops) that holds each span (starts, ends), -1 for none."""
+    if not len(begins):
+        return np.full(len(starts), -1)
+    if (begins[1:] >= begins[:-1]).all() and (stops[1:] >= stops[:-1]).all():
+        # of spans in order the first that ends late enough is the first that can hold anything, and begins first
+        at = np.searchsorted(stops, ends)
+        held = at < len(stops)
+        held[held] = begins[at[held]] <= starts[held]
+        return np.where(held, at, -1)
+    # one sweep over the starts, largest first, leaves the spans that begin early enough; the first by number is kept by its end
+    order, out = np.argsort(starts, kind="stable"), np.full(len(starts), -1)
+    by_begin, met = np.argsort(begins, kind="stable"), 0
+    stairs: list[tuple[int, int]] = []  # (end, number): later ends have later numbers
+    for i in order.tolist():
+        while met < len(by_begin) and begins[by_begin[met]] <= starts[i]:
+            new = int(stops[by_begin[met]]), int(by_begin[met])
+            met += 1
+            k = bisect.bisect_left(stairs, (new[0], -1))
+            if k < len(stairs) and stairs[k][1] < new[1]:
+                continue
+            k = bisect.bisect_right(stairs, (new[0], len(begins)))
+            low = k
+            while low and stairs[low - 1][1] > new[1]:
+                low -= 1
+            stairs[low:k] = [new]
+        k = bisect.bisect_left(stairs, (int(ends[i]), -1))
+        if k < len(stairs):
+            out[i] = stairs[k][1]
+    return out
+
+
+def _all_holders(starts: pd.Series, ends: pd.Series, begins: pd.Series, stops: pd.Series) -> pd.Series:
+    none = lambda *lists: any(v is None for v in lists)
+    return pd.Series([None if none(*v) else _holders(*(np.asarray(x, np.int64) for x in v)) for v in zip(starts, ends, begins, stops, strict=True)], dtype=object)
+
+
 # Called nondeterministic so that the optimizer doesn't move them into lambdas, where Python can't be called.
 #: Sums of each array up to every place; array functions only give them in quadratic time.
 running_sums = F.pandas_udf(_sums, T.ArrayType(T.LongType())).asNondeterministic()
 #: The place of every value in its run of equal neighbours.
 places_in_runs = F.pandas_udf(_all_places, T.ArrayType(T.LongType())).asNondeterministic()
+#: For spans given by starts and ends: the number of the first of other spans that holds each, -1 for none.
+holders = F.pandas_udf(_all_holders, T.ArrayType(T.LongType())).asNondeterministic()

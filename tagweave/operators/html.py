@@ -16,13 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tagweave.functions.exprs import col
 from tagweave.schemas import HTML
-from tagweave.sources import settled
 
 INF = float("inf")
 
@@ -62,6 +62,10 @@ class Rule:
     but: tuple[str, ...] = ()
     bottom_up: bool = False
 
+    def fits(self, tag: str, n: int) -> bool:
+        named = tag == self.tag if self.tag is not None else tag not in self.but
+        return named and self.least <= n <= self.most
+
     def holds(self, tag: Column, n: Column) -> Column:
         named = tag == self.tag if self.tag is not None else ~tag.isin(list(self.but)) if self.but else F.lit(True)
         n = n.cast("double")
@@ -189,17 +193,22 @@ _ROWS = "array<struct<edge:int,tag:string,text:string,attrs:array<string>,vals:a
 
 def _balanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in range(batch.num_rows):
-            one = batch.slice(row, 1)
-            token = one.column(1).flatten()
-            rows = balance(*(token.field(i).to_pylist() for i in range(3)))
-            edge, tag, text, attrs = zip(*rows, strict=True)
-            cols = [
-                pa.array(edge, pa.int32()), pa.array(tag), pa.array(text),
-                pa.array([list(a) for a in attrs], pa.list_(pa.string())), pa.array([list(a.values()) for a in attrs], pa.list_(pa.string())),
-            ]
-            struct = pa.StructArray.from_arrays(cols, ["edge", "tag", "text", "attrs", "vals"])
-            yield pa.RecordBatch.from_arrays([one.column(0), pa.ListArray.from_arrays([0, len(rows)], struct)], ["page", "rows"])
+        lists = batch.column(1)
+        token, bounds = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        kinds, tags, raws = (token.field(i).to_pylist() for i in range(3))
+        rows, sizes = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = balance(kinds[lo:hi], tags[lo:hi], raws[lo:hi])
+            rows += own
+            sizes.append(len(own))
+        edge, tag, text, attrs = zip(*rows, strict=True) if rows else ((),) * 4
+        held = pa.array(np.r_[0, np.cumsum([len(x) for x in attrs])], pa.int32())
+        cols = [
+            pa.array(edge, pa.int32()), pa.array(tag, pa.string()), pa.array(text, pa.string()),
+            *(pa.ListArray.from_arrays(held, pa.array(flat, pa.string())) for flat in ([k for x in attrs for k in x], [v for x in attrs for v in x.values()])),
+        ]
+        struct = pa.StructArray.from_arrays(cols, ["edge", "tag", "text", "attrs", "vals"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), struct)], ["page", "rows"])
 
 
 def html_tokens(html: Column | str) -> Column:
@@ -287,36 +296,69 @@ def folded(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     return rows.withColumns({"attrs": names, "vals": merged}).drop("_first", "_next", "_chain", "_pairs")
 
 
+def decided(edges: list[int], tags: list[str], sizes: list[int], goes: list[bool], rules: tuple[Rule, ...]) -> list[bool]:
+    """goes, and true at starts of elements that a rule removes by the text left in them when what goes inside has gone.
+
+    Whole pages in order, each start with its end; a stack holds the text inside the open elements so far.
+    """
+    out, open_ = list(goes), []
+    for i, (edge, size) in enumerate(zip(edges, sizes, strict=True)):
+        if edge > 0:
+            open_.append([i, size])
+            continue
+        at, inside = open_.pop()
+        out[at] = out[at] or any(r.fits(tags[at], inside) for r in rules)
+        if open_:
+            open_[-1][1] += size + (0 if out[at] else inside)
+    return out
+
+
+def _bottom_up(rules: tuple[Rule, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def met() -> Iterator[pa.RecordBatch]:
+            for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+                goes = decided(*(batch.column(c).to_pylist() for c in ("edge", "_tag", "_size", "goes")), rules)
+                at = batch.schema.get_field_index("goes")
+                yield batch.set_column(at, batch.schema.field(at), pa.array(goes, pa.bool_()))
+
+        last = None
+        for batch in batches:
+            pages = batch.column("page").to_pylist()
+            # up to where the batch's last page begins all pages are whole
+            begin = next((i for i in range(len(pages) - 1, -1, -1) if pages[i] != (pages[i - 1] if i else last)), None)
+            last = pages[-1] if pages else last
+            if begin is None:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, begin))
+            yield from met()
+            held = [batch.slice(begin)]
+        yield from met()
+
+    return run
+
+
 def removed(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """rows without what lies in a removed element; the text after one stays, with `joint` true.
 
-    Rules that measure from the bottom up are met in rounds, elements without undecided ones inside first.
+    Rules that measure from the bottom up are met after the others, in one pass over the pages' rows in
+    order, however deep elements nest.
     """
     size = F.length("text")
     first = tuple(r for r in rules if not r.bottom_up)
     later = tuple(r for r in rules if r.bottom_up)
     tag = F.when(F.col("melts"), F.lit("")).otherwise(F.col("tag"))
-
-    def summed(df: DataFrame, n: Column) -> DataFrame:
-        """df with _sum, n summed over the rows before; its rise to an element's end is what lies inside."""
-        return df.withColumn("_sum", F.coalesce(F.sum(n).over(before()), F.lit(0)))
-
+    # the rise of a running sum from an element's start to its end is what lies inside
+    rows = rows.withColumn("_sum", F.coalesce(F.sum(size).over(before()), F.lit(0)))
     inside = F.lead("_sum").over(same_depth()) - F.col("_sum")
-    rows = summed(rows, size)
-    rows = rows.withColumn("goes", F.coalesce((F.col("edge") > 0) & any_rule(first, tag, inside), F.lit(False)))
+    rows = rows.withColumn("goes", F.coalesce((F.col("edge") > 0) & any_rule(first, tag, inside), F.lit(False))).drop("_sum")
     if later:
-        named = [r.tag for r in later]
-        rows = rows.withColumn("undecided", (F.col("edge") > 0) & ~F.col("goes") & (F.lit(None in named) | tag.isin([t or "" for t in named])))
-        while True:
-            rows = rows.withColumn("_last", within(F.col("goes")))
-            rows = summed(rows, F.when(F.col("pos") < F.col("_last"), 0).otherwise(size)).withColumn("_left", inside)
-            rows = summed(rows, F.col("undecided").cast("int")).withColumn("_now", F.col("undecided") & (inside <= 1))
-            rows = rows.withColumn("goes", F.col("goes") | (F.col("_now") & any_rule(later, tag, F.col("_left"))))
-            rows = settled(rows.withColumn("undecided", F.col("undecided") & ~F.col("_now")).drop("_left", "_now", "_last"))
-            if rows.where("undecided").isEmpty():
-                break
+        sized = rows.withColumns({"_tag": tag, "_size": size}).sortWithinPartitions("page", "pos")
+        rows = sized.mapInArrow(_bottom_up(later), sized.schema).drop("_tag", "_size")
     rows = rows.withColumn("_last", within(F.col("goes"))).where("pos >= _last")
-    return rows.withColumn("joint", F.col("pos") == F.col("_last")).drop("_last", "_sum", "goes", "undecided")
+    return rows.withColumn("joint", F.col("pos") == F.col("_last")).drop("_last", "goes")
 
 
 _WHITE = r"(?U)\s"
@@ -390,7 +432,10 @@ def _escaped(text: Column) -> Column:
 
 
 def isolated(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
-    """(page, html_<tag> of each tag): the markup of its elements in order, empty ones closed in place."""
+    """(page, html_<tag> of each tag): the markup of its elements in order, empty ones closed in place.
+
+    A page's markup is put together once; an element is the bytes from its start to its end.
+    """
     inside = rows.withColumn("_last", within(F.col("tag").isin(list(tags)))).where("pos <= _last")
     attrs = F.array_join(
         F.transform(F.arrays_zip(F.col("attrs").alias("a"), F.col("vals").alias("v")), lambda p: F.concat(F.lit(" "), p["a"], F.lit('="'), F.replace(_escaped(p["v"]), F.lit('"'), F.lit("&quot;")), F.lit('"'))), ""
@@ -400,18 +445,18 @@ def isolated(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     was_empty = F.lag(F.coalesce(empty, F.lit(False))).over(page_order()) & (F.col("edge") < 0)
     begin = F.concat(F.lit("<"), F.col("tag"), attrs, F.when(empty, "/>").otherwise(">"))
     close = F.when(F.coalesce(was_empty, F.lit(False)), F.lit("")).otherwise(F.concat(F.lit("</"), F.col("tag"), F.lit(">")))
-    inside = inside.withColumn("_edge", F.when(F.col("edge") > 0, begin).otherwise(close)).withColumn("_text", text)
-    parts = inside.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "_edge", "_text", "end", "tag", "edge"))).alias("p"))
-
-    def whole(x: Column) -> Column:
-        body = F.filter("p", lambda y: (y["pos"] >= x["pos"]) & (y["pos"] < x["end"]))
-        close = F.filter("p", lambda y: y["pos"] == x["end"])
-        return F.concat(F.array_join(F.transform(body, lambda y: F.concat(y["_edge"], y["_text"])), ""), F.array_join(F.transform(close, lambda y: y["_edge"]), ""))
+    inside = inside.withColumn("_edge", F.when(F.col("edge") > 0, begin).otherwise(close))
+    inside = inside.withColumns({"_bytes": F.concat("_edge", text).cast("binary"), "_own": F.octet_length("_edge")})
+    inside = inside.withColumn("_at", F.coalesce(F.sum(F.octet_length("_bytes").cast("long")).over(before()), F.lit(0)))
+    inside = inside.withColumn("_to", F.lead(F.col("_at") + F.col("_own")).over(same_depth()))
 
     def of(tag: str) -> Column:
-        return F.transform(F.filter("p", lambda x: (x["tag"] == tag) & (x["edge"] > 0)), whole)
+        return F.array_sort(F.collect_list(F.when((F.col("tag") == tag) & (F.col("edge") > 0), F.struct("_at", "_to")))).alias(f"html_{tag}")
 
-    return parts.select("page", *(of(t).alias(f"html_{t}") for t in tags))
+    whole = F.expr("listagg(_bytes) within group (order by pos)").alias("_whole")
+    parts = inside.groupBy("page").agg(whole, *map(of, tags))
+    cut = lambda x: F.substring("_whole", (x["_at"] + 1).cast("int"), (x["_to"] - x["_at"]).cast("int")).cast("string")
+    return parts.select("page", *(F.transform(f"html_{t}", cut).alias(f"html_{t}") for t in tags))
 
 
 def extract_html(df: DataFrame, html: str = "html", policy: HtmlPolicy = PRODUCTION) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tagweave.functions.exprs import MONTHS, col, uniform, unquote
 from tagweave.operators.html import Rule, any_rule
+from tagweave.sources import settled
 
 
 @dataclass(frozen=True)
@@ -305,10 +306,18 @@ def pack(df: DataFrame, block: int, group_by: str, order_by: str, ids: str = "id
     """(group, block_idx, input_ids, attention_mask): a group's ids one after another, in blocks.
 
     The rest is dropped if the group fills a block, else padded. Rows are placed by the sum of the sizes
-    before them and cut at the block bounds they cross, so no group is gathered.
+    before them and cut at the block bounds they cross, so no group is gathered: sums are taken in ranges of
+    (group, order), and then over a group's ranges, of which each is one number.
     """
-    before = F.sum(F.size(ids)).over(Window.partitionBy(group_by).orderBy(order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size(ids)
-    placed = df.where(F.size(ids) > 0).select(F.col(group_by), F.col(ids).alias("_ids"), before.alias("_b"))
+    held = df.where(F.size(ids) > 0).select(F.col(group_by), F.col(order_by).alias("_o"), F.col(ids).alias("_ids"))
+    ranged = settled(held.repartitionByRange(group_by, "_o").withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy(group_by, "_range").orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.groupBy(group_by, "_range").agg(F.sum(F.size("_ids")).alias("_all"))
+    earlier = Window.partitionBy(group_by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col(group_by).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_base"))
+    placed = ranged.withColumn("_b", F.sum(F.size("_ids")).over(own) - F.size("_ids"))
+    placed = placed.join(bases, F.col(group_by).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    placed = placed.select(F.col(group_by), "_ids", (F.col("_b") + F.col("_base")).alias("_b"))
     last = F.col("_b") + F.size("_ids") - 1
     cut = placed.select("*", F.explode(F.sequence(F.floor(F.col("_b") / block), F.floor(last / block))).alias("block_idx"))
     lo = F.greatest(F.col("_b"), F.col("block_idx") * block)

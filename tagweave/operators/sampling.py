@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +84,73 @@ def sample_with_replacement(df: DataFrame, n: int, seed: int, order_by: str) ->
     return draws.join(ranked, "_rn").drop("_rn")
 
 
-def shuffle(df: DataFrame, seed: int, id_col: str, total: bool = True) -> DataFrame:
-    """All rows in random order, or (total=False) random order within random partitions."""
+#: Rows that a buffered shuffle reads through one buffer.
+STRETCH = 1 << 20
+
+
+def drawn_order(n: int, draws: np.ndarray) -> list[int]:
+    """n places in the order that n numbers in [0, 1) draw."""
+    out = list(range(n))
+    for i in range(n):
+        j = i + int(draws[i] * (n - i))
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+def _buffered(seed: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the buffer, in the order of its places
+        stretch, place, draw = None, 0, None
+
+        def given(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            at = pa.array(np.arange(place, place + rows.num_rows) + stretch * STRETCH, pa.int64())
+            place += rows.num_rows
+            yield from rows.append_column("place", at).combine_chunks().to_batches()
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if held is not None and held.num_rows:
+                yield from given(held.take(pa.array(drawn_order(held.num_rows, first))))
+
+        for batch in batches:
+            own = batch.column("_stretch").to_numpy()
+            for part in np.split(np.arange(len(own)), np.flatnonzero(own[1:] != own[:-1]) + 1):
+                if not len(part):
+                    continue
+                rows = pa.Table.from_batches([batch.slice(int(part[0]), len(part))]).drop_columns(["_stretch"])
+                if int(own[part[0]]) != stretch:
+                    yield from rest()
+                    stretch, place, held = int(own[part[0]]), 0, None
+                    draw = np.random.default_rng([seed, stretch])
+                    first = draw.random(size)
+                both = rows if held is None else pa.concat_tables([held, rows])
+                known = 0 if held is None else held.num_rows
+                full = max(0, size - known)  # rows that only fill the buffer
+                slots, out = list(range(min(both.num_rows, size))), []
+                for i, u in zip(range(known + full, both.num_rows), draw.random(max(0, both.num_rows - known - full)), strict=True):
+                    j = int(u * size)
+                    out.append(slots[j])
+                    slots[j] = i
+                yield from given(both.take(pa.array(out, pa.int64())))
+                held = both.take(pa.array(slots, pa.int64())).combine_chunks()
+        yield from rest()
+
+    return run
+
+
+def shuffle(df: DataFrame, seed: int, id_col: str, total: bool = True, buffer_size: int | None = None) -> DataFrame:
+    """All rows in random order, or (total=False) random order within random partitions.
+
+    buffer_size: as a stream would, through a buffer of so many rows, in stretches of STRETCH rows in the
+    order of the unique id_col, each with a buffer of its own; `place` is a row's place in the new order. The
+    same seed gives the same places, however the rows are partitioned; a task holds the buffer and a batch.
+    """
+    if buffer_size is not None:
+        if buffer_size < 1:
+            raise ValueError(f"buffer_size {buffer_size}")
+        ranked = row_index(df, id_col).withColumn("_stretch", F.floor(F.col("_rn") / STRETCH))
+        sorted_ = ranked.repartition("_stretch").sortWithinPartitions("_stretch", "_rn").drop("_rn")
+        return sorted_.mapInArrow(_buffered(seed, buffer_size), df.withColumn("place", F.lit(0).cast("long")).schema)
     keyed = df.withColumn("_u", uniform(seed, id_col))
     keyed = keyed.orderBy("_u", id_col) if total else keyed.repartition(F.xxhash64("_u")).sortWithinPartitions("_u")
     return keyed.drop("_u")

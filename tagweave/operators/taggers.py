@@ -5,11 +5,16 @@ Each is tag_x(df, out=..., inputs...) -> df. A null list counts as empty; null i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.functions.exprs import col, first_value, global_node, local_node, no_nodes, path_date, places_in_runs, running_sums, unquote, url_keyword, url_netloc, url_path
+from tagweave.functions.exprs import col, first_value, global_node, holders, local_node, no_nodes, path_date, places_in_runs, running_sums, unquote, url_keyword, url_netloc, url_path
 from tagweave.schemas import GLOBAL, LOCAL, LOCAL_REL, PARAGRAPH
+from tagweave.sources import settled
 
 #: Tags that end a paragraph.
 PARAGRAPH_TAGS = (
@@ -19,8 +24,6 @@ PARAGRAPH_TAGS = (
 #: Descriptions that are no descriptions, and their length in words.
 CORRUPT_DESCRIPTION = r"(?dU)^(.* refer(|s) to.?:|\[\[\w*:)"
 MIN_WORDS, MAX_WORDS = 5, 50
-#: Aliases that are broadcast whole.
-SMALL_GAZETTEER = 500
 
 
 def append(df: DataFrame, out: str, nodes: Column, kind: str) -> DataFrame:
@@ -149,35 +152,75 @@ def clean_website_description(df: DataFrame, column: str = "tags_website_desc")
     return df.withColumn(column, F.when(F.coalesce(bad, F.lit(False)), no_nodes(GLOBAL)).otherwise(F.col(column)))
 
 
-_BLANK = r"[ \t\n\u000B\f\r]"
+#: Characters of the strings that the index of aliases holds; shorter aliases are their own.
+GRAM = 4
+#: The filter of grams that aliases have: so many bits.
+FILTER_BITS = 22
+_LOW = np.uint64((1 << FILTER_BITS) - 1)
+
+
+def grams(text: str, size: int) -> np.ndarray:
+    """A hash of every run of `size` characters, the size included."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.full(max(0, len(c) - size + 1), size, np.uint64)
+    for i in range(size):
+        h = (h ^ c[i : len(c) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _grams_of_aliases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [np.unique(grams(a, min(len(a), GRAM)).astype(np.int64)) for a in batch.column("alias").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("alias"), pa.array([min(len(a), GRAM) for a in batch.column("alias").to_pylist()], pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["alias", "size", "grams"])
+
+
+def _grams_of_texts(sizes: list[int], known: np.ndarray):
+    """(id, gram): distinct grams of every text that pass the filter."""
+
+    def rows(ids: pa.Array, places: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.array(places, np.int64), [len(x) for x in found]))
+        return pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.concatenate(found) if found else [], pa.int64())], ["id", "gram"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for h in (grams(text, n) for n in sizes):
+                    places.append(i)
+                    found.append(np.unique(h[known[(h & _LOW).astype(np.int64)]]).astype(np.int64))
+                if sum(map(len, found)) > 1 << 18:
+                    yield rows(batch.column(0), places, found)
+                    places, found = [], []
+            yield rows(batch.column(0), places, found)
+
+    return run
 
 
 def entity_mentions(df: DataFrame, gazetteer: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, alias, entity, start): the first place of every alias in every text, at any boundary.
 
-    At most SMALL_GAZETTEER aliases are broadcast and looked for in every text. Of a larger gazetteer nothing
-    is broadcast: an alias without white space lies within one word of the text, and one of several words
-    begins with the end of one, so the substrings (of lengths that aliases have) and ends of distinct words
-    meet aliases, or their first words, in equi-joins; texts with such a word are then looked through.
+    An inverted index: of the runs of GRAM characters that an alias has, the one that the fewest texts hold
+    leads to it. Texts' distinct runs meet the index in an equi-join, and what meets is looked through. A
+    filter of FILTER_BITS bits, of a fixed size, keeps runs that no alias has from travelling; an alias with
+    a run that no text has is met nowhere.
     """
-    texts = df.select(id_col, F.col(text).alias("_text"))
-    first = (F.expr("instr(_text, alias)") - 1).cast("long").alias("start")
-    named = gazetteer.where("length(alias) > 0").select("alias", "entity")
-    if len(named.limit(SMALL_GAZETTEER + 1).collect()) <= SMALL_GAZETTEER:
-        return texts.join(F.broadcast(named), F.expr("instr(_text, alias) > 0")).select(id_col, "alias", "entity", first)
-    word = F.explode(F.array_distinct(F.split(F.col(text), _BLANK)))
-    words = df.select(F.col(id_col), word.alias("_w"))
-    distinct = words.select("_w").distinct()
-    several = named.where(F.col("alias").rlike(_BLANK)).withColumn("_key", F.get(F.split("alias", _BLANK), F.lit(0)))
-    single = named.where(~F.col("alias").rlike(_BLANK)).withColumn("_key", F.col("alias"))
-    lengths = [r[0] for r in single.select(F.length("alias")).distinct().collect()]  # a number for each length
-    size = F.length("_w")
-    within = F.flatten(F.transform(F.array(*map(F.lit, lengths or [0])), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring("_w", i, n))))
-    ends = F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.substring("_w", i, size))
-    hits = distinct.select("_w", F.explode(F.array_distinct(within)).alias("_key")).where("_key <> ''").join(single, "_key")
-    more = distinct.select("_w", F.explode(F.array_distinct(ends)).alias("_key")).join(several, "_key")
-    at = words.join(hits.union(more).select("_w", "alias", "entity"), "_w").select(id_col, "alias", "entity").distinct()
-    return at.join(texts, id_col).where("instr(_text, alias) > 0").select(id_col, "alias", "entity", first)
+    named = gazetteer.where("length(alias) > 0").select("alias", "entity").distinct()
+    of_aliases = settled(named.select("alias").distinct().mapInArrow(_grams_of_aliases, "alias string, size int, grams array<long>").select("alias", "size", F.explode("grams").alias("gram")))
+    sizes = sorted(r["size"] for r in of_aliases.select("size").distinct().collect())
+    place = F.col("gram").bitwiseAND((1 << FILTER_BITS) - 1)
+    known = np.zeros(1 << FILTER_BITS, bool)
+    for r in of_aliases.select(F.shiftright(place, 15).alias("b"), place.bitwiseAND((1 << 15) - 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        known[r["b"] << 15 : (r["b"] + 1) << 15] = bits.astype(bool)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("_text")).where("_text is not null")
+    kind = df.schema[id_col].dataType.simpleString()
+    of_texts = settled(texts.mapInArrow(_grams_of_texts(sizes, known), f"id {kind}, gram long"))
+    held = of_texts.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_aliases.join(held, "gram", "left").groupBy("alias").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("alias", F.col("r.gram").alias("gram"))
+    met = of_texts.join(rarest, "gram").select("id", "alias")
+    found = met.join(texts, "id").select("id", "alias", (F.expr("instr(_text, alias)") - 1).cast("long").alias("start")).where("start >= 0")
+    return found.join(named, "alias").select(F.col("id").alias(id_col), "alias", "entity", "start")
 
 
 def tag_entity(df: DataFrame, gazetteer: DataFrame, id_col: str, out: str = "tags_entity", text: str = "text") -> DataFrame:
@@ -223,16 +266,20 @@ def tag_paragraph(df: DataFrame, id_col: str, out: str = "tags_paragraph", text:
     return append(df.join(lists, F.col(id_col) == F.col("_id"), "left"), out, F.col("_n"), PARAGRAPH).drop("_id", "_n")
 
 
-def snap_to_paragraph(entities: Column | str, paragraphs: Column | str) -> Column:
-    """Each entity with the span of the first paragraph that holds it (its own if none does), repeats left out."""
+def snap_to_paragraph(entities: Column, paragraphs: Column | str, holder: Column) -> Column:
+    """Each entity with the span of its paragraph (its own if there is none), repeats left out.
+
+    holder: the number of each entity's paragraph, the first that holds it, or -1.
+    """
 
-    def snapped(e: Column) -> Column:
-        hit = F.get(F.filter(col(paragraphs), lambda p: (e["char_start_idx"] >= p["char_start_idx"]) & (e["char_end_idx"] <= p["char_end_idx"])), F.lit(0))
+    def snapped(e: Column, i: Column) -> Column:
+        at = F.get(holder, i)
+        hit = F.when(at >= 0, F.get(col(paragraphs), at.cast("int")))
         return local_node(
             "entity_paragraph", F.coalesce(hit["char_start_idx"], e["char_start_idx"]), F.coalesce(hit["char_end_idx"], e["char_end_idx"]), e["value"]
         )
 
-    return F.array_distinct(F.transform(F.filter(col(entities), lambda e: e["key"] == "entity"), snapped))
+    return F.array_distinct(F.transform(entities, snapped))
 
 
 def number_runs(nodes: Column, places: Column) -> Column:
@@ -250,6 +297,9 @@ def number_runs(nodes: Column, places: Column) -> Column:
 
 def tag_entity_paragraph(df: DataFrame, out: str = "tags_entity_paragraph", entities: str = "tags_entity", paragraphs: str = "tags_paragraph") -> DataFrame:
     some = (F.size(entities) > 0) & (F.size(paragraphs) > 0)
-    held = df.withColumn("_snapped", F.when(some, snap_to_paragraph(entities, paragraphs)))
+    held = df.withColumn("_entities", F.when(some, F.filter(entities, lambda e: e["key"] == "entity")))
+    edges = [F.transform(c, lambda x, f=f: x[f]) for c in ("_entities", paragraphs) for f in ("char_start_idx", "char_end_idx")]
+    held = held.withColumn("_holder", holders(*edges))
+    held = held.withColumn("_snapped", snap_to_paragraph(F.col("_entities"), paragraphs, F.col("_holder")))
     held = held.withColumn("_places", places_in_runs(F.transform("_snapped", lambda n: n["char_start_idx"])))
-    return append(held, out, number_runs(F.col("_snapped"), F.col("_places")), LOCAL_REL).drop("_snapped", "_places")
+    return append(held, out, number_runs(F.col("_snapped"), F.col("_places")), LOCAL_REL).drop("_snapped", "_places", "_entities", "_holder")

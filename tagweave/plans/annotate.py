@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.operators import html, taggers
-from tagweave.sources import with_annotations
+from tagweave.sources import settled, with_annotations
 
 Tagger = Callable[[DataFrame], DataFrame]
 #: The order in which taggers run; paragraphs come before what needs them.
@@ -63,3 +65,100 @@ def with_error_capture(name: str, expressions: dict[str, str], defaults: dict[st
         return df.withColumns({f"{name}_error": (comment != "").cast("long"), f"{name}_error_comment": comment} | out)
 
     return run
+
+
+def halved(f: Callable[[pa.RecordBatch], pa.RecordBatch], batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch | None, str]]:
+    """(part, result, comment): the batch in parts, in order. A part for which f fails is halved until single rows fail, which have no result."""
+    todo = [batch] if batch.num_rows else []
+    while todo:
+        part = todo.pop()
+        try:
+            out = f(part)
+            if out.num_rows != part.num_rows:
+                raise ValueError(f"{out.num_rows} rows for {part.num_rows}")
+        except Exception as e:  # whatever a tagger raises is told in the row
+            if part.num_rows == 1:
+                yield part, None, str(e)
+            else:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part, out, ""
+
+
+def python_tagger(name: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], outputs: dict[str, tuple[str, object]]) -> Tagger:
+    """A tagger of Arrow batches with a fault boundary; outputs: column -> (type, default).
+
+    f gives the output columns for a batch of rows. A row for which it fails keeps what it had in them, or
+    the default, with <name>_error 1 and the error as <name>_error_comment (else 0 and ""); all others have
+    their result.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        own = {f"{name}_error": "long", f"{name}_error_comment": "string"}
+        kept = [c for c in df.columns if c not in own and c not in outputs]
+        empty = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, (t, _) in outputs.items()))
+        old = {c: F.col(c).cast(empty.schema[c].dataType) if c in df.columns else F.lit(default).cast(empty.schema[c].dataType) for c, (_, default) in outputs.items()}
+        src = df.withColumns(old).select(*kept, *outputs)
+        like = T.StructType([T.StructField(f.name, f.dataType) for f in src.withColumns({c: F.lit(None).cast(t) for c, t in own.items()}).schema])
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, out, comment in halved(f, batch):
+                    new = part if out is None else out
+                    cols = [*(part.column(c) for c in kept), *(new.column(c).cast(part.schema.field(c).type) for c in outputs)]
+                    told = [pa.array([int(out is None)] * part.num_rows, pa.int64()), pa.array([comment] * part.num_rows)]
+                    yield pa.RecordBatch.from_arrays([*cols, *told], [*kept, *outputs, *own])
+
+        return src.mapInArrow(met, like)
+
+    return run
+
+
+def _told(e: Exception) -> str:
+    """The line of an error that says what it was."""
+    lines = [x.strip() for x in str(e).split("\n")]
+    lines = [x for x in lines if x and not x.startswith(("at ", "=="))]
+    return next((x for x in lines if x.startswith("[") or "Error: " in x), lines[0] if lines else type(e).__name__)
+
+
+def with_fault_boundary(name: str, tagger: Tagger, outputs: dict[str, str], ways: int = 4) -> Tagger:
+    """Any tagger, joins and groupings included, with a fault boundary; outputs: column -> SQL of its default.
+
+    The rows are tagged at once; where that fails they are parted in `ways` by a hash of their number, and
+    each part is tagged on its own, level by level by another hash, until rows that fail stand alone. These keep what they
+    had in the output columns, or the default, with <name>_error 1 and the first line of the error as
+    <name>_error_comment (else 0 and ""). What has been tagged is written and not done again, so a row that
+    fails costs some ways x log(rows) small jobs. The tagger must keep its rows and look at each on its own
+    or by its id; a failure that isn't a row's, such as a lost table, is told of every row.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        src = settled(df.withColumn("_row", F.monotonically_increasing_id()))
+        done: list[DataFrame] = []
+        faults: list[tuple[int, str]] = []
+        todo: list[tuple[int, DataFrame]] = [(0, src)]
+        error, comment = f"{name}_error", f"{name}_error_comment"
+        while todo:
+            level, part = todo.pop()
+            few = part.select("_row").limit(2).collect()
+            if level and not few:
+                continue
+            try:
+                done.append(settled(tagger(part.drop("_row", error, comment))))
+            except Exception as e:  # whatever a tagger raises is told in the row
+                if len(few) == 1:
+                    faults.append((few[0]["_row"], _told(e)))
+                else:
+                    digit = F.expr(f"pmod(xxhash64(_row, {level}), {ways})")
+                    todo += [(level + 1, part.where(digit == i)) for i in range(ways)]
+        good = [d.withColumns({error: F.lit(0).cast("long"), comment: F.lit("")}) for d in done]
+        if not faults:
+            return good[0]
+        told = df.sparkSession.createDataFrame(faults, "_row long, _comment string")
+        bad = src.join(F.broadcast(told), "_row").drop("_row", error, comment)  # a row for each fault
+        bad = bad.withColumns({c: F.expr(sql) for c, sql in outputs.items() if c not in df.columns})
+        bad = bad.withColumns({error: F.lit(1).cast("long"), comment: F.col("_comment")}).drop("_comment")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*good, bad])
+
+    return run

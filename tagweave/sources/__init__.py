@@ -154,16 +154,111 @@ def write_jsonl_gz(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).option("compression", "gzip").json(path)
 
 
-def publish(write: Callable[[DataFrame, str], None], df: DataFrame, path: str) -> bool:
-    """Write df beside path and move it there when it is whole; False where path is there already and stays."""
+#: Manifests of a published table are named by version; the last line tells that one is whole.
+MANIFESTS = "_manifests"
+COMPLETE = "complete"
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop
+    at = hadoop.fs.Path(path)
+    return hadoop, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Data files below path; names that begin with _ or . are none."""
+    _, at, files = _files(spark, path)
+    base, found, walk = str(files.makeQualified(at).toString()).rstrip("/"), [], files.listFiles(at, True)
+    while walk.hasNext():
+        name = str(walk.next().getPath().toString())
+        if not any(part[:1] in "_." for part in name[len(base) + 1 :].split("/")):
+            found.append(name[len(base) + 1 :])
+    return sorted(found)
+
+
+def versions(spark: SparkSession, path: str, folder: str = MANIFESTS) -> dict[int, list[str]]:
+    """The files of each published version of a table, relative to path; what has no whole manifest isn't published."""
+    hadoop, at, files = _files(spark, f"{path.rstrip('/')}/{folder}")
+    out: dict[int, list[str]] = {}
+    if files.exists(at):
+        for status in files.listStatus(at):
+            name = str(status.getPath().getName())
+            if name.isdigit():
+                stream = files.open(status.getPath())
+                try:
+                    lines = str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split("\n")
+                finally:
+                    stream.close()
+                if lines[-1] == f"{COMPLETE} {len(lines) - 1}":
+                    out[int(name)] = lines[:-1]
+    return out
+
+
+def _add_version(write: Callable[[DataFrame, str], None], df: DataFrame, path: str, folder: str, version: int) -> None:
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(target):
+    beside = f"part-{uuid.uuid4().hex}"
+    write(df, f"{path}/{beside}")
+    names = [f"{beside}/{name}" for name in _listed(spark, f"{path}/{beside}")]
+    hadoop, at, files = _files(spark, f"{path}/{folder}/{version}")
+    broken = files.exists(at) and version not in versions(spark, path, folder)  # its writer was lost
+    stream = files.create(at, broken)
+    try:
+        stream.write(bytearray("\n".join([*names, f"{COMPLETE} {len(names)}"]).encode()))
+    finally:
+        stream.close()
+
+
+def publish(write: Callable[[DataFrame, str], None], df: DataFrame, path: str, replace: bool = False) -> bool:
+    """Write df to files of its own below path, then a manifest that names them; False where a version is there and stays.
+
+    Nothing is renamed or overwritten: files that no manifest names are never read, so a writer that fails
+    leaves nothing behind for readers, and one that replaces a version leaves the old one whole meanwhile. Of
+    two writers of one version the first to make its manifest wins, and the other is told so by an error.
+    """
+    path = path.rstrip("/")
+    there = versions(df.sparkSession, path)
+    if there and not replace:
+        return False
+    _add_version(write, df, path, MANIFESTS, max(there, default=0) + 1)
+    return True
+
+
+def _read(spark: SparkSession, path: str, names: list[str], schema: str | None, kind: str) -> DataFrame:
+    reader = spark.read.format(kind)
+    if schema is not None:
+        if not names:
+            return spark.createDataFrame([], schema)
+        reader = reader.schema(schema)
+    return reader.load([f"{path.rstrip('/')}/{name}" for name in names])
+
+
+def read_published(spark: SparkSession, path: str, schema: str | None = None, kind: str = "parquet", version: int | None = None) -> DataFrame:
+    """A version of a published table, the last by default, by the files that its manifest names."""
+    there = versions(spark, path)
+    if not there or (version is not None and version not in there):
+        raise FileNotFoundError(f"{path} has no version {'at all' if version is None else version}")
+    return _read(spark, path, there[max(there) if version is None else version], schema, kind)
+
+
+#: The log of a stream's batches that are published.
+BATCHES = "_batches"
+
+
+def publish_batch(df: DataFrame, path: str, batch: int) -> bool:
+    """Add a stream's batch to a table of Parquet files; False where the log has the batch already."""
+    path = path.rstrip("/")
+    if batch in versions(df.sparkSession, path, BATCHES):
         return False
-    beside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
-    write(df, beside)
-    return bool(files.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target))
+    _add_version(write_columnar, df, path, BATCHES, batch)
+    return True
+
+
+def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All batches that the log of a table has."""
+    names = [name for _, own in sorted(versions(spark, path, BATCHES).items()) for name in own]
+    if not names and schema is None:
+        raise FileNotFoundError(f"{path} has no batches")
+    return _read(spark, path, names, schema, "parquet")
 
 
 def write_shards(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,4 +1,7 @@
-"""The annotated corpus as a stream. All operators but sorts and windows run on it unchanged."""
+"""The annotated corpus as a stream.
+
+Row-wise operators run on it unchanged; those that group, join or sort run on its batches (`publish_tagged`).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tagweave import schemas
-from tagweave.sources import with_annotations
+from tagweave.plans.annotate import Tagger
+from tagweave.sources import publish_batch, with_annotations
 
 
 def stream_annotated(spark: SparkSession, path: str, schema: str = schemas.V2, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,3 +41,16 @@ def publish_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQu
         batch.write.mode("overwrite").parquet(path)
 
     return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_tagged(df: DataFrame, tagger: Tagger, path: str, checkpoint: str) -> StreamingQuery:
+    """Tag what has arrived, batch by batch, and stop; `sources.read_batches` reads the result.
+
+    tagger may group, join and sort, as it gets each batch whole. A batch goes into a log once its files are
+    there, so that one that runs again after a restart is published once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        publish_batch(tagger(batch), path, number)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,17 +120,6 @@ def test_paragraphs(spark):
     assert "".join(p.value for p in out) == text
 
 
-def test_gazetteers_of_any_size(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "Paris and New York, Obama in Paris"), (2, "none"), (3, None), (4, "xObamax")], "id long, text string")
-    names = spark.createDataFrame([("Paris", "P"), ("Obama", "O"), ("New York", "N"), ("York, O", "Y")], "alias string, entity string")
-    out = []
-    for small in (500, 0):
-        monkeypatch.setattr(taggers, "SMALL_GAZETTEER", small)
-        rows = taggers.tag_entity(df, names, "id").orderBy("id").collect()
-        out.append([[(n.char_start_idx, n.char_end_idx, n.value) for n in r.tags_entity] for r in rows])
-    assert out[0] == out[1] == [[(10, 18, "N"), (20, 25, "O"), (0, 5, "P"), (14, 21, "Y")], [], [], [(1, 6, "O")]]
-
-
 def test_entity_paragraphs(spark):
     schema = f"tags_entity array<{schemas.LOCAL}>, tags_paragraph array<{schemas.PARAGRAPH}>"
     e = lambda s, x, v: (x, s, "entity", "local", v)
@@ -280,12 +269,6 @@ def test_exploded_in_a_stream(spark, tmp_path):
     assert sorted(r.part for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
 
 
-def test_publishing(spark, tmp_path):
-    df = spark.range(3)
-    assert sources.publish(sources.write_columnar, df, f"{tmp_path}/out") and not sources.publish(sources.write_columnar, df, f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
-
-
 def test_config_switches(spark):
     node = lambda k, v: f"array(named_struct('key', '{k}', 'type', 'global', 'value', '{v}'))"
     df = spark.createDataFrame([(i, "some <s> text") for i in range(20)], "id long, text string")
