@@ -298,7 +298,7 @@ def number_runs(nodes: Column, places: Column) -> Column:
 def tag_entity_paragraph(df: DataFrame, out: str = "tags_entity_paragraph", entities: str = "tags_entity", paragraphs: str = "tags_paragraph") -> DataFrame:
     some = (F.size(entities) > 0) & (F.size(paragraphs) > 0)
     held = df.withColumn("_entities", F.when(some, F.filter(entities, lambda e: e["key"] == "entity")))
-    edges = [F.transform(c, lambda x, f=f: x[f]) for c in ("_entities", paragraphs) for f in ("char_start_idx", "char_end_idx")]
+    edges = [F.col(c)[f] for c in ("_entities", paragraphs) for f in ("char_start_idx", "char_end_idx")]
     held = held.withColumn("_holder", holders(*edges))
     held = held.withColumn("_snapped", snap_to_paragraph(F.col("_entities"), paragraphs, F.col("_holder")))
     held = held.withColumn("_places", places_in_runs(F.transform("_snapped", lambda n: n["char_start_idx"])))

@@ -100,7 +100,7 @@ def python_tagger(name: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], outp
         empty = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, (t, _) in outputs.items()))
         old = {c: F.col(c).cast(empty.schema[c].dataType) if c in df.columns else F.lit(default).cast(empty.schema[c].dataType) for c, (_, default) in outputs.items()}
         src = df.withColumns(old).select(*kept, *outputs)
-        like = T.StructType([T.StructField(f.name, f.dataType) for f in src.withColumns({c: F.lit(None).cast(t) for c, t in own.items()}).schema])
+        like = T.StructType([T.StructField(x.name, x.dataType) for x in src.withColumns({c: F.lit(None).cast(t) for c, t in own.items()}).schema])
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

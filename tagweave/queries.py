@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -395,6 +397,38 @@ def h2_isolate(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.array_join("html_title", "").alias("title"))
 
 
+@query(
+    "h2_many_footers",
+    f"""
+WITH {HTML_LINES},
+e AS (SELECT doc_id, i, CASE WHEN line = '' THEN '<footer/>' ELSE '<footer>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</footer>' END AS x FROM lines)
+SELECT doc_id, count(*) AS n, md5(string_agg(x, '' ORDER BY i)) AS footers_md5 FROM e GROUP BY doc_id
+""",
+)
+def h2_many_footers(spark: SparkSession, d: str) -> DataFrame:
+    out = html.extract_html(line_pages(spark, d, "concat('<footer>', x, '</footer>')"), policy=html.HtmlPolicy(isolate=("footer",)))
+    return out.select("doc_id", F.size("html_footer").cast("long").alias("n"), F.md5(F.array_join("html_footer", "")).alias("footers_md5"))
+
+
+@query(
+    "h7_bottom_up",
+    f"""
+WITH {HTML_LINES},
+m AS (SELECT doc_id, i, length(held) > 40 AS long, i % 2 = 0 AS marked, t FROM texts),
+x AS (SELECT doc_id, 2 * i AS k, 'kept' AS part FROM m WHERE marked UNION ALL SELECT doc_id, 2 * i + 1, t FROM m WHERE long),
+j AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY k) || chr(10) AS text FROM x GROUP BY doc_id)
+SELECT doc_id, count_if(long) AS n_p, count_if(long) AS n_div, count_if(long OR marked) AS n_section, md5(coalesce(any_value(j.text), '')) AS text_md5 FROM m LEFT JOIN j USING (doc_id) GROUP BY doc_id
+""",
+)
+def h7_bottom_up(spark: SparkSession, d: str) -> DataFrame:
+    """A short line's paragraph goes, then what was around it alone, then the section around that, unless it has a mark of its own."""
+    wrap = "concat('<section>', if(i % 2 = 0, 'kept', ''), '<div><p>', x, '</p></div></section>')"
+    rules = (html.Rule("p", most=40), html.Rule("div", most=0, bottom_up=True), html.Rule("section", most=0, bottom_up=True))
+    out = html.extract_html(line_pages(spark, d, wrap), policy=html.HtmlPolicy(drop=rules))
+    count = lambda tag: F.size(F.filter("tags_html", lambda x: x["value"] == tag)).cast("long").alias(f"n_{tag}")
+    return out.select("doc_id", count("p"), count("div"), count("section"), F.md5("text").alias("text_md5"))
+
+
 @query("t14_run_taggers")
 def t14_run_taggers(spark: SparkSession, d: str) -> DataFrame:
     redirects, paragraphs = sites(spark, d)
@@ -411,6 +445,26 @@ def t13_error_capture(spark: SparkSession, d: str) -> DataFrame:
     return run(table(spark, d, "events")).select("event_id", "number", "parse_error", "parse_error_comment")
 
 
+def _first_capital(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The first of A to Z in each text; fails for the whole batch where a text has none."""
+    found = [re.search("[A-Z]", text or "") for text in batch.column("text").to_pylist()]
+    if None in found:
+        raise ValueError("no capital letter")
+    return pa.RecordBatch.from_arrays([pa.array([m[0] for m in found])], ["capital"])
+
+
+@query(
+    "t13_fault_boundary",
+    """
+WITH c AS (SELECT doc_id, coalesce(regexp_extract(text, '[A-Z]'), '') AS c FROM documents)
+SELECT doc_id, CASE WHEN c = '' THEN '?' ELSE c END AS capital, CAST(c = '' AS BIGINT) AS capital_error, CASE WHEN c = '' THEN 'no capital letter' ELSE '' END AS capital_error_comment FROM c
+""",
+)
+def t13_fault_boundary(spark: SparkSession, d: str) -> DataFrame:
+    run = annotate.python_tagger("capital", _first_capital, {"capital": ("string", "?")})
+    return run(docs(spark, d)).select("doc_id", "capital", "capital_error", "capital_error_comment")
+
+
 # ---- an annotated table: url, datasource and length of every page; title where there is one
 
 
@@ -793,6 +847,32 @@ def l14_pack(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "block_idx", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("attended"))
 
 
+_PACKED = f"""
+WITH d AS (SELECT doc_id, %s AS g, {SPACE_IDS} AS ids FROM documents), t AS (SELECT doc_id, g, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS j FROM d),
+r AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY doc_id, j) - 1 AS rn FROM t),
+b AS (SELECT g, rn // 512 AS block_idx, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS ids, count(*) AS n FROM r GROUP BY ALL)
+SELECT g AS batch, block_idx, md5(ids || CASE WHEN n < 512 THEN repeat(',0', CAST(512 - n AS INTEGER)) ELSE '' END) AS ids_md5 FROM b WHERE n = 512 OR block_idx = 0
+"""
+
+
+def packed_documents(rows: DataFrame) -> DataFrame:
+    out = linearize.pack(rows, 512, "batch", "doc_id")
+    return out.select("batch", "block_idx", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@query("l14_pack_batches", _PACKED % "(row_number() OVER (ORDER BY doc_id) - 1) // 100")
+def l14_pack_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred documents in a row are joined before they are cut."""
+    ranked = sources.row_index(space_ids(spark, d).select("doc_id", "ids"), "doc_id")
+    return packed_documents(ranked.withColumn("batch", F.floor(F.col("_rn") / 100)))
+
+
+@query("l14_pack_all", _PACKED % "CAST(0 AS BIGINT)")
+def l14_pack_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents are one group."""
+    return packed_documents(space_ids(spark, d).select("doc_id", "ids", F.lit(0).cast("long").alias("batch")))
+
+
 @query(
     "l15_fix_length",
     f"WITH t AS (SELECT doc_id, {SPACE_IDS} AS ids FROM documents) SELECT doc_id, md5(array_to_string(list_concat(ids[1:100], list_transform(range(0, 100 - least(100, len(ids))), lambda x: CAST(-100 AS INTEGER))), ',')) AS labels_md5, least(100, len(ids)) AS attended FROM t",
@@ -959,6 +1039,21 @@ def s10_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("c4_shard", "url", F.length("text").cast("long").alias("n"), F.size("tags_url").alias("urls"), F.size("tags_entity").alias("entities"))
 
 
+@query("s11_publish", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def s11_publish(spark: SparkSession, d: str) -> DataFrame:
+    """A version in place of another, read by its manifest."""
+    path = sources.scratch_dir(spark)
+    rows = docs(spark, d).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    sources.publish(sources.write_columnar, rows.select("doc_id"), path)
+    sources.publish(sources.write_columnar, rows, path, replace=True)
+    return sources.read_published(spark, path)
+
+
+@query("r5_buffered_shuffle")
+def r5_buffered_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.shuffle(docs(spark, d).select("doc_id", F.md5("text").alias("text_md5")), 7, "doc_id", buffer_size=256)
+
+
 @query("s16_shards_round_trip", "SELECT CAST((row_number() OVER (ORDER BY page_id) - 1) % 10 AS INTEGER) AS shard, page_id, md5(html) AS html_md5 FROM pages")
 def s16_shards_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = sources.scratch_dir(spark)
@@ -988,6 +1083,23 @@ def st4_stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
+LINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query(
+    "st2_stream_entities",
+    f"WITH {GAZETTEER} SELECT doc_id, instr(text, alias) - 1 AS char_start_idx, instr(text, alias) - 1 + length(alias) AS char_end_idx, entity AS value FROM documents JOIN gazetteer ON contains(text, alias)",
+)
+def st2_stream_entities(spark: SparkSession, d: str) -> DataFrame:
+    """A tagger that joins and groups, batch by batch, with a log of the batches."""
+    names = sources.settled(gazetteer(spark, d))
+    path = sources.scratch_dir(spark)
+    stream = streaming.stream_columnar(spark, f"{d}/documents.parque[t]", LINE_SCHEMA)
+    streaming.publish_tagged(stream, lambda batch: taggers.tag_entity(batch, names, "doc_id"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = sources.read_batches(spark, f"{path}/out")
+    return exploded(out, "doc_id", "tags_entity").select("doc_id", "char_start_idx", "char_end_idx", "value")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return a1_hosts(spark, d)
 

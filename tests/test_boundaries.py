@@ -110,7 +110,7 @@ def test_taggers_that_group_and_join_on_a_stream(spark, tmp_path):
         rows = [(i, f"https://site{i}.org/2020/05/0{1 + i % 9}/x", PAGE.format(f"Paris {i}")) for i in range(k * 4, k * 4 + 4)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     lookups = {"gazetteer": spark.createDataFrame([("Paris", "P"), ("second", "S")], "alias string, entity string")}
-    include = ["html", "timestamp", "entity", "paragraph", "entity_paragraph"]
+    include = ["html", "url", "timestamp", "entity", "paragraph", "entity_paragraph"]
     run = lambda df: annotate.run_taggers(df, include, lookups)
     runs = []
 
