@@ -5,7 +5,7 @@ item of fewer words, but not none, is one window. All windows of a block of item
 automaton, and every document's normalised text is scanned once; a match's end gives word numbers
 and, through the words' places, offsets in the original text.
 
-The automaton is broadcast. Its size is bounded: `block_words` words of windows at most; a larger
+The automaton is broadcast. Its size is bounded: `block_bytes` of a worker at most; a larger
 benchmark is cut into blocks of items, each with its own scan, and the documents' hits are merged.
 """
 
@@ -18,6 +18,7 @@ from itertools import chain
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import documents, only, ship, words, worker_cache, written
 
 WINDOW = 10
-BLOCK_WORDS = 4_000_000
+#: Bytes of a worker's automaton; larger benchmarks are met block by block.
+BLOCK_BYTES = 64 << 20
+#: Bytes of a trie's node with the link to it, and of what a window stands for.
+NODE, VALUE = 56, 300
 #: The words of common.words(), before lower-casing.
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -86,17 +90,34 @@ def original_spans(text: str | None, runs: list[tuple[int, int]]) -> list[tuple[
     return [(at[b][0], at[e - 1][1]) for b, e in runs]
 
 
-def _blocks(items: list[tuple[str, str | None]], most: int, window: int) -> Iterator[list[tuple[str, str | None]]]:
-    held: list[tuple[str, str | None]] = []
+def _runs(item: tuple[str | None, str], most: int, window: int) -> Iterator[tuple[int, tuple[str | None, str]]]:
+    """(bytes, item) for an item, or for runs of its windows where all of them would take more than `most` bytes."""
+    w = words(item[1])
+    if not w:
+        return
+    sizes = np.r_[0, np.cumsum([len(x) + 1 for x in w])]
+    count = max(1, len(w) - window + 1)
+    costs = np.cumsum(NODE * (sizes[np.minimum(np.arange(count) + window, len(w))] - sizes[:count] + 1) + VALUE)
+    begin, before = 0, 0
+    while begin < count:
+        end = max(begin + 1, int(np.searchsorted(costs, before + most, "right")))
+        yield int(costs[end - 1] - before), (item[0], b" ".join(w[begin : end + window - 1]).decode("utf-8", "surrogatepass"))
+        begin, before = end, int(costs[end - 1])
+
+
+def _blocks(items: Iterator[tuple[str | None, str]], most: int, window: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items whose automaton takes at most so many bytes; large items in several blocks. One window at least."""
+    held: list[tuple[str | None, str]] = []
     size = 0
     for item in items:
-        n = len(words(item[1])) * window
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append(item)
-        size += n
-    yield held
+        for n, run in _runs(item, most, window):
+            if held and size + n > most:
+                yield held
+                held, size = [], 0
+            held.append(run)
+            size += n
+    if held:
+        yield held
 
 
 def _items(benchmark: DataFrame) -> Iterator[tuple[str | None, str]]:
@@ -104,16 +125,17 @@ def _items(benchmark: DataFrame) -> Iterator[tuple[str | None, str]]:
     return ((r[0], r[1]) for r in rows.toLocalIterator())
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, items (sorted), spans (offsets in the text).
 
     Null and empty texts have no words and no hits; benchmark rows without words have no window; items
     that share a window are all reported, those without item_id as one null at the end; repeated documents and ids are rows of their own; other
     columns of either table are not read. The benchmark, a set of questions, passes the driver in
-    blocks of `block_words` words of windows; each block is a broadcast and a scan of its own.
+    blocks whose automaton takes `block_bytes` in a worker; each is a broadcast and a scan of its own. An item
+    of more windows than fit is in several blocks.
     """
     spark = ship(docs.sparkSession)
-    blocks = _blocks(_items(benchmark), block_words, window)
+    blocks = _blocks(_items(benchmark), block_bytes, window)
     first, second = next(blocks, []), next(blocks, None)
     src = documents(docs)
     if second is None:
@@ -191,7 +213,7 @@ def _scanner(spark: SparkSession, items: list[tuple[str, str | None]], window: i
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
     spark = ship(docs.sparkSession)
-    window, most = kw.get("window", WINDOW), kw.get("block_words", BLOCK_WORDS)
+    window, most = kw.get("window", WINDOW), kw.get("block_bytes", BLOCK_BYTES)
     blocks = _blocks(_items(benchmark), most, window)
     items = next(blocks, None)
     while items is not None:

@@ -152,7 +152,7 @@ def test_first_fit():
     assert (bins == want).all()
 
 
-@pytest.mark.parametrize("most", [4_000_000, 20])
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_BYTES, 8000, 1])
 def test_decontaminate(spark, odd, none, most):
     bench = spark.createDataFrame([(1, "beta gamma delta epsilon zeta ETA theta iota kappa the same line"), (2, "short"), (3, None), (4, ""), (5, "zzz yyy"), (6, "word1 token1 word2 token2")], "item_id long, text string")
     items = {}
@@ -170,18 +170,34 @@ def test_decontaminate(spark, odd, none, most):
                         hit.update(range(i, i + len(win)))
                         found.add(item)
         want.append((doc, len(w), len(hit), sorted(found)))
-    out = decontaminate.find(odd, bench, block_words=most).collect()
+    out = decontaminate.find(odd, bench, block_bytes=most).collect()
     assert bag((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out) == bag(want)
     texts = dict(plain(odd))
     for r in out:
         for s in r.spans:
             assert words(texts[r.doc_id][s.start : s.end])
-    clean = decontaminate.remove_contaminated(odd, bench, block_words=most)
+    clean = decontaminate.remove_contaminated(odd, bench, block_bytes=most)
     assert bag(r.doc_id for r in clean.collect()) == bag(d for d, _, n, _ in want if not n) and clean.columns == odd.columns
     assert decontaminate.find(none, bench).count() == 0
     assert decontaminate.find(odd, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_blocks_are_bounded():
+    """An automaton takes what its block is counted to take, however large an item is; no window is lost or made up."""
+    rng = np.random.default_rng(2)
+    items = [(str(i), " ".join(f"word{x}" for x in rng.integers(0, 10**6, n))) for i, n in enumerate([3, 40, 9000, 11, 2500, 1])]
+    most = 4 << 20
+    blocks = list(decontaminate._blocks(iter(items), most, 10))
+    assert len(blocks) > 3
+    found = defaultdict(set)
+    for block in blocks:
+        a = decontaminate.automaton(block)
+        assert a.get_stats()["total_size"] + decontaminate.VALUE * len(a) <= 1.05 * most
+        for item, text in block:
+            found[item] |= decontaminate.windows(text)
+    assert found == {item: decontaminate.windows(text) for item, text in items}
+
+
 def near_plain(rows, similarity=0.8):
     sets = []
     for doc, text in rows:
