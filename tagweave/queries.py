@@ -1083,6 +1083,21 @@ def st4_stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
+@query(
+    "st4_stream_head_counts",
+    "WITH h AS (SELECT * FROM pages ORDER BY page_id LIMIT 100) SELECT 'url' AS key, count(*) AS n FROM h WHERE length(url) > 0 UNION ALL SELECT 'generation_datasource', count(*) FROM h WHERE url IS NOT NULL",
+)
+def st4_stream_head_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The report on a stream's first hundred rows."""
+    stream = streaming.stream_columnar(spark, f"{d}/pages.parque[t]", PAGE_SCHEMA)
+    tagged = taggers.tag_datasource(taggers.tag_url(stream))
+    names = F.array(*(F.when(F.size(c) > 0, F.lit(c.removeprefix("tags_"))) for c in ("tags_url", "tags_generation_datasource")))
+    path = sources.scratch_dir(spark)
+    rows = tagged.select("page_id", F.filter(names, lambda x: x.isNotNull()).alias("kinds"))
+    streaming.publish_head_counts(rows, "kinds", 100, "page_id", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 LINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

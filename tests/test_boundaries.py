@@ -132,3 +132,14 @@ def test_taggers_that_group_and_join_on_a_stream(spark, tmp_path):
     columns = ["page_id", "text", "tags_html", "tags_timestamp", "tags_entity", "tags_paragraph", "tags_entity_paragraph"]
     got = sources.read_batches(spark, path).select(columns).orderBy("page_id").collect()
     assert len(got) == 12 and got == run(spark.read.parquet(f"{tmp_path}/in")).select(columns).orderBy("page_id").collect()
+
+
+@pytest.mark.parametrize("n", [7, 12, 100])
+def test_counts_of_a_streams_head(spark, tmp_path, n):
+    rows = [(i, ["a"] * (i % 2) + ["b"] * (i % 3 > 0) + (["c", "c"] if i > 8 else [])) for i in range(20)]
+    for k in range(0, 20, 5):
+        spark.createDataFrame(rows[k : k + 5], "id long, kinds array<string>").repartition(2).write.parquet(f"{tmp_path}/in/{k:02}")
+    stream = streaming.stream_columnar(spark, f"{tmp_path}/in/*", "id long, kinds array<string>", files_per_trigger=2)
+    streaming.publish_head_counts(stream, "kinds", n, "id", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    got = {r.key: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {k: c for k in "abc" if (c := sum(k in kinds for _, kinds in rows[:n]))}
