@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave import schemas, sources, streaming
@@ -890,12 +890,52 @@ def l18_train_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_idx", F.size("input_ids").alias("n"), total("attention_mask").alias("attended"), total("tags_mask").alias("masked"))
 
 
-@query("a11_paired_examples")
+#: A document's text after its length as the prefix: p and ids, both as tokens.
+_WITH_LENGTH = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(' ' || text, '\s*[\p{L}\p{N}_]+|\s*[^\p{L}\p{N}_\s]+|\s+') AS w,
+                  regexp_extract_all('Text Length: ' || length(text) || ' |||', '\s*[\p{L}\p{N}_]+|\s*[^\p{L}\p{N}_\s]+|\s+') AS p FROM documents WHERE length(text) > 0),
+t AS (SELECT doc_id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS ids, list_transform(p, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS p FROM w)
+"""
+
+
+def with_length(spark: SparkSession, d: str) -> DataFrame:
+    return projections.to_v1(taggers.tag_length_text(docs(spark, d)).select("doc_id", "text", "tags_generation_length_text"))
+
+
+def id_digest(ids: str) -> Column:
+    return F.md5(F.array_join(F.col(ids).cast("array<string>"), ",")).alias("ids_md5")
+
+
+def summed(ones: str) -> Column:
+    return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query(
+    "l18_train_rows_global",
+    _WITH_LENGTH
+    + """,
+c AS (SELECT *, unnest(range(0, (len(ids) - 1) // (128 - len(p)) + 1)) AS i FROM t),
+o AS (SELECT doc_id, i, p, ids[i * (128 - len(p)) + 1:(i + 1) * (128 - len(p))] AS own FROM c)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, md5(array_to_string(list_concat(p, own, list_transform(range(0, 128 - len(p) - len(own)), lambda x: CAST(0 AS BIGINT))), ',')) AS ids_md5,
+       CAST(len(p) + len(own) AS BIGINT) AS attended, CAST(len(p) AS BIGINT) AS masked FROM o
+""",
+)
+def l18_train_rows_global(spark: SparkSession, d: str) -> DataFrame:
+    rows = linearize.train_rows(with_length(spark, d), linearize.LinearizeConfig(max_seq_len=128), "doc_id")
+    return rows.select("doc_id", "chunk_idx", id_digest("input_ids"), summed("attention_mask").alias("attended"), summed("tags_mask").alias("masked"))
+
+
+@query(
+    "a11_paired_examples",
+    _WITH_LENGTH
+    + """
+SELECT doc_id, md5(array_to_string(list_concat(p, ids, list_transform(range(0, 512 - len(p) - len(ids)), lambda x: CAST(0 AS BIGINT))), ',')) AS ids_md5,
+       CAST(len(p) + len(ids) AS BIGINT) AS with_tags, CAST(len(ids) AS BIGINT) AS without, CAST(len(p) AS BIGINT) AS masked FROM t WHERE len(ids) <= 512 - len(p)
+""",
+)
 def a11_paired_examples(spark: SparkSession, d: str) -> DataFrame:
-    df = projections.to_v1(taggers.tag_length_text(with_lines(docs(spark, d))).select("doc_id", "text", "tags_generation_length_text"))
-    out = linearize.paired_examples(df, linearize.LinearizeConfig(max_seq_len=512), "doc_id")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", total("tags_attention").alias("with_tags"), total("normal_attention").alias("without"), total("tags_mask").alias("masked"))
+    out = linearize.paired_examples(with_length(spark, d), linearize.LinearizeConfig(max_seq_len=512), "doc_id")
+    return out.select("doc_id", id_digest("tags_ids"), summed("tags_attention").alias("with_tags"), summed("normal_attention").alias("without"), summed("tags_mask").alias("masked"))
 
 
 @query("a10_longest_row", f"WITH t AS (SELECT {SPACE_IDS} AS ids FROM documents) SELECT CAST(max(len(ids)) AS INTEGER) AS longest FROM t")
