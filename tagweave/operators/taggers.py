@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.functions.exprs import col, first_value, global_node, holders, local_node, no_nodes, path_date, places_in_runs, running_sums, unquote, url_keyword, url_netloc, url_path
+from tagweave.functions.exprs import col, first_value, global_node, holders, local_node, no_nodes, path_date, places_in_runs, unquote, url_keyword, url_netloc, url_path
 from tagweave.schemas import GLOBAL, LOCAL, LOCAL_REL, PARAGRAPH
 from tagweave.sources import settled
 
@@ -250,12 +250,13 @@ def paragraphs(df: DataFrame, id_col: str, text: str = "text", nodes: str = "tag
     )
     blocks = blocks.select(id_col, "_text", F.posexplode(block).alias("_b", "x")).withColumn("_blk", F.expr("if(x.e > x.b, substring(_text, cast(x.b + 1 as int), cast(x.e - x.b as int)), '')"))
     blocks = blocks.where("_blk <> ''").withColumn("_segs", F.expr(r"regexp_extract_all(_blk, '(?s).*?\\n\\n|.+', 0)"))
-    blocks = blocks.withColumn("_upto", running_sums(F.transform("_segs", lambda v: F.length(v))))
     marker = F.concat(F.col("x.tag"), F.when(F.size("_segs") > 1, "+lf").otherwise(""))
-    segments = blocks.select(id_col, "_b", F.col("x.b").alias("_at"), marker.alias("marker"), "_upto", F.posexplode("_segs").alias("_s", "value"))
-    start = F.col("_at") + F.when(F.col("_s") > 0, F.get("_upto", F.col("_s") - 1)).otherwise(0)
+    segments = blocks.select(id_col, "_b", F.col("x.b").alias("_at"), marker.alias("marker"), F.posexplode("_segs").alias("_s", "value"))
+    # both windows need the rows of a document in one order
     seq = F.row_number().over(Window.partitionBy(id_col).orderBy("_b", "_s"))
-    return segments.select(id_col, seq.alias("seq"), start.alias("start"), (start + F.length("value")).alias("end"), "marker", "value")
+    upto = F.sum(F.length("value")).over(Window.partitionBy(id_col, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.col("_at") + upto
+    return segments.select(id_col, seq.alias("seq"), (end - F.length("value")).alias("start"), end.alias("end"), "marker", "value")
 
 
 def tag_paragraph(df: DataFrame, id_col: str, out: str = "tags_paragraph", text: str = "text", nodes: str = "tags_html") -> DataFrame:

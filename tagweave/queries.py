@@ -1102,6 +1102,89 @@ def s16_shards_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: A pattern, as a stream of one file takes it.
+@query("s2_read_v1", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, CAST(length(text) AS VARCHAR) AS length FROM documents WHERE length(text) > 0")
+def s2_read_v1(spark: SparkSession, d: str) -> DataFrame:
+    """Training files of all documents, written and read again."""
+    path = sources.scratch_dir(spark)
+    rows = with_length(spark, d).where("length(text) > 0")
+    rows.select(F.col("doc_id").cast("string").alias("id"), "text", "tags").write.json(path)
+    return sources.read_v1(spark, path).select("id", F.md5("text").alias("text_md5"), exprs.first_value("tags", "length").alias("length"))
+
+
+@query("s3_named", "SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY o_orderpriority")
+def s3_named(spark: SparkSession, d: str) -> DataFrame:
+    """A table by name, configuration and revision."""
+    path = sources.scratch_dir(spark)
+    sources.write_columnar(table(spark, d, "orders"), f"{path}/orders/plain/v2")
+    rows = sources.read_named(spark, f"{path}/orders", "plain", "v2")
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"))
+
+
+@query("s5_glob", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def s5_glob(spark: SparkSession, d: str) -> DataFrame:
+    return sources.read_columnar(spark, f"{d}/docu*ts.parque[t]").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("s12_skip_existing", "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations")
+def s12_skip_existing(spark: SparkSession, d: str) -> DataFrame:
+    """What is there stays, whatever comes after it."""
+    path = f"{sources.scratch_dir(spark)}/out"
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("text_md5"))
+    sources.write_columnar(rows, path)
+    sources.write_columnar(rows.withColumn("text_md5", F.lit("another")), path, "ignore")
+    return sources.read_columnar(spark, path)
+
+
+@query("s13_schema", "SELECT column_name AS name, CAST(ordinal_position - 1 AS INTEGER) AS place FROM information_schema.columns WHERE table_name = 'lineitem'")
+def s13_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The schema that stands beside a table, read back."""
+    path = sources.scratch_dir(spark)
+    sources.write_schema(table(spark, d, "lineitem"), path)
+    fields = F.from_json("value", "fields array<struct<name:string>>")["fields"]["name"]
+    return spark.read.text(path).select(F.posexplode(fields).alias("place", "name"))
+
+
+@query("s14_schema_spec", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
+def s14_schema_spec(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as JSON, read by a schema that a nested spec gives."""
+    spec = {"conv_id": "int64", "said": [{"turn": {"dtype": "int64"}, "role": "string", "text": "string"}]}
+    rows = table(spark, d, "conversations").select(F.to_json(F.struct("conv_id", F.array(F.struct("turn", "role", "text")).alias("said"))).alias("v"))
+    said = F.from_json("v", schemas.schema_from_spec(spec))
+    return rows.select(said.alias("r")).select("r.conv_id", F.explode("r.said").alias("s")).select("conv_id", "s.turn", "s.role", F.length("s.text").cast("long").alias("n"))
+
+
+@query("h3_root", f"WITH {HTML_LINES} SELECT doc_id, md5(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS text_md5 FROM texts WHERE i = 0")
+def h3_root(spark: SparkSession, d: str) -> DataFrame:
+    """The first element of the root's tag is the page."""
+    out = html.extract_html(line_pages(spark, d, "concat('<section>', x, '</section>')"), policy=html.HtmlPolicy(root="section"))
+    return out.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("h4_implied_ends", f"WITH {HTML_LINES} SELECT doc_id, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> '') || chr(10), '')) AS text_md5, count(*) AS items FROM texts GROUP BY doc_id")
+def h4_implied_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Items and paragraphs without ends, and void elements."""
+    out = html.extract_html(line_pages(spark, d, "concat(if(i = 0, '<ul>', ''), '<li>', if(i % 2 = 0, '<p>', ''), x, '<hr>')"), policy=html.HtmlPolicy())
+    items = F.size(F.filter("tags_html", lambda n: n["value"] == "li"))
+    return out.select("doc_id", F.md5("text").alias("text_md5"), items.cast("long").alias("items"))
+
+
+@query("h5_comments", f"WITH {HTML_LINES} SELECT doc_id, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> '') || chr(10), '')) AS text_md5 FROM texts GROUP BY doc_id")
+def h5_comments(spark: SparkSession, d: str) -> DataFrame:
+    out = html.extract_html(line_pages(spark, d, "concat('<!-- a <p> ', i, ' -->', '  <p>  ', x, '<!---->  </p>\n')"), policy=html.HtmlPolicy())
+    return out.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "l17_config",
+    f"WITH {PREFIX} SELECT page_id, '<< ' || string_agg(replace(t, ': ', '='), ';' ORDER BY 4 - o) || ' >>' AS prefix FROM t WHERE o <> 1 GROUP BY page_id",
+)
+def l17_config(spark: SparkSession, d: str) -> DataFrame:
+    """Separators, order and choice of types by configuration."""
+    cfg = linearize.LinearizeConfig(tags_list=("length", "datasource"), tags_sep=";", tags_key_value_sep="=", tags_prefix_sep=" >>")
+    out = linearize.tags_prefix(projections.to_v1(annotated(spark, d)), cfg).where("prefix <> ''")
+    return out.select("page_id", F.concat(F.lit("<< "), "prefix").alias("prefix"))
+
+
 PAGE_SCHEMA = "page_id long, url string, html string"
 
 
