@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.sources import rank_in_groups
+
 KEYS = ("split", "side", "example_id")
 LARGEST = 3.4028234663852886e38
 
@@ -44,7 +46,7 @@ def perplexity(losses: DataFrame, most: int | None = None) -> DataFrame:
     """(split, side, perplexity, examples): exp of the mean of losses weighted by tokens; the first `most` examples."""
     rows = losses.where("loss is not null and not isnan(loss)")
     if most is not None:
-        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("split", "side").orderBy("example_id"))).where(F.col("_rn") <= most)
+        rows = rank_in_groups(rows, ("split", "side"), "example_id").where(F.col("_rn") < most)
     ratio = F.sum(F.col("loss") * F.col("tokens")) / F.sum("tokens")
     return rows.groupBy("split", "side").agg(F.exp(ratio).alias("perplexity"), F.count("*").alias("examples"))
 

@@ -1021,6 +1021,31 @@ def a6_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.perplexity(evaluate.masked_mean_loss(scores(spark, d))).withColumn("perplexity", F.round("perplexity", 6))
 
 
+@query(
+    "a6_first_examples",
+    f"""
+WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY split, side ORDER BY example_id) AS rn FROM losses WHERE loss IS NOT NULL)
+SELECT split, side, round(exp(sum(loss * tokens) / sum(tokens)), 6) AS perplexity, count(*) AS examples FROM k WHERE rn <= 2000 GROUP BY ALL
+""",
+)
+def a6_first_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The report on a split's first two thousand examples."""
+    return evaluate.perplexity(evaluate.masked_mean_loss(scores(spark, d)), most=2000).withColumn("perplexity", F.round("perplexity", 6))
+
+
+@query(
+    "t14_chain",
+    f"SELECT page_id, CASE WHEN length(url) > 0 THEN url END AS url, CASE WHEN url IS NOT NULL THEN {DATASOURCE} END AS datasource, CAST(length(html) AS VARCHAR) AS length, CASE WHEN {TITLED} THEN {TITLE} END AS title FROM pages",
+)
+def t14_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Part of the chain, by name, in its own order."""
+    titles = F.regexp_extract_all("html", F.lit("(?si)<title[^>]*>.*?</title>"), F.lit(0))
+    df = pages(spark, d).select("page_id", "url", F.col("html").alias("text"), titles.alias("html_title"))
+    out = annotate.run_taggers(df, ["length_text", "title", "url", "datasource"])
+    nodes = {"url": ("tags_url", "url"), "datasource": ("tags_generation_datasource", "datasource"), "length": ("tags_generation_length_text", "length"), "title": ("tags_title", "title")}
+    return out.select("page_id", *(exprs.first_value(c, key).alias(name) for name, (c, key) in nodes.items()))
+
+
 @query(
     "j8_a7_preference",
     "WITH o AS (SELECT l_orderkey, l_linenumber, l_discount FROM lineitem) SELECT round(avg(CASE WHEN a.l_discount < b.l_discount THEN 1 ELSE 0 END), 9) AS accuracy, count(*) AS pairs FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2",

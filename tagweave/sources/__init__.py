@@ -137,6 +137,24 @@ def row_index(df: DataFrame, *order_by: str, name: str = "_rn") -> DataFrame:
     return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
 
 
+def rank_in_groups(df: DataFrame, groups: tuple[str, ...], order_by: str, name: str = "_rn") -> DataFrame:
+    """df with each row's rank from 0 in its group, in the order of a column that is unique there.
+
+    Rows are ranked in ranges of (group, order), and a group's ranges, of which each is one number, are summed
+    after that, so a group of any size is ranked by many tasks.
+    """
+    ranged = settled(df.repartitionByRange(*groups, order_by).withColumn("_range", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(order_by)) - 1
+    sizes = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*(F.col(g).alias(f"_of_{g}") for g in groups), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    same = F.col("_range") == F.col("_r")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    ranked = ranged.withColumn("_own", own).join(bases, same)
+    return ranked.select(*df.columns, (F.col("_base") + F.col("_own")).alias(name))
+
+
 def concat_shards(spark: SparkSession, path: str, expect: int | None = None) -> DataFrame:
     """The table written with partitionBy("shard"), after a check of the number of shards."""
     df = spark.read.parquet(path)
