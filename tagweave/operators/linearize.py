@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,24 +224,24 @@ def tokens_with(specials: tuple[str, ...] = ()) -> Tokenizer:
     kept = rf"(?:{special})|\s+(?={special})|\s*(?:(?!{special})\w)+|\s*(?:(?!{special})[^\w\s])+|\s+"
     pattern = kept if special else TOKEN
 
-    def cut(texts: pd.Series) -> pd.Series:
-        find, ids = re.compile(pattern).finditer, {}
-
-        def id_of(word: str) -> int:
-            found = ids.get(word)
-            if found is None:
-                found = ids[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
-            return found
-
-        def one(text: str | None) -> list[dict] | None:
-            if text is None:
-                return None
-            return [{"id": id_of(m.group()), "start": m.start(), "end": m.end()} for m in find(text)]
-
-        return texts.map(one)
+    def cut(texts: pa.Array) -> pa.Array:
+        find, words, sizes = re.compile(pattern).findall, [], []
+        for text in texts.to_pylist():
+            own = find(text or "")
+            words += own
+            sizes.append(len(own))
+        # every character is in a token, so places are sums of lengths; an id is made once for each distinct token
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        known = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        bounds = np.r_[0, np.cumsum(sizes)]
+        upto = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+        base = np.repeat(upto[bounds[:-1]], sizes)
+        cols = (known[coded.indices.to_numpy()] if words else known, upto[:-1] - base, upto[1:] - base)
+        tokens = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["id", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens, mask=texts.is_null())
 
     # nondeterministic by name, so that it isn't run once for every field that is read
-    split = F.pandas_udf(cut, _TOKENS).asNondeterministic()
+    split = F.arrow_udf(cut, _TOKENS).asNondeterministic()
     return lambda text: split(col(text))
 
 
