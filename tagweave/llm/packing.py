@@ -109,7 +109,9 @@ def pack(
 
     Every row of docs is a document of its own, also one whose doc_id is null or occurs again; null and
     empty texts are the end id alone. Pieces of a sequence follow each other without gaps; sequences
-    are meant to be padded to `length`. Ties in length go by the order of the pieces. Only doc_id and
+    are meant to be padded to `length`. Ties in length go by the order of the pieces. sequence_id begins
+    with the number of the partition in which a group was packed, so other partitions give other ids, and
+    other groups; pieces and their contents are the same. Only doc_id and
     text are read. A worker keeps at most 2 * `keep` encoded pre-tokens. Documents are dealt by hash of their
     number in the scan, so equal rows scatter and a document's pieces share a group.
     """
