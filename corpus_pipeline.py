@@ -81,6 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of what all stages leave of `documents`; each stage's rows are a table in the shared folder.
+
+    Null and empty texts pass every stage and are packed as the end id. Rows that share a doc_id go or stay
+    together as near duplicates, so repeated rows stay repeated; rows without doc_id are no one's duplicates.
+    Without labels no document is toxic, without benchmark none is contaminated, and
+    an empty table gives no pieces; labels that conflict are `toxicity.train`'s to settle. Columns that are
+    called like an operator's own keep their values.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{name}"
