@@ -306,6 +306,27 @@ def test_substring_dedup_tells_rows_apart(spark):
     assert bag((r.doc_id, r.n_bytes, bytes(r.kept)) for r in out) == bag((d, len(t or ""), b"5|" if t and "|" in t else b"" if t == long else (t or "").encode()) for d, t in rows)
 
 
+def test_substring_dedup_of_texts_longer_than_a_piece(spark):
+    """Repeats on either side of a cut and across it, by the hashes of all windows."""
+    rng = np.random.default_rng(4)
+    long = bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", np.uint8), 700_000)).decode()
+    cut = substring_dedup.PIECE
+    assert cut < len(long) - 1000
+    rows = [(1, long), (2, "x" * 50 + long[cut - 300 : cut + 350] + "y" * 50), (3, long[1000:1450] + " and " + long[-420:]), (4, long[cut - 400 : cut]), (5, "short")]
+    hashes = [[hash(t[i : i + 400]) for i in range(len(t) - 399)] for _, t in rows]
+    times = Counter(h for own in hashes for h in own)
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (doc, text), own in zip(rows, hashes, strict=True):
+        gone = np.zeros(len(text) + 1, int)
+        for i, h in enumerate(own):
+            if times[h] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        kept = "".join(c for c, g in zip(text, np.cumsum(gone)[:-1], strict=True) if not g)
+        assert (out[doc].n_removed, out[doc].kept_sha256) == (len(text) - len(kept), hashlib.sha256(kept.encode()).hexdigest())
+    assert out[1].n_spans == 3 and out[1].n_removed == 750 + 450 + 420
+
+
 def test_substring_dedup_as_registered(spark):
     rows = plain(spark.read.parquet(f"{SF}/documents.parquet"))
     out = substring_dedup.op6_substring_dedup(spark, SF).collect()
