@@ -119,7 +119,9 @@ def _told(e: Exception) -> str:
     """The line of an error that says what it was."""
     lines = [x.strip() for x in str(e).split("\n")]
     lines = [x for x in lines if x and not x.startswith(("at ", "=="))]
-    return next((x for x in lines if x.startswith("[") or "Error: " in x), lines[0] if lines else type(e).__name__)
+    causes = [x.removeprefix("Caused by: ") for x in lines if x.startswith("Caused by: ")]
+    told = [x for x in lines if x.startswith("[") or "Error: " in x] or [x[2:] for x in lines if x.startswith(": ")]
+    return [*causes[-1:], *told, *lines, type(e).__name__][0]
 
 
 def with_fault_boundary(name: str, tagger: Tagger, outputs: dict[str, str], ways: int = 4) -> Tagger:
