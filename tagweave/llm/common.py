@@ -96,9 +96,20 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives any executor."""
+#: Rows that a part of a written table stands for, where the number of its rows is known about.
+PART_ROWS = 1 << 14
+
+
+def written(df: DataFrame, name: str = "t", rows: int | None = None, **options: str) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and outlives any executor.
+
+    Where `rows`, about the number of df's rows, is given, small tables have few parts, also in a session that
+    leaves them in all its shuffle partitions: each part costs files, and a local file system starts a process
+    for each of them. It is for what a shuffle or join returns; work on Python's side keeps its tasks.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PART_ROWS)))
     path = f"{shared_dir(spark)}/{name}"
     df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
@@ -188,18 +199,18 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = written(pairs, "edges")
-    before = None
+    before, rows = None, 2 * pairs.count()  # both directions
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "large")
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "large", rows)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large_star")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "small")
+        large = written(large, "large_star", rows)
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "small", rows)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        pairs = written(small.distinct(), "small_star")
+        pairs = written(small.distinct(), "small_star", rows)
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
-        before = state
+        before, rows = state, 2 * state[0]
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -374,13 +374,13 @@ def _verify(similarity: float):
     return run
 
 
-def _buckets(classes: DataFrame, brute: int, levels: int) -> DataFrame:
-    """(b, k, m): buckets of two classes or more, the large ones split level by level."""
+def _buckets(classes: DataFrame, brute: int, levels: int, some: int) -> DataFrame:
+    """(b, k, m): buckets of two classes or more, the large ones split level by level. some: about the number of all paths."""
     rows = classes.select("k", F.explode("paths").alias("b"))
     done = None
     for level in range(levels):
-        rows = written(rows, f"paths{level}") if level else rows
-        counts = written(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), f"counts{level}")
+        rows = written(rows, f"paths{level}", some) if level else rows
+        counts = written(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), f"counts{level}", some)
         live = rows.join(counts, "b")
         final = level == levels - 1
         ready = live if final else live.where(F.col("m") <= brute)
@@ -391,10 +391,10 @@ def _buckets(classes: DataFrame, brute: int, levels: int) -> DataFrame:
         run = F.col("b").bitwiseAND(F.lit((1 << RUN_BITS) - 1))
         first = (run * (levels - 1) + level) * SPLITS
         part = [F.substring("sketch", ((first + i) * 2 + 1).cast("int"), F.lit(2)) for i in range(SPLITS)]
-        large = written(live.where(F.col("m") > brute).join(classes.select("k", "sketch"), "k"), f"large{level}")
+        large = written(live.where(F.col("m") > brute).join(classes.select("k", "sketch"), "k"), f"large{level}", some)
         # where half of a bucket would stay together its classes are similar, and splitting it is of no use
         share = large.groupBy("b", "m", part[0]).agg(F.count("*").alias("c")).groupBy("b", "m").agg(F.max("c").alias("c"))
-        dense = written(share.where("2 * c >= m").select("b"), f"dense{level}")
+        dense = written(share.where("2 * c >= m").select("b"), f"dense{level}", some)
         done = done.union(large.join(dense, "b").select("b", "k", "m"))
         names = (F.xxhash64("b", F.lit(level * SPLITS + i), p) for i, p in enumerate(part))
         children = F.array(*(F.shiftleft(name, RUN_BITS).bitwiseOR(run) for name in names))
@@ -409,17 +409,19 @@ def link_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     runs = runs_for(recall, similarity, levels)
     sets = src.mapInArrow(_describe(runs, similarity, n, coordinates(runs, levels)), "doc_id long, c binary, n int, sketch binary, paths array<long>")
     sets = written(sets, "sets")
+    rows = sets.count()
+    some = math.ceil(rows * runs / similarity)  # a run chooses 1/similarity tokens of a set
     classes = sets.where("n > 0").groupBy("c").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
-    classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
-    buckets = written(_buckets(classes, brute, levels), "buckets")
+    classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes", rows)
+    buckets = written(_buckets(classes, brute, levels, some), "buckets", some)
     lists = buckets.groupBy("k").agg(F.sort_array(F.collect_set("b")).alias("bs"))
-    lists = written(classes.select("k", "n", F.substring("sketch", 1, 2 * SKETCH).alias("sketch")).join(lists, "k"), "lists")
+    lists = written(classes.select("k", "n", F.substring("sketch", 1, 2 * SKETCH).alias("sketch")).join(lists, "k"), "lists", rows)
     full = buckets.dropDuplicates(["b", "k"]).join(lists, "k")
     grouped = _chunked(full, brute).repartition("g").sortWithinPartitions("g", "k")
     grouped = grouped.select("g", "b", "k", "n", "sketch", "bs", "side", "alone")
-    wanted = written(grouped.mapInArrow(_candidates(similarity), "k long, b long").distinct(), "wanted")
+    wanted = written(grouped.mapInArrow(_candidates(similarity), "k long, b long").distinct(), "wanted", some)
     need = classes.join(wanted.select("k").distinct(), "k", "left_semi").select("k", "c", F.col("rep").alias("doc_id"))
     loaded = src.join(need.hint("shuffle_hash"), "doc_id").select("k", "c", "text").mapInArrow(_load(n), "k long, tokens binary")
     sent = (
@@ -449,9 +451,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **kw) -> Da
     """
     sets, classes, totals, components = link_classes(docs, similarity, **kw)
     named = classes.select("k", "c", "rep", "copies").join(totals, "k", "left").join(components.withColumnRenamed("node", "k"), "k", "left")
-    named = written(named.withColumn("root", F.coalesce("root", "k")), "named")
-    least = written(named.groupBy("root").agg(F.min("rep").alias("class_id")), "roots")
-    named = written(named.join(least, "root").select("c", "rep", "copies", "links", "class_links", "class_id"), "answers")
+    rows = classes.count()
+    named = written(named.withColumn("root", F.coalesce("root", "k")), "named", rows)
+    least = written(named.groupBy("root").agg(F.min("rep").alias("class_id")), "roots", rows)
+    named = written(named.join(least, "root").select("c", "rep", "copies", "links", "class_links", "class_id"), "answers", rows)
     out = sets.select("doc_id", "c", "n").join(named, "c", "left")
     has = F.col("n") > 0
     out = out.select(

@@ -240,6 +240,32 @@ def test_jaccard_join(spark, odd, none, kw):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [1 << 14, 8])
+def test_jaccard_join_small_tables_have_few_parts(spark, monkeypatch, part_rows):
+    """Also in a session that keeps all its shuffle partitions, each part being files of their own."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 500, 60)]
+    rows = [(i, " ".join([*base[:-1], f"x{i % 40}"] if i < 60 else [f"y{i}w{j}" for j in range(30)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    made = []
+    monkeypatch.setattr(common, "_WRITTEN", made)
+    monkeypatch.setattr(common, "PART_ROWS", part_rows, raising=False)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = bag((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df, brute=16).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == near_plain(plain(df))
+    files = {path: len(glob.glob(f"{path.removeprefix('file://')}/part-*")) for path in made}
+    wide = {path for path, n in files.items() if n > 1}
+    free = {path for path in files if path.rsplit("/", 1)[-1] in ("sets", "links", "edges")}
+    assert free < files.keys() and (wide <= free if part_rows > 8 else wide - free)
+
+
 def test_jaccard_join_of_frequent_passages(spark):
     """Pairs at 0.82 all of whose shared shingles are in 200 classes: a run that parts one must not do so in all runs."""
     rng = np.random.default_rng(3)
