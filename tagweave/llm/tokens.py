@@ -4,7 +4,9 @@ Texts are cut at spaces into chunks that the tokenizer treats independently, a b
 found by Arrow, each is cut into pre-tokens, and every distinct pre-token is encoded once by the library's
 model and kept. A document is the concatenation of its chunks' ids, which numpy gathers for a batch at once:
 
-* "word" tokenizers drop white space, so any cut at a space or line feed is between pre-tokens;
+* "word" tokenizers drop white space, so any cut at a space or line feed is between pre-tokens; chunks of
+  plain letters and marks after them are cut by Arrow too, so that forms of a word that differ in case or
+  in marks are looked up once;
 * byte-level ones attach one space to the word after it, so a cut before a space is between pre-tokens
   if no white space follows it; texts where some does are encoded whole.
 
@@ -53,6 +55,11 @@ _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 #: Where a cut before some space is not between byte-level pre-tokens.
 CROWDED = f"(?s) {_SPACE}|{_SPACE} \\z"
 
+#: Chunks of "word" tokenizers that Arrow cuts: Latin-1 letters, then ASCII marks other than those of special strings.
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "<|")
+
 
 def _byte_characters() -> dict[int, str]:
     """Byte to character: printable Latin-1 ones stand for themselves, all others follow from 256 on."""
@@ -117,6 +124,8 @@ class Encoder:
         self.pretokens = Kept(self._pretokens, keep)
         #: Chunks after a space; one after a null character is the first of its text.
         self.kept = Kept(self._chunks, keep // 2)
+        #: Plain words in lower case, of "word" tokenizers.
+        self.stems = Kept(self._stems, keep)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -125,6 +134,9 @@ class Encoder:
         tokenize = self.model.tokenize
         return [self.whole(p[1:]) if p[0] == "\0" else array("I", [t.id for t in tokenize(p)]).tobytes() for p in pre]
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        return self._pretokens(list(map(shown, stems)))
+
     def ids(self, pre: list[str]) -> list[bytes]:
         """Ids of pre-tokens as the vocabulary writes them, and of uncut chunks after a null character."""
         return self.pretokens.get(pre)
@@ -170,6 +182,25 @@ class Encoder:
             out[i] = self.whole(self.before + chunks[i])
         return out
 
+    def worded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many each has) of a "word" tokenizer."""
+        stem = pc.ascii_rtrim(chunks, characters=MARKS)
+        is_plain = pc.match_substring_regex(stem, f"^[{LATIN}]+$")
+        plain = is_plain.to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(stem.filter(is_plain)).dictionary_encode()
+        marks = pc.utf8_ltrim(chunks.filter(is_plain), characters=LETTERS).dictionary_encode()
+        pieces = self.stems.get(stems.dictionary.to_numpy(zero_copy_only=False).tolist())
+        front, back = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        front[plain] = stems.indices.to_numpy()
+        front[~plain] = len(pieces) + np.arange(len(chunks) - len(stems))
+        pieces += self.chunks(chunks.filter(pc.invert(is_plain)).to_pylist())
+        back[plain] = len(pieces) + marks.indices.to_numpy()
+        pieces += self.chunks(marks.dictionary.to_pylist())
+        back[~plain] = len(pieces)
+        pieces.append(b"")
+        ids, sizes = gathered(*joined(pieces), np.stack([front, back], 1).ravel())
+        return ids, sizes.reshape(-1, 2).sum(1)
+
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, where each text's end); null is empty, and `end` follows every text."""
         texts = pc.fill_null(texts, "")
@@ -182,15 +213,17 @@ class Encoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
         offsets -= offsets[0]
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = coded.indices.to_numpy().astype(np.int64)
         collected = gc.isenabled()
         gc.disable()  # millions of short-lived strings, no cycles
         try:
-            pieces = self.chunks(words)
+            if self.words:
+                ids, sizes = self.worded(coded.dictionary)
+            else:
+                pieces = self.chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         finally:
             if collected:
                 gc.enable()
-        which = coded.indices.to_numpy().astype(np.int64)
         if not self.words:  # a text's first chunk has no space before it
             first = lists.values.take(pa.array(lists.offsets.to_numpy()[:-1])).to_pylist()
             own = {c: len(pieces) + i for i, c in enumerate(dict.fromkeys(first))}
@@ -199,19 +232,29 @@ class Encoder:
             for i in np.flatnonzero(odd).tolist():
                 which[offsets[i]] = len(pieces)
                 pieces.append(self.whole(texts[i].as_py()))
+            ids, sizes = joined(pieces)
         if end:
-            which = np.insert(which, offsets[1:], len(pieces))
-            pieces.append(end)
+            which = np.insert(which, offsets[1:], len(sizes))
+            ids, sizes = np.r_[ids, np.frombuffer(end, "<u4")], np.r_[sizes, len(end) // 4]
             offsets = offsets + np.arange(len(offsets))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        ids = np.frombuffer(b"".join(pieces), "<u4")
-        n = sizes[which]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if total < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(sizes) - sizes)[which] - (ends - n)).astype(kind), n)
-        at += np.arange(total, dtype=kind)
-        return ids[at], np.r_[0, ends][offsets[1:]]
+        ids, n = gathered(ids, sizes, which)
+        return ids, np.r_[0, np.cumsum(n)][offsets[1:]]
+
+
+def joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces, how many each has)."""
+    return np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the pieces which names, one after the other, how many each has); sizes: of the pieces that ids is made of."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[which] - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return ids[at], n
 
 
 _HELD: dict[tuple[str, bool], Encoder] = worker_cache("tokens")
@@ -223,5 +266,5 @@ def encoder(path: str, keep: int = KEEP, special: bool = True) -> Encoder:
     if (path, special) not in _HELD:
         _HELD[path, special] = Encoder(path, keep, special)
     held = _HELD[path, special]
-    held.pretokens.keep, held.kept.keep = keep, keep // 2
+    held.pretokens.keep, held.kept.keep, held.stems.keep = keep, keep // 2, keep
     return held
