@@ -17,13 +17,13 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +49,16 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the tokens of all texts, in a row, where each text's end); what tokens() gives, cut by Arrow."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # the empty string after a last space is the end, as an empty text is
+    ended = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(texts, " ", ""))
+    lists = pc.ascii_split_whitespace(ended)
+    ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+    return lists.values.cast(pa.binary()), ends
+
+
 def spelled(word: bytes) -> int:
     return zlib.crc32(word[:2] + b"\0" + word[-3:]) % SPELLED
 
@@ -79,15 +89,13 @@ class Vocabulary:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", 16 << 20):
-            train: Counter = Counter()
-            for text in part.column("text").to_pylist():
-                train.update(tokens(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(train), pa.binary()), pa.array(list(train.values()), pa.int64())], ["word", "train"])
+            words, _ = cut(part.column("text"))
+            yield pa.RecordBatch.from_arrays(pc.value_counts(words).flatten(), ["word", "train"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cls = pa.array([spelled(w) for w in batch.column("word").to_pylist()], pa.int32())
+        cls = pa.array([spelled(w) for w in batch.column("word").to_numpy(zero_copy_only=False).tolist()], pa.int32())
         yield pa.RecordBatch.from_arrays([cls, batch.column("train")], ["cls", "train"])
 
 
@@ -112,38 +120,30 @@ def _sequences(sent):
         known_of = np.r_[vocabulary.train > 0, False]
         for batch in batches:
             for part in pieces(batch, "text"):
-                flat: list[bytes] = []
-                ends = []
-                for text in part.column("text").to_pylist():
-                    flat += tokens(text)
-                    ends.append(len(flat))
-                at = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
-                e = np.array(ends, np.int64)
+                flat, e = cut(part.column("text"))
+                coded = flat.dictionary_encode()
+                words, code = coded.dictionary, coded.indices.to_numpy()
+                named = words.to_numpy(zero_copy_only=False)
+                found = np.fromiter(map(index.get, named.tolist(), repeat(-1)), np.int64, len(words))
+                kind = cls_of[found]
+                kind[found < 0] = [vocabulary.own + spelled(w) for w in named[found < 0].tolist()]
                 starts = np.r_[0, e[:-1]]
-                there = at >= 0
-                cls = np.where(there, cls_of[at], 0).astype(np.int32)
-                rare = np.flatnonzero(~there)
-                by_doc = np.searchsorted(e, rare, side="right")
-                found: list[dict[bytes, list[int]]] = [{} for _ in ends]
-                for i, d in zip(rare.tolist(), by_doc.tolist(), strict=True):
-                    w = flat[i]
-                    x = found[d].get(w)
-                    if x is None:
-                        x = found[d][w] = [vocabulary.own + spelled(w), 0]
-                    x[1] += 1
-                    cls[i] = x[0]
-                add = lambda v: np.add.reduceat(np.where(there, v, 0), starts)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, e].astype(np.int32)), pa.array(cls))
-                rares = [[{"word": w, "cls": c, "tf": n} for w, (c, n) in f.items()] for f in found]
+                add = lambda v: np.add.reduceat(np.where(found >= 0, v[found], 0)[code], starts)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, e].astype(np.int32)), pa.array(kind[code]))
+                rare = np.flatnonzero((found < 0)[code])
+                by_doc, tf = np.unique(np.searchsorted(e, rare, side="right") * len(words) + code[rare], return_counts=True)
+                doc, which = np.divmod(by_doc, max(1, len(words)))
+                rows = pa.StructArray.from_arrays([words.take(pa.array(which)), pa.array(kind[which]), pa.array(tf.astype(np.int32))], fields=list(_RARE.value_type))
+                rares = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(e) + 1)).astype(np.int32)), rows)
                 cols = [
                     part.column("doc_id"),
                     part.column("held_out"),
                     pa.array(e - starts),
-                    pa.array(add(known_of[at]).astype(np.int64)),
-                    pa.array(add(base_of[at])),
-                    pa.array(add(share_of[at])),
+                    pa.array(add(known_of).astype(np.int64)),
+                    pa.array(add(base_of)),
+                    pa.array(add(share_of)),
                     lists,
-                    pa.array(rares, _RARE),
+                    rares,
                 ]
                 names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "share", "classes", "rare"]
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -180,19 +180,32 @@ def _ordered(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, reach[1:]
 
 
+def _by_step(flat: np.ndarray, begin: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The classes that all sequences have at step 0, at step 1, and so on."""
+    out = np.empty(int(reach.sum()), np.int64)
+    i = 0
+    for t, n in enumerate(reach.tolist()):
+        out[i : i + n] = flat.take(begin[:n] + t)
+        i += n
+    return out
+
+
 def log_likelihoods(model: Hmm, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural logs of the probabilities of class sequences, by the scaled forward recursion."""
     order, reach = _ordered(lengths)
-    begin = starts[order]
+    cls = _by_step(flat, starts[order], reach)
     logs = np.zeros(len(lengths))
     a = np.broadcast_to(model.start, (len(lengths), model.states))
     ones = np.ones(model.states)
-    for t, n in enumerate(reach):
-        e = model.emit[flat[begin[:n] + t]]
-        a = (a[:n] @ model.move if t else a[:n]) * e
-        s = a @ ones
-        a /= s[:, None]
+    i = 0
+    for n in reach.tolist():
+        e = model.emit.take(cls[i : i + n], 0)  # take copies rows many times faster than an index does
+        e *= a[:n] @ model.move if i else a
+        s = e @ ones
+        e /= s[:, None]
         logs[:n] += np.log(s)
+        a = e
+        i += n
     out = np.empty(len(lengths))
     out[order] = logs
     return out
@@ -202,36 +215,36 @@ def expected_counts(model: Hmm, flat: np.ndarray, starts: np.ndarray, lengths: n
     """Baum-Welch: expected first states, moves and emissions of class sequences."""
     k = model.states
     order, reach = _ordered(lengths)
-    begin = starts[order]
+    cls = _by_step(flat, starts[order], reach)
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    ones = np.ones(k, np.float32)
-    bounds = np.r_[0, np.cumsum(reach)]
-    alpha = np.empty((int(bounds[-1]), k), np.float32)
-    scale = np.empty(int(bounds[-1]), np.float32)
-    cls = np.empty(int(bounds[-1]), np.int32)
+    ones, least = np.ones(k, np.float32), np.float32(1e-30)
+    bounds = np.r_[0, np.cumsum(reach)].tolist()
+    alpha = emit.take(cls, 0)
+    scale = np.empty((len(cls), 1), np.float32)
     a = np.broadcast_to(model.start.astype(np.float32), (len(lengths), k))
-    for t, n in enumerate(reach):
-        here = slice(bounds[t], bounds[t + 1])
-        c = flat[begin[:n] + t]
-        a = (a[:n] @ move if t else a[:n]) * emit[c]
-        s = np.maximum(a @ ones, np.float32(1e-30))
-        a /= s[:, None]
-        alpha[here], scale[here], cls[here] = a, s, c
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        here = alpha[i:j]
+        here *= a[: j - i] @ move if i else a
+        np.maximum(here @ ones, least, out=scale[i:j, 0])
+        here /= scale[i:j]
+        a = here
     moves = np.zeros((k, k))
     after = np.zeros((0, k), np.float32)  # emission x backward / scale, of the next step
-    for t in range(len(reach) - 1, -1, -1):
-        n, here = reach[t], slice(bounds[t], bounds[t + 1])
-        beta = np.ones((n, k), np.float32)
+    for i, j in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
         m = len(after)
+        here = emit.take(cls[i:j], 0)
+        here /= scale[i:j]
         if m:
-            beta[:m] = after @ move.T
-            moves += (alpha[here][:m].T @ after) * move
-        after = emit[cls[here]] * beta / scale[here][:, None]
-        alpha[here] *= beta
-    alpha /= np.maximum(alpha @ ones, np.float32(1e-30))[:, None]
-    first = alpha[: reach[0]].sum(0) if len(reach) else np.zeros(k)
+            reached = alpha[i : i + m]
+            moves += (reached.T @ after) * move
+            beta = after @ move.T
+            reached *= beta
+            here[:m] *= beta
+        after = here
+    alpha /= np.maximum(alpha @ ones, least)[:, None]
+    first = alpha[: reach[0]].sum(0).astype(float) if len(reach) else np.zeros(k)
     emitted = np.stack([np.bincount(cls, alpha[:, j], minlength=len(emit)) for j in range(k)], 1)
-    return first.astype(float), moves, emitted
+    return first, moves, emitted
 
 
 class Batches:

@@ -5,8 +5,10 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -411,6 +413,25 @@ def test_hmm(odd, none):
     assert hmm.score(none, fold).count() == 0
 
 
+def test_hmm_cuts_texts_together(monkeypatch):
+    """Counts and sequences come from a batch's texts at once, not text by text, and equal what tokens() gives."""
+    texts = [None, "", " ", "\t\n", "A b", " É é\x0bB\xa0c \r\n", "x\x1cy z\x85", "b B  b", "日本 ÀB", "\x00 a\x0c"]
+    words = [hmm.tokens(t) for t in texts]
+    counts = Counter(w for x in words for w in x)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": pa.array(texts)}).slice(1)
+    monkeypatch.setattr(hmm, "tokens", None)
+    counted = [r for b in hmm._count(iter([batch])) for r in b.to_pylist()]
+    assert {r["word"]: r["train"] for r in counted} == counts - Counter([b""])
+    heavy = [b"", b"b", b"a"]
+    held = np.bincount([hmm.spelled(w) for w in counts if w not in heavy], minlength=hmm.SPELLED)
+    known = hmm.Vocabulary(heavy, np.array([counts[w] for w in heavy]), 2, counts.total(), len(counts), held, held)
+    out = [r for b in hmm._sequences(SimpleNamespace(value=known))(iter([batch])) for r in b.to_pylist()]
+    of = lambda w: heavy.index(w) if w in heavy[:2] else 2 + hmm.spelled(w)
+    for r, x in zip(out, words[1:], strict=True):
+        assert (r["n_tokens"], r["n_known"], r["classes"]) == (len(x), sum(w in heavy for w in x), [of(w) for w in x])
+        assert {y["word"]: (y["cls"], y["tf"]) for y in r["rare"]} == {w: (of(w), n) for w, n in Counter(x).items() if w not in heavy}
+
+
 def test_hmm_scores_are_exact_with_one_state(spark, odd):
     """With one state a text's probability is a product of shares, which is written out here."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
