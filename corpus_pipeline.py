@@ -65,7 +65,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences; every row is a document, and null and empty texts are the end id."""
-    return pack(docs, keep=150_000)  # workers still hold what earlier stages left
+    # earlier stages leave executors more workers than cores, which take turns and hold what those stages left
+    return pack(docs, keep=50_000, piece_bytes=1 << 20, forget=True)
 
 
 STAGES = [

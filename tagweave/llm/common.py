@@ -54,6 +54,11 @@ def only(name: str) -> None:
     for other, cache in CACHES.items():
         if other != name:
             cache.clear()
+    release()
+
+
+def release() -> None:
+    """Give the memory that this worker no longer uses back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:  # the allocator keeps freed pages otherwise
@@ -142,7 +147,11 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of text that are worked on at once.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch with about `most` bytes of the string column each; one row at least."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import documents, pieces, ship, written
+from tagweave.llm.common import PIECE_BYTES, documents, pieces, ship, written
 from tagweave.llm.tokens import KEEP, encoder, public_path
 
 LENGTH = 2048
@@ -50,13 +50,13 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _cut(path: str, length: int, end_id: int, with_ids: bool, keep: int):
+def _cut(path: str, length: int, end_id: int, with_ids: bool, keep: int, piece_bytes: int, forget: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number = encoder(path, keep), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", piece_bytes):
                 ids, ends = enc.encode(part.column("text"), end)
                 begins = np.r_[0, ends[:-1]]
                 tokens = ends - begins
@@ -74,6 +74,8 @@ def _cut(path: str, length: int, end_id: int, with_ids: bool, keep: int):
                 cols.append(pa.array(which + number))
                 number += len(many)
                 yield pa.RecordBatch.from_arrays(cols, [*names, "document"])
+        if forget:
+            enc.forget()
 
     return run
 
@@ -104,6 +106,8 @@ def pack(
     seed: int = 0,
     with_ids: bool = False,
     keep: int = KEEP,
+    piece_bytes: int = PIECE_BYTES,
+    forget: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset.
 
@@ -112,13 +116,15 @@ def pack(
     are meant to be padded to `length`. Ties in length go by the order of the pieces. sequence_id begins
     with the number of the partition in which a group was packed, so other partitions give other ids, and
     other groups; pieces and their contents are the same. Only doc_id and
-    text are read. A worker keeps at most 2 * `keep` encoded pre-tokens. Documents are dealt by hash of their
+    text are read. A worker takes about `piece_bytes` of text at once, and keeps at most 2 * `keep` encoded
+    pre-tokens and those of two such pieces; with `forget` it drops them at the end of each task, so that workers
+    which wait for one hold none. Neither changes a row. Documents are dealt by hash of their
     number in the scan, so equal rows scatter and a document's pieces share a group.
     """
     ship(docs.sparkSession)
     path = tokenizer or public_path(TOKENIZER)
     schema = PIECE + (", ids array<int>" if with_ids else "")
-    cut = written(documents(docs).mapInArrow(_cut(path, length, end_id, with_ids, keep), schema + ", document long"), "pieces")
+    cut = written(documents(docs).mapInArrow(_cut(path, length, end_id, with_ids, keep, piece_bytes, forget), schema + ", document long"), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
     dealt = cut.withColumn("in_group", F.pmod(F.xxhash64("document", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("in_group").applyInPandas(_place(length), schema + ", sequence_id long, offset long")

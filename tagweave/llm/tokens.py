@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from tagweave.llm.common import only, worker_cache
+from tagweave.llm.common import only, release, worker_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -107,6 +107,9 @@ class Kept:
                 got[i] = new[keys[i]]
         return got
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
 
 class Encoder:
     """Ids of pre-tokens, chunks and whole texts, as little-endian unsigned 32-bit integers."""
@@ -127,6 +130,12 @@ class Encoder:
         #: Plain words in lower case, of "word" tokenizers.
         self.stems = Kept(self._stems, keep)
 
+    def forget(self) -> None:
+        """Drop all that was learnt; the tokenizer stays."""
+        for kept in (self.pretokens, self.kept, self.stems):
+            kept.forget()
+        release()
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

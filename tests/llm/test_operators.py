@@ -140,6 +140,23 @@ def test_packing(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_in_the_pipeline_leaves_nothing_in_workers(spark, odd):
+    import corpus_pipeline as P
+
+    def held(batches):
+        from tagweave.llm import tokens
+
+        for batch in batches:
+            n = sum(len(x.new) + len(x.old) for e in tokens._HELD.values() for x in (e.pretokens, e.kept, e.stems))
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    docs = odd.select("doc_id", "text").coalesce(1)
+    got = P.packing(spark, docs, "").collect()
+    assert [r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()] == [0] * 8
+    assert sorted(map(str, got)) == sorted(map(str, packing.pack(docs).collect()))
+    assert sorted(map(str, packing.pack(docs, keep=0, piece_bytes=1, forget=True).collect())) == sorted(map(str, got))
+
+
 def test_first_fit():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 100, 300)
