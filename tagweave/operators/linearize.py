@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,12 +209,31 @@ def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
     return both.withColumns({"text_with_tags": joined, "char_mask": mask}).drop("_e")
 
 
+#: White space is what SQL's regular expressions take for it, the ASCII kinds; re has more.
+BLANK = r"\t\n\f\r "
 #: Word with the white space before it, other characters likewise, or white space: every character is in a token.
-TOKEN = r"\s*\w+|\s*[^\w\s]+|\s+"
+TOKEN = rf"[{BLANK}]*\w+|[{BLANK}]*[^\w{BLANK}]+|[{BLANK}]+"
+#: Characters of text whose tokens a worker holds as Python objects at once, a longer text apart, and words whose ids it remembers.
+CUT_AT_ONCE, KNOWN = 1 << 20, 1 << 16
 Tokenizer = Callable[[Column], Column]
 _TOKENS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "start", "end")]))
 
 
+class _Ids(dict):
+    """Ids of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
+        return found
+
+
+def in_pieces(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbours that start in the same stretch of `most`, of the sums of sizes."""
+    stretch = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(stretch[1:] != stretch[:-1]) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+
 def tokens_with(specials: tuple[str, ...] = ()) -> Tokenizer:
     """A tokenizer to array<struct<id, start, end>>; specials are tokens of their own wherever they stand.
 
@@ -221,24 +241,30 @@ def tokens_with(specials: tuple[str, ...] = ()) -> Tokenizer:
     functions only give in quadratic time, so texts are cut in Arrow batches.
     """
     special = "|".join(map(re.escape, sorted(filter(None, specials), key=len, reverse=True)))
-    kept = rf"(?:{special})|\s+(?={special})|\s*(?:(?!{special})\w)+|\s*(?:(?!{special})[^\w\s])+|\s+"
+    kept = rf"(?:{special})|[{BLANK}]+(?={special})|[{BLANK}]*(?:(?!{special})\w)+|[{BLANK}]*(?:(?!{special})[^\w{BLANK}])+|[{BLANK}]+"
     pattern = kept if special else TOKEN
 
     def cut(texts: pa.Array) -> pa.Array:
-        find, words, sizes = re.compile(pattern).findall, [], []
-        for text in texts.to_pylist():
-            own = find(text or "")
-            words += own
-            sizes.append(len(own))
-        # every character is in a token, so places are sums of lengths; an id is made once for each distinct token
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        known = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
-        bounds = np.r_[0, np.cumsum(sizes)]
-        upto = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
-        base = np.repeat(upto[bounds[:-1]], sizes)
-        cols = (known[coded.indices.to_numpy()] if words else known, upto[:-1] - base, upto[1:] - base)
-        tokens = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["id", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens, mask=texts.is_null())
+        find, known, counts = re.compile(pattern).findall, _Ids(), []
+        none = np.empty(0, np.int32)
+        ids, starts, ends = [none], [none], [none]
+        for a, b in in_pieces(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), CUT_AT_ONCE):
+            words, sizes = [], []
+            for text in texts.slice(a, b - a).to_pylist():
+                own = find(text or "")
+                words += own
+                sizes.append(len(own))
+            ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            # every character is in a token, so places are sums of lengths
+            upto = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+            base = np.repeat(upto[np.r_[0, np.cumsum(sizes)][:-1]], sizes)
+            starts.append((upto[:-1] - base).astype(np.int32))
+            ends.append((upto[1:] - base).astype(np.int32))
+            counts += sizes
+            if len(known) > KNOWN:
+                known.clear()
+        tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in (ids, starts, ends)], ["id", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), tokens, mask=texts.is_null())
 
     # nondeterministic by name, so that it isn't run once for every field that is read
     split = F.arrow_udf(cut, _TOKENS).asNondeterministic()
