@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once a row; the optimizer moves other columns into lambdas, where each element evaluates them anew."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def url_netloc(url: Column | str) -> Column:
     return F.regexp_extract(F.coalesce(col(url), F.lit("")), URL_PATTERN, 1)
 

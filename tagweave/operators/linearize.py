@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.exprs import MONTHS, col, uniform, unquote
+from tagweave.functions.exprs import MONTHS, col, let, uniform, unquote
 from tagweave.operators.html import Rule, any_rule
 from tagweave.sources import settled
 
@@ -159,6 +160,56 @@ def tags_prefix(df: DataFrame, cfg: LinearizeConfig, style: str = "prefix", out:
     return df.withColumn(out, F.when(F.size(kept) > 0, F.concat(F.array_join(kept, cfg.tags_sep), F.lit(cfg.tags_prefix_sep))).otherwise(""))
 
 
+def _inserts(cfg: LinearizeConfig, nodes: str, text: str, renderers: dict[str, Renderer] | None) -> Column:
+    """array<struct<at, text>>: what is put into a row's text, in the order in which local_events has it."""
+    keys = F.array(*(F.lit(k) for k in cfg.tags_list))
+    rank = lambda n: F.array_position(keys, n["key"])
+
+    def event(at: Column, slot: Column, order: tuple[Column, ...], text: Column, joint: tuple[Column, int, Column] | None = None) -> Column:
+        """Sorted by all fields in turn; joint: position, edge and key of what is merged."""
+        p, edge, key = joint or (None, None, None)
+        by = [o.cast("long").alias(f"order{k}") for k, o in enumerate(order)]
+        lit = lambda v, kind: (v if isinstance(v, Column) else F.lit(v)).cast(kind)
+        return F.struct(at.alias("at"), slot.cast("int").alias("slot"), *by, lit(p, "long").alias("p"), lit(edge, "int").alias("edge"), text.alias("text"), lit(key, "string").alias("key"))
+
+    def plain(n: Column, i: Column, rank: Column, r: Column) -> Column:
+        start, end = n["char_start_idx"], n["char_end_idx"]
+        empty, order = start == end, lambda sign: (sign * rank * 2, sign * end, sign * i)
+        return F.array(event(start, F.when(empty, 1).otherwise(3), order(-1), r["start"]), event(end, F.when(empty, 2).otherwise(0), order(1), r["end"]))
+
+    def merged(n: Column, rank: Column, r: Column) -> Column:
+        start, end = n["char_start_idx"], n["char_end_idx"]
+        order = lambda at: (-(rank * 2 + 1), -at, F.lit(0))
+        return F.array(
+            event(start, F.lit(1), order(start), r["start"], (n["relative_start_pos"], 0, n["key"])),
+            event(end, F.lit(1), order(end), r["end"], (n["relative_end_pos"], 1, n["key"])),
+        )
+
+    def of(own: Column) -> Column:
+        relative = F.filter(keys, lambda k: F.get(F.filter(own, lambda n: n["key"] == k), F.lit(0))["relative_start_pos"].isNotNull())
+        shown = F.transform(own, lambda n, i: F.struct(n.alias("n"), i.alias("i"), rank(n).alias("rank"), render_local(n, cfg, renderers).alias("r")))
+
+        of_node = lambda x, keys: F.when(F.array_contains(keys, x["n"]["key"]), merged(x["n"], x["rank"], x["r"])).otherwise(plain(x["n"], x["i"], x["rank"], x["r"]))
+        return let(relative, lambda keys: F.flatten(F.transform(shown, lambda x: of_node(x, keys))))
+
+    def wrapped(es: Column) -> Column:
+        alike = lambda e, other: F.coalesce((other["at"] == e["at"]) & (other["key"] == e["key"]), F.lit(False))
+
+        def one(e: Column, i: Column) -> Column:
+            out = e["text"]
+            for k in cfg.wrap_start.keys() | cfg.wrap_end.keys():
+                a = F.when(alike(e, F.get(es, i - 1)), "").otherwise(cfg.wrap_start.get(k, ""))
+                b = F.when(alike(e, F.get(es, i + 1)), "").otherwise(cfg.wrap_end.get(k, ""))
+                out = F.when(e["key"] == k, F.concat(a, e["text"], b)).otherwise(out)
+            return F.struct(e["at"].alias("at"), out.alias("text"))
+
+        return F.transform(es, one)
+
+    own = F.filter(nodes, lambda n: (n["type"] == "local") & (rank(n) > 0))
+    held = let(F.length(text), lambda n: F.filter(let(own, of), lambda e: (e["text"] != "") & e["at"].between(0, n)))
+    return F.coalesce(let(F.array_sort(held), wrapped), F.array().cast("array<struct<at:bigint,text:string>>"))
+
+
 def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text_col: str = "text", renderers: dict[str, Renderer] | None = None) -> DataFrame:
     """(id, offset, text): all that is inserted at each offset of the text, in order; other offsets are left out.
 
@@ -166,47 +217,66 @@ def local_events(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str =
     key's wrapper texts around. Then, at an offset: ends of spans, starts and ends of empty spans, starts of
     spans; of starts the later in order comes first.
     """
-    rank = F.array_position(F.array(*(F.lit(k) for k in cfg.tags_list)), F.col("n.key"))
-    flat = df.select(F.col(id_col).alias("_id"), F.length(text_col).alias("len"), F.posexplode(nodes).alias("i", "n")).where(F.col("n.type") == "local").withColumn("rank", rank).where("rank > 0")
-    one = F.first_value(F.col("n.relative_start_pos"), ignoreNulls=False).over(Window.partitionBy("_id", "rank").orderBy("i"))
-    flat = flat.withColumn("relative", one.isNotNull()).withColumn("r", render_local(F.col("n"), cfg, renderers)).where("r is not null")
-    start, end = F.col("n.char_start_idx"), F.col("n.char_end_idx")
-    empty = start == end
-    ev = lambda at, slot, order, text: F.struct(at.alias("at"), slot.alias("slot"), order.alias("order"), text.alias("text"))
-    key = lambda sign: F.array((sign * F.col("rank") * 2).cast("long"), (sign * end).cast("long"), (sign * F.col("i")).cast("long"))
-    plain = flat.where("not relative").select(
-        "_id", "len", F.explode(F.array(ev(start, F.when(empty, 1).otherwise(3), key(-1), F.col("r.start")), ev(end, F.when(empty, 2).otherwise(0), key(1), F.col("r.end")))).alias("e")
-    )
-    merged = flat.where("relative").select(
-        "_id", "len", "rank", F.col("n.key").alias("key"),
-        F.explode(F.array(
-            F.struct(start.alias("at"), F.col("n.relative_start_pos").alias("p"), F.lit(0).alias("edge"), F.col("r.start").alias("text")),
-            F.struct(end.alias("at"), F.col("n.relative_end_pos").alias("p"), F.lit(1).alias("edge"), F.col("r.end").alias("text")),
-        )).alias("e"),
-    ).where("e.text <> ''")
-    merged = merged.groupBy("_id", "len", "rank", "key", F.col("e.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("e.p", "e.edge", "e.text"))).alias("es"))
-    text = F.array_join(F.transform("es", lambda e: e["text"]), "")
-    for k in cfg.wrap_start.keys() | cfg.wrap_end.keys():
-        text = F.when(F.col("key") == k, F.concat(F.lit(cfg.wrap_start.get(k, "")), text, F.lit(cfg.wrap_end.get(k, "")))).otherwise(text)
-    order = F.array((-(F.col("rank") * 2 + 1)).cast("long"), (-F.col("at")).cast("long"), F.lit(0).cast("long"))
-    events = plain.union(merged.select("_id", "len", ev(F.col("at"), F.lit(1), order, text).alias("e"))).where("e.text <> '' and e.at between 0 and len")
-    lists = events.groupBy("_id", F.col("e.at").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("e.slot", "e.order", "e.text"))).alias("es"))
+    flat = df.select(F.col(id_col).alias("_id"), F.posexplode(_inserts(cfg, nodes, text_col, renderers)).alias("i", "e"))
+    lists = flat.groupBy("_id", F.col("e.at").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("i", "e.text"))).alias("es"))
     return lists.select("_id", "offset", F.array_join(F.transform("es", lambda e: e["text"]), "").alias("text"))
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of lists in their values, and the values."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)], lists.flatten()
+
+
+def _longs(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _woven(texts: pa.Array, places: pa.Array, inserts: pa.Array) -> pa.Array:
+    """Texts with inserts, and where these start and end in them."""
+    bounds, parts = _flat(inserts)
+    at = _longs(places.flatten())
+    sizes = _longs(pc.utf8_length(parts))
+    upto = np.r_[0, np.cumsum(sizes)]
+    starts = at + upto[:-1] - np.repeat(upto[bounds[:-1]], np.diff(bounds))
+    out = [pa.array([], pa.string())]
+    for a, b in in_pieces(_longs(pc.fill_null(pc.utf8_length(texts), 0)), CUT_AT_ONCE):
+        lo, hi = int(bounds[a]), int(bounds[b])
+        rest, made = zip(at[lo:hi].tolist(), parts.slice(lo, hi - lo).to_pylist(), strict=True), []
+        for text, n in zip(texts.slice(a, b - a).to_pylist(), np.diff(bounds[a : b + 1]).tolist(), strict=True):
+            pieces, last = [], 0
+            for place, part in islice(rest, n):
+                pieces += (text[last:place], part)
+                last = place
+            made.append("".join((*pieces, text[last:])) if n else text)
+        out.append(pa.array(made, pa.string()))
+    lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v.astype(np.int32))) for v in (starts, starts + sizes)]
+    return pa.StructArray.from_arrays([pa.concat_arrays(out), *lists], ["text", "starts", "ends"])
+
+
+# nondeterministic by name, as the tokenizer's
+_PLACES = T.ArrayType(T.IntegerType())
+_weave = F.arrow_udf(_woven, T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", _PLACES), T.StructField("ends", _PLACES)])).asNondeterministic()
+
+
+def _with_inserts(df: DataFrame, cfg: LinearizeConfig, nodes: str, text: str, renderers: dict[str, Renderer] | None) -> DataFrame:
+    """df with `_woven`, a struct of the text with its inserts and the places of these.
+
+    A node list is in a row with its text, so nothing is exchanged. Inserts are a column that is read twice, so the
+    optimizer leaves it: with nested lambdas in its arguments it doesn't find a Python function again.
+    """
+    held = df.withColumn("_inserts", _inserts(cfg, nodes, text, renderers))
+    return held.withColumn("_woven", _weave(F.col(text), F.col("_inserts.at"), F.col("_inserts.text"))).drop("_inserts")
+
+
 def insert_local(df: DataFrame, cfg: LinearizeConfig, id_col: str, nodes: str = "tags", text: str = "text", renderers: dict[str, Renderer] | None = None) -> DataFrame:
     """df with `text_with_tags` and `char_mask` (1 for inserted characters); offsets past the text are left out."""
-    lists = local_events(df, cfg, id_col, nodes, text, renderers).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("_e"))
-    both = df.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    both = both.withColumn("_e", F.coalesce("_e", F.expr("cast(array() as array<struct<offset:bigint,text:string>>)")))
-    piece = f"substring(`{text}`, cast(if(i = 0, 0, _e[i - 1].offset) + 1 as int), cast(e.offset - if(i = 0, 0, _e[i - 1].offset) as int))"
-    rest = f"if(size(_e) = 0, `{text}`, substring(`{text}`, cast(element_at(_e, -1).offset + 1 as int)))"
-    joined = F.expr(f"concat(array_join(transform(_e, (e, i) -> concat({piece}, e.text)), ''), {rest})")
     mask = F.expr(
-        "concat(flatten(transform(_e, (e, i) -> concat(array_repeat(0, cast(e.offset - if(i = 0, 0, _e[i - 1].offset) as int)), array_repeat(1, length(e.text))))),"
-        f" array_repeat(0, length({rest})))"
+        "concat(flatten(transform(_woven.starts, (s, i) -> concat(array_repeat(0, s - if(i = 0, 0, _woven.ends[i - 1])), array_repeat(1, _woven.ends[i] - s)))),"
+        " array_repeat(0, length(_woven.text) - if(size(_woven.ends) = 0, 0, element_at(_woven.ends, -1))))"
     )
-    return both.withColumns({"text_with_tags": joined, "char_mask": mask}).drop("_e")
+    both = _with_inserts(df, cfg, nodes, text, renderers)
+    return both.withColumns({"text_with_tags": F.col("_woven.text"), "char_mask": mask}).drop("_woven")
 
 
 #: White space is what SQL's regular expressions take for it, the ASCII kinds; re has more.
@@ -268,7 +338,12 @@ def tokens_with(specials: tuple[str, ...] = ()) -> Tokenizer:
 
     # nondeterministic by name, so that it isn't run once for every field that is read
     split = F.arrow_udf(cut, _TOKENS).asNondeterministic()
-    return lambda text: split(col(text))
+
+    def tokenizer(text: Column | str) -> Column:
+        return split(col(text))
+
+    tokenizer.cut = cut
+    return tokenizer
 
 
 def regex_tokens(text: Column | str) -> Column:
@@ -307,6 +382,57 @@ def token_mask(tokens: Column | str, chars: Column | str, regular: bool = False)
     return _touched(F.transform(col(tokens), lambda t: t["start"]), F.transform(col(tokens), lambda t: t["end"]), col(chars))
 
 
+def _met(tokens: pa.Array, starts: pa.Array, ends: pa.Array, lead: pa.Array) -> pa.Array:
+    bounds, held = _flat(tokens)
+    from_, to = held.field("start"), held.field("end")
+    spans, begins, stops = _flat(starts)[0], _longs(starts.flatten()), _longs(ends.flatten())
+    base = np.arange(len(tokens), dtype=np.int64) << 32  # places of all rows in one order
+    begins, stops = (v + np.repeat(base, np.diff(spans)) for v in (begins, stops))
+    shift, met = base - _longs(lead), [np.empty(0, np.int32)]
+    for a, b in in_pieces(np.diff(bounds), CUT_AT_ONCE):
+        own, (lo, hi), row = slice(spans[a], spans[b]), bounds[[a, b]].tolist(), np.repeat(shift[a:b], np.diff(bounds[a : b + 1]))
+        # spans are in order and apart: of those that start before a token's end, one ends after its start
+        started = np.searchsorted(begins[own], _longs(to.slice(lo, hi - lo)) + row, "left")
+        met.append((started > np.searchsorted(stops[own], _longs(from_.slice(lo, hi - lo)) + row, "right")).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(met)), mask=tokens.is_null())
+
+
+_meet = F.arrow_udf(_met, T.ArrayType(T.IntegerType())).asNondeterministic()
+
+
+def span_mask(tokens: Column | str, starts: Column | str, ends: Column | str, lead: Column, regular: bool = False) -> Column:
+    """1 for tokens that touch a span; spans are in order and don't meet, and count from `lead` characters on."""
+    if regular:
+        return F.transform(col(tokens), lambda t: F.lit(0))
+    return _meet(col(tokens), col(starts), col(ends), lead)
+
+
+_CODED = T.StructType([T.StructField(n, _PLACES) for n in ("head", "ids", "mask")])
+
+
+def _encode(cut: Callable[[pa.Array], pa.Array], regular: bool) -> Callable[..., Column]:
+    """struct<head, ids, mask> from texts, their inserts, heads and whether a space leads, by a tokenizer's Arrow function.
+
+    One pass in Python, a few texts at once, so a task holds one worker for it and no more than ids and masks of a batch.
+    """
+
+    def run(texts: pa.Array, places: pa.Array, inserts: pa.Array, heads: pa.Array, led: pa.Array) -> pa.Array:
+        ids = lambda tokens: pa.ListArray.from_arrays(pa.array(_flat(tokens)[0], pa.int32()), tokens.flatten().field("id"))
+        out = [[pa.array([], pa.list_(pa.int32()))] for _ in range(3)]
+        for a, b in in_pieces(_longs(pc.fill_null(pc.utf8_length(texts), 0)), CUT_AT_ONCE):
+            part = lambda x, a=a, b=b: x.slice(a, b - a)
+            woven = _woven(part(texts), part(places), part(inserts))
+            tokens = cut(pc.binary_join_element_wise(pc.if_else(part(led), " ", ""), woven.field("text"), ""))
+            mask = _met(tokens, woven.field("starts"), woven.field("ends"), part(led).cast(pa.int32()))
+            if regular:
+                mask = pa.ListArray.from_arrays(mask.offsets, pa.array(np.zeros(len(mask.values), np.int32)))
+            for kept, made in zip(out, (ids(cut(part(heads))), ids(tokens), mask), strict=True):
+                kept.append(made)
+        return pa.StructArray.from_arrays([pa.concat_arrays(kept) for kept in out], _CODED.names)
+
+    return F.arrow_udf(run, _CODED).asNondeterministic()
+
+
 def chunk(df: DataFrame, max_seq_len: int, pad_id: int = 0, ids: str = "ids", mask: str = "mask", prefix: str = "prefix_ids", same_context: bool = False) -> DataFrame:
     """A row a window: chunk_idx, input_ids, attention_mask, tags_mask, all max_seq_len long; no ids, no rows.
 
@@ -387,23 +513,20 @@ def train_rows(
     tokenizer = tokenizer or tokens_with(cfg.specials())
     src = df.where(F.length("text") > 0).select(F.col(id_col), "text", F.when(gate(cfg, seed, id_col), F.col(nodes)).otherwise(F.array().cast(df.schema[nodes].dataType)).alias("tags"))
     prefixed = tags_prefix(src, cfg, renderers=renderers)
-    inserted = insert_local(prefixed, cfg, id_col, renderers=local_renderers)
     has = F.col("prefix") != ""
-    spaced = inserted.withColumns(
-        {
-            "_text": F.concat(F.when(has, " ").otherwise(""), F.col("text_with_tags")),
-            "_chars": F.concat(F.array_repeat(F.lit(0), F.when(has, 1).otherwise(0)), F.col("char_mask")),
-        }
-    )
-    head = F.transform(tokenizer(F.concat(F.lit(cfg.tags_prefix_start_seq), F.col("prefix"))), lambda t: t["id"])
-    coded = spaced.withColumn("_tokens", tokenizer(F.col("_text")))
-    coded = coded.withColumns(
-        {
-            "prefix_ids": F.when(has, cap_prefix(head, cfg.max_seq_len)).otherwise(F.array().cast("array<int>")),
-            "ids": F.transform("_tokens", lambda t: t["id"]),
-            "mask": token_mask("_tokens", "_chars", cfg.local_as_regular_text),
-        }
-    )
+    head = F.concat(F.lit(cfg.tags_prefix_start_seq), F.col("prefix"))
+    if hasattr(tokenizer, "cut"):
+        held = prefixed.withColumn("_inserts", _inserts(cfg, "tags", "text", local_renderers))
+        encode = _encode(tokenizer.cut, cfg.local_as_regular_text)
+        coded = held.withColumn("_coded", encode(F.col("text"), F.col("_inserts.at"), F.col("_inserts.text"), head, has))
+        head_ids, ids, mask = (F.col(f"_coded.{c}") for c in _CODED.names)
+    else:
+        woven = _with_inserts(prefixed, cfg, "tags", "text", local_renderers)
+        text = F.concat(F.when(has, " ").otherwise(""), F.col("_woven.text"))
+        coded = woven.withColumns({"_head": tokenizer(head), "_tokens": tokenizer(text)})
+        head_ids, ids = F.col("_head.id"), F.col("_tokens.id")
+        mask = span_mask("_tokens", "_woven.starts", "_woven.ends", F.when(has, 1).otherwise(0), cfg.local_as_regular_text)
+    coded = coded.withColumns({"prefix_ids": F.when(has, cap_prefix(head_ids, cfg.max_seq_len)).otherwise(F.array().cast("array<int>")), "ids": ids, "mask": mask})
     rows = chunk(coded, cfg.max_seq_len, cfg.pad_id, same_context=cfg.same_context_without_tags)
     return rows.select(id_col, "chunk_idx", "input_ids", "attention_mask", "tags_mask", F.col("input_ids").alias("labels"))
 

@@ -7,10 +7,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.functions.exprs import uniform
+from tagweave.functions.exprs import let, uniform
 from tagweave.operators.projections import PREFIX, annotations
 from tagweave.sources import row_index
 
@@ -28,9 +28,8 @@ def column_counts(df: DataFrame) -> DataFrame:
 
 
 def type_weights(counts: DataFrame) -> DataFrame:
-    """(key, n, weight): all counts over each."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.withColumn("weight", F.lit(total) / F.col("n"))
+    """(key, n, weight): all counts over each, in one pass; a row a node type is all that meets."""
+    return counts.withColumn("weight", F.sum("n").over(Window.partitionBy(F.lit(0))) / F.col("n"))
 
 
 def _kept(keys: Column, weights: dict[str, float], seed: int, id_col: str) -> Column:
@@ -49,8 +48,8 @@ def uniform_of(seed: int, id_col: str, key: Column) -> Column:
 def sample_tags(df: DataFrame, weights: dict[str, float], seed: int, id_col: str, nodes: str = "tags") -> DataFrame:
     """Keep all nodes of some of a row's types, drawn without replacement by weight."""
     keys = F.array_sort(F.array_distinct(F.transform(nodes, lambda x: x["key"])))
-    kept = F.when(F.size(keys) > 0, _kept(keys, weights, seed, id_col))
-    return df.withColumn("_kept", kept).withColumn(nodes, F.filter(nodes, lambda x: F.array_contains("_kept", x["key"]))).drop("_kept")
+    kept = let(keys, lambda k: F.when(F.size(k) > 0, _kept(k, weights, seed, id_col)))
+    return df.withColumn(nodes, let(kept, lambda k: F.filter(nodes, lambda x: F.array_contains(k, x["key"]))))
 
 
 def drop_html(df: DataFrame, html_rate: float, seed: int, id_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave import schemas
 from tagweave.functions import exprs
 from tagweave.operators import html, linearize, sampling, taggers
 from tagweave.plans import training
@@ -169,3 +170,37 @@ def test_buffered_shuffle(spark, monkeypatch, size):
         assert {i: p for i, (p, _) in got.items()} == want and all(t == f"t{i // 3}" for i, (_, t) in got.items())
     assert size == 1 or want != {i * 3: i for i in range(200)}
     assert sampling.shuffle(df.where("false"), 9, "id", buffer_size=size).count() == 0
+
+
+def test_a_rows_types_are_drawn_once(spark):
+    """Where each node draws its row's types again, the row below takes minutes."""
+    n = 6_000
+    node = "named_struct('char_end_idx', i, 'char_start_idx', i, 'key', concat('k', i % 500), 'type', 'local', 'value', 'v')"
+    df = spark.range(1).selectExpr("id", "'text' as text", f"transform(sequence(1L, {n}L), i -> {node}) as tags")
+    began = time.time()
+    kept = [x.key for x in sampling.sample_tags(df, {"k1": 2.0}, 3, "id").first().tags]
+    took = time.time() - began
+    assert took < 20 and 0 < len(kept) == 12 * len(set(kept)) < n
+
+
+def test_insertion_needs_no_exchange(spark):
+    """Nodes are in a row with their text, so rows of equal or no ids keep their own."""
+    node = lambda v: (3, 0, ([], []), "entity", None, None, None, "local", v)
+    rows = [(1, "one", [node("a")]), (1, "two", [node("b")]), (None, "six", [node("c")]), (2, None, [node("d")]), (3, "ten", None)]
+    df = spark.createDataFrame(rows, f"id long, text string, tags array<{schemas.ANY}>").repartition(2)
+    out = linearize.insert_local(df, linearize.LinearizeConfig(), "id")
+    assert {(r.id, r.text_with_tags) for r in out.collect()} == {(1, "one [[a]]"), (1, "two [[b]]"), (None, "six [[c]]"), (2, None), (3, "ten")}
+    rows = linearize.train_rows(df.withColumn("id", F.coalesce("id", F.lit(9))), linearize.LinearizeConfig(max_seq_len=8), "id").collect()
+    assert sorted((r.id, sum(r.attention_mask), r.tags_mask) for r in rows) == [(1, 4, [0, 1, 1, 1] + [0] * 4)] * 2 + [(3, 1, [0] * 8), (9, 4, [0, 1, 1, 1] + [0] * 4)]
+
+
+@pytest.mark.parametrize("regular", [False, True])
+def test_tokenizers_as_columns_code_alike(spark, monkeypatch, regular):
+    """The tokenizer's own Arrow function, in pieces of a few characters, against the same as a column."""
+    monkeypatch.setattr(linearize, "CUT_AT_ONCE", 20)
+    node = lambda s, e, v: (e, s, ([], []), "entity", None, None, None, "local", v)
+    tags = [[], [node(0, 3, "a_b"), node(4, 9, "c")], [node(2, 2, "mid"), ((None, None, None, "url", None, None, None, "global", "u"))]]
+    df = spark.createDataFrame([(i, "some text, in parts" * (i % 4 + 1), tags[i % 3]) for i in range(30)], f"id long, text string, tags array<{schemas.ANY}>")
+    cfg = linearize.LinearizeConfig(max_seq_len=16, local_as_regular_text=regular)
+    one, many = (sorted(map(tuple, linearize.train_rows(df, cfg, "id", tokenizer=t).collect())) for t in (None, lambda text: linearize.regex_tokens(text)))
+    assert one == many and len({r[0] for r in one}) == 30 and any(sum(r[4]) for r in one)
